@@ -32,10 +32,11 @@ def ntz(value) -> Column:
 def duration_seconds(pickup="pickup_time", dropoff="dropoff_time") -> Column:
     """Fractional seconds from pickup to drop-off (negative when reversed).
 
-    Microsecond difference of wall-clock times, so a daylight-saving gap does
-    not change the result.
+    NTZ minus NTZ is a day-time interval of wall-clock time, independent of
+    the session time zone (a daylight-saving gap does not change it); the
+    interval casts exactly to seconds with microsecond fraction.
     """
-    return F.timestamp_diff("MICROSECOND", _col(pickup), _col(dropoff)) / F.lit(1e6)
+    return (_col(dropoff) - _col(pickup)).cast("decimal(18,6)").cast("double")
 
 
 def day_of_week(c="pickup_time") -> Column:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from cordon import params
 from cordon.functions.mathexpr import blend
+from cordon.functions.scope import scope
 from cordon.functions.timeexpr import day_of_week, month_range
 
 
 def _month_of_years(trips: DataFrame, month: int, years) -> DataFrame:
+    trips = scope(trips, years=years, months=[month])
     cond = None
     for y in years:
         c = month_range("pickup_time", y, month, month)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cordon import params
 from cordon.functions.mathexpr import pct_change, tip_pct
+from cordon.functions.scope import scope
 from cordon.functions.timeexpr import day_of_week, duration_seconds, quarter_range, year_range, years_range
 from cordon.operators.zone import in_zone
 
@@ -23,6 +24,7 @@ def speed_over(min_seconds: float = params.SPEED_MIN_SECONDS) -> Column:
 def hourly_speeds(clean: DataFrame, year: int, quarter: int,
                   ids=params.CONGESTION_ZONE_IDS) -> DataFrame:
     """Inside-cordon trips of one quarter per (hour, day_of_week): mean speed, count."""
+    clean = scope(clean, years=[year], months=range(3 * quarter - 2, 3 * quarter + 1))
     return (clean.filter(quarter_range("pickup_time", year, quarter)
                          & in_zone("pickup_loc", ids) & in_zone("dropoff_loc", ids))
             .groupBy(F.hour("pickup_time").alias("hour"),
@@ -34,7 +36,7 @@ def hourly_speeds(clean: DataFrame, year: int, quarter: int,
 
 def daily_trips(clean: DataFrame, year: int = params.ANALYSIS_YEAR) -> DataFrame:
     """Per pickup date of `year`: trips, revenue, average surcharge."""
-    return (clean.filter(year_range("pickup_time", year))
+    return (scope(clean, years=[year]).filter(year_range("pickup_time", year))
             .groupBy(F.to_date("pickup_time").alias("date"))
             .agg(F.count(F.lit(1)).alias("trip_count"),
                  F.sum("total_amount").alias("total_revenue"),
@@ -48,7 +50,7 @@ def monthly_tips(clean: DataFrame, year: int = params.ANALYSIS_YEAR) -> DataFram
     avg_tip_pct is the mean of per-trip tip percentages (0 for trips without
     a positive fare), not total tips over total fares.
     """
-    return (clean.filter(year_range("pickup_time", year))
+    return (scope(clean, years=[year]).filter(year_range("pickup_time", year))
             .groupBy(F.month("pickup_time").alias("month"))
             .agg(F.avg("congestion_surcharge").alias("avg_surcharge"),
                  F.avg(tip_pct()).alias("avg_tip_pct"),
@@ -62,7 +64,7 @@ def border_dropoffs(clean: DataFrame, years=(2024, 2025),
                     ids=params.BORDER_ZONE_IDS) -> DataFrame:
     """Drop-offs per (border zone, pickup year) for the listed years."""
     years = sorted(years)
-    return (clean.filter(in_zone("dropoff_loc", ids)
+    return (scope(clean, years=years).filter(in_zone("dropoff_loc", ids)
                          & years_range("pickup_time", years[0], years[-1])
                          & F.year("pickup_time").isin(years))
             .groupBy("dropoff_loc", F.year("pickup_time").alias("year"))
@@ -79,7 +81,7 @@ def border_effect(clean: DataFrame, before: int = params.COMPARISON_YEAR,
     so a year without trips reads 0 and the change is 0 when the base is 0.
     """
     year = F.year("pickup_time")
-    return (clean.filter(in_zone("dropoff_loc", ids)
+    return (scope(clean, years=[before, after]).filter(in_zone("dropoff_loc", ids)
                          & (year_range("pickup_time", before) | year_range("pickup_time", after)))
             .groupBy("dropoff_loc")
             .agg(F.count_if(year == before).alias(f"count_{before}"),

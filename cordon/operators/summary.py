@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cordon import params
 from cordon.functions.mathexpr import pct_change
+from cordon.functions.scope import scope
 from cordon.operators.profile import speed_over
 from cordon.operators.zone import in_zone
 from cordon.functions.timeexpr import day_of_week, quarter_range
@@ -30,6 +31,7 @@ def velocity_change(clean: DataFrame, before: int = params.COMPARISON_YEAR,
     One scan for both years, then two small re-aggregations.
     """
     year = F.year("pickup_time")
+    clean = scope(clean, years=[before, after], months=range(3 * quarter - 2, 3 * quarter + 1))
     cells = (clean.filter((quarter_range("pickup_time", before, quarter)
                            | quarter_range("pickup_time", after, quarter))
                           & in_zone("pickup_loc", ids) & in_zone("dropoff_loc", ids))

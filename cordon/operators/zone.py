@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cordon import params
 from cordon.functions.mathexpr import pct_of
+from cordon.functions.scope import scope
 from cordon.functions.timeexpr import quarter_range, since, year_range
 
 
@@ -27,6 +28,7 @@ def not_in_zone(c: str, ids=params.CONGESTION_ZONE_IDS) -> Column:
 def zone_entries(trips: DataFrame, start: str = params.CONGESTION_START,
                  ids=params.CONGESTION_ZONE_IDS) -> DataFrame:
     """Trips from outside the cordon into it, picked up at or after `start`."""
+    trips = scope(trips, min_year=int(str(start)[:4]))
     return trips.filter(since("pickup_time", start) & not_in_zone("pickup_loc", ids)
                         & in_zone("dropoff_loc", ids))
 
@@ -84,6 +86,8 @@ def quarterly_volumes(clean: DataFrame, year_quarters=((2024, 1), (2025, 1))) ->
     for year, quarter in year_quarters:
         cond = quarter_range("pickup_time", year, quarter)
         in_any = cond if in_any is None else (in_any | cond)
+    clean = scope(clean, years={y for y, _ in year_quarters},
+                  months={m for _, q in year_quarters for m in range(3 * q - 2, 3 * q + 1)})
     return (clean.filter(in_zone("dropoff_loc") & in_any)
             .groupBy("taxi_type", quarter_label(year_quarters).alias("quarter"))
             .agg(F.count(F.lit(1)).alias("trip_count"))
@@ -100,6 +104,7 @@ def direction(pickup: str = "pickup_loc", dropoff: str = "dropoff_loc") -> Colum
 
 def zone_direction_summary(clean: DataFrame, start: str = params.CONGESTION_START) -> DataFrame:
     """Trips since `start` by direction: count, average total, average surcharge."""
+    clean = scope(clean, min_year=int(str(start)[:4]))
     return (clean.filter(since("pickup_time", start))
             .groupBy(direction().alias("trip_type"))
             .agg(F.count(F.lit(1)).alias("trip_count"),
@@ -109,7 +114,7 @@ def zone_direction_summary(clean: DataFrame, start: str = params.CONGESTION_STAR
 
 def surcharge_revenue(clean: DataFrame, year: int = params.ANALYSIS_YEAR) -> DataFrame:
     """Surcharge sum, count and average over trips of `year` that paid one."""
-    return (clean.filter(year_range("pickup_time", year) & _paid())
+    return (scope(clean, years=[year]).filter(year_range("pickup_time", year) & _paid())
             .agg(F.sum("congestion_surcharge").alias("total_surcharge_revenue"),
                  F.count(F.lit(1)).alias("total_trips_with_surcharge"),
                  F.avg("congestion_surcharge").alias("avg_surcharge")))

@@ -7,6 +7,7 @@ library operator applied to whole tables.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +16,32 @@ from pyspark.sql import functions as F
 from cordon import params
 from cordon.operators import flag as fl
 from cordon.operators import impute, profile, summary, weather as wx, zone
+from cordon.plans import store
 from cordon.plans.report import report_rows
 from cordon.sources import adapter, catalog, zones
 
 
+def _materialise() -> bool:
+    return os.environ.get("CORDON_MATERIALISE", "1") != "0"
+
+
 def _flagged(spark, sf):
+    """Flagged trips: the materialised table, or the lazy derivation."""
+    if _materialise():
+        return store.flagged_table(spark, sf)
     return fl.flag(adapter.trips(spark, sf))
 
 
+def _unified(spark, sf):
+    if _materialise():
+        return store.unflagged(store.flagged_table(spark, sf))
+    return adapter.trips(spark, sf)
+
+
+def ghost_flags(spark, sf):
+    return _flagged(spark, sf).drop(*store.PARTITION_COLUMNS)
+
+
 def _clean(spark, sf):
     return fl.clean(_flagged(spark, sf))
 
@@ -36,7 +55,7 @@ def _weather(spark, sf):
 
 
 def unified_trips_by_type(spark, sf):
-    return (adapter.trips(spark, sf).groupBy("taxi_type")
+    return (_unified(spark, sf).groupBy("taxi_type")
             .agg(F.count(F.lit(1)).alias("trip_count"),
                  F.count("vendor_id").alias("vendor_rows"),
                  F.min("pickup_time").alias("first_pickup"),
@@ -80,7 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources and unify
     "unified_trips_by_type": unified_trips_by_type,
     # flag
-    "ghost_flags": _flagged,
+    "ghost_flags": ghost_flags,
     "trip_counts": lambda s, sf: fl.trip_counts(_flagged(s, sf)),
     "ghost_summary": lambda s, sf: fl.ghost_summary(_flagged(s, sf)),
     "ghost_stats": lambda s, sf: fl.ghost_stats(_flagged(s, sf)),
@@ -99,10 +118,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "border_dropoffs": lambda s, sf: profile.border_dropoffs(_clean(s, sf)),
     "border_effect": border_effect_map,
     # imputation (over unified, not clean, trips)
-    "imputation_profile": lambda s, sf: impute.imputation_profile(adapter.trips(s, sf), "yellow", 12),
-    "december_profile_2024": lambda s, sf: impute.month_profile(adapter.trips(s, sf), 2024, 12),
-    "december_imputed": lambda s, sf: impute.impute_month(adapter.trips(s, sf)),
-    "december_imputed_join": lambda s, sf: impute.impute_month_by_join(adapter.trips(s, sf)),
+    "imputation_profile": lambda s, sf: impute.imputation_profile(_unified(s, sf), "yellow", 12),
+    "december_profile_2024": lambda s, sf: impute.month_profile(_unified(s, sf), 2024, 12),
+    "december_imputed": lambda s, sf: impute.impute_month(_unified(s, sf)),
+    "december_imputed_join": lambda s, sf: impute.impute_month_by_join(_unified(s, sf)),
     # weather
     "wettest_month": lambda s, sf: wx.wettest_month(_weather(s, sf)),
     "weather_trips": lambda s, sf: wx.weather_trips(_weather(s, sf), _daily(s, sf)),
