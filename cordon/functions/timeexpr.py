@@ -76,3 +76,18 @@ def quarter_range(c, year: int, quarter: int) -> Column:
 def since(c, start) -> Column:
     """c >= start, no upper bound."""
     return _col(c) >= ntz(start)
+
+
+def event_time(c="pickup_time") -> Column:
+    """The NTZ wall clock as a TIMESTAMP instant with the same epoch value.
+
+    Watermarks need TIMESTAMP; this mapping is fixed (as if the wall clock
+    were UTC), so windows align with wall-clock days in any session zone.
+    """
+    since_epoch = (_col(c) - ntz("1970-01-01")).cast("decimal(18,6)")
+    return F.timestamp_seconds(since_epoch)
+
+
+def epoch_date(instant: Column) -> Column:
+    """Calendar date of an ``event_time`` instant, independent of the session zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(instant) / F.lit(86_400_000_000)).cast("int"))

@@ -21,24 +21,27 @@ def velocity_pivot(speeds: DataFrame) -> DataFrame:
             .orderBy("day_of_week"))
 
 
-def velocity_change(clean: DataFrame, before: int = params.COMPARISON_YEAR,
-                    after: int = params.ANALYSIS_YEAR, quarter: int = 1,
-                    ids=params.CONGESTION_ZONE_IDS) -> DataFrame:
-    """Mean cell speed of a quarter in two years and the percent change.
+def velocity_cells(clean: DataFrame, years, quarter: int = 1,
+                   ids=params.CONGESTION_ZONE_IDS) -> DataFrame:
+    """(year, hour, day_of_week) cells of inside-cordon trips of one quarter, one scan."""
+    in_any = None
+    for y in years:
+        c = quarter_range("pickup_time", y, quarter)
+        in_any = c if in_any is None else (in_any | c)
+    clean = scope(clean, years=list(years), months=range(3 * quarter - 2, 3 * quarter + 1))
+    return (clean.filter(in_any & in_zone("pickup_loc", ids) & in_zone("dropoff_loc", ids))
+            .groupBy(F.year("pickup_time").alias("year"), F.hour("pickup_time").alias("hour"),
+                     day_of_week("pickup_time").alias("day_of_week"))
+            .agg(F.avg(speed_over()).alias("avg_speed_mph"),
+                 F.count(F.lit(1)).alias("trip_count")))
+
+
+def cells_change(cells: DataFrame, before: int, after: int) -> DataFrame:
+    """Mean cell speed in two years and the percent change, from (year, cell) rows.
 
     ``avg_speed_*`` is the unweighted mean of the (hour, weekday) cells (the
     page's figure); ``weighted_speed_*`` weights each cell by its trip count.
-    One scan for both years, then two small re-aggregations.
     """
-    year = F.year("pickup_time")
-    clean = scope(clean, years=[before, after], months=range(3 * quarter - 2, 3 * quarter + 1))
-    cells = (clean.filter((quarter_range("pickup_time", before, quarter)
-                           | quarter_range("pickup_time", after, quarter))
-                          & in_zone("pickup_loc", ids) & in_zone("dropoff_loc", ids))
-             .groupBy(year.alias("year"), F.hour("pickup_time").alias("hour"),
-                      day_of_week("pickup_time").alias("day_of_week"))
-             .agg(F.avg(speed_over()).alias("avg_speed_mph"),
-                  F.count(F.lit(1)).alias("trip_count")))
     weighted_n = F.when(F.col("avg_speed_mph").isNotNull(), F.col("trip_count"))
     per_year = cells.groupBy("year").agg(
         F.avg("avg_speed_mph").alias("mean_speed"),
@@ -57,6 +60,13 @@ def velocity_change(clean: DataFrame, before: int = params.COMPARISON_YEAR,
                         pct_change(f"weighted_speed_{before}", f"weighted_speed_{after}")))
 
 
+def velocity_change(clean: DataFrame, before: int = params.COMPARISON_YEAR,
+                    after: int = params.ANALYSIS_YEAR, quarter: int = 1,
+                    ids=params.CONGESTION_ZONE_IDS) -> DataFrame:
+    """Before/after speed change of one quarter: one scan, two small re-aggregations."""
+    return cells_change(velocity_cells(clean, [before, after], quarter, ids), before, after)
+
+
 def border_summary(border: DataFrame) -> DataFrame:
     """Mean border change and the map centre (mean lat, mean lon)."""
     return border.agg(F.avg("pct_change").alias("avg_pct_change"),

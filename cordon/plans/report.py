@@ -12,10 +12,17 @@ def report_rows(sections: dict[str, DataFrame]) -> DataFrame:
     """Long table (section, row, metric, value) of already-aggregated results.
 
     Each section must be a bounded result (a global aggregate or a top-k), so
-    numbering its rows in one partition is harmless. Values are strings.
+    numbering its rows in one partition is harmless. Values are strings. Every
+    metric also gets a header row (row and value null), so a section with no
+    rows still lists its columns.
     """
     parts = []
     for name, df in sections.items():
+        header = (df.sparkSession.range(1)
+                  .select(F.lit(name).alias("section"), F.lit(None).cast("int").alias("row"),
+                          F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("metric"),
+                          F.lit(None).cast("string").alias("value")))
+        parts.append(header)
         cols = df.columns
         numbered = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
                     .withColumn("_ord", F.monotonically_increasing_id())
@@ -28,9 +35,11 @@ def report_rows(sections: dict[str, DataFrame]) -> DataFrame:
 
 def report_json(rows: DataFrame) -> DataFrame:
     """One row per section: {metric: {row: value}} as a JSON string."""
+    entries = F.filter(F.array_sort(F.collect_list(F.struct(F.col("row"), F.col("value")))),
+                       lambda e: e.getField("row").isNotNull())
     per_metric = (rows.groupBy("section", "metric")
-                  .agg(F.map_from_entries(F.array_sort(F.collect_list(
-                      F.struct(F.col("row").cast("string"), F.col("value"))))).alias("by_row")))
+                  .agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(
+                      e.getField("row").cast("string"), e.getField("value")))).alias("by_row")))
     return (per_metric.groupBy("section")
             .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "by_row"))))
                  .alias("json")))

@@ -1,0 +1,75 @@
+"""Column expressions: p-value, durations across DST, time-zone independence."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cordon.functions.stats import t_two_sided_p
+from cordon.functions.timeexpr import day_of_week, duration_seconds, quarter_range, year_range
+from cordon.operators import flag as fl
+from helpers import trips
+
+
+def _t_sf_numeric(t, df):
+    """Two-sided tail by integrating the Student-t density (Simpson)."""
+    x = np.linspace(0.0, abs(t), 200001)
+    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    pdf = c * (1 + x * x / df) ** (-(df + 1) / 2)
+    h = x[1] - x[0]
+    area = h / 3 * (pdf[0] + pdf[-1] + 4 * pdf[1:-1:2].sum() + 2 * pdf[2:-1:2].sum())
+    return 1.0 - 2.0 * area
+
+
+@pytest.mark.parametrize("df", [1, 2, 3, 4, 5, 10, 29, 333, 363])
+@pytest.mark.parametrize("t", [0.0, 0.5, 1.7, 2.76, 4.0])
+def test_t_p_value_matches_integration(spark, t, df):
+    got = spark.range(1).select(t_two_sided_p(F.lit(t), F.lit(df)).alias("p")).collect()[0].p
+    assert math.isclose(got, _t_sf_numeric(t, df), rel_tol=1e-7, abs_tol=1e-10)
+
+
+def test_p_value_null_for_bad_df(spark):
+    got = spark.range(1).select(t_two_sided_p(F.lit(1.0), F.lit(0)).alias("p")).collect()[0].p
+    assert got is None
+
+
+@pytest.mark.parametrize("zone_name", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_duration_and_parts_ignore_session_zone(spark, zone_name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone_name)
+    try:
+        t = trips(spark, [dict(pickup_time="2025-03-09 01:30:00", dropoff_time="2025-03-09 03:30:00"),
+                          dict(pickup_time="2025-01-05 00:00:00", dropoff_time="2025-01-05 00:00:00.5"),
+                          dict(pickup_time="2024-12-31 23:59:59", dropoff_time="2025-01-01 00:00:01")])
+        rows = t.select(duration_seconds().alias("s"), F.hour("pickup_time").alias("h"),
+                        day_of_week("pickup_time").alias("dow"),
+                        year_range("pickup_time", 2025).alias("in25"),
+                        quarter_range("pickup_time", 2025, 1).alias("q1")).collect()
+        assert [r.s for r in rows] == [7200.0, 0.5, 2.0]
+        assert [r.h for r in rows] == [1, 0, 23]
+        assert [r.dow for r in rows] == [0, 0, 2]  # Sun, Sun, Tue
+        assert [r.in25 for r in rows] == [True, True, False]
+        assert [r.q1 for r in rows] == [True, True, False]
+        # 1 mile in 0.5 s and in 2 s are implausible; the 2-hour ride is clean
+        assert [r.ghost_type for r in fl.flag(t).collect()] == [None, "impossible_physics",
+                                                               "impossible_physics"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_range_filters_reach_parquet_scan(spark):
+    import __spark_entry__ as E
+    from conftest import SF01
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        df = E.queries()["surcharge_revenue"](spark, SF01)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "(pickup_year#" in plan and "= 2025)" in plan
+    assert "ReadSchema: struct<pickup_time:timestamp_ntz,congestion_surcharge:double,ghost_type:string>" in plan
+    assert "IsNull(ghost_type)" in plan
+    assert "GreaterThanOrEqual(pickup_time,2025-01-01T00:00)" in plan
+    assert "LessThan(pickup_time,2026-01-01T00:00)" in plan
+    assert "GreaterThan(congestion_surcharge,0.0)" in plan
