@@ -1,0 +1,24 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension side is broadcast only when it has at most this many rows.
+BROADCAST_MAX_ROWS = 100_000
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when `df` has at most `max_rows` rows.
+
+    Counts at most max_rows + 1 rows (the limit stops the scan early), so the
+    check costs little even when the side turns out to be large.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast for a proven-small side; otherwise leave the join to
+    the planner (sort-merge or shuffled hash, with AQE skew handling)."""
+    return F.broadcast(df) if is_small(df, max_rows) else df

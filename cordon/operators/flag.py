@@ -71,14 +71,14 @@ def ghost_summary(flagged: DataFrame) -> DataFrame:
 def suspicious_vendors(flagged: DataFrame, top_n: int = params.SUSPICIOUS_TOP_N) -> DataFrame:
     """Top vendors by ghost-trip count, with their share of all ghost trips.
 
-    The share's denominator is a scalar subquery over the same grouped
-    aggregate (Spark reuses the exchange), so no single-partition window and
-    no join is needed; ties on the count break by vendor id.
+    The share's denominator is a scalar subquery (a global count with
+    map-side partial counts), so no single-partition window over the groups
+    and no join is needed; ties on the count break by vendor id.
     """
     per_vendor = (ghosts(flagged).groupBy("vendor_id")
                   .agg(F.count(F.lit(1)).alias("ghost_trip_count"),
                        F.sum("fare").alias("total_suspicious_fare")))
-    total = per_vendor.agg(F.sum("ghost_trip_count")).scalar()
+    total = ghosts(flagged).agg(F.count(F.lit(1))).scalar()
     return (per_vendor
             .orderBy(F.desc("ghost_trip_count"), F.asc_nulls_last("vendor_id"))
             .limit(top_n)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cordon import params
+from cordon.functions.joins import maybe_broadcast
 from cordon.functions.mathexpr import pct_change, tip_pct
 from cordon.functions.scope import scope
 from cordon.functions.timeexpr import day_of_week, duration_seconds, quarter_range, year_range, years_range
@@ -94,11 +95,12 @@ def with_coordinates(border: DataFrame, coords: DataFrame,
                      default=params.DEFAULT_COORD) -> DataFrame:
     """Add lat/lon by zone id, falling back to the default point.
 
-    `coords` is a fixed list of a few zones; it is broadcast.
+    `coords` is normally a fixed list of a few zones; it is broadcast only
+    after a bounded size check.
     """
     c = coords.select(F.col("zone_id").alias("_zid"), F.col("lat").alias("_lat"),
                       F.col("lon").alias("_lon"))
-    joined = border.join(F.broadcast(c), border["dropoff_loc"] == c["_zid"], "left")
+    joined = border.join(maybe_broadcast(c), border["dropoff_loc"] == c["_zid"], "left")
     return (joined
             .withColumn("lat", F.coalesce(F.col("_lat"), F.lit(default[0])))
             .withColumn("lon", F.coalesce(F.col("_lon"), F.lit(default[1])))
@@ -108,10 +110,11 @@ def with_coordinates(border: DataFrame, coords: DataFrame,
 def with_zone_names(border: DataFrame, lookup: DataFrame) -> DataFrame:
     """Left join to the zone lookup: keeps LocationID and Zone as zone_name.
 
-    The lookup is one row per taxi zone (a few hundred), so it is broadcast.
+    The lookup is one row per taxi zone (a few hundred), so it is broadcast
+    once a bounded count has confirmed that.
     """
     names = lookup.select(F.col("LocationID"), F.col("Zone").alias("zone_name"))
-    return border.join(F.broadcast(names), border["dropoff_loc"] == names["LocationID"], "left")
+    return border.join(maybe_broadcast(names), border["dropoff_loc"] == names["LocationID"], "left")
 
 
 def border_markers(border: DataFrame) -> DataFrame:

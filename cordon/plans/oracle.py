@@ -379,3 +379,9 @@ FROM parsed_links GROUP BY year, taxi_type""",
     "needs_imputation": BASE + _GRID + """
 SELECT COUNT(*) FILTER (WHERE month = 12) > 0 AS needs_imputation FROM missing""",
 }
+
+# The fused variants answer the same questions as the direct operators.
+for _name in ["surcharge_compliance", "missing_surcharge_locations", "quarterly_volumes",
+              "zone_direction_summary", "surcharge_revenue", "hourly_speeds_q1_2025",
+              "daily_trips", "monthly_tips", "border_effect"]:
+    ORACLE[f"{_name}_fused"] = ORACLE[_name]

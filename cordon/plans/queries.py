@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cordon import params
 from cordon.operators import flag as fl
 from cordon.operators import impute, profile, summary, weather as wx, zone
-from cordon.plans import store
+from cordon.plans import fused, store
 from cordon.plans.report import report_rows
 from cordon.sources import adapter, catalog, zones
 
@@ -83,6 +83,12 @@ def missing_months(spark, sf):
     return catalog.missing_from_expected(expected, _trip_links(spark, sf))
 
 
+def _base(spark, sf):
+    if _materialise():
+        return store.base_table(spark, sf)
+    return fused.base_aggregate(fl.clean(fl.flag(adapter.trips(spark, sf))))
+
+
 def report(spark, sf):
     flagged = _flagged(spark, sf)
     clean = fl.clean(flagged)
@@ -142,4 +148,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "needs_imputation": lambda s, sf: catalog.needs_imputation(missing_months(s, sf)),
     # report
     "report_rows": report,
+    # the same profiles folded from the fused base aggregate (one clean-trip scan)
+    "surcharge_compliance_fused": lambda s, sf: fused.surcharge_compliance(_base(s, sf)),
+    "missing_surcharge_locations_fused": lambda s, sf: fused.missing_surcharge_locations(_base(s, sf)),
+    "quarterly_volumes_fused": lambda s, sf: fused.quarterly_volumes(_base(s, sf)),
+    "zone_direction_summary_fused": lambda s, sf: fused.zone_direction_summary(_base(s, sf)),
+    "surcharge_revenue_fused": lambda s, sf: fused.surcharge_revenue(_base(s, sf)),
+    "hourly_speeds_q1_2025_fused": lambda s, sf: fused.hourly_speeds(_base(s, sf), 2025, 1),
+    "daily_trips_fused": lambda s, sf: fused.daily_trips(_base(s, sf)),
+    "monthly_tips_fused": lambda s, sf: fused.monthly_tips(_base(s, sf)),
+    "border_effect_fused": lambda s, sf: profile.border_markers(profile.with_zone_names(
+        profile.with_coordinates(fused.border_effect(_base(s, sf)), zones.coordinates(s)),
+        zones.roster_lookup(s))),
 }

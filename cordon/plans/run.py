@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cordon import params
 from cordon.operators import flag as fl
 from cordon.operators import impute, profile, weather as wx, zone
+from cordon.plans import fused as fz
 from cordon.plans.report import report_json, report_rows
 from cordon.plans.store import unflagged, write_flagged
 from cordon.sources import catalog, trips, zones
@@ -28,8 +29,12 @@ def write_small(df: DataFrame, path: str) -> str:
 
 def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | None = None,
         weather: DataFrame | None = None, year: int = params.ANALYSIS_YEAR,
-        comparison: int = params.COMPARISON_YEAR) -> dict[str, str]:
-    """Run every step; returns output name -> path."""
+        comparison: int = params.COMPARISON_YEAR, fused: bool = True) -> dict[str, str]:
+    """Run every step; returns output name -> path.
+
+    With ``fused`` the calendar/zone profiles fold one materialised base
+    aggregate of clean trips instead of scanning the clean trips each.
+    """
     out = out_dir.rstrip("/")
     paths: dict[str, str] = {}
 
@@ -46,24 +51,50 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
 
     lookup = (zones.read_lookup(spark, lookup_path) if lookup_path
               else zones.roster_lookup(spark))
+    if fused:
+        paths["base"] = f"{out}/base"
+        fz.base_aggregate(clean).write.mode("overwrite").parquet(paths["base"])
+        base = spark.read.parquet(paths["base"])
+        ops = dict(
+            compliance=fz.surcharge_compliance(base),
+            missing=fz.missing_surcharge_locations(base),
+            quarterly=fz.quarterly_volumes(base),
+            direction=fz.zone_direction_summary(base),
+            revenue=fz.surcharge_revenue(base, year),
+            speeds_before=fz.hourly_speeds(base, comparison, 1),
+            speeds_after=fz.hourly_speeds(base, year, 1),
+            daily=fz.daily_trips(base, year),
+            monthly=fz.monthly_tips(base, year),
+            border=fz.border_effect(base, comparison, year))
+    else:
+        ops = dict(
+            compliance=zone.surcharge_compliance(clean),
+            missing=zone.missing_surcharge_locations(clean),
+            quarterly=zone.quarterly_volumes(clean),
+            direction=zone.zone_direction_summary(clean),
+            revenue=zone.surcharge_revenue(clean, year),
+            speeds_before=profile.hourly_speeds(clean, comparison, 1),
+            speeds_after=profile.hourly_speeds(clean, year, 1),
+            daily=profile.daily_trips(clean, year),
+            monthly=profile.monthly_tips(clean, year),
+            border=profile.border_effect(clean, comparison, year))
     border = profile.border_markers(profile.with_zone_names(
-        profile.with_coordinates(profile.border_effect(clean, comparison, year),
-                                 zones.coordinates(spark)), lookup))
-    daily = profile.daily_trips(clean, year)
+        profile.with_coordinates(ops["border"], zones.coordinates(spark)), lookup))
+    daily = ops["daily"]
 
     small = {
         "trip_counts": fl.trip_counts(flagged),
         "ghost_summary": fl.ghost_summary(flagged),
         "suspicious_vendors": fl.suspicious_vendors(flagged),
-        "compliance": zone.surcharge_compliance(clean),
-        "missing_surcharge_locations": zone.missing_surcharge_locations(clean),
-        "quarterly_comparison": zone.quarterly_volumes(clean),
-        "zone_direction_summary": zone.zone_direction_summary(clean),
-        "surcharge_revenue": zone.surcharge_revenue(clean, year),
-        f"velocity_q1_{comparison}": profile.hourly_speeds(clean, comparison, 1),
-        f"velocity_q1_{year}": profile.hourly_speeds(clean, year, 1),
+        "compliance": ops["compliance"],
+        "missing_surcharge_locations": ops["missing"],
+        "quarterly_comparison": ops["quarterly"],
+        "zone_direction_summary": ops["direction"],
+        "surcharge_revenue": ops["revenue"],
+        f"velocity_q1_{comparison}": ops["speeds_before"],
+        f"velocity_q1_{year}": ops["speeds_after"],
         f"daily_trips_{year}": daily,
-        "tips_surcharge": profile.monthly_tips(clean, year),
+        "tips_surcharge": ops["monthly"],
         "border_effect": border,
         f"december_{year}_imputed": impute.impute_month(
             unflagged(flagged), 12, (comparison - 1, comparison)),

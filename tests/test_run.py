@@ -54,9 +54,10 @@ def _same(a, b):
     return ok or msg
 
 
-def test_full_run_matches_registered_queries(spark, raw_dir, tmp_path):
+@pytest.mark.parametrize("fused", [True, False])
+def test_full_run_matches_registered_queries(spark, raw_dir, tmp_path, fused):
     weather = adapter.weather(spark, SF001)
-    paths = run(spark, raw_dir, str(tmp_path / "out"), weather=weather)
+    paths = run(spark, raw_dir, str(tmp_path / "out"), weather=weather, fused=fused)
     flagged = spark.read.parquet(paths["flagged"])
     assert flagged.count() == 6000
     assert spark.read.parquet(paths["ghost_audit"]).count() == \
