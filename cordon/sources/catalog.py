@@ -132,3 +132,20 @@ def missing_from_expected(expected: DataFrame, available: DataFrame) -> DataFram
 def needs_imputation(missing: DataFrame, month: int = 12) -> DataFrame:
     """One row: is `month` missing for either taxi type?"""
     return missing.agg((F.count_if(F.col("month") == month) > 0).alias("needs_imputation"))
+
+
+def fetch_plan(online: DataFrame, local: DataFrame, years: Iterable[int],
+               comparison_years: Iterable[int] = ()) -> DataFrame:
+    """Listed trip files of the wanted years that are not present locally.
+
+    The wanted years are the distinct union of analysis and comparison
+    years; a file already present (same type, year, month) is skipped.
+    """
+    wanted = sorted(set(int(y) for y in years) | set(int(y) for y in comparison_years))
+    keys = ["taxi_type", "year", "month"]
+    have = local.filter(F.col("taxi_type").isNotNull()).select(*keys)
+    return (online.filter(F.col("year").isin(wanted))
+            .select(*keys, "url").dropDuplicates(keys)
+            .join(have, keys, "left_anti")
+            .withColumn("file_name", F.format_string(
+                params.TRIP_FILE_FORMAT, F.col("taxi_type"), F.col("year"), F.col("month"))))

@@ -63,3 +63,23 @@ def test_missing_months(spark):
     assert catalog.needs_imputation(gap).collect()[0].needs_imputation
     full = expected.select("year", "taxi_type", "month")
     assert not catalog.needs_imputation(catalog.missing_from_expected(expected, full)).collect()[0][0]
+
+
+def test_fetch_plan_skips_local_and_other_years(spark):
+    online = spark.createDataFrame(
+        [("yellow", 2025, 1, "u1"), ("yellow", 2025, 1, "u1b"), ("green", 2025, 2, "u2"),
+         ("yellow", 2024, 12, "u3"), ("yellow", 2023, 5, "u4")],
+        "taxi_type string, year int, month int, url string")
+    local = spark.createDataFrame([("green", 2025, 2), (None, None, None)],
+                                  "taxi_type string, year int, month int")
+    plan = catalog.fetch_plan(online, local, [2025], [2024])
+    got = sorted((r.taxi_type, r.year, r.month, r.file_name) for r in plan.collect())
+    assert got == [("yellow", 2024, 12, "yellow_tripdata_2024-12.parquet"),
+                   ("yellow", 2025, 1, "yellow_tripdata_2025-01.parquet")]
+
+
+def test_labels(spark):
+    from cordon.operators.summary import day_label, month_label
+    df = spark.createDataFrame([(1, 0), (12, 6)], "month int, day_of_week int")
+    rows = df.select(month_label("month").alias("m"), day_label("day_of_week").alias("d")).collect()
+    assert [(r.m, r.d) for r in rows] == [("Jan", "Sun"), ("Dec", "Sat")]

@@ -114,3 +114,16 @@ def test_invariants_on_published_monthly(spark, reference_data):
     assert sum(r.trip_count for r in tips) == sum(r.trip_count for r in daily) == 43757378  # I1
     for r in tips:  # I2
         assert math.isclose(r.avg_surcharge * r.trip_count, r.total_surcharge, rel_tol=1e-9)
+
+
+def test_published_readers(spark, reference_data):
+    from cordon.sources import published
+    p = os.path.join(reference_data, "processed")
+    assert published.read(spark, "velocity", os.path.join(p, "velocity_q1_2024.csv")).count() == 168
+    daily = published.read(spark, "daily_trips", os.path.join(p, "daily_trips_2025.csv"))
+    assert daily.schema["date"].dataType.typeName() == "date" and daily.count() == 335
+    imp = published.read(spark, "december_imputed", os.path.join(p, "december_2025_imputed.csv"))
+    assert imp.count() == 168
+    wt = published.read(spark, "weather_trips", os.path.join(p, "weather_trips.csv"))
+    month = wx.month_weather_trips(wt.select("date", "precipitation_mm", "rain_mm"), daily, 5)
+    assert month.count() == 31
