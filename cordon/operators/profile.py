@@ -91,20 +91,19 @@ def border_effect(clean: DataFrame, before: int = params.COMPARISON_YEAR,
             .orderBy(F.desc("pct_change"), F.asc("dropoff_loc")))
 
 
-def with_coordinates(border: DataFrame, coords: DataFrame,
-                     default=params.DEFAULT_COORD) -> DataFrame:
-    """Add lat/lon by zone id, falling back to the default point.
+def with_coordinates(border: DataFrame, coords: dict = params.BORDER_COORDS,
+                     default=params.DEFAULT_COORD, key: str = "dropoff_loc") -> DataFrame:
+    """Add lat/lon by zone id from a fixed id -> (lat, lon) map, else the default.
 
-    `coords` is normally a fixed list of a few zones; it is broadcast only
-    after a bounded size check.
+    The map is a literal of a few entries, so this is an expression lookup:
+    no join and no broadcast.
     """
-    c = coords.select(F.col("zone_id").alias("_zid"), F.col("lat").alias("_lat"),
-                      F.col("lon").alias("_lon"))
-    joined = border.join(maybe_broadcast(c), border["dropoff_loc"] == c["_zid"], "left")
-    return (joined
-            .withColumn("lat", F.coalesce(F.col("_lat"), F.lit(default[0])))
-            .withColumn("lon", F.coalesce(F.col("_lon"), F.lit(default[1])))
-            .drop("_zid", "_lat", "_lon"))
+    def lookup(i):
+        m = F.create_map(*[x for zid, ll in sorted(coords.items())
+                           for x in (F.lit(int(zid)), F.lit(float(ll[i])))])
+        return F.coalesce(F.try_element_at(m, F.col(key)), F.lit(float(default[i])))
+
+    return border.withColumns({"lat": lookup(0), "lon": lookup(1)})
 
 
 def with_zone_names(border: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
             monthly=profile.monthly_tips(clean, year),
             border=profile.border_effect(clean, comparison, year))
     border = profile.border_markers(profile.with_zone_names(
-        profile.with_coordinates(ops["border"], zones.coordinates(spark)), lookup))
+        profile.with_coordinates(ops["border"]), lookup))
     daily = ops["daily"]
 
     small = {

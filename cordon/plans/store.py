@@ -32,6 +32,12 @@ STORE_VERSION = "flagged-v2"
 FLAG_COLUMNS = ["trip_duration_min", "avg_speed_mph", "ghost_type"]
 
 
+def store_root(spark: SparkSession) -> str:
+    """Folder of materialised tables: ``cordon.store.dir`` if set, else the
+    shared checkpoint folder."""
+    return (spark.conf.get("cordon.store.dir", None) or checkpoint_dir(spark)).rstrip("/")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("text").load(f"{path}/_SUCCESS")
@@ -83,12 +89,12 @@ def write_flagged(flagged: DataFrame, path: str) -> None:
 def flagged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged trips derived from ``lineitem`` at `sf_dir`, materialised once."""
     source = f"{sf_dir.rstrip('/')}/lineitem.parquet"
-    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), source)
+    key = (spark.sparkContext.applicationId, store_root(spark), source)
     fp = _fingerprint(spark, source)
     opened = _OPENED.get(key)
     if opened is not None and opened[0] == fp:
         return opened[1]
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cordon-flagged-{fp}"
+    path = f"{store_root(spark)}/cordon-flagged-{fp}"
     if not _exists(spark, path):
         write_flagged(flag(adapter.trips(spark, sf_dir)), path)
     df = spark.read.parquet(path)
@@ -108,12 +114,12 @@ def base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     flagged = flagged_table(spark, sf_dir)
     source = f"{sf_dir.rstrip('/')}/lineitem.parquet"
-    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), source, "base")
+    key = (spark.sparkContext.applicationId, store_root(spark), source, "base")
     fp = _fingerprint(spark, source)
     opened = _OPENED.get(key)
     if opened is not None and opened[0] == fp:
         return opened[1]
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cordon-base-{fp}"
+    path = f"{store_root(spark)}/cordon-base-{fp}"
     if not _exists(spark, path):
         base_aggregate(clean(flagged)).write.mode("overwrite").parquet(path)
     df = spark.read.parquet(path)
