@@ -41,6 +41,8 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
     # Step 1: what files are there (names that parse, sizes; unmatched reported).
     paths["catalog"] = f"{out}/catalog"
     catalog.local_catalog(spark, trips_dir).write.mode("overwrite").parquet(paths["catalog"])
+    paths["file_check"] = f"{out}/file_check"
+    trips.validate_files(spark, trips_dir).write.mode("overwrite").parquet(paths["file_check"])
 
     # Steps 2-3: unify and flag, materialised once; lineage ends here.
     paths["flagged"] = f"{out}/flagged"

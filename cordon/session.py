@@ -27,6 +27,29 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "cor
     return spark
 
 
+def cluster_conf(executors: int = 1000, cores_per_executor: int = 4) -> dict[str, str]:
+    """Settings for a large cluster reading ~100 TB of trips.
+
+    Shuffle partitions start at ~3 per core and AQE coalesces them to about
+    256 MB each; skewed partitions of a join are split; input splits are
+    256 MB so a monthly file of a few GB spreads over many tasks.
+    """
+    cores = executors * cores_per_executor
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(3 * cores),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.task.maxFailures": "8",
+        "spark.ui.enabled": "false",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 

@@ -42,3 +42,23 @@ def daily_counts(flagged: DataFrame, watermark: str = "3 days") -> DataFrame:
                  F.avg("congestion_surcharge").alias("avg_surcharge"))
             .select(epoch_date(F.col("day.start")).alias("date"), "trip_count",
                     "total_revenue", "avg_surcharge"))
+
+
+def start_daily_counts(spark: SparkSession, directory: str, out_path: str,
+                       checkpoint: str | None = None, watermark: str = "3 days",
+                       available_now: bool = True):
+    """Append finished days to Parquet at `out_path`; returns the running query.
+
+    Append mode emits a day once the watermark passes it, so each day is
+    written once. The checkpoint defaults to a folder under the cluster's
+    shared ``spark.checkpoint.dir``, so a restarted driver resumes exactly.
+    """
+    from cordon.session import checkpoint_dir
+
+    if checkpoint is None:
+        checkpoint = f"{checkpoint_dir(spark).rstrip('/')}/cordon-stream-daily"
+    writer = (daily_counts(flagged_stream(spark, directory), watermark)
+              .writeStream.format("parquet").outputMode("append")
+              .option("path", out_path).option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()

@@ -4,7 +4,6 @@ import json
 import math
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from cordon.functions.mathexpr import pct_change
