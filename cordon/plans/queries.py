@@ -7,6 +7,7 @@ library operator applied to whole tables.
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable
 
@@ -21,21 +22,33 @@ from cordon.plans.report import report_rows
 from cordon.sources import adapter, catalog, zones
 
 
+_LOG = logging.getLogger(__name__)
+
+
 def _materialise() -> bool:
     return os.environ.get("CORDON_MATERIALISE", "1") != "0"
 
 
+def _stored(spark, sf, opener):
+    """A materialised table, or None when it cannot be written (lazy plan then)."""
+    if not _materialise():
+        return None
+    try:
+        return opener(spark, sf)
+    except Exception as exc:  # e.g. a read-only checkpoint folder
+        _LOG.warning("materialised table unavailable, deriving lazily: %s", exc)
+        return None
+
+
 def _flagged(spark, sf):
     """Flagged trips: the materialised table, or the lazy derivation."""
-    if _materialise():
-        return store.flagged_table(spark, sf)
-    return fl.flag(adapter.trips(spark, sf))
+    table = _stored(spark, sf, store.flagged_table)
+    return table if table is not None else fl.flag(adapter.trips(spark, sf))
 
 
 def _unified(spark, sf):
-    if _materialise():
-        return store.unflagged(store.flagged_table(spark, sf))
-    return adapter.trips(spark, sf)
+    table = _stored(spark, sf, store.flagged_table)
+    return store.unflagged(table) if table is not None else adapter.trips(spark, sf)
 
 
 def ghost_flags(spark, sf):
@@ -84,9 +97,8 @@ def missing_months(spark, sf):
 
 
 def _base(spark, sf):
-    if _materialise():
-        return store.base_table(spark, sf)
-    return fused.base_aggregate(fl.clean(fl.flag(adapter.trips(spark, sf))))
+    table = _stored(spark, sf, store.base_table)
+    return table if table is not None else fused.base_aggregate(fl.clean(_flagged(spark, sf)))
 
 
 def report(spark, sf):

@@ -12,7 +12,9 @@ sees a half-written table.
 from __future__ import annotations
 
 import hashlib
+import logging
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,9 @@ def _fingerprint(spark: SparkSession, source: str) -> str:
 
 # (session, source) -> (fingerprint, DataFrame): the file index is built once.
 _OPENED: dict = {}
+# One writer per process: concurrent queries wait for the first materialisation.
+_LOCK = threading.RLock()
+_LOG = logging.getLogger(__name__)
 
 
 def with_partitions(flagged: DataFrame) -> DataFrame:
@@ -86,20 +91,32 @@ def write_flagged(flagged: DataFrame, path: str) -> None:
      .partitionBy(*PARTITION_COLUMNS).parquet(path))
 
 
+def _materialised(spark: SparkSession, sf_dir: str, kind: str, build,
+                  partition_by=()) -> DataFrame:
+    """Open (writing first if needed) the `kind` table derived from `sf_dir`."""
+    source = f"{sf_dir.rstrip('/')}/lineitem.parquet"
+    key = (spark.sparkContext.applicationId, store_root(spark), source, kind)
+    with _LOCK:
+        fp = _fingerprint(spark, source)
+        opened = _OPENED.get(key)
+        if opened is not None and opened[0] == fp:
+            return opened[1]
+        path = f"{store_root(spark)}/cordon-{kind}-{fp}"
+        if not _exists(spark, path):
+            writer = build().write.mode("overwrite")
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(path)
+        df = spark.read.parquet(path)
+        _OPENED[key] = (fp, df)
+        return df
+
+
 def flagged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged trips derived from ``lineitem`` at `sf_dir`, materialised once."""
-    source = f"{sf_dir.rstrip('/')}/lineitem.parquet"
-    key = (spark.sparkContext.applicationId, store_root(spark), source)
-    fp = _fingerprint(spark, source)
-    opened = _OPENED.get(key)
-    if opened is not None and opened[0] == fp:
-        return opened[1]
-    path = f"{store_root(spark)}/cordon-flagged-{fp}"
-    if not _exists(spark, path):
-        write_flagged(flag(adapter.trips(spark, sf_dir)), path)
-    df = spark.read.parquet(path)
-    _OPENED[key] = (fp, df)
-    return df
+    return _materialised(spark, sf_dir, "flagged",
+                         lambda: with_partitions(flag(adapter.trips(spark, sf_dir))),
+                         PARTITION_COLUMNS)
 
 
 def unflagged(flagged: DataFrame) -> DataFrame:
@@ -112,16 +129,5 @@ def base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cordon.operators.flag import clean
     from cordon.plans.fused import base_aggregate
 
-    flagged = flagged_table(spark, sf_dir)
-    source = f"{sf_dir.rstrip('/')}/lineitem.parquet"
-    key = (spark.sparkContext.applicationId, store_root(spark), source, "base")
-    fp = _fingerprint(spark, source)
-    opened = _OPENED.get(key)
-    if opened is not None and opened[0] == fp:
-        return opened[1]
-    path = f"{store_root(spark)}/cordon-base-{fp}"
-    if not _exists(spark, path):
-        base_aggregate(clean(flagged)).write.mode("overwrite").parquet(path)
-    df = spark.read.parquet(path)
-    _OPENED[key] = (fp, df)
-    return df
+    return _materialised(spark, sf_dir, "base",
+                         lambda: base_aggregate(clean(flagged_table(spark, sf_dir))))

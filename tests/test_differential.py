@@ -56,3 +56,16 @@ def test_lazy_and_materialised_paths_agree(spark, monkeypatch):
         monkeypatch.delenv("CORDON_MATERIALISE")
         ok, msg = diffcheck.compare(rows_a, a.columns, rows_b, b.columns)
         assert ok, (name, msg)
+
+
+def test_unwritable_store_falls_back_to_lazy_plan(spark):
+    import diffcheck
+    spark.conf.set("cordon.store.dir", "/proc/cordon-cannot-write-here")
+    try:
+        a = E.queries()["surcharge_compliance"](spark, SF01)
+        rows_a = [tuple(r) for r in a.collect()]
+    finally:
+        spark.conf.unset("cordon.store.dir")
+    b = E.queries()["surcharge_compliance"](spark, SF01)
+    ok, msg = diffcheck.compare(rows_a, a.columns, [tuple(r) for r in b.collect()], b.columns)
+    assert ok, msg
