@@ -116,7 +116,7 @@ border_pivot AS (
   FROM border_counts GROUP BY dropoff_loc
 ),
 border_coords AS (
-  SELECT * FROM (VALUES {", ".join(f"({z}, {lat}, {lon})" for z, (lat, lon) in params.BORDER_COORDS.items())})
+  SELECT * FROM (VALUES {", ".join(f"({z}, CAST({lat} AS DOUBLE), CAST({lon} AS DOUBLE))" for z, (lat, lon) in params.BORDER_COORDS.items())})
     AS t(zone_id, lat, lon)
 ),
 zone_names AS (
@@ -127,7 +127,8 @@ border_effect AS (
   SELECT p.dropoff_loc, p.count_2024, p.count_2025,
          CASE WHEN p.count_2024 > 0 THEN CAST(p.count_2025 - p.count_2024 AS DOUBLE) * 100.0 / p.count_2024
               ELSE 0 END AS pct_change,
-         COALESCE(c.lat, {params.DEFAULT_COORD[0]}) AS lat, COALESCE(c.lon, {params.DEFAULT_COORD[1]}) AS lon,
+         COALESCE(c.lat, CAST({params.DEFAULT_COORD[0]} AS DOUBLE)) AS lat,
+         COALESCE(c.lon, CAST({params.DEFAULT_COORD[1]} AS DOUBLE)) AS lon,
          CAST(n.LocationID AS INTEGER) AS LocationID, n.zone_name
   FROM border_pivot p
   LEFT JOIN border_coords c ON p.dropoff_loc = c.zone_id

@@ -12,6 +12,11 @@ from conftest import SF01  # noqa: E402
 
 NAMES = sorted(E.queries())
 
+# Spark simple type -> DuckDB result type
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+         "array<int>": "INTEGER[]"}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -36,6 +41,11 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(E.oracle_sql()[name])
     ok, msg = diffcheck.compare(rows, df.columns, res.fetchall(), [d[0] for d in res.description])
     assert ok, msg
+    rel = duck.sql(E.oracle_sql()[name])
+    oracle_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in df.schema:
+        spark_type = f.dataType.simpleString()
+        assert TYPES.get(spark_type, spark_type) == oracle_types[f.name], (f.name, spark_type)
 
 
 def test_entry_smoke(spark):
