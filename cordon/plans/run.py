@@ -122,3 +122,29 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
     paths["report"] = f"{out}/report/sections"
     report_json(rows).coalesce(1).write.mode("overwrite").json(paths["report"])
     return paths
+
+
+def main(argv=None) -> None:
+    """python -m cordon.plans.run TRIPS_DIR OUT_DIR [--lookup CSV] [--weather JSON]"""
+    import argparse
+    import json
+
+    from cordon.sources import weather as wsrc
+
+    ap = argparse.ArgumentParser(description="Trip audit over raw monthly files")
+    ap.add_argument("trips_dir")
+    ap.add_argument("out_dir")
+    ap.add_argument("--lookup", default=None, help="zone lookup CSV")
+    ap.add_argument("--weather", default=None, help="archive weather JSON document(s)")
+    ap.add_argument("--year", type=int, default=params.ANALYSIS_YEAR)
+    ap.add_argument("--direct", action="store_true", help="skip the fused base aggregate")
+    args = ap.parse_args(argv)
+    spark = SparkSession.builder.appName("cordon-run").getOrCreate()
+    weather = wsrc.read_responses(spark, args.weather) if args.weather else None
+    paths = run(spark, args.trips_dir, args.out_dir, lookup_path=args.lookup, weather=weather,
+                year=args.year, comparison=args.year - 1, fused=not args.direct)
+    print(json.dumps(paths, indent=2))
+
+
+if __name__ == "__main__":
+    main()

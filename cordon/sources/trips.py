@@ -130,6 +130,11 @@ def validate_files(spark: SparkSession, directory: str) -> DataFrame:
         T.StructField("id_types", T.StringType()),
     ])
 
+    # Plain data only: the task function must not need this package on executors.
+    expected = {t: [f.name for f in raw_schema(t).fields] for t in TIME_COLUMNS}
+    unknown_type_expected = list(TIME_COLUMNS["yellow"])
+    columns = out.fieldNames()
+
     def check(batches):
         import pandas as pd
         import pyarrow.parquet as pq
@@ -144,18 +149,17 @@ def validate_files(spark: SparkSession, directory: str) -> DataFrame:
                 try:
                     filesystem, inner = pafs.FileSystem.from_uri(path)
                     with filesystem.open_input_file(inner) as fh:
-                        names = pq.read_schema(fh)
-                    cols = set(names.names)
+                        schema = pq.read_schema(fh)
+                    cols = set(schema.names)
                     id_types = ",".join(
-                        f"{c}:{names.field(c).type}" for c in ("VendorID", "PULocationID", "DOLocationID")
+                        f"{c}:{schema.field(c).type}" for c in ("VendorID", "PULocationID", "DOLocationID")
                         if c in cols)
                 except Exception as exc:  # unreadable footer
                     cols, id_types = set(), f"error:{type(exc).__name__}"
-                expected = ([f.name for f in raw_schema(taxi_type).fields] if taxi_type
-                            else list(TIME_COLUMNS["yellow"]))
-                missing = [c for c in expected if c not in cols]
+                want = expected[taxi_type] if taxi_type else unknown_type_expected
+                missing = [c for c in want if c not in cols]
                 rows.append((path, taxi_type, taxi_type is not None and not missing,
                              missing, id_types))
-            yield pd.DataFrame(rows, columns=out.fieldNames())
+            yield pd.DataFrame(rows, columns=columns)
 
     return files.mapInPandas(check, out)
