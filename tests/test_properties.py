@@ -1,0 +1,74 @@
+"""Randomised trips: the classifier and compliance counts against plain Python rules."""
+
+import datetime as dt
+import math
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from cordon import params
+from cordon.operators import flag as fl
+from cordon.operators import zone
+from helpers import trips
+
+ZONES = params.CONGESTION_ZONE_IDS
+BASE = dt.datetime(2025, 1, 4, 22, 0, 0)
+
+trip = st.fixed_dictionaries({
+    "start_s": st.integers(0, 6 * 3600),
+    "dur_s": st.one_of(st.none(), st.integers(-120, 7200), st.sampled_from([0, 59, 60, 61])),
+    "trip_distance": st.one_of(st.none(), st.sampled_from([0.0, 0.5, 1.0, 65.0, float("nan")]),
+                               st.floats(0, 80, allow_nan=False)),
+    "fare": st.one_of(st.none(), st.sampled_from([-5.0, 0.0, 20.0, 25.0]), st.floats(-10, 100)),
+    "pickup_loc": st.one_of(st.none(), st.sampled_from([1, 2, ZONES[0], ZONES[5]])),
+    "dropoff_loc": st.one_of(st.none(), st.sampled_from([1, ZONES[1], ZONES[7]])),
+    "congestion_surcharge": st.sampled_from([None, 0.0, -2.5, 2.5, 0.75]),
+})
+
+
+def py_class(t):
+    """The rules, first match wins, three-valued logic by hand."""
+    secs = None if t["dur_s"] is None else float(t["dur_s"])
+    dist, fare = t["trip_distance"], t["fare"]
+    if secs is not None and secs > 0:
+        speed = None if dist is None else dist / (secs / 3600.0)
+    else:
+        speed = 0.0
+    minutes = None if secs is None else secs / 60.0
+    if speed is not None and (math.isnan(speed) or speed > params.MAX_SPEED_MPH):
+        return params.GHOST_IMPOSSIBLE
+    if minutes is not None and fare is not None and minutes < 1 and fare > 20:
+        return params.GHOST_TELEPORTER
+    if dist is not None and fare is not None and dist == 0 and fare > 0:
+        return params.GHOST_STATIONARY
+    return None
+
+
+def to_row(t):
+    pickup = BASE + dt.timedelta(seconds=t["start_s"])
+    return dict(pickup_time=pickup,
+                dropoff_time=None if t["dur_s"] is None else pickup + dt.timedelta(seconds=t["dur_s"]),
+                trip_distance=t["trip_distance"], fare=t["fare"], pickup_loc=t["pickup_loc"],
+                dropoff_loc=t["dropoff_loc"], congestion_surcharge=t["congestion_surcharge"])
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(trip, min_size=1, max_size=120))
+def test_classifier_and_compliance_match_python(spark, batch):
+    df = trips(spark, [to_row(t) for t in batch])
+    got = [r.ghost_type for r in fl.flag(df).collect()]
+    want = [py_class(t) for t in batch]
+    assert got == want
+
+    start = dt.datetime.fromisoformat(params.CONGESTION_START)
+    entries = [t for t, cls in zip(batch, want)
+               if cls is None and BASE + dt.timedelta(seconds=t["start_s"]) >= start
+               and t["pickup_loc"] is not None and t["pickup_loc"] not in ZONES
+               and t["dropoff_loc"] in ZONES]
+    r = zone.surcharge_compliance(fl.clean(fl.flag(df))).collect()[0]
+    s = [t["congestion_surcharge"] for t in entries]
+    assert r.total_zone_entry_trips == len(entries)
+    assert r.trips_with_surcharge == sum(1 for x in s if x is not None and x > 0)
+    assert r.trips_without_surcharge == sum(1 for x in s if x is None or x == 0)
+    assert (r.trips_with_surcharge + r.trips_without_surcharge
+            + r.trips_negative_surcharge == r.total_zone_entry_trips)
