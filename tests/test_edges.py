@@ -185,3 +185,11 @@ def test_ghost_stats_empty_rate_zero(spark):
     empty = fl.flag(trips(spark, [dict(pickup_time="2025-01-01 00:00:00")])).limit(0)
     r = fl.ghost_stats(empty).collect()[0]
     assert (r.total_trips, r.ghost_rate) == (0, 0.0)
+
+
+def test_direction_null_pickup_is_outside(spark):
+    rows = [dict(pickup_time="2025-02-01 10:00:00", dropoff_time="2025-02-01 10:10:00",
+                 pickup_loc=p, dropoff_loc=d)
+            for p, d in [(None, Z_IN), (Z_IN, Z_IN), (Z_OUT, Z_IN), (Z_IN, Z_OUT), (Z_OUT, Z_OUT)]]
+    got = {r.trip_type: r.trip_count for r in zone.zone_direction_summary(trips(spark, rows)).collect()}
+    assert got == {"outside_zone": 2, "within_zone": 1, "entering_zone": 1, "exiting_zone": 1}

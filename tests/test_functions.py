@@ -73,3 +73,24 @@ def test_range_filters_reach_parquet_scan(spark):
     assert "GreaterThanOrEqual(pickup_time,2025-01-01T00:00)" in plan
     assert "LessThan(pickup_time,2026-01-01T00:00)" in plan
     assert "GreaterThan(congestion_surcharge,0.0)" in plan
+
+
+@pytest.mark.parametrize("name", ["daily_trips", "hourly_speeds_q1_2025", "surcharge_compliance",
+                                  "december_imputed", "ghost_summary", "velocity_pivot"])
+def test_queries_same_under_any_session_zone(spark, name, monkeypatch):
+    import diffcheck
+    import __spark_entry__ as E
+    from conftest import SF001
+    monkeypatch.setenv("CORDON_MATERIALISE", "0")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        a = E.queries()[name](spark, SF001)
+        rows_a = [tuple(r) for r in a.collect()]
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        b = E.queries()[name](spark, SF001)
+        rows_b = [tuple(r) for r in b.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    ok, msg = diffcheck.compare(rows_a, a.columns, rows_b, b.columns)
+    assert ok, msg
