@@ -85,8 +85,14 @@ def day_label(col: str = "day_of_week"):
     return F.element_at(F.array(*[F.lit(d) for d in params.DAY_ABBR]), F.col(col) + 1)
 
 
-def tip_change(monthly: DataFrame) -> DataFrame:
-    """Tip % of the first and last month present and the decline between them."""
+def tip_change(monthly: DataFrame, min_trips: int = 0) -> DataFrame:
+    """Tip % of the first and last month present and the decline between them.
+
+    ``min_trips`` ignores months with fewer trips (a few stray pickups dated
+    into a month otherwise absent); the default 0 keeps every month.
+    """
+    if min_trips:
+        monthly = monthly.filter(F.col("trip_count") >= min_trips)
     first = F.min("month")
     last = F.max("month")
     return (monthly.agg(first.alias("first_month"), last.alias("last_month"),

@@ -126,3 +126,9 @@ def test_published_readers(spark, reference_data):
     wt = published.read(spark, "weather_trips", os.path.join(p, "weather_trips.csv"))
     month = wx.month_weather_trips(wt.select("date", "precipitation_mm", "rain_mm"), daily, 5)
     assert month.count() == 31
+
+
+def test_tip_change_min_trips_skips_stray_month(spark, reference_data):
+    tips = _csv(spark, reference_data, "tips_surcharge.csv")
+    t = summary.tip_change(tips, min_trips=1000).collect()[0]
+    assert (t.first_month, t.last_month) == (1, 11)
