@@ -14,7 +14,6 @@ _B = ", ".join(str(z) for z in params.BORDER_ZONE_IDS)
 _HOST = params.TRIP_FILE_HOST
 _DIR = params.TRIP_FILE_DIR
 _HREF = r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"'
-_EPOCH = "EXTRACT(EPOCH FROM (dropoff_time - pickup_time))"
 
 
 def _sq(s: str) -> str:
@@ -22,7 +21,7 @@ def _sq(s: str) -> str:
 
 
 BASE = f"""
-WITH raw_trips AS (
+WITH raw_trips AS NOT MATERIALIZED (
   SELECT
     l_shipdate + INTERVAL '9862' DAY
       + ((l_partkey * 7919 + l_orderkey * 31 + l_linenumber * 104729) % 86400) * INTERVAL '1' SECOND
@@ -42,7 +41,7 @@ WITH raw_trips AS (
     l_suppkey % 7 + 1 AS VendorID
   FROM lineitem
 ),
-unified_trips AS (
+unified_trips AS NOT MATERIALIZED (
   SELECT pickup_datetime AS pickup_time,
          pickup_datetime + dur_s * INTERVAL '1' SECOND AS dropoff_time,
          CAST(PULocationID AS INTEGER) AS pickup_loc, CAST(DOLocationID AS INTEGER) AS dropoff_loc,
@@ -53,80 +52,91 @@ unified_trips AS (
          taxi_type, CAST(VendorID AS INTEGER) AS vendor_id
   FROM raw_trips
 ),
-trip_with_speed AS (
-  SELECT *,
-    {_EPOCH} / 60.0 AS trip_duration_min,
-    CASE WHEN {_EPOCH} > 0 THEN trip_distance / ({_EPOCH} / 3600.0) ELSE 0 END AS avg_speed_mph
+timed AS NOT MATERIALIZED (
+  SELECT *, CAST(date_diff('microsecond', pickup_time, dropoff_time) AS DOUBLE) / 1e6 AS secs
   FROM unified_trips
 ),
-trips_with_ghost_flag AS (
-  SELECT *,
-    CASE WHEN avg_speed_mph > {params.MAX_SPEED_MPH} THEN '{params.GHOST_IMPOSSIBLE}'
-         WHEN trip_duration_min < {params.MIN_TRIP_MINUTES} AND fare > {params.TELEPORTER_FARE} THEN '{params.GHOST_TELEPORTER}'
-         WHEN trip_distance = 0 AND fare > 0 THEN '{params.GHOST_STATIONARY}'
-         ELSE NULL END AS ghost_type
-  FROM trip_with_speed
+speeds AS NOT MATERIALIZED (
+  SELECT *, secs / 60 AS trip_duration_min,
+         CASE WHEN secs > 0 THEN trip_distance / (secs / 3600) ELSE CAST(0 AS DOUBLE) END AS avg_speed_mph
+  FROM timed
 ),
-clean_trips AS (SELECT * FROM trips_with_ghost_flag WHERE ghost_type IS NULL),
-ghost_trips AS (SELECT * FROM trips_with_ghost_flag WHERE ghost_type IS NOT NULL),
-congestion_zones AS (SELECT unnest([{_Z}]) AS zone_id),
-weather AS (
+flagged AS NOT MATERIALIZED (
+  SELECT pickup_time, dropoff_time, pickup_loc, dropoff_loc, trip_distance, fare, total_amount,
+         congestion_surcharge, tip_amount, taxi_type, vendor_id, trip_duration_min, avg_speed_mph,
+         CASE WHEN avg_speed_mph > {params.MAX_SPEED_MPH} THEN '{params.GHOST_IMPOSSIBLE}'
+              WHEN trip_duration_min < {params.MIN_TRIP_MINUTES} AND fare > {params.TELEPORTER_FARE}
+                THEN '{params.GHOST_TELEPORTER}'
+              WHEN trip_distance = 0 AND fare > 0 THEN '{params.GHOST_STATIONARY}'
+         END AS ghost_type
+  FROM speeds
+),
+clean AS NOT MATERIALIZED (SELECT * FROM flagged WHERE ghost_type IS NULL),
+ghosts AS NOT MATERIALIZED (SELECT * FROM flagged WHERE ghost_type IS NOT NULL),
+clean_timed AS NOT MATERIALIZED (
+  SELECT *, CAST(date_diff('microsecond', pickup_time, dropoff_time) AS DOUBLE) / 1e6 AS secs,
+         pickup_loc IN ({_Z}) AS pu_in, dropoff_loc IN ({_Z}) AS do_in
+  FROM clean
+),
+weather AS NOT MATERIALIZED (
   SELECT CAST(o_orderdate + INTERVAL '9862' DAY AS DATE) AS date,
          AVG(o_totalprice) / 10000 AS precipitation_mm,
          MIN(o_totalprice) / 10000 AS rain_mm
   FROM orders WHERE YEAR(o_orderdate + INTERVAL '9862' DAY) = 2025 GROUP BY 1
 ),
-daily AS (
+daily AS NOT MATERIALIZED (
   SELECT CAST(DATE_TRUNC('day', pickup_time) AS DATE) AS date, COUNT(*) AS trip_count,
          SUM(total_amount) AS total_revenue, AVG(congestion_surcharge) AS avg_surcharge
-  FROM clean_trips WHERE YEAR(pickup_time) = 2025 GROUP BY 1
+  FROM clean WHERE YEAR(pickup_time) = 2025 GROUP BY 1
 ),
-hrefs AS (
+hrefs AS NOT MATERIALIZED (
   SELECT unnest(regexp_extract_all(html, {_sq(_HREF)}, 1)) AS href FROM pages
 ),
-cleaned_hrefs AS (
+cleaned_hrefs AS NOT MATERIALIZED (
   SELECT href AS raw_href,
          regexp_replace(regexp_replace(href, '%20', '', 'g'), '^\\s+|\\s+$', '', 'g') AS h
   FROM hrefs
 ),
-trip_links AS (
+trip_links AS NOT MATERIALIZED (
   SELECT DISTINCT CASE WHEN starts_with(h, 'http') THEN h
                        WHEN starts_with(h, '/') THEN '{_HOST}' || h
                        ELSE '{_HOST}{_DIR}' || h END AS url
   FROM cleaned_hrefs
   WHERE raw_href LIKE '%.parquet%' AND (raw_href LIKE '%yellow_tripdata%' OR raw_href LIKE '%green_tripdata%')
 ),
-parsed_links AS (
+parsed_links AS NOT MATERIALIZED (
   SELECT regexp_extract(url, {_sq(params.TRIP_FILE_PATTERN)}, 1) AS taxi_type,
          CAST(regexp_extract(url, {_sq(params.TRIP_FILE_PATTERN)}, 2) AS INTEGER) AS year,
          CAST(regexp_extract(url, {_sq(params.TRIP_FILE_PATTERN)}, 3) AS INTEGER) AS month,
          url
   FROM trip_links WHERE regexp_extract(url, {_sq(params.TRIP_FILE_PATTERN)}, 1) <> ''
 ),
-border_counts AS (
+border_counts AS NOT MATERIALIZED (
   SELECT dropoff_loc, CAST(YEAR(pickup_time) AS INTEGER) AS year, COUNT(*) AS dropoff_count
-  FROM clean_trips
-  WHERE dropoff_loc IN ({_B}) AND YEAR(pickup_time) IN (2024, 2025)
-  GROUP BY dropoff_loc, YEAR(pickup_time)
+  FROM clean
+  WHERE dropoff_loc IN ({_B}) AND YEAR(pickup_time) BETWEEN 2024 AND 2025
+  GROUP BY ALL
 ),
-border_pivot AS (
+border_pivot AS NOT MATERIALIZED (
   SELECT dropoff_loc,
-         MAX(CASE WHEN year = 2024 THEN dropoff_count ELSE 0 END) AS count_2024,
-         MAX(CASE WHEN year = 2025 THEN dropoff_count ELSE 0 END) AS count_2025
-  FROM border_counts GROUP BY dropoff_loc
+         COUNT(*) FILTER (WHERE YEAR(pickup_time) = 2024) AS count_2024,
+         COUNT(*) FILTER (WHERE YEAR(pickup_time) = 2025) AS count_2025
+  FROM clean
+  WHERE dropoff_loc IN ({_B}) AND YEAR(pickup_time) BETWEEN 2024 AND 2025
+  GROUP BY dropoff_loc
 ),
-border_coords AS (
+border_coords AS NOT MATERIALIZED (
   SELECT * FROM (VALUES {", ".join(f"({z}, CAST({lat} AS DOUBLE), CAST({lon} AS DOUBLE))" for z, (lat, lon) in params.BORDER_COORDS.items())})
     AS t(zone_id, lat, lon)
 ),
-zone_names AS (
+zone_names AS NOT MATERIALIZED (
   SELECT * FROM (VALUES {", ".join(f"({z}, {_sq(n)})" for z, n in params.ZONE_NAMES.items())})
     AS t(LocationID, zone_name)
 ),
-border_effect AS (
+border_effect AS NOT MATERIALIZED (
   SELECT p.dropoff_loc, p.count_2024, p.count_2025,
-         CASE WHEN p.count_2024 > 0 THEN CAST(p.count_2025 - p.count_2024 AS DOUBLE) * 100.0 / p.count_2024
-              ELSE 0 END AS pct_change,
+         IF(p.count_2024 > 0, CAST(p.count_2025 - p.count_2024 AS DOUBLE) * 100 / p.count_2024,
+            CAST(0 AS DOUBLE)) AS pct_change,
          COALESCE(c.lat, CAST({params.DEFAULT_COORD[0]} AS DOUBLE)) AS lat,
          COALESCE(c.lon, CAST({params.DEFAULT_COORD[1]} AS DOUBLE)) AS lon,
          CAST(n.LocationID AS INTEGER) AS LocationID, n.zone_name
@@ -138,54 +148,57 @@ border_effect AS (
 
 
 def _speeds(year: int) -> str:
+    """In-cordon (hour, weekday) cells of Q1 of `year`."""
     return f"""
-  SELECT CAST(EXTRACT(HOUR FROM pickup_time) AS INTEGER) AS hour,
-         CAST(EXTRACT(DOW FROM pickup_time) AS INTEGER) AS day_of_week,
-         AVG(CASE WHEN {_EPOCH} > 60 THEN trip_distance / ({_EPOCH} / 3600.0) ELSE NULL END)
-           AS avg_speed_mph,
+  SELECT CAST(hour(pickup_time) AS INTEGER) AS hour,
+         CAST(dayofweek(pickup_time) AS INTEGER) AS day_of_week,
+         AVG(trip_distance / (secs / 3600)) FILTER (WHERE secs > 60) AS avg_speed_mph,
          COUNT(*) AS trip_count
-  FROM clean_trips
-  WHERE YEAR(pickup_time) = {year} AND MONTH(pickup_time) >= 1 AND MONTH(pickup_time) <= 3
-    AND pickup_loc IN ({_Z}) AND dropoff_loc IN ({_Z})
-  GROUP BY 1, 2"""
+  FROM clean_timed
+  WHERE pickup_time >= TIMESTAMP '{year}-01-01' AND pickup_time < TIMESTAMP '{year}-04-01'
+    AND pu_in AND do_in
+  GROUP BY ALL"""
 
 
 def _dec(year: int) -> str:
+    """(hour, weekday) profile of December `year` over all unified trips."""
     return f"""
-  SELECT CAST(EXTRACT(HOUR FROM pickup_time) AS INTEGER) AS hour,
-         CAST(EXTRACT(DOW FROM pickup_time) AS INTEGER) AS dow,
+  SELECT CAST(hour(pickup_time) AS INTEGER) AS hour,
+         CAST(dayofweek(pickup_time) AS INTEGER) AS dow,
          COUNT(*) AS count_{year}, AVG(fare) AS fare_{year}, AVG(total_amount) AS total_{year}
   FROM unified_trips
-  WHERE MONTH(pickup_time) = 12 AND YEAR(pickup_time) = {year}
-  GROUP BY 1, 2"""
+  WHERE pickup_time >= TIMESTAMP '{year}-12-01' AND pickup_time < TIMESTAMP '{year + 1}-01-01'
+  GROUP BY ALL"""
 
 
 _IMPUTED = f"""
-, d23 AS ({_dec(2023)}), d24 AS ({_dec(2024)})
-SELECT COALESCE(d23.hour, d24.hour) AS hour, COALESCE(d23.dow, d24.dow) AS dow,
-       count_2023, fare_2023, total_2023, count_2024, fare_2024, total_2024,
-       COALESCE(CAST(count_2023 AS DOUBLE), 0) * 0.3 + COALESCE(CAST(count_2024 AS DOUBLE), 0) * 0.7 AS imputed_count,
-       COALESCE(fare_2023, 0) * 0.3 + COALESCE(fare_2024, 0) * 0.7 AS imputed_fare,
-       COALESCE(total_2023, 0) * 0.3 + COALESCE(total_2024, 0) * 0.7 AS imputed_total
-FROM d23 FULL OUTER JOIN d24 ON d23.hour = d24.hour AND d23.dow = d24.dow
+, y1 AS ({_dec(2023)}), y2 AS ({_dec(2024)})
+SELECT hour, dow, count_2023, fare_2023, total_2023, count_2024, fare_2024, total_2024,
+       IFNULL(CAST(count_2023 AS DOUBLE), 0) * 0.3 + IFNULL(CAST(count_2024 AS DOUBLE), 0) * 0.7 AS imputed_count,
+       IFNULL(fare_2023, 0) * 0.3 + IFNULL(fare_2024, 0) * 0.7 AS imputed_fare,
+       IFNULL(total_2023, 0) * 0.3 + IFNULL(total_2024, 0) * 0.7 AS imputed_total
+FROM y1 FULL JOIN y2 USING (hour, dow)
 """
 
-_ENTRY = f"""pickup_time >= '{params.CONGESTION_START}'
-  AND pickup_loc NOT IN (SELECT zone_id FROM congestion_zones)
-  AND dropoff_loc IN (SELECT zone_id FROM congestion_zones)"""
-
-_MISSING = "congestion_surcharge = 0 OR congestion_surcharge IS NULL"
+_SINCE = f"pickup_time >= TIMESTAMP '{params.CONGESTION_START}'"
+_ENTRY = f"{_SINCE} AND NOT pu_in AND do_in"
+_NO_CHARGE = "IFNULL(congestion_surcharge, 0) = 0"
 
 _PIVOT_COLS = ",\n       ".join(
-    f'AVG(CASE WHEN hour = {h} THEN avg_speed_mph END) AS "{h}"' for h in range(24))
+    f'AVG(avg_speed_mph) FILTER (WHERE hour = {h}) AS "{h}"' for h in range(24))
 
 _MONTHS = ", ".join(_sq(m) for m in params.MONTH_ABBR)
 
+_MONTHLY = """
+  SELECT CAST(month(pickup_time) AS INTEGER) AS month,
+         AVG(congestion_surcharge) AS avg_surcharge,
+         AVG(IF(fare > 0, tip_amount / fare * 100, 0)) AS avg_tip_pct,
+         SUM(congestion_surcharge) AS total_surcharge, SUM(tip_amount) AS total_tips,
+         COUNT(*) AS trip_count
+  FROM clean WHERE year(pickup_time) = 2025 GROUP BY ALL"""
+
 _TIP_CHANGE = f"""
-, monthly AS (
-  SELECT CAST(MONTH(pickup_time) AS INTEGER) AS month,
-         AVG(CASE WHEN fare > 0 THEN tip_amount / fare * 100 ELSE 0 END) AS avg_tip_pct
-  FROM clean_trips WHERE YEAR(pickup_time) = 2025 GROUP BY 1
+, monthly AS ({_MONTHLY}
 ), ends AS (
   SELECT MIN(month) AS first_month, MAX(month) AS last_month,
          arg_min(avg_tip_pct, month) AS first_tip_pct, arg_max(avg_tip_pct, month) AS last_tip_pct
@@ -197,170 +210,163 @@ SELECT first_month, last_month, first_tip_pct, last_tip_pct,
 FROM ends
 """
 
-_VELOCITY_CHANGE = f"""
+_VELOCITY_CHANGE = """
 , cells AS (
-  SELECT CAST(YEAR(pickup_time) AS INTEGER) AS year,
-         EXTRACT(HOUR FROM pickup_time) AS hour, EXTRACT(DOW FROM pickup_time) AS day_of_week,
-         AVG(CASE WHEN {_EPOCH} > 60 THEN trip_distance / ({_EPOCH} / 3600.0) ELSE NULL END) AS avg_speed_mph,
+  SELECT CAST(year(pickup_time) AS INTEGER) AS year, hour(pickup_time) AS hour,
+         dayofweek(pickup_time) AS day_of_week,
+         AVG(trip_distance / (secs / 3600)) FILTER (WHERE secs > 60) AS avg_speed_mph,
          COUNT(*) AS trip_count
-  FROM clean_trips
-  WHERE YEAR(pickup_time) IN (2024, 2025) AND MONTH(pickup_time) BETWEEN 1 AND 3
-    AND pickup_loc IN ({_Z}) AND dropoff_loc IN ({_Z})
-  GROUP BY 1, 2, 3
+  FROM clean_timed
+  WHERE ((pickup_time >= TIMESTAMP '2024-01-01' AND pickup_time < TIMESTAMP '2024-04-01')
+      OR (pickup_time >= TIMESTAMP '2025-01-01' AND pickup_time < TIMESTAMP '2025-04-01'))
+    AND pu_in AND do_in
+  GROUP BY ALL
 ), per_year AS (
   SELECT year, AVG(avg_speed_mph) AS mean_speed,
-         SUM(avg_speed_mph * trip_count) / SUM(CASE WHEN avg_speed_mph IS NOT NULL THEN trip_count END) AS wmean
+         SUM(avg_speed_mph * trip_count) / SUM(trip_count) FILTER (WHERE avg_speed_mph IS NOT NULL) AS wmean
   FROM cells GROUP BY year
 ), wide AS (
-  SELECT MAX(CASE WHEN year = 2024 THEN mean_speed END) AS avg_speed_2024,
-         MAX(CASE WHEN year = 2025 THEN mean_speed END) AS avg_speed_2025,
-         MAX(CASE WHEN year = 2024 THEN wmean END) AS weighted_speed_2024,
-         MAX(CASE WHEN year = 2025 THEN wmean END) AS weighted_speed_2025
+  SELECT MAX(mean_speed) FILTER (WHERE year = 2024) AS avg_speed_2024,
+         MAX(mean_speed) FILTER (WHERE year = 2025) AS avg_speed_2025,
+         MAX(wmean) FILTER (WHERE year = 2024) AS weighted_speed_2024,
+         MAX(wmean) FILTER (WHERE year = 2025) AS weighted_speed_2025
   FROM per_year
 )
 SELECT *,
-  CASE WHEN avg_speed_2024 > 0 THEN (avg_speed_2025 - avg_speed_2024) * 100.0 / avg_speed_2024 ELSE 0 END AS speed_change_pct,
-  CASE WHEN weighted_speed_2024 > 0 THEN (weighted_speed_2025 - weighted_speed_2024) * 100.0 / weighted_speed_2024 ELSE 0 END AS weighted_change_pct
+  IF(avg_speed_2024 > 0, (avg_speed_2025 - avg_speed_2024) * 100 / avg_speed_2024, CAST(0 AS DOUBLE)) AS speed_change_pct,
+  IF(weighted_speed_2024 > 0, (weighted_speed_2025 - weighted_speed_2024) * 100 / weighted_speed_2024,
+     CAST(0 AS DOUBLE)) AS weighted_change_pct
 FROM wide
 """
 
-_GRID = f"""
+_GRID = """
 , types AS (SELECT 2025 AS year, unnest(['yellow', 'green']) AS taxi_type),
 grid AS (SELECT year, taxi_type, CAST(unnest(range(1, 13)) AS INTEGER) AS month FROM types),
 missing AS (
   SELECT g.year, g.taxi_type, g.month,
          printf('%s_tripdata_%d-%02d.parquet', g.taxi_type, g.year, g.month) AS file_name
-  FROM grid g
-  WHERE NOT EXISTS (SELECT 1 FROM parsed_links p
-                    WHERE p.year = g.year AND p.taxi_type = g.taxi_type AND p.month = g.month)
+  FROM grid g ANTI JOIN parsed_links p USING (year, taxi_type, month)
 )
 """
 
+_QUARTER = """CASE WHEN pickup_time >= TIMESTAMP '2024-01-01' AND pickup_time < TIMESTAMP '2024-04-01' THEN 'Q1_2024'
+            WHEN pickup_time >= TIMESTAMP '2025-01-01' AND pickup_time < TIMESTAMP '2025-04-01' THEN 'Q1_2025'
+       END"""
+
 ORACLE: dict[str, str] = {
     "unified_trips_by_type": BASE + """
 SELECT taxi_type, COUNT(*) AS trip_count, COUNT(vendor_id) AS vendor_rows,
        MIN(pickup_time) AS first_pickup, MAX(pickup_time) AS last_pickup,
        COUNT(*) FILTER (WHERE tip_amount = 0) AS zero_tip_trips
 FROM unified_trips GROUP BY taxi_type""",
-    "ghost_flags": BASE + "SELECT * FROM trips_with_ghost_flag",
+    "ghost_flags": BASE + "SELECT * FROM flagged",
     "trip_counts": BASE + """
 SELECT COUNT(*) AS total_trips,
-       COUNT(*) FILTER (WHERE ghost_type IS NULL) AS clean_trips,
-       COUNT(*) FILTER (WHERE ghost_type IS NOT NULL) AS ghost_trips
-FROM trips_with_ghost_flag""",
+       COUNT(*) - COUNT(ghost_type) AS clean_trips,
+       COUNT(ghost_type) AS ghost_trips
+FROM flagged""",
     "ghost_summary": BASE + """
 SELECT ghost_type, COUNT(*) AS count, AVG(fare) AS avg_fare, AVG(trip_distance) AS avg_distance
-FROM ghost_trips GROUP BY ghost_type""",
+FROM ghosts GROUP BY ghost_type""",
     "ghost_stats": BASE + """
-, c AS (SELECT COUNT(*) AS total_trips,
-               COUNT(*) FILTER (WHERE ghost_type IS NOT NULL) AS ghost_trips,
-               COUNT(*) FILTER (WHERE ghost_type IS NULL) AS clean_trips
-        FROM trips_with_ghost_flag)
-SELECT total_trips, ghost_trips, clean_trips,
-       COALESCE(CAST(ghost_trips AS DOUBLE) * 100.0 / NULLIF(total_trips, 0), 0) AS ghost_rate
-FROM c""",
+SELECT COUNT(*) AS total_trips, COUNT(ghost_type) AS ghost_trips,
+       COUNT(*) - COUNT(ghost_type) AS clean_trips,
+       IFNULL(CAST(COUNT(ghost_type) AS DOUBLE) * 100 / NULLIF(COUNT(*), 0), 0) AS ghost_rate
+FROM flagged""",
     "suspicious_vendors": BASE + """
-SELECT vendor_id, COUNT(*) AS ghost_trip_count, SUM(fare) AS total_suspicious_fare,
-       CAST(COUNT(*) AS DOUBLE) * 100.0 / SUM(COUNT(*)) OVER () AS pct_of_all_ghost_trips
-FROM ghost_trips GROUP BY vendor_id
-ORDER BY ghost_trip_count DESC, vendor_id ASC NULLS LAST LIMIT 5""",
+, per_vendor AS (
+  SELECT vendor_id, COUNT(*) AS ghost_trip_count, SUM(fare) AS total_suspicious_fare
+  FROM ghosts GROUP BY vendor_id
+)
+SELECT vendor_id, ghost_trip_count, total_suspicious_fare,
+       CAST(ghost_trip_count AS DOUBLE) * 100 / (SELECT COUNT(*) FROM ghosts) AS pct_of_all_ghost_trips
+FROM per_vendor
+ORDER BY ghost_trip_count DESC, vendor_id NULLS LAST LIMIT 5""",
     "surcharge_compliance": BASE + f"""
 SELECT COUNT(*) AS total_zone_entry_trips,
        COUNT(*) FILTER (WHERE congestion_surcharge > 0) AS trips_with_surcharge,
-       COUNT(*) FILTER (WHERE {_MISSING}) AS trips_without_surcharge,
+       COUNT(*) FILTER (WHERE {_NO_CHARGE}) AS trips_without_surcharge,
        COUNT(*) FILTER (WHERE congestion_surcharge < 0) AS trips_negative_surcharge,
-       CAST(COUNT(*) FILTER (WHERE congestion_surcharge > 0) AS DOUBLE) * 100.0 / NULLIF(COUNT(*), 0)
+       CAST(COUNT(*) FILTER (WHERE congestion_surcharge > 0) AS DOUBLE) * 100 / NULLIF(COUNT(*), 0)
          AS compliance_rate
-FROM clean_trips WHERE {_ENTRY}""",
+FROM clean_timed WHERE {_ENTRY}""",
     "missing_surcharge_locations": BASE + f"""
-SELECT pickup_loc, COUNT(*) AS total_entries,
-       COUNT(*) FILTER (WHERE {_MISSING}) AS missing_surcharge,
-       CAST(COUNT(*) FILTER (WHERE {_MISSING}) AS DOUBLE) * 100.0 / NULLIF(COUNT(*), 0) AS missing_rate
-FROM clean_trips WHERE {_ENTRY}
-GROUP BY pickup_loc HAVING COUNT(*) >= {params.MISSING_MIN_ENTRIES}
-ORDER BY missing_rate DESC, pickup_loc ASC NULLS LAST LIMIT {params.MISSING_TOP_N}""",
-    "quarterly_volumes": BASE + """
-SELECT taxi_type,
-       CASE WHEN pickup_time >= '2024-01-01' AND pickup_time < '2024-04-01' THEN 'Q1_2024'
-            WHEN pickup_time >= '2025-01-01' AND pickup_time < '2025-04-01' THEN 'Q1_2025' END AS quarter,
-       COUNT(*) AS trip_count
-FROM clean_trips
-WHERE dropoff_loc IN (SELECT zone_id FROM congestion_zones)
-  AND ((pickup_time >= '2024-01-01' AND pickup_time < '2024-04-01')
-       OR (pickup_time >= '2025-01-01' AND pickup_time < '2025-04-01'))
-GROUP BY taxi_type, quarter ORDER BY taxi_type, quarter""",
+, per_zone AS (
+  SELECT pickup_loc, COUNT(*) AS total_entries,
+         COUNT(*) FILTER (WHERE {_NO_CHARGE}) AS missing_surcharge
+  FROM clean_timed WHERE {_ENTRY} GROUP BY pickup_loc
+)
+SELECT pickup_loc, total_entries, missing_surcharge,
+       CAST(missing_surcharge AS DOUBLE) * 100 / total_entries AS missing_rate
+FROM per_zone WHERE total_entries >= {params.MISSING_MIN_ENTRIES}
+ORDER BY missing_rate DESC, pickup_loc NULLS LAST LIMIT {params.MISSING_TOP_N}""",
+    "quarterly_volumes": BASE + f"""
+SELECT taxi_type, quarter, COUNT(*) AS trip_count
+FROM (SELECT taxi_type, {_QUARTER} AS quarter FROM clean_timed WHERE do_in)
+WHERE quarter IS NOT NULL
+GROUP BY ALL ORDER BY taxi_type, quarter""",
     "zone_direction_summary": BASE + f"""
-SELECT CASE
-         WHEN pickup_loc IN (SELECT zone_id FROM congestion_zones)
-              AND dropoff_loc IN (SELECT zone_id FROM congestion_zones) THEN 'within_zone'
-         WHEN pickup_loc NOT IN (SELECT zone_id FROM congestion_zones)
-              AND dropoff_loc IN (SELECT zone_id FROM congestion_zones) THEN 'entering_zone'
-         WHEN pickup_loc IN (SELECT zone_id FROM congestion_zones)
-              AND dropoff_loc NOT IN (SELECT zone_id FROM congestion_zones) THEN 'exiting_zone'
-         ELSE 'outside_zone' END AS trip_type,
+SELECT CASE WHEN pu_in AND do_in THEN 'within_zone'
+            WHEN NOT pu_in AND do_in THEN 'entering_zone'
+            WHEN pu_in AND NOT do_in THEN 'exiting_zone'
+            ELSE 'outside_zone' END AS trip_type,
        COUNT(*) AS trip_count, AVG(total_amount) AS avg_total, AVG(congestion_surcharge) AS avg_surcharge
-FROM clean_trips WHERE pickup_time >= '{params.CONGESTION_START}'
-GROUP BY trip_type""",
+FROM clean_timed WHERE {_SINCE}
+GROUP BY ALL""",
     "surcharge_revenue": BASE + """
 SELECT SUM(congestion_surcharge) AS total_surcharge_revenue,
        COUNT(*) AS total_trips_with_surcharge, AVG(congestion_surcharge) AS avg_surcharge
-FROM clean_trips WHERE YEAR(pickup_time) = 2025 AND congestion_surcharge > 0""",
+FROM clean WHERE year(pickup_time) = 2025 AND congestion_surcharge > 0""",
     "hourly_speeds_q1_2024": BASE + _speeds(2024) + " ORDER BY day_of_week, hour",
     "hourly_speeds_q1_2025": BASE + _speeds(2025) + " ORDER BY day_of_week, hour",
     "daily_trips": BASE + "SELECT * FROM daily ORDER BY date",
-    "monthly_tips": BASE + """
-SELECT CAST(MONTH(pickup_time) AS INTEGER) AS month,
-       AVG(congestion_surcharge) AS avg_surcharge,
-       AVG(CASE WHEN fare > 0 THEN tip_amount / fare * 100 ELSE 0 END) AS avg_tip_pct,
-       SUM(congestion_surcharge) AS total_surcharge, SUM(tip_amount) AS total_tips,
-       COUNT(*) AS trip_count
-FROM clean_trips WHERE YEAR(pickup_time) = 2025 GROUP BY 1 ORDER BY month""",
+    "monthly_tips": BASE + _MONTHLY + " ORDER BY month",
     "border_dropoffs": BASE + "SELECT * FROM border_counts ORDER BY dropoff_loc, year",
     "border_effect": BASE + """
-SELECT *, CASE WHEN pct_change > 0 THEN 'green' ELSE 'red' END AS marker_color,
-       ABS(pct_change) * 2.0 + 10.0 AS marker_radius
+SELECT *, IF(pct_change > 0, 'green', 'red') AS marker_color,
+       abs(pct_change) * 2 + 10 AS marker_radius
 FROM border_effect ORDER BY pct_change DESC, dropoff_loc""",
     "imputation_profile": BASE + """
-SELECT CAST(YEAR(pickup_time) AS INTEGER) AS year,
-       CAST(EXTRACT(HOUR FROM pickup_time) AS INTEGER) AS hour,
-       CAST(EXTRACT(DOW FROM pickup_time) AS INTEGER) AS day_of_week,
+SELECT CAST(year(pickup_time) AS INTEGER) AS year,
+       CAST(hour(pickup_time) AS INTEGER) AS hour,
+       CAST(dayofweek(pickup_time) AS INTEGER) AS day_of_week,
        COUNT(*) AS trip_count, AVG(fare) AS avg_fare, AVG(total_amount) AS avg_total,
        AVG(tip_amount) AS avg_tip
 FROM unified_trips
-WHERE taxi_type = 'yellow' AND MONTH(pickup_time) = 12 AND YEAR(pickup_time) IN (2023, 2024)
-GROUP BY YEAR(pickup_time), 2, 3""",
+WHERE taxi_type = 'yellow' AND month(pickup_time) = 12 AND year(pickup_time) IN (2023, 2024)
+GROUP BY ALL""",
     "december_profile_2024": BASE + _dec(2024),
     "december_imputed": BASE + _IMPUTED,
     "december_imputed_join": BASE + _IMPUTED,
     "wettest_month": BASE + """
-SELECT CAST(MONTH(date) AS INTEGER) AS month, SUM(precipitation_mm) AS total_precipitation_mm,
+SELECT CAST(month(date) AS INTEGER) AS month, SUM(precipitation_mm) AS total_precipitation_mm,
        COUNT(*) AS n_days
-FROM weather GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 1""",
+FROM weather GROUP BY ALL ORDER BY total_precipitation_mm DESC NULLS LAST, month LIMIT 1""",
     "weather_trips": BASE + """
-SELECT w.date, w.precipitation_mm, w.rain_mm, d.trip_count, d.total_revenue, d.avg_surcharge
-FROM weather w JOIN daily d ON w.date = d.date""",
+SELECT date, w.precipitation_mm, w.rain_mm, d.trip_count, d.total_revenue, d.avg_surcharge
+FROM weather w JOIN daily d USING (date)""",
     "wettest_month_trips": BASE + """
-, wet AS (SELECT MONTH(date) AS month FROM weather GROUP BY 1
-          ORDER BY SUM(precipitation_mm) DESC NULLS LAST, 1 LIMIT 1)
-SELECT w.date, w.precipitation_mm, d.trip_count, d.total_revenue, d.avg_surcharge
-FROM weather w JOIN daily d ON w.date = d.date
-WHERE MONTH(w.date) IN (SELECT month FROM wet)""",
+, wet AS (SELECT arg_max(month(date), 0) AS m FROM weather),
+monthly_rain AS (SELECT month(date) AS m, SUM(precipitation_mm) AS total FROM weather GROUP BY ALL),
+top AS (SELECT m FROM monthly_rain ORDER BY total DESC NULLS LAST, m LIMIT 1)
+SELECT date, w.precipitation_mm, d.trip_count, d.total_revenue, d.avg_surcharge
+FROM weather w JOIN daily d USING (date)
+WHERE month(date) = (SELECT m FROM top)""",
     "rain_elasticity": BASE + f"""
-SELECT corr(w.precipitation_mm, d.trip_count) AS correlation,
-       regr_slope(d.trip_count, COALESCE(w.precipitation_mm, 0)) AS slope,
-       regr_intercept(d.trip_count, COALESCE(w.precipitation_mm, 0)) AS intercept,
-       power(corr(COALESCE(w.precipitation_mm, 0), d.trip_count), 2) AS r_squared,
-       CAST(regr_count(d.trip_count, COALESCE(w.precipitation_mm, 0)) AS BIGINT) AS n,
-       CASE WHEN ABS(regr_slope(d.trip_count, COALESCE(w.precipitation_mm, 0))) > {params.ELASTIC_SLOPE}
-            THEN 'elastic' ELSE 'inelastic' END AS interpretation,
-       CASE WHEN ABS(corr(w.precipitation_mm, d.trip_count)) < {params.INELASTIC_CORR}
-            THEN 'Inelastic' ELSE 'Elastic' END AS page_label
-FROM weather w JOIN daily d ON w.date = d.date""",
+, pairs AS (
+  SELECT w.precipitation_mm AS x, IFNULL(w.precipitation_mm, 0) AS x0, d.trip_count AS y
+  FROM weather w JOIN daily d USING (date)
+)
+SELECT corr(x, y) AS correlation, regr_slope(y, x0) AS slope, regr_intercept(y, x0) AS intercept,
+       power(corr(x0, y), 2) AS r_squared, CAST(regr_count(y, x0) AS BIGINT) AS n,
+       IF(abs(regr_slope(y, x0)) > {params.ELASTIC_SLOPE}, 'elastic', 'inelastic') AS interpretation,
+       IF(abs(corr(x, y)) < {params.INELASTIC_CORR}, 'Inelastic', 'Elastic') AS page_label
+FROM pairs""",
     "velocity_pivot": BASE + f"""
-, speeds AS ({_speeds(2025)})
+, cells AS ({_speeds(2025)})
 SELECT day_of_week,
        {_PIVOT_COLS}
-FROM speeds GROUP BY day_of_week ORDER BY day_of_week""",
+FROM cells GROUP BY day_of_week ORDER BY day_of_week""",
     "velocity_change": BASE + _VELOCITY_CHANGE,
     "tip_change": BASE + _TIP_CHANGE,
     "border_summary": BASE + """
@@ -378,7 +384,7 @@ SELECT year, taxi_type, list_sort(list_distinct(list(month))) AS months
 FROM parsed_links GROUP BY year, taxi_type""",
     "missing_months": BASE + _GRID + "SELECT * FROM missing",
     "needs_imputation": BASE + _GRID + """
-SELECT COUNT(*) FILTER (WHERE month = 12) > 0 AS needs_imputation FROM missing""",
+SELECT bool_or(month = 12) IS TRUE AS needs_imputation FROM missing""",
 }
 
 # The fused variants answer the same questions as the direct operators.
