@@ -346,8 +346,7 @@ FROM weather GROUP BY ALL ORDER BY total_precipitation_mm DESC NULLS LAST, month
 SELECT date, w.precipitation_mm, w.rain_mm, d.trip_count, d.total_revenue, d.avg_surcharge
 FROM weather w JOIN daily d USING (date)""",
     "wettest_month_trips": BASE + """
-, wet AS (SELECT arg_max(month(date), 0) AS m FROM weather),
-monthly_rain AS (SELECT month(date) AS m, SUM(precipitation_mm) AS total FROM weather GROUP BY ALL),
+, monthly_rain AS (SELECT month(date) AS m, SUM(precipitation_mm) AS total FROM weather GROUP BY ALL),
 top AS (SELECT m FROM monthly_rain ORDER BY total DESC NULLS LAST, m LIMIT 1)
 SELECT date, w.precipitation_mm, d.trip_count, d.total_revenue, d.avg_surcharge
 FROM weather w JOIN daily d USING (date)
@@ -379,6 +378,10 @@ SELECT DISTINCT CASE WHEN starts_with(h, 'http') THEN h
                      ELSE '{_HOST}{_DIR}' || h END AS url
 FROM cleaned_hrefs""",
     "trip_links": BASE + "SELECT taxi_type, year, month, url FROM parsed_links",
+    "daily_trips_stream": BASE + """
+SELECT CAST(pickup_time AS DATE) AS date, COUNT(*) AS trip_count,
+       SUM(total_amount) AS total_revenue, AVG(congestion_surcharge) AS avg_surcharge
+FROM clean GROUP BY ALL""",
     "month_coverage": BASE + """
 SELECT year, taxi_type, list_sort(list_distinct(list(month))) AS months
 FROM parsed_links GROUP BY year, taxi_type""",

@@ -101,6 +101,12 @@ def _base(spark, sf):
     return table if table is not None else fused.base_aggregate(fl.clean(_flagged(spark, sf)))
 
 
+def daily_trips_stream(spark, sf):
+    """Clean trips per day from a stream over ``lineitem`` (all days)."""
+    from cordon.streaming import stream
+    return stream.run_daily_counts(spark, stream.lineitem_stream(spark, sf), store.store_root(spark))
+
+
 def report(spark, sf):
     flagged = _flagged(spark, sf)
     clean = fl.clean(flagged)
@@ -158,6 +164,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "month_coverage": lambda s, sf: catalog.available_months(_trip_links(s, sf)),
     "missing_months": missing_months,
     "needs_imputation": lambda s, sf: catalog.needs_imputation(missing_months(s, sf)),
+    # streaming: same classifier, event-time daily windows
+    "daily_trips_stream": daily_trips_stream,
     # report
     "report_rows": report,
     # the same profiles folded from the fused base aggregate (one clean-trip scan)

@@ -62,3 +62,32 @@ def start_daily_counts(spark: SparkSession, directory: str, out_path: str,
               .option("path", out_path).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+def lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged trips from the benchmark ``lineitem`` file, read as a stream."""
+    from cordon.sources.adapter import read_table, trips_from_lineitem
+
+    schema = read_table(spark, sf_dir, "lineitem").schema
+    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet")
+           .parquet(sf_dir.rstrip("/")))
+    return flag(trips_from_lineitem(raw))
+
+
+def run_daily_counts(spark: SparkSession, flagged: DataFrame, checkpoint_root: str) -> DataFrame:
+    """Run daily counts over everything available now; return the result table.
+
+    Complete mode into the memory sink: the result is one row per day, so it
+    is small; the checkpoint lives under `checkpoint_root` (a shared folder).
+    """
+    import uuid
+
+    name = f"cordon_daily_{uuid.uuid4().hex[:12]}"
+    query = (daily_counts(flagged).writeStream.format("memory").queryName(name)
+             .outputMode("complete").trigger(availableNow=True)
+             .option("checkpointLocation", f"{checkpoint_root.rstrip('/')}/stream-{name}")
+             .start())
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return spark.table(name)
