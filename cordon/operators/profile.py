@@ -106,14 +106,23 @@ def with_coordinates(border: DataFrame, coords: dict = params.BORDER_COORDS,
     return border.withColumns({"lat": lookup(0), "lon": lookup(1)})
 
 
-def with_zone_names(border: DataFrame, lookup: DataFrame) -> DataFrame:
+def with_zone_names(border: DataFrame, lookup, key: str = "dropoff_loc") -> DataFrame:
     """Left join to the zone lookup: keeps LocationID and Zone as zone_name.
 
-    The lookup is one row per taxi zone (a few hundred), so it is broadcast
-    once a bounded count has confirmed that.
+    `lookup` is either the lookup DataFrame (LocationID, Zone, ...) — one row
+    per taxi zone, broadcast once a bounded count has confirmed it is small —
+    or a fixed id -> name dict, applied as a literal map lookup (no join).
     """
+    if isinstance(lookup, dict):
+        names = F.create_map(*[x for zid, name in sorted(lookup.items())
+                               for x in (F.lit(int(zid)), F.lit(name))])
+        hit = F.array_contains(F.map_keys(names), F.col(key))
+        return border.withColumns({
+            "LocationID": F.when(hit, F.col(key).cast("int")),
+            "zone_name": F.try_element_at(names, F.col(key)),
+        })
     names = lookup.select(F.col("LocationID"), F.col("Zone").alias("zone_name"))
-    return border.join(maybe_broadcast(names), border["dropoff_loc"] == names["LocationID"], "left")
+    return border.join(maybe_broadcast(names), border[key] == names["LocationID"], "left")
 
 
 def border_markers(border: DataFrame) -> DataFrame:

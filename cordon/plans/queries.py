@@ -79,7 +79,7 @@ def unified_trips_by_type(spark, sf):
 def border_effect_map(spark, sf):
     border = profile.border_effect(_clean(spark, sf))
     border = profile.with_coordinates(border)
-    border = profile.with_zone_names(border, zones.roster_lookup(spark))
+    border = profile.with_zone_names(border, params.ZONE_NAMES)
     return profile.border_markers(border)
 
 
@@ -179,5 +179,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_tips_fused": lambda s, sf: fused.monthly_tips(_base(s, sf)),
     "border_effect_fused": lambda s, sf: profile.border_markers(profile.with_zone_names(
         profile.with_coordinates(fused.border_effect(_base(s, sf))),
-        zones.roster_lookup(s))),
+        params.ZONE_NAMES)),
 }

@@ -51,8 +51,7 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
     clean = fl.clean(flagged)
     paths["ghost_audit"] = fl.save_audit(flagged, f"{out}/audit/ghost_trips")
 
-    lookup = (zones.read_lookup(spark, lookup_path) if lookup_path
-              else zones.roster_lookup(spark))
+    lookup = zones.read_lookup(spark, lookup_path) if lookup_path else params.ZONE_NAMES
     if fused:
         paths["base"] = f"{out}/base"
         fz.base_aggregate(clean).write.mode("overwrite").parquet(paths["base"])

@@ -193,3 +193,13 @@ def test_direction_null_pickup_is_outside(spark):
             for p, d in [(None, Z_IN), (Z_IN, Z_IN), (Z_OUT, Z_IN), (Z_IN, Z_OUT), (Z_OUT, Z_OUT)]]
     got = {r.trip_type: r.trip_count for r in zone.zone_direction_summary(trips(spark, rows)).collect()}
     assert got == {"outside_zone": 2, "within_zone": 1, "entering_zone": 1, "exiting_zone": 1}
+
+
+def test_zone_names_dict_equals_lookup_join(spark):
+    from cordon.sources import zones as zsrc
+    border = spark.createDataFrame([(142, 1.0), (999, 2.0), (None, 3.0)],
+                                   "dropoff_loc int, pct_change double")
+    a = profile.with_zone_names(border, params.ZONE_NAMES).orderBy("pct_change").collect()
+    b = profile.with_zone_names(border, zsrc.roster_lookup(spark)).orderBy("pct_change").collect()
+    assert [(r.LocationID, r.zone_name) for r in a] == [(r.LocationID, r.zone_name) for r in b]
+    assert a[0].zone_name == "Lincoln Square East" and a[1].LocationID is None
