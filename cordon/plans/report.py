@@ -43,3 +43,34 @@ def report_json(rows: DataFrame) -> DataFrame:
     return (per_metric.groupBy("section")
             .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "by_row"))))
                  .alias("json")))
+
+
+def _json_string(c):
+    """The JSON literal (quoted, escaped) of a string column."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("s"))), r'^\{"s":(.*)\}$', 1)
+
+
+def report_document(rows: DataFrame, flat_sections=("rain_elasticity",)) -> DataFrame:
+    """One row, column ``json``: the whole report as one JSON document.
+
+    ``{"generated_at": ..., section: {metric: {row: value}}, ...}``; sections in
+    `flat_sections` (single-row results) render as ``{metric: value}``. A
+    section without rows keeps its metrics with empty row maps.
+    """
+    entries = F.filter(F.array_sort(F.collect_list(F.struct("row", "value"))),
+                       lambda e: e.getField("row").isNotNull())
+    per_metric = (rows.groupBy("section", "metric")
+                  .agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(
+                      e.getField("row").cast("string"), e.getField("value")))).alias("by_row")))
+    pairs = F.collect_list(F.struct("metric", "by_row"))
+    flat_pairs = F.array_sort(F.collect_list(F.struct(
+        "metric", F.element_at(F.col("by_row"), F.lit("0")).alias("value"))))
+    bodies = per_metric.groupBy("section").agg(
+        F.when(F.col("section").isin(list(flat_sections)), F.to_json(F.map_from_entries(flat_pairs)))
+         .otherwise(F.to_json(F.map_from_entries(pairs))).alias("body"))
+    members = F.transform(F.array_sort(F.collect_list(F.struct("section", "body"))),
+                          lambda e: F.concat(_json_string(e.getField("section")), F.lit(": "),
+                                             e.getField("body")))
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return bodies.agg(F.concat(F.lit('{"generated_at": '), _json_string(stamp), F.lit(", "),
+                               F.array_join(members, ", "), F.lit("}")).alias("json"))

@@ -16,7 +16,7 @@ from cordon import params
 from cordon.operators import flag as fl
 from cordon.operators import impute, profile, weather as wx, zone
 from cordon.plans import fused as fz
-from cordon.plans.report import report_json, report_rows
+from cordon.plans.report import report_document, report_json, report_rows
 from cordon.plans.store import unflagged, write_flagged
 from cordon.sources import catalog, trips, zones
 
@@ -120,6 +120,8 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
     rows.coalesce(1).write.mode("overwrite").json(paths["report_rows"])
     paths["report"] = f"{out}/report/sections"
     report_json(rows).coalesce(1).write.mode("overwrite").json(paths["report"])
+    paths["report_document"] = f"{out}/report/document"
+    report_document(rows).coalesce(1).write.mode("overwrite").text(paths["report_document"])
     return paths
 
 

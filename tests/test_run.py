@@ -73,6 +73,12 @@ def test_full_run_matches_registered_queries(spark, raw_dir, tmp_path, fused):
         got = spark.read.option("header", True).schema(expected.schema).csv(paths[out_name])
         assert _same(got, expected) is True, out_name
     assert len(glob.glob(os.path.join(paths["report"], "*.json"))) == 1
+    import json
+    doc = json.loads(spark.read.text(paths["report_document"]).collect()[0].value)
+    assert set(doc) - {"generated_at"} == {"total_surcharge_revenue", "suspicious_vendors",
+                                           "compliance_rate", "missing_surcharge_locations",
+                                           "rain_elasticity"}
+    assert "p_value" in doc["rain_elasticity"]
     sections = {r.section for r in spark.read.json(paths["report"]).collect()}
     assert sections == {"total_surcharge_revenue", "suspicious_vendors", "compliance_rate",
                         "missing_surcharge_locations", "rain_elasticity"}
@@ -108,3 +114,21 @@ def test_stream_append_sink_writes_closed_days(spark, raw_dir, tmp_path):
     closed = got.join(batch.select("date"), "date", "left_semi").select("date", "trip_count")
     assert _same(closed, batch) is True
     assert got.count() == got.select("date").distinct().count()
+
+
+def test_report_document_shape(spark, tmp_path):
+    import json
+
+    from cordon.plans.report import report_document, report_rows
+    vendors = spark.createDataFrame([(2, 10, 5.5), (1, 3, 1.0)],
+                                    "vendor_id int, ghost_trip_count bigint, total_suspicious_fare double")
+    empty = spark.createDataFrame([], "pickup_loc int, missing_rate double")
+    elasticity = spark.createDataFrame([(0.15, 'inelastic "x"')], "correlation double, interpretation string")
+    rows = report_rows({"suspicious_vendors": vendors, "missing_surcharge_locations": empty,
+                        "rain_elasticity": elasticity})
+    doc = json.loads(report_document(rows).collect()[0].json)
+    assert set(doc) == {"generated_at", "suspicious_vendors", "missing_surcharge_locations",
+                        "rain_elasticity"}
+    assert doc["suspicious_vendors"]["vendor_id"] == {"0": "2", "1": "1"}
+    assert doc["missing_surcharge_locations"] == {"missing_rate": {}, "pickup_loc": {}}
+    assert doc["rain_elasticity"] == {"correlation": "0.15", "interpretation": 'inelastic "x"'}
