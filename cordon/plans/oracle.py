@@ -1,19 +1,21 @@
 """Equivalent SQL for each registered query, for an independent ANSI engine.
 
 Tables ``lineitem``, ``orders`` and ``pages`` are views. The trip and weather
-derivations repeat ``cordon.sources.adapter``; the operator SQL follows the
-audited pipeline's own queries.
+derivations repeat ``cordon.sources.adapter``; the operator SQL is written
+independently of the Spark code (durations via ``date_diff``, conditional
+counts, boolean zone flags), so agreement is a real cross-check.
 """
 
 from __future__ import annotations
 
 from cordon import params
+from cordon.sources.catalog import HREF_PATTERN
 
 _Z = ", ".join(str(z) for z in params.CONGESTION_ZONE_IDS)
 _B = ", ".join(str(z) for z in params.BORDER_ZONE_IDS)
 _HOST = params.TRIP_FILE_HOST
 _DIR = params.TRIP_FILE_DIR
-_HREF = r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"'
+_HREF = HREF_PATTERN
 
 
 def _sq(s: str) -> str:
@@ -90,7 +92,9 @@ daily AS NOT MATERIALIZED (
   FROM clean WHERE YEAR(pickup_time) = 2025 GROUP BY 1
 ),
 hrefs AS NOT MATERIALIZED (
-  SELECT unnest(regexp_extract_all(html, {_sq(_HREF)}, 1)) AS href FROM pages
+  SELECT replace(CASE WHEN left(v, 1) IN ('"', '''') THEN substr(v, 2, length(v) - 2) ELSE v END,
+                 '&amp;', '&') AS href
+  FROM (SELECT unnest(regexp_extract_all(html, {_sq(_HREF)}, 1)) AS v FROM pages)
 ),
 cleaned_hrefs AS NOT MATERIALIZED (
   SELECT href AS raw_href,

@@ -13,8 +13,16 @@ from pyspark.sql import functions as F
 
 from cordon import params
 
-# Anchor tags with a double-quoted href attribute; group 1 is the href.
-HREF_PATTERN = r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"'
+# Anchor tags with an href attribute; group 1 is the value as written:
+# double-quoted, single-quoted or bare.
+HREF_PATTERN = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+
+
+def _attribute_value(raw: Column) -> Column:
+    """Unquote an attribute value and decode &amp;, as an HTML parser does."""
+    quoted = raw.startswith('"') | raw.startswith("'")
+    inner = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.replace(inner, F.lit("&amp;"), F.lit("&"))
 
 
 def _clean_href(href: Column) -> Column:
@@ -43,8 +51,9 @@ def harvest_links(pages: DataFrame, trip_files_only: bool = True,
     With ``trip_files_only`` the raw href must name a yellow or green
     ``.parquet`` trip file; without it every anchor is kept.
     """
-    hrefs = pages.select(
-        F.explode(F.regexp_extract_all(F.col(html_col), F.lit(HREF_PATTERN), 1)).alias("href"))
+    hrefs = (pages.select(F.explode(F.regexp_extract_all(F.col(html_col), F.lit(HREF_PATTERN), 1))
+                          .alias("raw_href"))
+             .select(_attribute_value(F.col("raw_href")).alias("href")))
     if trip_files_only:
         hrefs = hrefs.filter(_is_trip_file(F.col("href")))
     return (hrefs.select(_resolve(_clean_href(F.col("href")), host, trip_dir).alias("url"))

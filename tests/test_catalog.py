@@ -13,6 +13,9 @@ PAGE = """<html><body>
 <a href="https://cdn.example/trip-data/yellow_tripdata_2025-01.parquet">dup</a>
 <a href="/trip-data/fhv_tripdata_2025-01.parquet">fhv</a>
 <a href="/trip-data/yellow_tripdata_2025-1.parquet">bad</a>
+<a href='/trip-data/green_tripdata_2025-05.parquet'>single</a>
+<a href=/trip-data/green_tripdata_2025-06.parquet>bare</a>
+<a href="/q?a=1&amp;b=2">entity</a>
 <a href="/about">about</a>
 <a name="no-href">x</a>
 </body></html>"""
@@ -31,21 +34,25 @@ def test_harvest_trip_links(spark):
         f"{HOST}/trip-data/yellow_tripdata_2025-03.parquet",
         f"{HOST}/trip-data/yellow_tripdata_2025-04.parquet",
         f"{HOST}/trip-data/yellow_tripdata_2025-1.parquet",
+        f"{HOST}/trip-data/green_tripdata_2025-05.parquet",
+        f"{HOST}/trip-data/green_tripdata_2025-06.parquet",
     ])
 
 
 def test_harvest_all_links(spark):
     links = {r.url for r in catalog.harvest_links(_pages(spark), trip_files_only=False).collect()}
     assert f"{HOST}/about" in links and f"{HOST}/trip-data/fhv_tripdata_2025-01.parquet" in links
-    assert len(links) == 7
+    assert f"{HOST}/q?a=1&b=2" in links
+    assert len(links) == 10
 
 
 def test_parse_and_months(spark):
     parsed = catalog.parse_links(catalog.harvest_links(_pages(spark)))
     got = sorted((r.taxi_type, r.year, r.month) for r in parsed.collect())
-    assert got == [("green", 2025, 2), ("yellow", 2025, 1), ("yellow", 2025, 3), ("yellow", 2025, 4)]
+    assert got == [("green", 2025, 2), ("green", 2025, 5), ("green", 2025, 6),
+                   ("yellow", 2025, 1), ("yellow", 2025, 3), ("yellow", 2025, 4)]
     months = {(r.taxi_type, tuple(r.months)) for r in catalog.available_months(parsed).collect()}
-    assert months == {("yellow", (1, 3, 4)), ("green", (2,))}
+    assert months == {("yellow", (1, 3, 4)), ("green", (2, 5, 6))}
 
 
 def test_missing_months(spark):
@@ -53,13 +60,13 @@ def test_missing_months(spark):
     local = spark.createDataFrame([("yellow", 2025, 1), ("green", 2025, 2)],
                                   "taxi_type string, year int, month int")
     diff = sorted((r.taxi_type, r.month) for r in catalog.missing_months(online, local, 2025).collect())
-    assert diff == [("yellow", 3), ("yellow", 4)]
+    assert diff == [("green", 5), ("green", 6), ("yellow", 3), ("yellow", 4)]
     expected = catalog.expected_catalog(spark, [2025])
     assert expected.count() == 24
     assert expected.filter("taxi_type = 'green' AND month = 3").collect()[0].file_name == \
         "green_tripdata_2025-03.parquet"
     gap = catalog.missing_from_expected(expected, online)
-    assert gap.count() == 20
+    assert gap.count() == 18
     assert catalog.needs_imputation(gap).collect()[0].needs_imputation
     full = expected.select("year", "taxi_type", "month")
     assert not catalog.needs_imputation(catalog.missing_from_expected(expected, full)).collect()[0][0]
