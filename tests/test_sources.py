@@ -122,3 +122,34 @@ def test_zone_dimension(spark):
     counts = {r.roster: r["count"] for r in z.groupBy("roster").count().collect()}
     assert counts == {"congestion": 41, "border": 9, "upper": 16, "island": 3}
     assert z.filter(F.col("zone_name").isNull()).count() == 3  # island names not listed
+
+
+def test_read_type_multi_path(spark, tmp_path):
+    d = _write_dir(tmp_path)
+    paths = [os.path.join(d, "yellow_tripdata_2025-01.parquet"),
+             os.path.join(d, "yellow_tripdata_2025-02.parquet")]
+    df = trips.read_type(spark, paths, "yellow")
+    assert df.count() == 6 and {r.taxi_type for r in df.collect()} == {"yellow"}
+    assert trips.read_type(spark, paths[0], "yellow").count() == 3
+
+
+def test_published_reader_applies_schema(spark, tmp_path):
+    from cordon.sources import published
+    p = tmp_path / "daily.csv"
+    p.write_text("date,trip_count,total_revenue,avg_surcharge\n2025-01-01,89553,2239738.1,1.76\n")
+    df = published.read(spark, "daily_trips", str(p))
+    r = df.collect()[0]
+    assert r.date == dt.date(2025, 1, 1) and r.trip_count == 89553
+    assert [f.dataType.simpleString() for f in df.schema] == ["date", "bigint", "double", "double"]
+
+
+def test_month_weather_trips(spark):
+    from cordon.operators import weather as wx
+    w = spark.createDataFrame([(dt.date(2025, 5, 1), 3.0, 3.0), (dt.date(2025, 5, 2), None, 0.0),
+                               (dt.date(2025, 6, 1), 9.0, 9.0)],
+                              "date date, precipitation_mm double, rain_mm double")
+    d = spark.createDataFrame([(dt.date(2025, 5, 1), 10), (dt.date(2025, 6, 1), 20),
+                               (dt.date(2025, 5, 3), 30)], "date date, trip_count bigint")
+    rows = wx.month_weather_trips(w, d, 5).collect()
+    assert [(r.date, r.precipitation_mm, r.trip_count) for r in rows] == [(dt.date(2025, 5, 1), 3.0, 10)]
+    assert [r.date for r in wx.wettest_month_trips(w, d).collect()] == [dt.date(2025, 6, 1)]
