@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cordon import params
 from cordon.operators import flag as fl
-from cordon.operators import impute, profile, weather as wx, zone
+from cordon.operators import impute, profile, summary, weather as wx, zone
 from cordon.plans import fused as fz
 from cordon.plans.report import report_document, report_json, report_rows
 from cordon.plans.store import unflagged, write_flagged
@@ -106,8 +106,15 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
         "compliance_rate": small["compliance"],
         "missing_surcharge_locations": small["missing_surcharge_locations"],
     }
+    # Page figures, folded from the small results above.
+    small[f"velocity_pivot_q1_{comparison}"] = summary.velocity_pivot(ops["speeds_before"])
+    small[f"velocity_pivot_q1_{year}"] = summary.velocity_pivot(ops["speeds_after"])
+    small["velocity_change"] = summary.velocity_change(clean, comparison, year)
+    small["tip_change"] = summary.tip_change(ops["monthly"])
+    small["border_summary"] = summary.border_summary(border)
     if weather is not None:
         small["weather_trips"] = wx.weather_trips(weather, daily)
+        small["wettest_month_trips"] = wx.wettest_month_trips(weather, daily)
         small["wettest_month"] = wx.wettest_month(weather)
         small["rain_elasticity"] = wx.rain_elasticity(weather, daily)
         sections["rain_elasticity"] = small["rain_elasticity"]

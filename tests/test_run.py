@@ -132,3 +132,15 @@ def test_report_document_shape(spark, tmp_path):
     assert doc["suspicious_vendors"]["vendor_id"] == {"0": "2", "1": "1"}
     assert doc["missing_surcharge_locations"] == {"missing_rate": {}, "pickup_loc": {}}
     assert doc["rain_elasticity"] == {"correlation": "0.15", "interpretation": 'inelastic "x"'}
+
+
+def test_cli(spark, raw_dir, tmp_path, capsys):
+    import json
+
+    from cordon.plans.run import main
+    main([raw_dir, str(tmp_path / "cli"), "--direct", "--year", "2025"])
+    paths = json.loads(capsys.readouterr().out)
+    for name in ("velocity_pivot_q1_2025", "tip_change", "border_summary", "report_document"):
+        assert os.path.isdir(paths[name]), name
+    pivot = spark.read.option("header", True).csv(paths["velocity_pivot_q1_2025"])
+    assert pivot.columns == ["day_of_week"] + [str(h) for h in range(24)]
