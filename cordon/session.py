@@ -53,13 +53,15 @@ def cluster_conf(executors: int = 1000, cores_per_executor: int = 4) -> dict[str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) is a scratch folder created
-    and set; on a cluster the configured shared folder is always used.
+    Only a local-mode session without one (tests, a laptop) gets a scratch
+    folder; on a cluster an unset folder is an error, because a machine-local
+    folder is not visible to other executors and does not survive them.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="cordon-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    current = tempfile.mkdtemp(prefix="cordon-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", current)
     return current
