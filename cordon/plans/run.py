@@ -44,9 +44,16 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
     paths["file_check"] = f"{out}/file_check"
     trips.validate_files(spark, trips_dir).write.mode("overwrite").parquet(paths["file_check"])
 
-    # Steps 2-3: unify and flag, materialised once; lineage ends here.
+    # Steps 2-3: unify the files that passed the footer check, flag, and
+    # materialise once; lineage ends here. Only file paths reach the driver.
+    ok = (spark.read.parquet(paths["file_check"]).filter("ok")
+          .select("taxi_type", "path").collect())
+    frames = [trips.read_type(spark, [r.path for r in ok if r.taxi_type == t], t)
+              for t in params.TAXI_TYPES if any(r.taxi_type == t for r in ok)]
+    if not frames:
+        raise ValueError(f"no readable yellow or green trip files under {trips_dir}")
     paths["flagged"] = f"{out}/flagged"
-    write_flagged(fl.flag(trips.read_directory(spark, trips_dir)), paths["flagged"])
+    write_flagged(fl.flag(trips.unify(*frames)), paths["flagged"])
     flagged = spark.read.parquet(paths["flagged"])
     clean = fl.clean(flagged)
     paths["ghost_audit"] = fl.save_audit(flagged, f"{out}/audit/ghost_trips")

@@ -144,3 +144,19 @@ def test_cli(spark, raw_dir, tmp_path, capsys):
         assert os.path.isdir(paths[name]), name
     pivot = spark.read.option("header", True).csv(paths["velocity_pivot_q1_2025"])
     assert pivot.columns == ["day_of_week"] + [str(h) for h in range(24)]
+
+
+def test_run_skips_files_failing_the_footer_check(spark, raw_dir, tmp_path):
+    import shutil
+
+    d = tmp_path / "mixed"
+    shutil.copytree(raw_dir, d)
+    bad = pa.table({"VendorID": pa.array([1], pa.int64()),
+                    "trip_distance": pa.array([1.0])})  # no time columns
+    pq.write_table(bad, d / "yellow_tripdata_2030-01.parquet")
+    pq.write_table(bad, d / "fhv_tripdata_2030-01.parquet")
+    paths = run(spark, str(d), str(tmp_path / "out"), fused=False)
+    assert spark.read.parquet(paths["flagged"]).count() == 6000
+    check = {os.path.basename(r.path): r.ok for r in spark.read.parquet(paths["file_check"]).collect()}
+    assert check["yellow_tripdata_2030-01.parquet"] is False
+    assert check["fhv_tripdata_2030-01.parquet"] is False
