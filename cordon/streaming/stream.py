@@ -64,13 +64,34 @@ def start_daily_counts(spark: SparkSession, directory: str, out_path: str,
     return writer.start()
 
 
+def _is_directory(spark: SparkSession, path: str) -> bool:
+    """Is `path` a folder of files (Spark's table layout) rather than one file?"""
+    import os
+
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if "://" not in path and os.path.exists(local):
+        return os.path.isdir(local)
+    from cordon.sources.catalog import list_files
+    first = list_files(spark, path).select("path").limit(1).collect()
+    return bool(first) and not first[0].path.rstrip("/").endswith(path.rstrip("/").rsplit("/", 1)[-1])
+
+
 def lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagged trips from the benchmark ``lineitem`` file, read as a stream."""
+    """Flagged trips from the benchmark ``lineitem`` table, read as a stream.
+
+    A table stored as a folder is streamed as is; a single file is streamed
+    from its parent folder through a file-name filter (file streams watch
+    folders).
+    """
     from cordon.sources.adapter import read_table, trips_from_lineitem
 
+    path = f"{sf_dir.rstrip('/')}/lineitem.parquet"
     schema = read_table(spark, sf_dir, "lineitem").schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet")
-           .parquet(sf_dir.rstrip("/")))
+    reader = spark.readStream.schema(schema)
+    if _is_directory(spark, path):
+        raw = reader.parquet(path)
+    else:
+        raw = reader.option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir.rstrip("/"))
     return flag(trips_from_lineitem(raw))
 
 

@@ -160,3 +160,16 @@ def test_run_skips_files_failing_the_footer_check(spark, raw_dir, tmp_path):
     check = {os.path.basename(r.path): r.ok for r in spark.read.parquet(paths["file_check"]).collect()}
     assert check["yellow_tripdata_2030-01.parquet"] is False
     assert check["fhv_tripdata_2030-01.parquet"] is False
+
+
+def test_stream_over_folder_table(spark, tmp_path):
+    import diffcheck
+    d = tmp_path / "sf_folder"
+    d.mkdir()
+    adapter.read_table(spark, SF001, "lineitem").repartition(3).write.parquet(str(d / "lineitem.parquet"))
+    got = E.queries()["daily_trips_stream"](spark, str(d))
+    want = E.queries()["daily_trips_stream"](spark, SF001)
+    assert got.count() > 0
+    ok, msg = diffcheck.compare([tuple(r) for r in got.collect()], got.columns,
+                                [tuple(r) for r in want.collect()], want.columns)
+    assert ok, msg
