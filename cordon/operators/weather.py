@@ -21,7 +21,8 @@ def wettest_month(weather: DataFrame) -> DataFrame:
 def weather_trips(weather: DataFrame, daily: DataFrame) -> DataFrame:
     """Inner join of weather and daily trips on date (weather columns first).
 
-    Both sides hold one row per day, so the join is small and broadcast.
+    Both sides hold one row per day (at most 366 per year), so the planner
+    broadcasts one side; nothing here grows with the trip count.
     """
     return weather.join(daily, "date", "inner")
 
@@ -35,7 +36,7 @@ def month_weather_trips(weather: DataFrame, daily: DataFrame, month: int) -> Dat
 
 def wettest_month_trips(weather: DataFrame, daily: DataFrame) -> DataFrame:
     """Daily rows of the wettest month joined with trips (month found on the cluster)."""
-    wet = wettest_month(weather).select(F.col("month").alias("_wet"))
+    wet = wettest_month(weather).select(F.col("month").alias("_wet"))  # one row by construction
     joined = weather.select("date", "precipitation_mm").join(daily, "date", "inner")
     return (joined.join(F.broadcast(wet), F.month("date") == F.col("_wet"), "left_semi"))
 
