@@ -95,9 +95,26 @@ def write_flagged(flagged: DataFrame, path: str) -> None:
      .partitionBy(*PARTITION_COLUMNS).parquet(path))
 
 
+def _pointed(spark: SparkSession, pointer: str) -> str | None:
+    """The committed table a pointer names, or None."""
+    try:
+        rows = spark.read.text(pointer).collect()  # one short line
+    except AnalysisException:
+        return None
+    target = rows[0].value.strip() if rows else ""
+    return target if target and _exists(spark, target) else None
+
+
 def _materialised(spark: SparkSession, sf_dir: str, kind: str, build,
                   partition_by=()) -> DataFrame:
-    """Open (writing first if needed) the `kind` table derived from `sf_dir`."""
+    """Open (writing first if needed) the `kind` table derived from `sf_dir`.
+
+    Each writer writes its own folder and then points ``current`` at it;
+    data folders are never overwritten, so a reader holding one never sees
+    its files replaced, even when two processes materialise at once.
+    """
+    import uuid
+
     source = f"{sf_dir.rstrip('/')}/lineitem.parquet"
     key = (spark.sparkContext.applicationId, store_root(spark), source, kind)
     with _LOCK:
@@ -105,13 +122,17 @@ def _materialised(spark: SparkSession, sf_dir: str, kind: str, build,
         opened = _OPENED.get(key)
         if opened is not None and opened[0] == fp:
             return opened[1]
-        path = f"{store_root(spark)}/cordon-{kind}-{fp}"
-        if not _exists(spark, path):
-            writer = build().write.mode("overwrite")
+        base = f"{store_root(spark)}/cordon-{kind}-{fp}"
+        target = _pointed(spark, f"{base}/current")
+        if target is None:
+            target = f"{base}/w-{uuid.uuid4().hex}"
+            writer = build().write.mode("errorifexists")
             if partition_by:
                 writer = writer.partitionBy(*partition_by)
-            writer.parquet(path)
-        df = spark.read.parquet(path)
+            writer.parquet(target)
+            (spark.createDataFrame([(target,)], "value string").coalesce(1)
+             .write.mode("overwrite").text(f"{base}/current"))
+        df = spark.read.parquet(target)
         _OPENED[key] = (fp, df)
         return df
 

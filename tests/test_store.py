@@ -47,18 +47,33 @@ def test_new_table_when_source_changes(spark, sf_copy, root):
     assert len(_tables(root)) == 2
 
 
+def _writers(root, name):
+    return sorted(n for n in os.listdir(os.path.join(root, name)) if n.startswith("w-"))
+
+
 def test_partial_write_is_not_reused(spark, sf_copy, root):
     store.flagged_table(spark, sf_copy)
     (name,) = _tables(root)
-    os.remove(os.path.join(root, name, "_SUCCESS"))
+    (first,) = _writers(root, name)
+    os.remove(os.path.join(root, name, first, "_SUCCESS"))
     store._OPENED.clear()
     df = store.flagged_table(spark, sf_copy)
-    assert os.path.exists(os.path.join(root, name, "_SUCCESS"))
+    writers = _writers(root, name)
+    assert len(writers) == 2  # a new writer folder; the partial one is left untouched
     assert df.count() == 6000
 
 
 def test_year_partitions(spark, sf_copy, root):
     store.flagged_table(spark, sf_copy)
     (name,) = _tables(root)
-    years = sorted(n for n in os.listdir(os.path.join(root, name)) if n.startswith("pickup_year="))
+    (w,) = _writers(root, name)
+    years = sorted(n for n in os.listdir(os.path.join(root, name, w)) if n.startswith("pickup_year="))
     assert years[0] == "pickup_year=2022" and len(years) == 7
+
+
+def test_second_process_view_reuses_committed_table(spark, sf_copy, root):
+    a = store.flagged_table(spark, sf_copy)
+    store._OPENED.clear()  # as a fresh process would start
+    b = store.flagged_table(spark, sf_copy)
+    (name,) = _tables(root)
+    assert len(_writers(root, name)) == 1 and a.count() == b.count()
