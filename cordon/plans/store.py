@@ -30,7 +30,7 @@ from cordon.sources.catalog import list_files
 # min/max statistics (source files are monthly, so row groups are narrow in time).
 PARTITION_COLUMNS = ["pickup_year"]
 # Bump when the stored columns, the classifier or the layout change.
-STORE_VERSION = "flagged-v2"
+STORE_VERSION = "store-v3"
 FLAG_COLUMNS = ["trip_duration_min", "avg_speed_mph", "ghost_type"]
 
 
