@@ -27,6 +27,23 @@ from cordon.operators.profile import speed_over
 from cordon.operators.zone import direction, in_zone, not_in_zone
 
 BASE_KEYS = ["date", "hour", "day_of_week", "pickup_loc", "dropoff_loc", "taxi_type"]
+# The base is written partitioned by this column; profiles prune to their years.
+BASE_PARTITION = "year"
+
+
+def with_year(base: DataFrame) -> DataFrame:
+    return base.withColumn(BASE_PARTITION, F.year("date"))
+
+
+def _prune(base: DataFrame, years=None, min_year=None) -> DataFrame:
+    """Keep only the needed year partitions when the base is partitioned."""
+    if BASE_PARTITION not in base.columns:
+        return base
+    if years is not None:
+        base = base.filter(F.col(BASE_PARTITION).isin([int(y) for y in years]))
+    if min_year is not None:
+        base = base.filter(F.col(BASE_PARTITION) >= int(min_year))
+    return base
 
 
 def base_aggregate(clean: DataFrame) -> DataFrame:
@@ -65,7 +82,7 @@ def _quarter(y: int, q: int) -> Column:
 
 
 def _entries(base: DataFrame, start: str) -> DataFrame:
-    return base.filter((F.col("date") >= _d(start)) & not_in_zone("pickup_loc")
+    return _prune(base, min_year=int(str(start)[:4])).filter((F.col("date") >= _d(start)) & not_in_zone("pickup_loc")
                        & in_zone("dropoff_loc"))
 
 
@@ -102,12 +119,14 @@ def quarterly_volumes(base: DataFrame, year_quarters=((2024, 1), (2025, 1))) ->
         c, text = _quarter(y, q), F.lit(f"Q{q}_{y}")
         label = F.when(c, text) if label is None else label.when(c, text)
         cond = c if cond is None else (cond | c)
+    base = _prune(base, years={y for y, _ in year_quarters})
     return (base.filter(in_zone("dropoff_loc") & cond)
             .groupBy("taxi_type", label.alias("quarter"))
             .agg(_n().alias("trip_count")).orderBy("taxi_type", "quarter"))
 
 
 def zone_direction_summary(base: DataFrame, start: str = params.CONGESTION_START) -> DataFrame:
+    base = _prune(base, min_year=int(str(start)[:4]))
     return (base.filter(F.col("date") >= _d(start)).groupBy(direction().alias("trip_type"))
             .agg(_n().alias("trip_count"),
                  (F.sum("sum_total") / F.sum("n")).alias("avg_total"),
@@ -115,7 +134,7 @@ def zone_direction_summary(base: DataFrame, start: str = params.CONGESTION_START
 
 
 def surcharge_revenue(base: DataFrame, year: int = params.ANALYSIS_YEAR) -> DataFrame:
-    return (base.filter(_year(year) & (F.col("n_paid") > 0))
+    return (_prune(base, [year]).filter(_year(year) & (F.col("n_paid") > 0))
             .agg(F.sum("sum_paid_surcharge").alias("total_surcharge_revenue"),
                  F.coalesce(_n("n_paid"), F.lit(0)).alias("total_trips_with_surcharge"),
                  (F.sum("sum_paid_surcharge") / F.sum("n_paid")).alias("avg_surcharge")))
@@ -123,7 +142,7 @@ def surcharge_revenue(base: DataFrame, year: int = params.ANALYSIS_YEAR) -> Data
 
 def hourly_speeds(base: DataFrame, year: int, quarter: int,
                   ids=params.CONGESTION_ZONE_IDS) -> DataFrame:
-    return (base.filter(_quarter(year, quarter) & in_zone("pickup_loc", ids)
+    return (_prune(base, [year]).filter(_quarter(year, quarter) & in_zone("pickup_loc", ids)
                         & in_zone("dropoff_loc", ids))
             .groupBy("hour", "day_of_week")
             .agg(F.try_divide(F.sum("sum_speed"), F.sum("n_speed")).alias("avg_speed_mph"),
@@ -132,14 +151,14 @@ def hourly_speeds(base: DataFrame, year: int, quarter: int,
 
 
 def daily_trips(base: DataFrame, year: int = params.ANALYSIS_YEAR) -> DataFrame:
-    return (base.filter(_year(year)).groupBy("date")
+    return (_prune(base, [year]).filter(_year(year)).groupBy("date")
             .agg(_n().alias("trip_count"), F.sum("sum_total").alias("total_revenue"),
                  (F.sum("sum_surcharge") / F.sum("n_surcharge")).alias("avg_surcharge"))
             .orderBy("date"))
 
 
 def monthly_tips(base: DataFrame, year: int = params.ANALYSIS_YEAR) -> DataFrame:
-    return (base.filter(_year(year)).groupBy(F.month("date").alias("month"))
+    return (_prune(base, [year]).filter(_year(year)).groupBy(F.month("date").alias("month"))
             .agg((F.sum("sum_surcharge") / F.sum("n_surcharge")).alias("avg_surcharge"),
                  (F.sum("sum_tip_pct") / F.sum("n")).alias("avg_tip_pct"),
                  F.sum("sum_surcharge").alias("total_surcharge"),
@@ -151,7 +170,7 @@ def monthly_tips(base: DataFrame, year: int = params.ANALYSIS_YEAR) -> DataFrame
 def border_effect(base: DataFrame, before: int = params.COMPARISON_YEAR,
                   after: int = params.ANALYSIS_YEAR, ids=params.BORDER_ZONE_IDS) -> DataFrame:
     year = F.year("date")
-    return (base.filter(in_zone("dropoff_loc", ids) & (_year(before) | _year(after)))
+    return (_prune(base, [before, after]).filter(in_zone("dropoff_loc", ids) & (_year(before) | _year(after)))
             .groupBy("dropoff_loc")
             .agg(F.sum(F.when(year == before, F.col("n")).otherwise(0)).cast("long").alias(f"count_{before}"),
                  F.sum(F.when(year == after, F.col("n")).otherwise(0)).cast("long").alias(f"count_{after}"))

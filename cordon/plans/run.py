@@ -61,7 +61,8 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
     lookup = zones.read_lookup(spark, lookup_path) if lookup_path else params.ZONE_NAMES
     if fused:
         paths["base"] = f"{out}/base"
-        fz.base_aggregate(clean).write.mode("overwrite").parquet(paths["base"])
+        (fz.with_year(fz.base_aggregate(clean)).write.mode("overwrite")
+         .partitionBy(fz.BASE_PARTITION).parquet(paths["base"]))
         base = spark.read.parquet(paths["base"])
         ops = dict(
             compliance=fz.surcharge_compliance(base),

@@ -30,7 +30,7 @@ from cordon.sources.catalog import list_files
 # min/max statistics (source files are monthly, so row groups are narrow in time).
 PARTITION_COLUMNS = ["pickup_year"]
 # Bump when the stored columns, the classifier or the layout change.
-STORE_VERSION = "store-v3"
+STORE_VERSION = "store-v4"
 FLAG_COLUMNS = ["trip_duration_min", "avg_speed_mph", "ghost_type"]
 
 
@@ -152,7 +152,8 @@ def unflagged(flagged: DataFrame) -> DataFrame:
 def base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused base aggregate of clean trips, materialised once beside the flagged table."""
     from cordon.operators.flag import clean
-    from cordon.plans.fused import base_aggregate
+    from cordon.plans.fused import BASE_PARTITION, base_aggregate, with_year
 
     return _materialised(spark, sf_dir, "base",
-                         lambda: base_aggregate(clean(flagged_table(spark, sf_dir))))
+                         lambda: with_year(base_aggregate(clean(flagged_table(spark, sf_dir)))),
+                         [BASE_PARTITION])
