@@ -163,3 +163,36 @@ def validate_files(spark: SparkSession, directory: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     return files.mapInPandas(check, out)
+
+
+def describe_files(spark: SparkSession, directory: str, glob: str = "*.parquet") -> DataFrame:
+    """Raw schema description: one row per (file, column) with the physical type.
+
+    Footers are read inside tasks; the task function carries plain data only.
+    """
+    from cordon.sources.catalog import list_files
+
+    files = list_files(spark, directory, glob).select("path")
+    out = T.StructType([
+        T.StructField("path", T.StringType()),
+        T.StructField("position", T.IntegerType()),
+        T.StructField("column_name", T.StringType()),
+        T.StructField("column_type", T.StringType()),
+    ])
+    columns = out.fieldNames()
+
+    def describe(batches):
+        import pandas as pd
+        import pyarrow.parquet as pq
+        from pyarrow import fs as pafs
+
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                filesystem, inner = pafs.FileSystem.from_uri(path)
+                with filesystem.open_input_file(inner) as fh:
+                    schema = pq.read_schema(fh)
+                rows += [(path, i, f.name, str(f.type)) for i, f in enumerate(schema)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return files.mapInPandas(describe, out)

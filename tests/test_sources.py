@@ -153,3 +153,11 @@ def test_month_weather_trips(spark):
     rows = wx.month_weather_trips(w, d, 5).collect()
     assert [(r.date, r.precipitation_mm, r.trip_count) for r in rows] == [(dt.date(2025, 5, 1), 3.0, 10)]
     assert [r.date for r in wx.wettest_month_trips(w, d).collect()] == [dt.date(2025, 6, 1)]
+
+
+def test_describe_files(spark, tmp_path):
+    d = _write_dir(tmp_path)
+    rows = trips.describe_files(spark, d).collect()
+    y1 = {r.column_name: r.column_type for r in rows if r.path.endswith("yellow_tripdata_2025-01.parquet")}
+    assert y1["VendorID"] == "int32" and y1["tpep_pickup_datetime"] == "timestamp[us]"
+    assert len({r.path for r in rows}) == 4
