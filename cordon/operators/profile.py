@@ -91,13 +91,22 @@ def border_effect(clean: DataFrame, before: int = params.COMPARISON_YEAR,
             .orderBy(F.desc("pct_change"), F.asc("dropoff_loc")))
 
 
-def with_coordinates(border: DataFrame, coords: dict = params.BORDER_COORDS,
+def with_coordinates(border: DataFrame, coords=params.BORDER_COORDS,
                      default=params.DEFAULT_COORD, key: str = "dropoff_loc") -> DataFrame:
-    """Add lat/lon by zone id from a fixed id -> (lat, lon) map, else the default.
+    """Add lat/lon by zone id, falling back to the default point.
 
-    The map is a literal of a few entries, so this is an expression lookup:
-    no join and no broadcast.
+    `coords` is either a fixed id -> (lat, lon) dict, applied as a literal map
+    lookup (no join), or a DataFrame (zone_id, lat, lon), joined left after a
+    bounded size check.
     """
+    if not isinstance(coords, dict):
+        c = coords.select(F.col("zone_id").alias("_zid"), F.col("lat").alias("_lat"),
+                          F.col("lon").alias("_lon"))
+        joined = border.join(maybe_broadcast(c), border[key] == c["_zid"], "left")
+        return (joined.withColumns({"lat": F.coalesce(F.col("_lat"), F.lit(float(default[0]))),
+                                    "lon": F.coalesce(F.col("_lon"), F.lit(float(default[1])))})
+                .drop("_zid", "_lat", "_lon"))
+
     def lookup(i):
         m = F.create_map(*[x for zid, ll in sorted(coords.items())
                            for x in (F.lit(int(zid)), F.lit(float(ll[i])))])

@@ -203,3 +203,14 @@ def test_zone_names_dict_equals_lookup_join(spark):
     b = profile.with_zone_names(border, zsrc.roster_lookup(spark)).orderBy("pct_change").collect()
     assert [(r.LocationID, r.zone_name) for r in a] == [(r.LocationID, r.zone_name) for r in b]
     assert a[0].zone_name == "Lincoln Square East" and a[1].LocationID is None
+
+
+def test_coordinates_dict_equals_join(spark):
+    from cordon.sources import zones as zsrc
+    border = spark.createDataFrame([(142, 1.0), (999, 2.0), (None, 3.0)],
+                                   "dropoff_loc int, pct_change double")
+    a = profile.with_coordinates(border).orderBy("pct_change").collect()
+    b = profile.with_coordinates(border, zsrc.coordinates(spark)).orderBy("pct_change").collect()
+    assert [(r.lat, r.lon) for r in a] == [(r.lat, r.lon) for r in b]
+    assert (a[0].lat, a[0].lon) == params.BORDER_COORDS[142]
+    assert (a[1].lat, a[1].lon) == params.DEFAULT_COORD == (a[2].lat, a[2].lon)
