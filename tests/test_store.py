@@ -77,3 +77,12 @@ def test_second_process_view_reuses_committed_table(spark, sf_copy, root):
     b = store.flagged_table(spark, sf_copy)
     (name,) = _tables(root)
     assert len(_writers(root, name)) == 1 and a.count() == b.count()
+
+
+def test_parallel_callers_write_once(spark, sf_copy, root):
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(4) as pool:
+        frames = list(pool.map(lambda _: store.flagged_table(spark, sf_copy), range(4)))
+    (name,) = _tables(root)
+    assert len(_writers(root, name)) == 1
+    assert all(f is frames[0] for f in frames)
