@@ -32,7 +32,9 @@ BASE_PARTITION = "year"
 
 
 def with_year(base: DataFrame) -> DataFrame:
-    return base.withColumn(BASE_PARTITION, F.year("date"))
+    """Add the year partition column; rows cluster by date within each task."""
+    return (base.withColumn(BASE_PARTITION, F.year("date"))
+            .sortWithinPartitions(BASE_PARTITION, "date"))
 
 
 def _prune(base: DataFrame, years=None, min_year=None) -> DataFrame:
