@@ -36,3 +36,17 @@ def test_trip_scans_are_pruned(spark, name):
         cols = [c.split(":")[0] for c in schema.split(",")]
         # the flagged table has 14 columns; no aggregate needs more than 8
         assert len(cols) <= 8, (name, cols)
+
+
+@pytest.mark.parametrize("name", ["daily_trips", "monthly_tips", "hourly_speeds_q1_2025",
+                                  "surcharge_revenue", "border_effect", "december_imputed",
+                                  "daily_trips_fused", "hourly_speeds_q1_2025_fused"])
+def test_year_scoped_queries_prune_partitions(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        plan = _plan(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert filters and all(("pickup_year" in f or "year" in f) for f in filters if f), (name, filters)
+    assert any(f for f in filters), (name, filters)
