@@ -19,7 +19,7 @@ from cordon.operators import flag as fl
 from cordon.operators import impute, profile, summary, weather as wx, zone
 from cordon.plans import fused, store
 from cordon.plans.report import report_rows
-from cordon.sources import adapter, catalog, zones
+from cordon.sources import adapter, catalog
 
 
 _LOG = logging.getLogger(__name__)
