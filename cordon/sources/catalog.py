@@ -82,9 +82,15 @@ def parse_links(links: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def list_files(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
-    """File listing (path, length, modificationTime); file contents are never read."""
+    """File listing (path, length, modificationTime); file contents are never read.
+
+    The file source plans one split per file by size even when only metadata
+    is selected; coalescing (no shuffle) to the cluster's parallelism keeps a
+    listing of many large files from becoming one task per file.
+    """
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-            .load(directory).select("path", "length", "modificationTime"))
+            .load(directory).select("path", "length", "modificationTime")
+            .coalesce(max(1, spark.sparkContext.defaultParallelism)))
 
 
 def local_catalog(spark: SparkSession, directory: str) -> DataFrame:
