@@ -159,8 +159,9 @@ def fetch_plan(online: DataFrame, local: DataFrame, years: Iterable[int],
     wanted = sorted(set(int(y) for y in years) | set(int(y) for y in comparison_years))
     keys = ["taxi_type", "year", "month"]
     have = local.filter(F.col("taxi_type").isNotNull()).select(*keys)
-    return (online.filter(F.col("year").isin(wanted))
-            .select(*keys, "url").dropDuplicates(keys)
+    name = F.format_string(params.TRIP_FILE_FORMAT, F.col("taxi_type"), F.col("year"), F.col("month"))
+    # The download address is built from the file name, not taken from a scraped link.
+    return (online.filter(F.col("year").isin(wanted)).select(*keys).distinct()
             .join(have, keys, "left_anti")
-            .withColumn("file_name", F.format_string(
-                params.TRIP_FILE_FORMAT, F.col("taxi_type"), F.col("year"), F.col("month"))))
+            .withColumn("file_name", name)
+            .withColumn("url", F.concat(F.lit(params.TRIP_FILE_HOST + params.TRIP_FILE_DIR), name)))

@@ -80,9 +80,11 @@ def test_fetch_plan_skips_local_and_other_years(spark):
     local = spark.createDataFrame([("green", 2025, 2), (None, None, None)],
                                   "taxi_type string, year int, month int")
     plan = catalog.fetch_plan(online, local, [2025], [2024])
-    got = sorted((r.taxi_type, r.year, r.month, r.file_name) for r in plan.collect())
-    assert got == [("yellow", 2024, 12, "yellow_tripdata_2024-12.parquet"),
-                   ("yellow", 2025, 1, "yellow_tripdata_2025-01.parquet")]
+    got = sorted((r.taxi_type, r.year, r.month, r.file_name, r.url) for r in plan.collect())
+    assert got == [("yellow", 2024, 12, "yellow_tripdata_2024-12.parquet",
+                    f"{HOST}/trip-data/yellow_tripdata_2024-12.parquet"),
+                   ("yellow", 2025, 1, "yellow_tripdata_2025-01.parquet",
+                    f"{HOST}/trip-data/yellow_tripdata_2025-01.parquet")]
 
 
 def test_labels(spark):
