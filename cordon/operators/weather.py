@@ -34,11 +34,16 @@ def month_weather_trips(weather: DataFrame, daily: DataFrame, month: int) -> Dat
     return pick(weather).select("date", "precipitation_mm").join(pick(daily), "date", "inner")
 
 
-def wettest_month_trips(weather: DataFrame, daily: DataFrame) -> DataFrame:
-    """Daily rows of the wettest month joined with trips (month found on the cluster)."""
-    wet = wettest_month(weather).select(F.col("month").alias("_wet"))  # one row by construction
+def wettest_month_trips(weather: DataFrame, daily: DataFrame, from_joined: bool = False) -> DataFrame:
+    """Daily rows of the wettest month joined with trips (month found on the cluster).
+
+    The wettest month comes from the whole weather series, or with
+    ``from_joined`` from the joined days only (as the page computes it).
+    """
     joined = weather.select("date", "precipitation_mm").join(daily, "date", "inner")
-    return (joined.join(F.broadcast(wet), F.month("date") == F.col("_wet"), "left_semi"))
+    source = joined if from_joined else weather
+    wet = wettest_month(source).select(F.col("month").alias("_wet"))  # one row by construction
+    return joined.join(F.broadcast(wet), F.month("date") == F.col("_wet"), "left_semi")
 
 
 def rain_elasticity(weather: DataFrame, daily: DataFrame, predictor: str = "precipitation_mm",

@@ -161,3 +161,12 @@ def test_describe_files(spark, tmp_path):
     y1 = {r.column_name: r.column_type for r in rows if r.path.endswith("yellow_tripdata_2025-01.parquet")}
     assert y1["VendorID"] == "int32" and y1["tpep_pickup_datetime"] == "timestamp[us]"
     assert len({r.path for r in rows}) == 4
+
+
+def test_wettest_month_from_joined_days(spark):
+    from cordon.operators import weather as wx
+    w = spark.createDataFrame([(dt.date(2025, 5, 1), 3.0, 3.0), (dt.date(2025, 6, 1), 9.0, 9.0)],
+                              "date date, precipitation_mm double, rain_mm double")
+    d = spark.createDataFrame([(dt.date(2025, 5, 1), 10)], "date date, trip_count bigint")
+    assert wx.wettest_month_trips(w, d).count() == 0  # June is wettest but has no trips
+    assert [r.date for r in wx.wettest_month_trips(w, d, from_joined=True).collect()] == [dt.date(2025, 5, 1)]
