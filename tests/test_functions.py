@@ -94,3 +94,20 @@ def test_queries_same_under_any_session_zone(spark, name, monkeypatch):
         spark.conf.set("spark.sql.session.timeZone", old)
     ok, msg = diffcheck.compare(rows_a, a.columns, rows_b, b.columns)
     assert ok, msg
+
+
+def test_cluster_conf_is_coherent(spark):
+    from cordon.session import cluster_conf
+    conf = cluster_conf(executors=1000, cores_per_executor=4)
+    assert conf["spark.sql.shuffle.partitions"] == "12000"
+    assert conf["spark.sql.adaptive.enabled"] == "true"
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(conf["spark.sql.files.maxPartitionBytes"]) == 256 * 1024 * 1024
+    for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"):
+        old = spark.conf.get(k, None)
+        spark.conf.set(k, conf[k])
+        assert spark.conf.get(k) == conf[k]
+        if old is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, old)
