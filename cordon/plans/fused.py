@@ -178,3 +178,16 @@ def border_effect(base: DataFrame, before: int = params.COMPARISON_YEAR,
                  F.sum(F.when(year == after, F.col("n")).otherwise(0)).cast("long").alias(f"count_{after}"))
             .withColumn("pct_change", pct_change(f"count_{before}", f"count_{after}"))
             .orderBy(F.desc("pct_change"), F.asc("dropoff_loc")))
+
+
+def velocity_cells(base: DataFrame, years, quarter: int = 1,
+                   ids=params.CONGESTION_ZONE_IDS) -> DataFrame:
+    """(year, hour, day_of_week) speed cells of one quarter in several years."""
+    cond = None
+    for y in years:
+        c = _quarter(int(y), quarter)
+        cond = c if cond is None else (cond | c)
+    return (_prune(base, list(years)).filter(cond & in_zone("pickup_loc", ids) & in_zone("dropoff_loc", ids))
+            .groupBy(F.year("date").alias("year"), "hour", "day_of_week")
+            .agg(F.try_divide(F.sum("sum_speed"), F.sum("n_speed")).alias("avg_speed_mph"),
+                 _n().alias("trip_count")))

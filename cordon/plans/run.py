@@ -117,7 +117,9 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
     # Page figures, folded from the small results above.
     small[f"velocity_pivot_q1_{comparison}"] = summary.velocity_pivot(ops["speeds_before"])
     small[f"velocity_pivot_q1_{year}"] = summary.velocity_pivot(ops["speeds_after"])
-    small["velocity_change"] = summary.velocity_change(clean, comparison, year)
+    small["velocity_change"] = summary.cells_change(
+        fz.velocity_cells(base, [comparison, year]) if fused
+        else summary.velocity_cells(clean, [comparison, year]), comparison, year)
     small["tip_change"] = summary.tip_change(ops["monthly"])
     small["border_summary"] = summary.border_summary(border)
     if weather is not None:

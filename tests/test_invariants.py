@@ -75,3 +75,16 @@ def test_fused_equals_direct(spark, sf):
         ok, msg = diffcheck.compare([tuple(r) for r in a.collect()], a.columns,
                                     [tuple(r) for r in b.collect()], b.columns)
         assert ok, (name, msg)
+
+
+def test_fused_velocity_cells_equal_direct(spark, sf):
+    import diffcheck
+    from cordon.operators import summary
+    from cordon.plans import fused, store
+    base = store.base_table(spark, sf)
+    clean = fl.clean(store.flagged_table(spark, sf))
+    a = summary.cells_change(fused.velocity_cells(base, [2024, 2025]), 2024, 2025)
+    b = summary.velocity_change(clean)
+    ok, msg = diffcheck.compare([tuple(r) for r in a.collect()], a.columns,
+                                [tuple(r) for r in b.collect()], b.columns)
+    assert ok, msg
