@@ -397,5 +397,5 @@ SELECT bool_or(month = 12) IS TRUE AS needs_imputation FROM missing""",
 # The fused variants answer the same questions as the direct operators.
 for _name in ["surcharge_compliance", "missing_surcharge_locations", "quarterly_volumes",
               "zone_direction_summary", "surcharge_revenue", "hourly_speeds_q1_2025",
-              "daily_trips", "monthly_tips", "border_effect"]:
+              "daily_trips", "monthly_tips", "border_effect", "velocity_change"]:
     ORACLE[f"{_name}_fused"] = ORACLE[_name]

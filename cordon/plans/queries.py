@@ -177,6 +177,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hourly_speeds_q1_2025_fused": lambda s, sf: fused.hourly_speeds(_base(s, sf), 2025, 1),
     "daily_trips_fused": lambda s, sf: fused.daily_trips(_base(s, sf)),
     "monthly_tips_fused": lambda s, sf: fused.monthly_tips(_base(s, sf)),
+    "velocity_change_fused": lambda s, sf: summary.cells_change(
+        fused.velocity_cells(_base(s, sf), [2024, 2025]), 2024, 2025),
     "border_effect_fused": lambda s, sf: profile.border_markers(profile.with_zone_names(
         profile.with_coordinates(fused.border_effect(_base(s, sf))),
         params.ZONE_NAMES)),
