@@ -77,7 +77,7 @@ def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U))
 
 
-def _pieces(data: np.ndarray, separators: bytes) -> Iterator[tuple[int, int]]:
+def pieces(data: np.ndarray, separators: bytes) -> Iterator[tuple[int, int]]:
     """Ranges of about PIECE bytes, ended at a separator."""
     table, at = _TABLES[separators], 0
     while at < len(data):
@@ -99,6 +99,14 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def words_at(data: np.ndarray, separators: bytes = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Word fingerprints of one text of bounded size, and where each word starts."""
+    if not len(data):
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    starts, ends = _cut(data, np.zeros(1, np.int64), separators)
+    return _hash(data, starts, ends), starts
+
+
 def word_hashes(column: pa.Array, separators: bytes = SPACE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, word fingerprints in text order) for each row."""
     data, offsets = texts(column)
@@ -108,7 +116,7 @@ def word_hashes(column: pa.Array, separators: bytes = SPACE) -> Iterator[tuple[i
         if to <= row:  # one text longer than a piece
             own = data[offsets[row]: offsets[row + 1]]
             parts = []
-            for a, b in _pieces(own, separators):
+            for a, b in pieces(own, separators):
                 starts, ends = _cut(own[a:b], np.zeros(1, np.int64), separators)
                 parts.append(_hash(own[a:b], starts, ends))
             yield row, np.concatenate(parts)
