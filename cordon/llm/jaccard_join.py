@@ -15,7 +15,8 @@ How the work is laid out
    A class indexes ``|x| - ceil(t|x|) + l`` tokens.
 3. *Candidate families.* Tokens that few classes index give pairs, which are counted and
    kept if they can reach ``l``. Tokens that many classes index give only one edge per
-   member, to the group's least class, never all pairs. The connected components of these
+   member, to the group's least class, never all pairs, and only to members that could
+   reach ``l`` by such tokens alone. The connected components of these
    edges are families: any two linked sets lie in one family.
 4. *Other orders, verification.* A family's sets meet in units of bounded rows and
    bytes (large families: blocks within and between neighbouring length bands). In a unit a
@@ -137,16 +138,17 @@ def _edges(index: DataFrame, percent: int) -> DataFrame:
     """Candidate edges ``(a, b)``: counted pairs of rare tokens, star edges of common ones."""
     token = W.partitionBy("token")
     # A token of no heavy bucket is in fewer sets than twice the mean bucket holds, so these groups are bounded.
-    rare = (index.where("NOT heavy").dropDuplicates(["token", "k"])
-            .withColumn("m", F.count("*").over(token)).withColumn("first", F.min("k").over(token)).where("m > 1"))
+    rare = (index.where("NOT heavy").select("token", "k", "n").repartition("token").dropDuplicates(["token", "k"])
+            .withColumn("m", F.count("*").over(token)).where("m > 1"))
     rare = written(rare, "rare")
     few, many = rare.where(F.col("m") <= HOT).select("token", "k", "n"), rare.where(F.col("m") > HOT)
-    heavy = index.where("heavy").select("token", "k")
-    heads = heavy.groupBy("token").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last")
-    stars = (heavy.join(heads, "token").select("first", "k").unionByName(many.select("first", "k"))
-             .where("first <> k").distinct().select(F.col("first").alias("a"), F.col("k").alias("b")))
-    common = (heavy.unionByName(many.select("token", "k")).distinct()
-              .groupBy("k").agg(F.count("*").cast("long").alias("common")))
+    hot = index.where("heavy").select("token", "k", "n").unionByName(many.select("token", "k", "n"))
+    common = written(hot.groupBy("k").agg(F.count("*").alias("common"), F.first("n").alias("n")), "common")
+    # A set whose common tokens alone can't reach l meets each linked set at a rare token too.
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA)
+    starred = hot.select("token", "k").join(common.where(F.col("common") >= least).select("k"), "k")
+    heads = starred.groupBy("token").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last")
+    stars = (starred.join(heads, "token").where("first <> k").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct())
     x, y = few.select("token", F.col("k").alias("a"), F.col("n").alias("na")), few.select("token", F.col("k").alias("b"), F.col("n").alias("nb"))
     near = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     pairs = (x.join(y, "token").where(near).groupBy("a", "b")
@@ -320,3 +322,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all ``documents`` at 4-word shingles and Jaccard 0.85."""
     return jaccard_components(read(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))) END AS g FROM w),
+c AS (SELECT min(doc_id) AS id, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+t AS (SELECT id, n, unnest(g) AS x FROM c),
+p AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.x = b.x AND a.id <> b.id
+      GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(id, v) AS (SELECT id, id FROM c UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.v),
+m AS (SELECT id, min(v) AS component_id FROM r GROUP BY id),
+d AS (SELECT a AS id, count(*) AS n_links FROM p GROUP BY a)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, coalesce(d.n_links, 0)::BIGINT AS n_links
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN m ON m.id = c.id LEFT JOIN d ON d.id = c.id
+"""
