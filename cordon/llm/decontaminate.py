@@ -77,8 +77,11 @@ class Block:
         return self.items[pick], np.repeat(maybe, n), self.places[pick]
 
 
-def tiles(i: np.ndarray, j: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles ``(start in text, start in item, length)`` from seed positions; longest first, ties to the front."""
+def tiles(i: np.ndarray, j: np.ndarray, min_match: int, item_length: int = 1 << 60) -> list[tuple[int, int, int]]:
+    """Greedy tiles ``(start in text, start in item, length)`` from seed positions; longest first, ties to the front.
+
+    Ends early once the item has no room for another tile.
+    """
     by = np.lexsort((i, i - j))
     i, j = i[by], j[by]
     breaks = np.flatnonzero((np.diff(i) != 1) | (np.diff(i - j) != 0)) + 1
@@ -86,7 +89,7 @@ def tiles(i: np.ndarray, j: np.ndarray, min_match: int) -> list[tuple[int, int,
     queue = [(-(int(b - a) + min_match - 1), int(i[a]), int(j[a])) for a, b in zip(first, last, strict=True)]
     heapq.heapify(queue)
     in_text, in_item, out = set(), set(), []
-    while queue:
+    while queue and item_length - len(in_item) >= min_match:
         length, x, y = heapq.heappop(queue)
         length = -length
         free = [x + k not in in_text and y + k not in in_item for k in range(length)]
@@ -118,7 +121,7 @@ def leaks(words: np.ndarray, block: Block, coverage: float) -> Iterator[tuple[in
         # The seeds' union in the item bounds its coverage from above.
         if np.minimum(np.diff(reach), block.min_match).sum() + block.min_match < need:
             continue
-        found = tiles(i[own], j[own], block.min_match)
+        found = tiles(i[own], j[own], block.min_match, int(block.lengths[one]))
         covered = sum(t[2] for t in found)
         if covered >= need:
             yield int(one), covered / int(block.lengths[one]), len(found), max(t[2] for t in found)

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from .tables import read, written
 
 #: Records of one URL in a time slice, about (exactly, if its captures are evenly spread).
-SLICE = 5000
+SLICE = 500
 #: Fields of a stored response that a not-modified answer must not replace, in lower case (fixed values).
 KEPT = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
         "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")

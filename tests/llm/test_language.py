@@ -1,0 +1,96 @@
+"""Language fusion: the posterior against a plain computation, evidence without text, held-out accuracy, edge rows."""
+
+import math
+
+import numpy as np
+from conftest import SF001
+from llm.frames import docs, prose
+from pyspark.sql import functions as F
+
+from cordon.llm import language_id as g
+from cordon.llm.tables import read
+
+EN, FR = "the house of the king and the queen with their dogs ", "la maison du roi et de la reine avec leurs chiens "
+ROWS = [(k, EN * 3 + prose(k, 5), "s", "en") for k in range(8)] + [(20 + k, FR * 3 + prose(k, 5), "s", "FR ") for k in range(8)] + [(50, None, "s", "en"), (51, "x", "s", None)]
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def page(text, lang=None, extra=""):
+    return f"<html{f' lang={chr(34)}{lang}{chr(34)}' if lang else ''}><head><title>t</title><script>var the='the';</script></head><body>{extra}<p>{text}</p></body></html>"
+
+
+PAGES = ([(k, f"https://a.example.org/en/{k}", page(EN, "en-GB")) for k in range(5)] + [(10 + k, f"http://b.example.fr/{k}", page(FR, "fr")) for k in range(5)]
+         + [(20, "http://b.example.fr/x", page("", None)), (21, "https://a.example.org/y", None), (22, None, page(FR)), (23, None, None), (24, "http://c.example.fr/z", page(EN, "fr")),
+            (25, "b.example.fr", ""), (0, "https://a.example.org/en/0", page(EN, "en-GB"))])
+
+
+def plain(rows, langs):
+    """The posterior by loops over the evidence rows."""
+    t = [None if r.n == 0 else int(np.argmax(r.ll)) for r in rows]
+    count = lambda key, v, j: sum(1 for r, x in zip(rows, t) if v is not None and getattr(r, key) == v and x == j)
+    total = [sum(x == j for x in t) for j in range(len(langs))]
+    kinds = {key: max(1, len({getattr(r, key) for r, x in zip(rows, t) if x is not None and getattr(r, key) is not None})) for key in ("declared", "suffix")}
+    out = []
+    for r, x in zip(rows, t):
+        s = []
+        for j in range(len(langs)):
+            own = int(x == j)
+            p_all = (total[j] + g.TO_EVEN) / (sum(total) + g.TO_EVEN * len(langs))
+            p = p_all
+            for key, weight in (("site", g.TO_ALL), ("host", g.TO_SITE)):
+                v = getattr(r, key)
+                n = [count(key, v, k) for k in range(len(langs))]
+                mine = own if sum(n) else 0
+                p = (n[j] - mine + weight * p) / (sum(n) - (int(x is not None) if sum(n) else 0) + weight)
+            score = math.log(p) + r.ll[j]
+            for key in ("declared", "suffix"):
+                if getattr(r, key) is not None:
+                    score += math.log((count(key, getattr(r, key), j) + 1) / (total[j] + kinds[key] + 1))
+            s.append(score)
+        top = max(s)
+        out.append((r.page_id, langs[s.index(top)], 1 / sum(math.exp(x - top) for x in s)))
+    return out
+
+
+def test_posterior_equals_a_plain_computation(spark):
+    langs, model = g.text_model(docs(spark, ROWS))
+    assert langs == ["en", "fr"]
+    ev = g.evidence(pages(spark, PAGES).withColumn("host", F.lit(1)).withColumn("n", F.lit(2)), langs, model)
+    rows = ev.collect()
+    got = sorted((r.page_id, r.lang, round(r.probability, 9)) for r in g.fuse(spark.createDataFrame(rows, ev.schema), langs).collect())
+    assert got == sorted((i, lang, round(p, 9)) for i, lang, p in plain(rows, langs))
+    by = {i: lang for i, lang, _ in got}
+    assert len(got) == len(PAGES)
+    assert [by[k] for k in (0, 10, 20, 21, 22)] == ["en", "fr", "fr", "en", "fr"]
+
+
+def test_declared_and_host(spark):
+    df = pages(spark, [(1, "HTTP://User@Www.X.org:80/p", "<!doctype html><HTML class='a' LANG = 'De-at'>"), (2, "x", "<html data-lang='fr'>"), (3, None, None)])
+    got = [tuple(r) for r in df.select(g.host_of(F.col("url")), g.declared(F.col("html"))).collect()]
+    assert got == [("www.x.org", "de"), (None, None), (None, None)]
+
+
+def test_held_out_accuracy(spark):
+    """Trained on even ids, the text model names the language of odd ones."""
+    d = read(spark, SF001, "documents")
+    langs, model = g.text_model(d.where("doc_id % 2 = 0"))
+    rows = g.evidence(d.where("doc_id % 2 = 1 AND n_chars > 100").selectExpr("doc_id AS page_id", "CAST(NULL AS STRING) AS url", "text AS html"), langs, model).collect()
+    truth = {r.doc_id: r.lang for r in d.collect()}
+    hits = sum(langs[int(np.argmax(r.ll))] == truth[r.page_id] for r in rows)
+    assert hits >= 0.95 * len(rows)
+
+
+def test_empty_tables(spark):
+    assert g.identify(pages(spark, []), docs(spark, ROWS)).count() == 0
+    none = g.identify(pages(spark, PAGES), docs(spark, [])).collect()
+    assert len(none) == len(PAGES) and all(r.lang is None for r in none)
+
+
+def test_long_text_in_pieces(monkeypatch):
+    data = np.frombuffer((EN * 50).encode(), np.uint8)
+    whole = g.trigrams(data)
+    monkeypatch.setattr(g, "PIECE", 64)
+    assert abs(g.trigrams(data).sum() - whole.sum()) <= 0.05 * whole.sum()

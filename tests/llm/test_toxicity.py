@@ -1,0 +1,90 @@
+"""The ordinal model: thresholds, a fit against a plain optimum, held-out accuracy, edge rows."""
+
+import random
+
+import numpy as np
+import pytest
+from conftest import SF01
+from llm.frames import docs, prose
+
+from cordon.llm import toxicity as t
+from cordon.llm.tables import read
+
+
+def labelled(n, seed=0):
+    """Grade 0 without a bad word; more of them, a higher grade."""
+    rng, rows, grades = random.Random(seed), [], []
+    for k in range(n):
+        g = rng.choice([0, 0, 0, 1, 2])
+        words = prose(seed * 10_000 + k, 60, 400).split()
+        for _ in range({0: 0, 1: 1, 2: 4}[g]):
+            words.insert(rng.randrange(len(words)), rng.choice(["nasty", "vile", "foul", "rotten", "awful", "mean"]))
+        rows.append((k, " ".join(words)))
+        grades.append((k, g))
+    return rows, grades
+
+
+def test_held_out_accuracy_and_severity(spark):
+    rows, grades = labelled(900)
+    model = t.train(docs(spark, rows), spark.createDataFrame(grades, "doc_id long, grade int"), 3)
+    assert (np.diff(model.thresholds) >= 0).all()
+    new, truth = labelled(300, seed=1)
+    got = {r.doc_id: r for r in t.scored(docs(spark, new), model, 3).collect()}
+    wrong = sum((got[k].p_toxic >= 0.5) != (g > 0) for k, g in truth)
+    assert wrong <= 6
+    mean = [np.mean([got[k].expected_severity for k, g in truth if g == c]) for c in range(3)]
+    assert mean[0] < 0.2 and mean[0] < mean[1] < mean[2]
+    assert all(0 <= r.expected_severity <= 2 for r in got.values())
+
+
+def test_fit_matches_a_plain_search():
+    """One word, two grades: the optimum of the penalised likelihood by a grid."""
+    word = np.array([7], np.uint64)
+    texts = [word] * 30 + [np.zeros(0, np.uint64)] * 70
+    y = np.array([1] * 24 + [0] * 6 + [1] * 7 + [0] * 63)
+    m = t.fit(texts, y, 2)
+
+    def loss(w, theta):
+        z = np.array([w] * 30 + [0.0] * 70) - theta
+        return np.mean(np.log1p(np.exp(-z)) * (y == 1) + np.log1p(np.exp(z)) * (y == 0)) + t.L1 * abs(w)
+
+    best = min(((loss(w, th), w, th) for w in np.linspace(2, 5, 301) for th in np.linspace(1, 3, 201)))
+    assert loss(m.weights[0], m.thresholds[0]) <= best[0] + 1e-7
+
+
+def test_copies_share_a_vote():
+    rng = np.random.default_rng(0)
+    texts = [np.unique(rng.integers(0, 300, 30).astype(np.uint64)) for _ in range(200)]
+    y = np.array([int(5 in x) for x in texts])
+    copies = np.arange(200)
+    wrong = np.unique(rng.integers(1000, 1010, 8).astype(np.uint64))
+    m = t.fit(texts + [wrong] * 40, np.append(y, [1] * 40), 2, np.append(copies, [999] * 40))
+    assert not set(wrong.tolist()) & set(m.words.tolist())
+
+
+def test_edges(spark):
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = [(1, None), (2, ""), (None, "a"), (3, "a b"), (3, "a b"), (4, prose(1, 50_000))]
+    got = t.severities(docs(spark, rows).selectExpr("*", "1 AS grade"), empty).collect()
+    assert len(got) == 6 and all(r.toxic == 0 and r.grade == 0 for r in got)
+    one = spark.createDataFrame([(3, 1, 1), (3, 1, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    assert t.severities(docs(spark, rows), one).count() == 6
+    assert t.severities(docs(spark, []), one).count() == 0
+    kept = t.not_toxic(docs(spark, rows), empty)
+    assert kept.count() == 6 and kept.columns == docs(spark, rows).columns
+
+
+def test_labels_on_held_out_rows(spark):
+    """Fitted on one half of the given labels, marks of the other half are met."""
+    d, labels = read(spark, SF01, "documents"), read(spark, SF01, "labels").where("toxic IS NOT NULL")
+    model = t.toxicity_model(d, labels.where("doc_id % 2 = 0"))
+    rows = (t.scored(d, model, t.GRADES).join(labels.where("doc_id % 2 = 1"), "doc_id").join(d.select("doc_id", "lang"), "doc_id").where("lang = 'en'")
+            .selectExpr("p_toxic >= 0.5 AS p", "toxic = 1 AS y").collect())
+    hit, out = sum(r.p and r.y for r in rows), sum(r.p for r in rows)
+    assert hit >= 0.7 * sum(r.y for r in rows) and hit >= 0.9 * out
+
+
+def test_probabilities_follow_the_thresholds():
+    m = t.Model(np.zeros(0, np.uint64), np.zeros(0), np.array([1.0, 2.0, 4.0]))
+    above = m.above(2.0)
+    assert above[1] == pytest.approx(0.5) and (np.diff(above) < 0).all()
