@@ -28,32 +28,12 @@ UPPER_MANHATTAN_IDS = [
 # Island zones appended to the all-Manhattan roster.
 ISLAND_IDS = [103, 104, 105]
 
-# Zone names for the roster ids above, id -> name.
+# Names of the border zones, id -> name; other names come from the zone lookup.
 ZONE_NAMES = {
-    4: "Alphabet City", 12: "Battery Park", 13: "Battery Park City",
-    43: "Central Park", 45: "Chinatown", 48: "Clinton East", 50: "Clinton West",
-    68: "East Chelsea", 79: "East Village", 87: "Financial District North",
-    88: "Financial District South", 90: "Flatiron", 100: "Garment District",
-    107: "Gramercy", 113: "Greenwich Village North", 114: "Greenwich Village South",
-    125: "Hudson Sq", 137: "Kips Bay", 140: "Lenox Hill East", 141: "Lenox Hill West",
-    144: "Little Italy/NoLiTa", 148: "Lower East Side",
-    158: "Meatpacking/West Village West", 161: "Midtown Center", 162: "Midtown East",
-    163: "Midtown North", 164: "Midtown South", 170: "Murray Hill",
-    186: "Penn Station/Madison Sq West", 209: "Seaport", 211: "SoHo",
-    224: "Stuy Town/Peter Cooper Village", 229: "Sutton Place/Turtle Bay North",
-    230: "Times Sq/Theatre District", 231: "TriBeCa/Civic Center",
-    232: "Two Bridges/Seward Park", 233: "UN/Turtle Bay South", 234: "Union Sq",
-    246: "West Chelsea/Hudson Yards", 249: "West Village", 261: "World Trade Center",
     142: "Lincoln Square East", 143: "Lincoln Square West", 151: "Manhattan Valley",
     236: "Upper East Side North", 237: "Upper East Side South",
     238: "Upper West Side North", 239: "Upper West Side South",
     262: "Yorkville East", 263: "Yorkville West",
-    24: "Bloomingdale", 41: "Central Harlem", 42: "Central Harlem North",
-    74: "East Harlem North", 75: "East Harlem South", 116: "Hamilton Heights",
-    120: "Highbridge Park", 127: "Inwood", 128: "Inwood Hill Park",
-    152: "Manhattanville", 153: "Marble Hill", 166: "Morningside Heights",
-    194: "Randalls Island", 202: "Roosevelt Island",
-    243: "Washington Heights North", 244: "Washington Heights South",
 }
 
 # Map coordinates of the border zones, id -> (lat, lon), and the default.

@@ -11,6 +11,7 @@ file; nothing trip-level passes through the driver.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cordon import params
 from cordon.operators import flag as fl
@@ -22,8 +23,12 @@ from cordon.sources import catalog, trips, zones
 
 
 def write_small(df: DataFrame, path: str) -> str:
-    """CSV with header, one file: only for results of bounded size."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header, one file: only for results of bounded size.
+
+    Repartitioned, not coalesced: the last aggregation keeps its tasks.
+    """
+    ordered = df.withColumn("_ord", F.monotonically_increasing_id())
+    ordered.repartition(1).sortWithinPartitions("_ord").drop("_ord").write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
@@ -44,16 +49,18 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
     paths["file_check"] = f"{out}/file_check"
     trips.validate_files(spark, trips_dir).write.mode("overwrite").parquet(paths["file_check"])
 
-    # Steps 2-3: unify the files that passed the footer check, flag, and
-    # materialise once; lineage ends here. Only file paths reach the driver.
-    ok = (spark.read.parquet(paths["file_check"]).filter("ok")
-          .select("taxi_type", "path").collect())
-    frames = [trips.read_type(spark, [r.path for r in ok if r.taxi_type == t], t)
-              for t in params.TAXI_TYPES if any(r.taxi_type == t for r in ok)]
-    if not frames:
+    # Steps 2-3: a footer that can't be read stops the run. Trip files without a pickup
+    # column are left out and reported with their rows; then flag, and materialise once.
+    check = spark.read.parquet(paths["file_check"])
+    unread = check.filter(F.col("error").isNotNull()).orderBy("path").limit(5).collect()
+    if unread:
+        raise ValueError("trip files whose footer can't be read: " + "; ".join(f"{r.path} ({r.error})" for r in unread))
+    if not check.filter("ok").limit(1).collect():
         raise ValueError(f"no readable yellow or green trip files under {trips_dir}")
+    skipped = check.filter("NOT ok AND taxi_type IS NOT NULL").select("path", "n_rows")
     paths["flagged"] = f"{out}/flagged"
-    write_flagged(fl.flag(trips.unify(*frames)), paths["flagged"])
+    some = skipped.limit(1).count() > 0
+    write_flagged(fl.flag(trips.read_directory(spark, trips_dir, skipped if some else None)), paths["flagged"])
     flagged = spark.read.parquet(paths["flagged"])
     clean = fl.clean(flagged)
     paths["ghost_audit"] = fl.save_audit(flagged, f"{out}/audit/ghost_trips")
@@ -62,7 +69,7 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
     if fused:
         paths["base"] = f"{out}/base"
         (fz.with_year(fz.base_aggregate(clean)).write.mode("overwrite")
-         .partitionBy(fz.BASE_PARTITION).parquet(paths["base"]))
+         .option("partitionOverwriteMode", "static").partitionBy(*fz.BASE_PARTITION).parquet(paths["base"]))
         base = spark.read.parquet(paths["base"])
         ops = dict(
             compliance=fz.surcharge_compliance(base),
@@ -105,14 +112,24 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
         f"daily_trips_{year}": daily,
         "tips_surcharge": ops["monthly"],
         "border_effect": border,
-        f"december_{year}_imputed": impute.impute_month(
-            unflagged(flagged), 12, (comparison - 1, comparison)),
+        "skipped_files": skipped.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("trips")),
     }
+    # Months at hand and missing; the missing month is imputed only where it is missing.
+    at_hand = catalog.available_months(spark.read.parquet(paths["catalog"]).join(skipped.select("path"), "path", "left_anti"))
+    month_of = F.explode("months").alias("month")
+    missing = catalog.missing_from_expected(
+        catalog.expected_catalog(spark, [year]), at_hand.select("year", "taxi_type", month_of))
+    small["available_months"] = at_hand.select("year", "taxi_type", month_of).orderBy("year", "taxi_type", "month")
+    small["missing_months"] = missing.orderBy("year", "taxi_type", "month")
+    if catalog.needs_imputation(missing, 12).first()[0]:
+        small[f"december_{year}_imputed"] = impute.impute_month(
+            unflagged(flagged), 12, (comparison - 1, comparison))
     sections = {
         "total_surcharge_revenue": small["surcharge_revenue"],
         "suspicious_vendors": small["suspicious_vendors"],
         "compliance_rate": small["compliance"],
         "missing_surcharge_locations": small["missing_surcharge_locations"],
+        "skipped_files": small["skipped_files"],
     }
     # Page figures, folded from the small results above.
     small[f"velocity_pivot_q1_{comparison}"] = summary.velocity_pivot(ops["speeds_before"])
@@ -134,11 +151,11 @@ def run(spark: SparkSession, trips_dir: str, out_dir: str, lookup_path: str | No
 
     rows = report_rows(sections)
     paths["report_rows"] = f"{out}/report/rows"
-    rows.coalesce(1).write.mode("overwrite").json(paths["report_rows"])
+    rows.repartition(1).write.mode("overwrite").json(paths["report_rows"])
     paths["report"] = f"{out}/report/sections"
-    report_json(rows).coalesce(1).write.mode("overwrite").json(paths["report"])
+    report_json(sections).repartition(1).write.mode("overwrite").json(paths["report"])
     paths["report_document"] = f"{out}/report/document"
-    report_document(rows).coalesce(1).write.mode("overwrite").text(paths["report_document"])
+    report_document(spark.read.schema("section string, json string").json(paths["report"])).write.mode("overwrite").text(paths["report_document"])
     return paths
 
 

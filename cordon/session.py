@@ -44,7 +44,6 @@ def cluster_conf(executors: int = 1000, cores_per_executor: int = 4) -> dict[str
         "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.task.maxFailures": "8",
         "spark.ui.enabled": "false",
     }

@@ -13,16 +13,43 @@ from pyspark.sql import functions as F
 
 from cordon import params
 
-# Anchor tags with an href attribute; group 1 is the value as written:
-# double-quoted, single-quoted or bare.
-HREF_PATTERN = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+# A start tag of an anchor: quoted values may hold any character, also ">".
+_ANCHOR = r"""(?is)<a((?:\s|/)(?:[^>"']|"[^"]*"|'[^']*')*)>"""
+# The attributes of a tag in order; each quoted value is consumed as one.
+_ATTRIBUTE = r"""(?s)[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?"""
+_COMMENT = "(?s)<!--.*?(?:-->|$)"
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}  # &amp; last
 
 
-def _attribute_value(raw: Column) -> Column:
-    """Unquote an attribute value and decode &amp;, as an HTML parser does."""
+def _decoded(value: Column) -> Column:
+    """Character references of an attribute value, as an HTML parser reads them."""
+    refs = F.array_distinct(F.regexp_extract_all(value, F.lit("(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"), 0))
+
+    def put(text, ref):
+        digits = F.regexp_extract(ref, "(?i)&#x?([0-9a-f]+);", 1)
+        code = F.when(F.lower(ref).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.replace(text, ref, F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), char).otherwise(ref))
+
+    out = F.aggregate(refs, value, put)
+    for name, char in _ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
+def _attribute_value(attribute: Column) -> Column:
+    """The unquoted, decoded value of ``name = value``."""
+    raw = F.regexp_replace(attribute, r"(?s)^[^=]*=\s*", "")
     quoted = raw.startswith('"') | raw.startswith("'")
-    inner = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.replace(inner, F.lit("&amp;"), F.lit("&"))
+    return _decoded(F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))
+
+
+def anchor_hrefs(html: Column) -> Column:
+    """Array of the ``href`` values of a page's anchors, as an HTML parser sees them (comments hold none)."""
+    tags = F.regexp_extract_all(F.regexp_replace(html, _COMMENT, ""), F.lit(_ANCHOR), 1)
+    attributes = F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(_ATTRIBUTE), 0))
+    hrefs = F.transform(attributes, lambda a: F.get(F.filter(a, lambda x: x.rlike(r"(?is)^href\s*=")), 0))
+    return F.transform(F.filter(hrefs, lambda h: h.isNotNull()), _attribute_value)
 
 
 def _clean_href(href: Column) -> Column:
@@ -51,9 +78,7 @@ def harvest_links(pages: DataFrame, trip_files_only: bool = True,
     With ``trip_files_only`` the raw href must name a yellow or green
     ``.parquet`` trip file; without it every anchor is kept.
     """
-    hrefs = (pages.select(F.explode(F.regexp_extract_all(F.col(html_col), F.lit(HREF_PATTERN), 1))
-                          .alias("raw_href"))
-             .select(_attribute_value(F.col("raw_href")).alias("href")))
+    hrefs = pages.select(F.explode(anchor_hrefs(F.col(html_col))).alias("href"))
     if trip_files_only:
         hrefs = hrefs.filter(_is_trip_file(F.col("href")))
     return (hrefs.select(_resolve(_clean_href(F.col("href")), host, trip_dir).alias("url"))
@@ -123,6 +148,15 @@ def missing_months(online: DataFrame, local: DataFrame, year: int) -> DataFrame:
     return pick(online).subtract(pick(local))
 
 
+def months_to_fetch(online: DataFrame, local: DataFrame, year: int,
+                    taxi_types: Iterable[str] = params.TAXI_TYPES) -> DataFrame:
+    """(taxi_type, months): the sorted months listed online but not present, per type; an empty list where none is missing."""
+    types = online.sparkSession.createDataFrame([(t,) for t in taxi_types], "taxi_type string")
+    months = missing_months(online, local, year).groupBy("taxi_type").agg(F.array_sort(F.collect_set("month")).alias("months"))
+    return (types.join(months, "taxi_type", "left")
+            .select("taxi_type", F.coalesce("months", F.array().cast("array<int>")).alias("months")))
+
+
 def expected_catalog(spark: SparkSession, years: Iterable[int],
                      taxi_types: Iterable[str] = params.TAXI_TYPES,
                      months: Iterable[int] = range(1, 13)) -> DataFrame:

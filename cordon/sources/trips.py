@@ -98,26 +98,56 @@ def read_type(spark: SparkSession, paths, taxi_type: str) -> DataFrame:
     return to_unified(raw, taxi_type)
 
 
-def read_directory(spark: SparkSession, directory: str) -> DataFrame:
+def read_directory(spark: SparkSession, directory: str, without: DataFrame | None = None) -> DataFrame:
     """Unified trips from every `{yellow|green}_tripdata_*.parquet` in a directory.
 
     The type comes from the file-name glob, so a file named neither way is
-    not read (it is reported by ``catalog.local_catalog`` instead).
+    not read (it is reported by ``catalog.local_catalog`` instead). Files whose ``path`` is in
+    `without` are left out; a column that a file lacks reads as null.
     """
     frames = []
     for taxi_type in params.TAXI_TYPES:
         raw = (spark.read.schema(raw_schema(taxi_type))
                .option("pathGlobFilter", f"{taxi_type}_tripdata_*.parquet")
                .parquet(directory))
+        if without is not None:
+            bad = without.select(_plain_path(F.col("path")).alias("_bad"))
+            raw = raw.withColumn("_file", _plain_path(F.col("_metadata.file_path"))).join(bad, F.col("_file") == F.col("_bad"), "left_anti")
         frames.append(to_unified(raw, taxi_type))
     return unify(*frames)
 
 
+def _plain_path(path: Column) -> Column:
+    """A path in one spelling: ``file:/x`` and ``file:///x`` are the same."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+
+def arrow_uri():
+    """A function from a path that Spark lists to the address under which pyarrow opens it.
+
+    A closure, so that a task that carries it doesn't need this package.
+    """
+    def uri(path: str) -> str:
+        scheme, sep, rest = path.partition("://")
+        if scheme in ("s3a", "s3n"):
+            return "s3" + sep + rest
+        if scheme in ("wasb", "wasbs"):
+            return "abfss" + sep + rest.replace(".blob.", ".dfs.", 1)
+        if path.startswith("dbfs:/"):
+            return "file:///dbfs/" + path[len("dbfs:/"):].lstrip("/")
+        return path
+
+    return uri
+
+
 def validate_files(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per Parquet file: type from its name, expected columns present?
+    """One row per Parquet file: type from its name, pickup column present, rows, error.
 
+    ``ok`` asks for a known type and the pickup column only; other absent columns read as
+    null and are listed. ``error`` tells why a footer could not be read (null if it could):
+    such a file is not known to be bad, so ``run`` stops on it instead of leaving it out.
     File footers are opened inside tasks (pyarrow), so a catalog of thousands
-    of files is checked in parallel; only (path, ok, missing, types) returns.
+    of files is checked in parallel.
     """
     from cordon.sources.catalog import list_files
 
@@ -128,12 +158,16 @@ def validate_files(spark: SparkSession, directory: str) -> DataFrame:
         T.StructField("ok", T.BooleanType()),
         T.StructField("missing_columns", T.ArrayType(T.StringType())),
         T.StructField("id_types", T.StringType()),
+        T.StructField("n_rows", T.LongType()),
+        T.StructField("error", T.StringType()),
     ])
 
     # Plain data only: the task function must not need this package on executors.
     expected = {t: [f.name for f in raw_schema(t).fields] for t in TIME_COLUMNS}
+    pickup_of = {t: c[0] for t, c in TIME_COLUMNS.items()}
     unknown_type_expected = list(TIME_COLUMNS["yellow"])
     columns = out.fieldNames()
+    to_arrow = arrow_uri()
 
     def check(batches):
         import pandas as pd
@@ -146,20 +180,21 @@ def validate_files(spark: SparkSession, directory: str) -> DataFrame:
                 name = path.rsplit("/", 1)[-1]
                 taxi_type = ("yellow" if "yellow_tripdata" in name
                              else "green" if "green_tripdata" in name else None)
+                want = expected[taxi_type] if taxi_type else unknown_type_expected
                 try:
-                    filesystem, inner = pafs.FileSystem.from_uri(path)
+                    filesystem, inner = pafs.FileSystem.from_uri(to_arrow(path))
                     with filesystem.open_input_file(inner) as fh:
-                        schema = pq.read_schema(fh)
+                        footer = pq.read_metadata(fh)
+                    schema = footer.schema.to_arrow_schema()
                     cols = set(schema.names)
                     id_types = ",".join(
                         f"{c}:{schema.field(c).type}" for c in ("VendorID", "PULocationID", "DOLocationID")
                         if c in cols)
-                except Exception as exc:  # unreadable footer
-                    cols, id_types = set(), f"error:{type(exc).__name__}"
-                want = expected[taxi_type] if taxi_type else unknown_type_expected
-                missing = [c for c in want if c not in cols]
-                rows.append((path, taxi_type, taxi_type is not None and not missing,
-                             missing, id_types))
+                    missing = [c for c in want if c not in cols]
+                    rows.append((path, taxi_type, taxi_type is not None and pickup_of[taxi_type] in cols,
+                                 missing, id_types, footer.num_rows, None))
+                except Exception as exc:  # kept in the result; run() raises it
+                    rows.append((path, taxi_type, False, [], None, None, f"{type(exc).__name__}: {exc}"))
             yield pd.DataFrame(rows, columns=columns)
 
     return files.mapInPandas(check, out)
@@ -180,6 +215,7 @@ def describe_files(spark: SparkSession, directory: str, glob: str = "*.parquet")
         T.StructField("column_type", T.StringType()),
     ])
     columns = out.fieldNames()
+    to_arrow = arrow_uri()
 
     def describe(batches):
         import pandas as pd
@@ -189,7 +225,7 @@ def describe_files(spark: SparkSession, directory: str, glob: str = "*.parquet")
         for pdf in batches:
             rows = []
             for path in pdf["path"]:
-                filesystem, inner = pafs.FileSystem.from_uri(path)
+                filesystem, inner = pafs.FileSystem.from_uri(to_arrow(path))
                 with filesystem.open_input_file(inner) as fh:
                     schema = pq.read_schema(fh)
                 rows += [(path, i, f.name, str(f.type)) for i, f in enumerate(schema)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cordon import params
@@ -28,15 +29,26 @@ ROSTERS = {
 }
 
 
-def zones(spark: SparkSession) -> DataFrame:
-    """One row per (zone_id, roster); the all-Manhattan roster is their union."""
-    rows = [(zid, roster, params.ZONE_NAMES.get(zid))
-            for roster, ids in ROSTERS.items() for zid in ids]
-    return spark.createDataFrame(rows, ZONE_SCHEMA)
+# Every zone of the borough: the cordon, its border, the north and the islands.
+MANHATTAN_IDS = [zid for ids in ROSTERS.values() for zid in ids]
+
+
+def zones(spark: SparkSession, lookup: DataFrame | None = None) -> DataFrame:
+    """One row per (zone_id, roster), the all-Manhattan roster ``manhattan`` among them.
+
+    Names come from `lookup` (LocationID, Zone), or are those of the border zones.
+    """
+    rosters = {**ROSTERS, "manhattan": MANHATTAN_IDS}
+    rows = [(zid, roster, params.ZONE_NAMES.get(zid)) for roster, ids in rosters.items() for zid in ids]
+    named = spark.createDataFrame(rows, ZONE_SCHEMA)
+    if lookup is None:
+        return named
+    names = lookup.select(F.col("LocationID").alias("zone_id"), F.col("Zone").alias("zone_name"))
+    return named.drop("zone_name").join(names, "zone_id", "left")
 
 
 def roster_lookup(spark: SparkSession) -> DataFrame:
-    """Lookup-shaped frame (LocationID, Zone) for the named roster zones."""
+    """Lookup-shaped frame (LocationID, Zone) for the named border zones."""
     rows = [(zid, None, name, None) for zid, name in params.ZONE_NAMES.items()]
     return spark.createDataFrame(rows, LOOKUP_SCHEMA)
 

@@ -1,8 +1,12 @@
 """The row-local classifier and daily counts on a stream of trip files.
 
 ``flag`` has no state and no shuffle, so it runs unchanged on a streaming
-DataFrame. Daily counts are a one-day tumbling window on pickup time with a
-watermark, so a late file still lands in its day until the watermark passes.
+DataFrame. Pickup times in this data can be stray by decades, so no watermark
+on them may decide which trips count: a watermark would jump to the newest
+stray pickup and every later file would be dropped as late. Daily counts are
+therefore kept as additive partial sums, one folder per micro-batch, and
+summed when read. No trip is dropped, whatever the order of the files; a
+batch that is run again overwrites its own folder, so each counts once.
 """
 
 from __future__ import annotations
@@ -10,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordon.functions.timeexpr import epoch_date, event_time
 from cordon.operators.flag import clean, flag
 from cordon.sources.trips import raw_schema, to_unified, unify
 
@@ -31,46 +34,50 @@ def flagged_stream(spark: SparkSession, directory: str) -> DataFrame:
     return flag(read_stream(spark, directory))
 
 
-def daily_counts(flagged: DataFrame, watermark: str = "3 days") -> DataFrame:
-    """Clean trips per pickup day: count, revenue, mean surcharge (event time)."""
-    return (clean(flagged)
-            .withColumn("event_time", event_time("pickup_time"))
-            .withWatermark("event_time", watermark)
-            .groupBy(F.window("event_time", "1 day").alias("day"))
-            .agg(F.count(F.lit(1)).alias("trip_count"),
-                 F.sum("total_amount").alias("total_revenue"),
-                 F.avg("congestion_surcharge").alias("avg_surcharge"))
-            .select(epoch_date(F.col("day.start")).alias("date"), "trip_count",
-                    "total_revenue", "avg_surcharge"))
+def partial_daily(flagged: DataFrame) -> DataFrame:
+    """Additive sums of clean trips per pickup day (one row per day; null days too)."""
+    return (clean(flagged).groupBy(F.to_date("pickup_time").alias("date"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").alias("sum_total"),
+                 F.sum("congestion_surcharge").alias("sum_surcharge"),
+                 F.count("congestion_surcharge").alias("n_surcharge")))
 
 
-def start_daily_counts(spark: SparkSession, directory: str, out_path: str,
-                       checkpoint: str | None = None, watermark: str = "3 days",
+def read_daily_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """Trips per pickup day so far: the partial sums of all batches, summed."""
+    return (spark.read.parquet(out_path).groupBy("date")
+            .agg(F.sum("n").alias("trip_count"), F.sum("sum_total").alias("total_revenue"),
+                 (F.sum("sum_surcharge") / F.sum("n_surcharge")).alias("avg_surcharge")))
+
+
+def write_daily_counts(flagged: DataFrame, out_path: str, checkpoint: str,
                        available_now: bool = True):
-    """Append finished days to Parquet at `out_path`; returns the running query.
+    """Start writing partial daily sums of a flagged stream; returns the running query."""
+    out = out_path.rstrip("/")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        partial_daily(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = flagged.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
 
-    Append mode emits a day once the watermark passes it, so each day is
-    written once. The checkpoint defaults to a folder under the cluster's
-    shared ``spark.checkpoint.dir``, so a restarted driver resumes exactly.
+def start_daily_counts(spark: SparkSession, directory: str, out_path: str,
+                       checkpoint: str | None = None, available_now: bool = True):
+    """Daily counts over the trip files of `directory`; read them with ``read_daily_counts``.
+
+    The checkpoint defaults to a folder under the cluster's shared
+    ``spark.checkpoint.dir``, so a restarted driver resumes exactly.
     """
     from cordon.session import checkpoint_dir
 
     if checkpoint is None:
         checkpoint = f"{checkpoint_dir(spark).rstrip('/')}/cordon-stream-daily"
-    writer = (daily_counts(flagged_stream(spark, directory), watermark)
-              .writeStream.format("parquet").outputMode("append")
-              .option("path", out_path).option("checkpointLocation", checkpoint))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    return write_daily_counts(flagged_stream(spark, directory), out_path, checkpoint, available_now)
 
 
 def _is_directory(spark: SparkSession, path: str) -> bool:
     """Is `path` a folder of files (Spark's table layout) rather than one file?"""
-    import os
-
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if "://" not in path and os.path.exists(local):
-        return os.path.isdir(local)
     from cordon.sources.catalog import list_files
     first = list_files(spark, path).select("path").limit(1).collect()
     return bool(first) and not first[0].path.rstrip("/").endswith(path.rstrip("/").rsplit("/", 1)[-1])
@@ -95,20 +102,13 @@ def lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag(trips_from_lineitem(raw))
 
 
-def run_daily_counts(spark: SparkSession, flagged: DataFrame, checkpoint_root: str) -> DataFrame:
-    """Run daily counts over everything available now; return the result table.
-
-    Complete mode into the memory sink: the result is one row per day, so it
-    is small; the checkpoint lives under `checkpoint_root` (a shared folder).
-    """
+def run_daily_counts(spark: SparkSession, flagged: DataFrame, root: str) -> DataFrame:
+    """Daily counts over everything available now; the result is a table under `root` (a shared folder)."""
     import uuid
 
-    name = f"cordon_daily_{uuid.uuid4().hex[:12]}"
-    query = (daily_counts(flagged).writeStream.format("memory").queryName(name)
-             .outputMode("complete").trigger(availableNow=True)
-             .option("checkpointLocation", f"{checkpoint_root.rstrip('/')}/stream-{name}")
-             .start())
+    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = write_daily_counts(flagged, f"{base}/daily", f"{base}/checkpoint")
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return spark.table(name)
+    return read_daily_counts(spark, f"{base}/daily")
