@@ -1,4 +1,4 @@
-"""Partition pruning for tables partitioned by pickup year and month.
+"""Partition pruning for tables partitioned by pickup year and month (or by year alone).
 
 Operators filter on ``pickup_time`` ranges; Spark cannot turn those into
 partition filters by itself. ``scope`` adds the equivalent predicates on the

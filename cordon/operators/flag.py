@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cordon import params
@@ -71,19 +71,19 @@ def ghost_summary(flagged: DataFrame) -> DataFrame:
 def suspicious_vendors(flagged: DataFrame, top_n: int = params.SUSPICIOUS_TOP_N) -> DataFrame:
     """Top vendors by ghost-trip count, with their share of all ghost trips.
 
-    The share's denominator is a scalar subquery (a global count with
-    map-side partial counts), so no single-partition window over the groups
-    and no join is needed; ties on the count break by vendor id.
+    One scan: the share's denominator is the sum of the vendors' counts (a window over one row
+    per vendor, never over trips). Ties on the count break by vendor id.
     """
     per_vendor = (ghosts(flagged).groupBy("vendor_id")
                   .agg(F.count(F.lit(1)).alias("ghost_trip_count"),
                        F.sum("fare").alias("total_suspicious_fare")))
-    total = ghosts(flagged).agg(F.count(F.lit(1))).scalar()
     return (per_vendor
+            .withColumn("_all", F.sum("ghost_trip_count").over(Window.partitionBy()))
             .orderBy(F.desc("ghost_trip_count"), F.asc_nulls_last("vendor_id"))
             .limit(top_n)
             .withColumn("pct_of_all_ghost_trips",
-                        F.col("ghost_trip_count") * F.lit(100.0) / total))
+                        F.col("ghost_trip_count") * F.lit(100.0) / F.col("_all"))
+            .drop("_all"))
 
 
 def save_audit(flagged: DataFrame, path: str, partition_by_class: bool = True) -> str:

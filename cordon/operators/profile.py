@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cordon import params
-from cordon.functions.joins import maybe_broadcast
 from cordon.functions.mathexpr import pct_change, tip_pct
 from cordon.functions.scope import scope
 from cordon.functions.timeexpr import day_of_week, duration_seconds, quarter_range, year_range, years_range
@@ -96,13 +95,13 @@ def with_coordinates(border: DataFrame, coords=params.BORDER_COORDS,
     """Add lat/lon by zone id, falling back to the default point.
 
     `coords` is either a fixed id -> (lat, lon) dict, applied as a literal map
-    lookup (no join), or a DataFrame (zone_id, lat, lon), joined left after a
-    bounded size check.
+    lookup (no join), or a DataFrame (zone_id, lat, lon), joined left; the planner
+    broadcasts it by its bytes.
     """
     if not isinstance(coords, dict):
         c = coords.select(F.col("zone_id").alias("_zid"), F.col("lat").alias("_lat"),
                           F.col("lon").alias("_lon"))
-        joined = border.join(maybe_broadcast(c), border[key] == c["_zid"], "left")
+        joined = border.join(c, border[key] == c["_zid"], "left")
         return (joined.withColumns({"lat": F.coalesce(F.col("_lat"), F.lit(float(default[0]))),
                                     "lon": F.coalesce(F.col("_lon"), F.lit(float(default[1])))})
                 .drop("_zid", "_lat", "_lon"))
@@ -119,8 +118,7 @@ def with_zone_names(border: DataFrame, lookup, key: str = "dropoff_loc") -> Data
     """Left join to the zone lookup: keeps LocationID and Zone as zone_name.
 
     `lookup` is either the lookup DataFrame (LocationID, Zone, ...) — one row
-    per taxi zone, broadcast once a bounded count has confirmed it is small —
-    or a fixed id -> name dict, applied as a literal map lookup (no join).
+    per taxi zone, which the planner broadcasts by its bytes — or a fixed id -> name dict, applied as a literal map lookup (no join).
     """
     if isinstance(lookup, dict):
         names = F.create_map(*[x for zid, name in sorted(lookup.items())
@@ -131,7 +129,7 @@ def with_zone_names(border: DataFrame, lookup, key: str = "dropoff_loc") -> Data
             "zone_name": F.try_element_at(names, F.col(key)),
         })
     names = lookup.select(F.col("LocationID"), F.col("Zone").alias("zone_name"))
-    return border.join(maybe_broadcast(names), border[key] == names["LocationID"], "left")
+    return border.join(names, border[key] == names["LocationID"], "left")
 
 
 def border_markers(border: DataFrame) -> DataFrame:

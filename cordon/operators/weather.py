@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cordon import params
@@ -40,10 +40,15 @@ def wettest_month_trips(weather: DataFrame, daily: DataFrame, from_joined: bool
     The wettest month comes from the whole weather series, or with
     ``from_joined`` from the joined days only (as the page computes it).
     """
-    joined = weather.select("date", "precipitation_mm").join(daily, "date", "inner")
-    source = joined if from_joined else weather
-    wet = wettest_month(source).select(F.col("month").alias("_wet"))  # one row by construction
-    return joined.join(F.broadcast(wet), F.month("date") == F.col("_wet"), "left_semi")
+    rain = weather.select("date", "precipitation_mm")
+    days = rain.join(daily.withColumn("_trips", F.lit(True)), "date", "inner" if from_joined else "left")
+    # Windows over one row per day of the series.
+    month = F.month("date")
+    totals = days.withColumn("_m", month).withColumn("_total", F.sum("precipitation_mm").over(Window.partitionBy("_m")))
+    order = F.struct(F.col("_total").isNotNull().alias("known"), F.col("_total").alias("total"), (-F.col("_m")).alias("m"))
+    return (totals.withColumn("_wet", F.max_by("_m", order).over(Window.partitionBy()))
+            .filter((F.col("_m") == F.col("_wet")) & F.col("_trips"))
+            .drop("_trips", "_m", "_total", "_wet"))
 
 
 def rain_elasticity(weather: DataFrame, daily: DataFrame, predictor: str = "precipitation_mm",

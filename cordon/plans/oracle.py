@@ -2,26 +2,30 @@
 
 Tables ``lineitem``, ``orders`` and ``pages`` are views. The trip and weather
 derivations repeat ``cordon.sources.adapter``; the operator SQL is written
-independently of the Spark code (durations via ``date_diff``, conditional
-counts, boolean zone flags), so agreement is a real cross-check.
+to compute in another way than the Spark code (durations via ``date_diff``, ghost
+rules as a ranked table, boolean zone flags, the blend as a weighted union of years, its
+own link patterns, the p-value through ``lgamma``), so agreement is a real cross-check.
 """
 
 from __future__ import annotations
 
 from cordon import params
-from cordon.sources.catalog import HREF_PATTERN
 
 _Z = ", ".join(str(z) for z in params.CONGESTION_ZONE_IDS)
 _B = ", ".join(str(z) for z in params.BORDER_ZONE_IDS)
 _HOST = params.TRIP_FILE_HOST
 _DIR = params.TRIP_FILE_DIR
-_HREF = HREF_PATTERN
 
 
 def _sq(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# A start tag of an anchor, and its attribute named exactly href (at the tag's start or after white space).
+_OWN_TAG = _sq(r"""(?i)<a\s((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+_OWN_HREF = _sq(r"""(?i)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+
+
 BASE = f"""
 WITH raw_trips AS NOT MATERIALIZED (
   SELECT
@@ -63,15 +67,17 @@ speeds AS NOT MATERIALIZED (
          CASE WHEN secs > 0 THEN trip_distance / (secs / 3600) ELSE CAST(0 AS DOUBLE) END AS avg_speed_mph
   FROM timed
 ),
+rules AS (SELECT * FROM (VALUES (1, '{params.GHOST_IMPOSSIBLE}'), (2, '{params.GHOST_TELEPORTER}'), (3, '{params.GHOST_STATIONARY}')) AS r(rank, ghost_type)),
+judged AS NOT MATERIALIZED (
+  SELECT *, list_min([IF(avg_speed_mph > {params.MAX_SPEED_MPH}, 1, NULL),
+                      IF(trip_duration_min < {params.MIN_TRIP_MINUTES} AND fare > {params.TELEPORTER_FARE}, 2, NULL),
+                      IF(trip_distance = 0 AND fare > 0, 3, NULL)]) AS rank
+  FROM speeds
+),
 flagged AS NOT MATERIALIZED (
   SELECT pickup_time, dropoff_time, pickup_loc, dropoff_loc, trip_distance, fare, total_amount,
-         congestion_surcharge, tip_amount, taxi_type, vendor_id, trip_duration_min, avg_speed_mph,
-         CASE WHEN avg_speed_mph > {params.MAX_SPEED_MPH} THEN '{params.GHOST_IMPOSSIBLE}'
-              WHEN trip_duration_min < {params.MIN_TRIP_MINUTES} AND fare > {params.TELEPORTER_FARE}
-                THEN '{params.GHOST_TELEPORTER}'
-              WHEN trip_distance = 0 AND fare > 0 THEN '{params.GHOST_STATIONARY}'
-         END AS ghost_type
-  FROM speeds
+         congestion_surcharge, tip_amount, taxi_type, vendor_id, trip_duration_min, avg_speed_mph, ghost_type
+  FROM judged LEFT JOIN rules USING (rank)
 ),
 clean AS NOT MATERIALIZED (SELECT * FROM flagged WHERE ghost_type IS NULL),
 ghosts AS NOT MATERIALIZED (SELECT * FROM flagged WHERE ghost_type IS NOT NULL),
@@ -91,29 +97,42 @@ daily AS NOT MATERIALIZED (
          SUM(total_amount) AS total_revenue, AVG(congestion_surcharge) AS avg_surcharge
   FROM clean WHERE YEAR(pickup_time) = 2025 GROUP BY 1
 ),
+listing AS NOT MATERIALIZED (
+  SELECT page_id, html,
+         CASE WHEN page_id % 2 = 0 THEN '<a href="' || printf('yellow_tripdata_%d-%02d.parquet', y, m) || '">file</a>'
+              ELSE '<a data-href=''x'' title=''a > b'' href=''/trip-data/' || printf('green_tripdata_%d-%02d.parquet', y, m) || '''>file</a>' END AS anchor
+  FROM (SELECT page_id, html, y, CASE WHEN y = 2025 AND m0 = 12 THEN 11 ELSE m0 END AS m
+        FROM (SELECT page_id, html, 2023 + (page_id // 24) % 3 AS y, (page_id // 2) % 12 + 1 AS m0 FROM pages))
+),
+page_sources AS NOT MATERIALIZED (
+  SELECT 'page' AS origin, page_id, html FROM pages
+  UNION ALL SELECT 'listing', page_id, coalesce(html, '') || anchor FROM listing
+),
+tags AS NOT MATERIALIZED (
+  SELECT origin, page_id, unnest(regexp_extract_all(regexp_replace(html, '<!--(.|\\n)*?-->', '', 'g'), {_OWN_TAG}, 1)) AS attrs
+  FROM page_sources
+),
 hrefs AS NOT MATERIALIZED (
-  SELECT replace(CASE WHEN left(v, 1) IN ('"', '''') THEN substr(v, 2, length(v) - 2) ELSE v END,
-                 '&amp;', '&') AS href
-  FROM (SELECT unnest(regexp_extract_all(html, {_sq(_HREF)}, 1)) AS v FROM pages)
+  SELECT origin, page_id, replace(coalesce(nullif(regexp_extract(attrs, {_OWN_HREF}, 1), ''), nullif(regexp_extract(attrs, {_OWN_HREF}, 2), ''),
+                          regexp_extract(attrs, {_OWN_HREF}, 3)), '&amp;', '&') AS href
+  FROM tags WHERE regexp_matches(attrs, {_OWN_HREF})
 ),
-cleaned_hrefs AS NOT MATERIALIZED (
-  SELECT href AS raw_href,
-         regexp_replace(regexp_replace(href, '%20', '', 'g'), '^\\s+|\\s+$', '', 'g') AS h
-  FROM hrefs
+resolved AS NOT MATERIALIZED (
+  SELECT origin, page_id, href AS raw_href,
+         CASE WHEN starts_with(h, 'http') THEN h WHEN starts_with(h, '/') THEN '{_HOST}' || h ELSE '{_HOST}{_DIR}' || h END AS url
+  FROM (SELECT *, trim(replace(href, '%20', ''), chr(32) || chr(9) || chr(10) || chr(13)) AS h FROM hrefs)
 ),
-trip_links AS NOT MATERIALIZED (
-  SELECT DISTINCT CASE WHEN starts_with(h, 'http') THEN h
-                       WHEN starts_with(h, '/') THEN '{_HOST}' || h
-                       ELSE '{_HOST}{_DIR}' || h END AS url
-  FROM cleaned_hrefs
-  WHERE raw_href LIKE '%.parquet%' AND (raw_href LIKE '%yellow_tripdata%' OR raw_href LIKE '%green_tripdata%')
+parsed AS NOT MATERIALIZED (
+  SELECT origin, page_id, url, regexp_extract(url, {_sq(params.TRIP_FILE_PATTERN)}, ['taxi_type', 'year', 'month']) AS f
+  FROM resolved WHERE raw_href LIKE '%.parquet%' AND regexp_matches(raw_href, '(yellow|green)_tripdata')
 ),
 parsed_links AS NOT MATERIALIZED (
-  SELECT regexp_extract(url, {_sq(params.TRIP_FILE_PATTERN)}, 1) AS taxi_type,
-         CAST(regexp_extract(url, {_sq(params.TRIP_FILE_PATTERN)}, 2) AS INTEGER) AS year,
-         CAST(regexp_extract(url, {_sq(params.TRIP_FILE_PATTERN)}, 3) AS INTEGER) AS month,
-         url
-  FROM trip_links WHERE regexp_extract(url, {_sq(params.TRIP_FILE_PATTERN)}, 1) <> ''
+  SELECT DISTINCT f.taxi_type AS taxi_type, CAST(f.year AS INTEGER) AS year, CAST(f.month AS INTEGER) AS month, url
+  FROM parsed WHERE origin = 'listing' AND f.taxi_type <> ''
+),
+local_links AS NOT MATERIALIZED (
+  SELECT DISTINCT f.taxi_type AS taxi_type, CAST(f.year AS INTEGER) AS year, CAST(f.month AS INTEGER) AS month
+  FROM parsed WHERE origin = 'listing' AND page_id % 3 = 0 AND f.taxi_type <> ''
 ),
 border_counts AS NOT MATERIALIZED (
   SELECT dropoff_loc, CAST(YEAR(pickup_time) AS INTEGER) AS year, COUNT(*) AS dropoff_count
@@ -176,12 +195,18 @@ def _dec(year: int) -> str:
 
 
 _IMPUTED = f"""
-, y1 AS ({_dec(2023)}), y2 AS ({_dec(2024)})
+, y1 AS ({_dec(2023)}), y2 AS ({_dec(2024)}),
+weighted AS (
+  SELECT hour, dow, 0.3::DOUBLE AS w, CAST(count_2023 AS DOUBLE) AS c, fare_2023 AS f, total_2023 AS t FROM y1
+  UNION ALL SELECT hour, dow, 0.7::DOUBLE, CAST(count_2024 AS DOUBLE), fare_2024, total_2024 FROM y2
+), filled AS (
+  SELECT hour, dow, coalesce(SUM(w * c), 0) AS imputed_count, coalesce(SUM(w * f), 0) AS imputed_fare,
+         coalesce(SUM(w * t), 0) AS imputed_total
+  FROM weighted GROUP BY hour, dow
+)
 SELECT hour, dow, count_2023, fare_2023, total_2023, count_2024, fare_2024, total_2024,
-       IFNULL(CAST(count_2023 AS DOUBLE), 0) * 0.3 + IFNULL(CAST(count_2024 AS DOUBLE), 0) * 0.7 AS imputed_count,
-       IFNULL(fare_2023, 0) * 0.3 + IFNULL(fare_2024, 0) * 0.7 AS imputed_fare,
-       IFNULL(total_2023, 0) * 0.3 + IFNULL(total_2024, 0) * 0.7 AS imputed_total
-FROM y1 FULL JOIN y2 USING (hour, dow)
+       imputed_count, imputed_fare, imputed_total
+FROM filled LEFT JOIN y1 USING (hour, dow) LEFT JOIN y2 USING (hour, dow)
 """
 
 _SINCE = f"pickup_time >= TIMESTAMP '{params.CONGESTION_START}'"
@@ -376,11 +401,7 @@ FROM cells GROUP BY day_of_week ORDER BY day_of_week""",
 SELECT AVG(pct_change) AS avg_pct_change, AVG(lat) AS center_lat, AVG(lon) AS center_lon,
        COUNT(*) AS n_zones
 FROM border_effect""",
-    "link_harvest": BASE + f"""
-SELECT DISTINCT CASE WHEN starts_with(h, 'http') THEN h
-                     WHEN starts_with(h, '/') THEN '{_HOST}' || h
-                     ELSE '{_HOST}{_DIR}' || h END AS url
-FROM cleaned_hrefs""",
+    "link_harvest": BASE + "SELECT DISTINCT url FROM resolved WHERE origin = 'page'",
     "trip_links": BASE + "SELECT taxi_type, year, month, url FROM parsed_links",
     "daily_trips_stream": BASE + """
 SELECT CAST(pickup_time AS DATE) AS date, COUNT(*) AS trip_count,
@@ -394,6 +415,99 @@ FROM parsed_links GROUP BY year, taxi_type""",
 SELECT bool_or(month = 12) IS TRUE AS needs_imputation FROM missing""",
 }
 
+# p of the slope: the incomplete beta function as a series over lgamma, not the recurrences that Spark sums.
+_P_VALUE = f"""
+, pairs AS (
+  SELECT w.precipitation_mm AS x, IFNULL(w.precipitation_mm, 0) AS x0, CAST(d.trip_count AS DOUBLE) AS y
+  FROM weather w JOIN daily d USING (date)
+), fit AS (
+  SELECT corr(x, y) AS correlation, regr_slope(y, x0) AS slope, regr_intercept(y, x0) AS intercept,
+         corr(x0, y) AS r, CAST(regr_count(y, x0) AS BIGINT) AS n FROM pairs
+), half AS (
+  SELECT *, (n - 2) / 2.0::DOUBLE AS a, 1 - r * r AS u FROM fit
+), terms AS (
+  SELECT sum(exp(lgamma(a + 0.5::DOUBLE + k) - lgamma(a + 0.5::DOUBLE) - lgamma(a + 1 + k) + lgamma(a + 1) + k * ln(u))) AS upper,
+         sum(exp(lgamma(a + 0.5::DOUBLE + k) - lgamma(a + 0.5::DOUBLE) - lgamma(1.5::DOUBLE + k) + lgamma(1.5::DOUBLE) + k * ln(1 - u))) AS lower
+  FROM half, range(0, 20000) AS ks(k)
+), tails AS (
+  SELECT *, exp(a * ln(u) + 0.5::DOUBLE * ln(1 - u) - (lgamma(a) + lgamma(0.5::DOUBLE) - lgamma(a + 0.5::DOUBLE))) AS f
+  FROM half, terms
+), elasticity AS (
+  SELECT correlation, slope, intercept, r * r AS r_squared, n,
+         IF(1 - f * 2 * lower > 0.001, 1 - f * 2 * lower, f / a * upper) AS p_value,
+         IF(abs(slope) > {params.ELASTIC_SLOPE}, 'elastic', 'inelastic') AS interpretation,
+         IF(abs(correlation) < {params.INELASTIC_CORR}, 'Inelastic', 'Elastic') AS page_label
+  FROM tails
+)
+"""
+ORACLE["rain_elasticity_p"] = BASE + _P_VALUE + "SELECT * FROM elasticity"
+ORACLE["weather_documents"] = """
+SELECT CAST(o_orderdate + INTERVAL '9862' DAY AS DATE) AS date,
+       AVG(o_totalprice) / 10000 AS precipitation_mm, MIN(o_totalprice) / 10000 AS rain_mm
+FROM orders GROUP BY 1"""
+ORACLE["raw_trips_by_zone"] = BASE + """
+SELECT taxi_type, pickup_loc, COUNT(*) AS trip_count, COUNT(vendor_id) AS vendor_rows,
+       COUNT(*) FILTER (WHERE tip_amount = 0) AS zero_tip_trips,
+       MIN(pickup_time) AS first_pickup, MAX(dropoff_time) AS last_dropoff
+FROM unified_trips GROUP BY ALL"""
+ORACLE["local_months"] = BASE + """
+SELECT year, taxi_type, list_sort(list(month)) AS months FROM local_links GROUP BY year, taxi_type"""
+ORACLE["months_to_fetch"] = BASE + """
+, gap AS (SELECT taxi_type, month FROM parsed_links WHERE year = 2025
+          EXCEPT SELECT taxi_type, month FROM local_links WHERE year = 2025)
+SELECT t.taxi_type, coalesce(list_sort(list(gap.month) FILTER (WHERE gap.month IS NOT NULL)), []) AS months
+FROM (SELECT unnest(['yellow', 'green']) AS taxi_type) t LEFT JOIN gap USING (taxi_type)
+GROUP BY t.taxi_type"""
+ORACLE["border_effect_lookup"] = BASE + f"""
+, placed AS (
+  SELECT p.dropoff_loc, p.count_2024, p.count_2025,
+         IF(p.count_2024 > 0, CAST(p.count_2025 - p.count_2024 AS DOUBLE) * 100 / p.count_2024, CAST(0 AS DOUBLE)) AS pct_change,
+         coalesce(CASE WHEN k % 2 = 0 THEN 40.0::DOUBLE + k / 1000.0::DOUBLE END, {params.DEFAULT_COORD[0]}::DOUBLE) AS lat,
+         coalesce(CASE WHEN k % 2 = 0 THEN -74.0::DOUBLE + k / 1000.0::DOUBLE END, {params.DEFAULT_COORD[1]}::DOUBLE) AS lon,
+         CAST(CASE WHEN k % 10 <> 0 THEN 266 - k END AS INTEGER) AS LocationID, CASE WHEN k % 10 <> 0 THEN s_name END AS zone_name
+  FROM border_pivot p LEFT JOIN (SELECT s_suppkey AS k, s_name FROM supplier WHERE s_suppkey BETWEEN 1 AND 41) ON 266 - k = p.dropoff_loc
+)
+SELECT *, IF(pct_change > 0, 'green', 'red') AS marker_color, abs(pct_change) * 2 + 10 AS marker_radius
+FROM placed"""
+
+
+def _section(name: str, query: str, columns: dict[str, bool]) -> str:
+    """Report rows of one section: header rows, then each value as number or text (`columns`: name -> numeric)."""
+    def cell(c: str, num: bool) -> str:
+        number, text = (f"CAST({c} AS DOUBLE)", "NULL::VARCHAR") if num else ("NULL::DOUBLE", c)
+        return f"struct_pack(metric := '{c}', number := {number}, text := {text})"
+
+    cells, heads = ", ".join(cell(c, num) for c, num in columns.items()), ", ".join(f"'{c}'" for c in columns)
+    return f"""
+SELECT '{name}' AS section, NULL::INTEGER AS row, unnest([{heads}]) AS metric, NULL::DOUBLE AS number, NULL::VARCHAR AS text
+UNION ALL
+SELECT '{name}', row, c.metric, c.number, c.text FROM (
+  SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS row, unnest([{cells}]) AS c FROM ({query}))
+"""
+
+
+def _body(name: str) -> str:
+    """A query's SQL behind the shared CTEs."""
+    return ORACLE[name][len(BASE):].strip()
+
+
+_VENDORS, _VENDOR_ROWS = _body("suspicious_vendors").removeprefix(", ").split("\nSELECT vendor_id, ghost_trip_count, total", 1)
+_ZONES, _ZONE_ROWS = _body("missing_surcharge_locations").removeprefix(", ").split("\nSELECT pickup_loc, total_entries, missing", 1)
+ORACLE["report_rows"] = BASE + _P_VALUE + f", {_VENDORS}, {_ZONES}" + "UNION ALL".join([
+    _section("total_surcharge_revenue", _body("surcharge_revenue"),
+             {"total_surcharge_revenue": True, "total_trips_with_surcharge": True, "avg_surcharge": True}),
+    _section("rain_elasticity", "SELECT * FROM elasticity",
+             {"correlation": True, "slope": True, "intercept": True, "r_squared": True, "n": True, "p_value": True,
+              "interpretation": False, "page_label": False}),
+    _section("suspicious_vendors", "SELECT vendor_id, ghost_trip_count, total" + _VENDOR_ROWS,
+             {"vendor_id": True, "ghost_trip_count": True, "total_suspicious_fare": True, "pct_of_all_ghost_trips": True}),
+    _section("compliance_rate", _body("surcharge_compliance"),
+             {"total_zone_entry_trips": True, "trips_with_surcharge": True, "trips_without_surcharge": True,
+              "trips_negative_surcharge": True, "compliance_rate": True}),
+    _section("missing_surcharge_locations", "SELECT pickup_loc, total_entries, missing" + _ZONE_ROWS,
+             {"pickup_loc": True, "total_entries": True, "missing_surcharge": True, "missing_rate": True}),
+])
+
 # The fused variants answer the same questions as the direct operators.
 for _name in ["surcharge_compliance", "missing_surcharge_locations", "quarterly_volumes",
               "zone_direction_summary", "surcharge_revenue", "hourly_speeds_q1_2025",

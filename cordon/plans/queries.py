@@ -20,6 +20,8 @@ from cordon.operators import impute, profile, summary, weather as wx, zone
 from cordon.plans import fused, store
 from cordon.plans.report import report_rows
 from cordon.sources import adapter, catalog
+from cordon.sources import trips as trips_source
+from cordon.sources import weather as weather_source
 
 
 _LOG = logging.getLogger(__name__)
@@ -33,11 +35,10 @@ def _stored(spark, sf, opener):
     """A materialised table, or None when it cannot be written (lazy plan then)."""
     if not _materialise():
         return None
-    try:
-        return opener(spark, sf)
-    except Exception as exc:  # e.g. a read-only checkpoint folder
-        _LOG.warning("materialised table unavailable, deriving lazily: %s", exc)
+    if not store.writable(spark):
+        _LOG.warning("the store %s can't be written, deriving lazily", store.store_root(spark))
         return None
+    return opener(spark, sf)  # any other failure is raised, not hidden behind a raw scan
 
 
 def _flagged(spark, sf):
@@ -87,8 +88,22 @@ def _pages(spark, sf):
     return adapter.read_table(spark, sf, "pages")
 
 
+def _listing(spark, sf):
+    """Pages with a listing of trip files behind their own anchors."""
+    return adapter.listing_pages(_pages(spark, sf))
+
+
 def _trip_links(spark, sf):
-    return catalog.parse_links(catalog.harvest_links(_pages(spark, sf), trip_files_only=True))
+    return catalog.parse_links(catalog.harvest_links(_listing(spark, sf), trip_files_only=True))
+
+
+def _local(spark, sf):
+    """Names of the files present: those that every third page lists."""
+    return catalog.parse_links(catalog.harvest_links(adapter.listing_pages(_pages(spark, sf), present=True)))
+
+
+def months_to_fetch(spark, sf):
+    return catalog.months_to_fetch(_trip_links(spark, sf), _local(spark, sf), params.ANALYSIS_YEAR)
 
 
 def missing_months(spark, sf):
@@ -96,6 +111,31 @@ def missing_months(spark, sf):
     return catalog.missing_from_expected(expected, _trip_links(spark, sf))
 
 
+def _raw_unified(spark, sf):
+    """Trips through the raw yellow and green layouts and their union."""
+    lineitem = adapter.read_table(spark, sf, "lineitem")
+    return trips_source.unify(*[trips_source.to_unified(adapter.raw_frame(lineitem, t), t) for t in params.TAXI_TYPES])
+
+
+def raw_trips_by_zone(spark, sf):
+    return (_raw_unified(spark, sf).groupBy("taxi_type", "pickup_loc")
+            .agg(F.count(F.lit(1)).alias("trip_count"), F.count("vendor_id").alias("vendor_rows"),
+                 F.count_if(F.col("tip_amount") == 0).alias("zero_tip_trips"),
+                 F.min("pickup_time").alias("first_pickup"), F.max("dropoff_time").alias("last_dropoff")))
+
+
+def weather_documents(spark, sf):
+    documents = adapter.weather_documents(adapter.read_table(spark, sf, "orders"))
+    return weather_source.parse_response(documents)
+
+
+def border_effect_lookup(spark, sf):
+    """Border effect named and placed by tables (a lookup and a coordinate table from ``supplier``)."""
+    supplier = adapter.read_table(spark, sf, "supplier")
+    border = profile.with_coordinates(profile.border_effect(_clean(spark, sf)), adapter.coordinates_from_supplier(supplier))
+    return profile.border_markers(profile.with_zone_names(border, adapter.lookup_from_supplier(supplier)))
+
+
 def _base(spark, sf):
     table = _stored(spark, sf, store.base_table)
     return table if table is not None else fused.base_aggregate(fl.clean(_flagged(spark, sf)))
@@ -108,20 +148,22 @@ def daily_trips_stream(spark, sf):
 
 
 def report(spark, sf):
-    flagged = _flagged(spark, sf)
-    clean = fl.clean(flagged)
+    """Trips are scanned once (vendors); everything else folds the base."""
+    base = _base(spark, sf)
     return report_rows({
-        "total_surcharge_revenue": zone.surcharge_revenue(clean),
-        "rain_elasticity": wx.rain_elasticity(_weather(spark, sf), _daily(spark, sf)),
-        "suspicious_vendors": fl.suspicious_vendors(flagged),
-        "compliance_rate": zone.surcharge_compliance(clean),
-        "missing_surcharge_locations": zone.missing_surcharge_locations(clean),
+        "total_surcharge_revenue": fused.surcharge_revenue(base),
+        "rain_elasticity": wx.rain_elasticity(_weather(spark, sf), fused.daily_trips(base)),
+        "suspicious_vendors": fl.suspicious_vendors(_flagged(spark, sf)),
+        "compliance_rate": fused.surcharge_compliance(base),
+        "missing_surcharge_locations": fused.missing_surcharge_locations(base),
     })
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources and unify
     "unified_trips_by_type": unified_trips_by_type,
+    "raw_trips_by_zone": raw_trips_by_zone,
+    "weather_documents": weather_documents,
     # flag
     "ghost_flags": ghost_flags,
     "trip_counts": lambda s, sf: fl.trip_counts(_flagged(s, sf)),
@@ -141,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_tips": lambda s, sf: profile.monthly_tips(_clean(s, sf), params.ANALYSIS_YEAR),
     "border_dropoffs": lambda s, sf: profile.border_dropoffs(_clean(s, sf)),
     "border_effect": border_effect_map,
+    "border_effect_lookup": border_effect_lookup,
     # imputation (over unified, not clean, trips)
     "imputation_profile": lambda s, sf: impute.imputation_profile(_unified(s, sf), "yellow", 12),
     "december_profile_2024": lambda s, sf: impute.month_profile(_unified(s, sf), 2024, 12),
@@ -163,6 +206,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trip_links": _trip_links,
     "month_coverage": lambda s, sf: catalog.available_months(_trip_links(s, sf)),
     "missing_months": missing_months,
+    "months_to_fetch": months_to_fetch,
+    "local_months": lambda s, sf: catalog.available_months(_local(s, sf)),
     "needs_imputation": lambda s, sf: catalog.needs_imputation(missing_months(s, sf)),
     # streaming: same classifier, event-time daily windows
     "daily_trips_stream": daily_trips_stream,

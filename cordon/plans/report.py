@@ -1,4 +1,4 @@
-"""Report assembly: small result sets -> long rows -> one JSON document per section."""
+"""Report assembly: small result sets -> typed long rows, and one JSON document with numbers."""
 
 from __future__ import annotations
 
@@ -7,42 +7,53 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Sections of one row: the document renders them as {metric: value}.
+FLAT_SECTIONS = ("rain_elasticity",)
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows numbered from 0 in their order; a section is a global aggregate or a top-k."""
+    return (df.withColumn("_ord", F.monotonically_increasing_id())
+            .withColumn("row", (F.row_number().over(Window.orderBy("_ord")) - 1).cast("int")).drop("_ord"))
+
 
 def report_rows(sections: dict[str, DataFrame]) -> DataFrame:
-    """Long table (section, row, metric, value) of already-aggregated results.
+    """Long table (section, row, metric, number, text) of already-aggregated results.
 
     Each section must be a bounded result (a global aggregate or a top-k), so
-    numbering its rows in one partition is harmless. Values are strings. Every
-    metric also gets a header row (row and value null), so a section with no
-    rows still lists its columns.
+    numbering its rows in one partition is harmless. Every metric also gets a
+    header row (row and values null), so a section with no rows still lists its columns.
     """
     parts = []
     for name, df in sections.items():
+        numeric = {f.name: f.dataType.typeName() not in ("string", "date", "timestamp", "boolean") for f in df.schema.fields}
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"),
+                                   (F.col(c) if numeric[c] else F.lit(None)).cast("double").alias("number"),
+                                   (F.lit(None) if numeric[c] else F.col(c)).cast("string").alias("text")) for c in df.columns])
+        long = _numbered(df).select(F.lit(name).alias("section"), "row", F.explode(cells).alias("c"))
         header = (df.sparkSession.range(1)
                   .select(F.lit(name).alias("section"), F.lit(None).cast("int").alias("row"),
                           F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("metric"),
-                          F.lit(None).cast("string").alias("value")))
-        parts.append(header)
-        cols = df.columns
-        numbered = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-                    .withColumn("_ord", F.monotonically_increasing_id())
-                    .withColumn("row", (F.row_number().over(Window.orderBy("_ord")) - 1).cast("int"))
-                    .drop("_ord"))
-        long = numbered.unpivot(["row"], cols, "metric", "value")
-        parts.append(long.select(F.lit(name).alias("section"), "row", "metric", "value"))
+                          F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("text")))
+        parts += [header, long.select("section", "row", "c.metric", "c.number", "c.text")]
     return reduce(DataFrame.unionByName, parts)
 
 
-def report_json(rows: DataFrame) -> DataFrame:
-    """One row per section: {metric: {row: value}} as a JSON string."""
-    entries = F.filter(F.array_sort(F.collect_list(F.struct(F.col("row"), F.col("value")))),
-                       lambda e: e.getField("row").isNotNull())
-    per_metric = (rows.groupBy("section", "metric")
-                  .agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(
-                      e.getField("row").cast("string"), e.getField("value")))).alias("by_row")))
-    return (per_metric.groupBy("section")
-            .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "by_row"))))
-                 .alias("json")))
+def report_json(sections: dict[str, DataFrame], flat_sections=FLAT_SECTIONS) -> DataFrame:
+    """(section, json), one row per section: {metric: {row: value}} with values of the metric's own type.
+
+    A flat section of one row renders as {metric: value}; a section without rows keeps its metrics.
+    """
+    parts = []
+    for name, df in sections.items():
+        by_row = [F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("row").cast("string"), F.col(c))))).alias(c)
+                  for c in df.columns]
+        one = _numbered(df).agg(*by_row)
+        if name in flat_sections:
+            one = one.select(*[F.col(c)["0"].alias(c) for c in df.columns])
+        parts.append(one.select(F.lit(name).alias("section"),
+                                F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _json_string(c):
@@ -50,27 +61,10 @@ def _json_string(c):
     return F.regexp_extract(F.to_json(F.struct(c.alias("s"))), r'^\{"s":(.*)\}$', 1)
 
 
-def report_document(rows: DataFrame, flat_sections=("rain_elasticity",)) -> DataFrame:
-    """One row, column ``json``: the whole report as one JSON document.
-
-    ``{"generated_at": ..., section: {metric: {row: value}}, ...}``; sections in
-    `flat_sections` (single-row results) render as ``{metric: value}``. A
-    section without rows keeps its metrics with empty row maps.
-    """
-    entries = F.filter(F.array_sort(F.collect_list(F.struct("row", "value"))),
-                       lambda e: e.getField("row").isNotNull())
-    per_metric = (rows.groupBy("section", "metric")
-                  .agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(
-                      e.getField("row").cast("string"), e.getField("value")))).alias("by_row")))
-    pairs = F.collect_list(F.struct("metric", "by_row"))
-    flat_pairs = F.array_sort(F.collect_list(F.struct(
-        "metric", F.element_at(F.col("by_row"), F.lit("0")).alias("value"))))
-    bodies = per_metric.groupBy("section").agg(
-        F.when(F.col("section").isin(list(flat_sections)), F.to_json(F.map_from_entries(flat_pairs)))
-         .otherwise(F.to_json(F.map_from_entries(pairs))).alias("body"))
-    members = F.transform(F.array_sort(F.collect_list(F.struct("section", "body"))),
-                          lambda e: F.concat(_json_string(e.getField("section")), F.lit(": "),
-                                             e.getField("body")))
+def report_document(sections: DataFrame) -> DataFrame:
+    """One row, column ``json``: ``{"generated_at": ..., section: ..., ...}`` from the rows of ``report_json``."""
+    members = F.transform(F.array_sort(F.collect_list(F.struct("section", "json"))),
+                          lambda e: F.concat(_json_string(e.getField("section")), F.lit(": "), e.getField("json")))
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return bodies.agg(F.concat(F.lit('{"generated_at": '), _json_string(stamp), F.lit(", "),
-                               F.array_join(members, ", "), F.lit("}")).alias("json"))
+    return sections.agg(F.concat(F.lit('{"generated_at": '), _json_string(stamp), F.lit(", "),
+                                 F.array_join(members, ", "), F.lit("}")).alias("json"))

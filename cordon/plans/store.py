@@ -1,4 +1,4 @@
-"""Flagged trips materialised once, partitioned by pickup year.
+"""Flagged trips materialised once, partitioned by pickup year and month.
 
 Every aggregate reads this table instead of re-deriving trips and flags from
 the raw input, so the raw scan, the unify projection and the classifier run
@@ -12,10 +12,9 @@ sees a half-written table.
 from __future__ import annotations
 
 import hashlib
-import logging
-import os
 import threading
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -25,12 +24,11 @@ from cordon.session import checkpoint_dir
 from cordon.sources import adapter
 from cordon.sources.catalog import list_files
 
-# Year directories prune whole years; within a year, month and day ranges on
-# pickup_time are pushed to the Parquet reader and skip row groups by their
-# min/max statistics (source files are monthly, so row groups are narrow in time).
-PARTITION_COLUMNS = ["pickup_year"]
+# Month directories prune month and quarter queries; day ranges on pickup_time are
+# pushed to the Parquet reader.
+PARTITION_COLUMNS = ["pickup_year", "pickup_month"]
 # Bump when the stored columns, the classifier or the layout change.
-STORE_VERSION = "store-v5"
+STORE_VERSION = "store-v6"
 FLAG_COLUMNS = ["trip_duration_min", "avg_speed_mph", "ghost_type"]
 
 
@@ -40,6 +38,18 @@ def store_root(spark: SparkSession) -> str:
     return (spark.conf.get("cordon.store.dir", None) or checkpoint_dir(spark)).rstrip("/")
 
 
+def writable(spark: SparkSession) -> bool:
+    """Can a folder be made in the store?"""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = spark._jvm.org.apache.hadoop.fs.Path(store_root(spark))
+    try:
+        return bool(root.getFileSystem(conf).mkdirs(root))
+    except Py4JJavaError as e:
+        if "AccessControl" in str(e) or "ermission denied" in str(e) or "Read-only" in str(e):
+            return False
+        raise
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("text").load(f"{path}/_SUCCESS")
@@ -49,27 +59,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _fingerprint(spark: SparkSession, source: str) -> str:
-    """Stable key of a source file set: paths, sizes and modification times.
+    """Stable key of a source file set: count, paths, sizes and modification times.
 
-    Local paths are stat-ed directly; other file systems are listed by Spark
-    and reduced to a single row, so no per-file listing reaches the driver.
+    Listed by Spark through the source's own file system and reduced to one row there.
     """
-    local = source[len("file:"):] if source.startswith("file:") else source
-    if "://" not in source and os.path.exists(local):
-        entries = []
-        for root, _dirs, files in os.walk(local) if os.path.isdir(local) else [("", [], [local])]:
-            for f in files:
-                st = os.stat(os.path.join(root, f))
-                entries.append(f"{os.path.join(root, f)}:{st.st_size}:{st.st_mtime_ns}")
-        text = "|".join(sorted(entries))
-    else:
-        # Reduced on the executors: one row (count, order-free hash sum, newest time).
-        r = list_files(spark, source).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("h"),
-            F.max("modificationTime").alias("t")).collect()[0]
-        text = f"{r.n}:{r.h}:{r.t}"
-    text = f"{STORE_VERSION}|{','.join(PARTITION_COLUMNS)}|{text}"
+    r = list_files(spark, source).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("h"),
+        F.max("modificationTime").alias("t")).collect()[0]
+    text = f"{STORE_VERSION}|{','.join(PARTITION_COLUMNS)}|{r.n}:{r.h}:{r.t}"
     return hashlib.sha1(text.encode()).hexdigest()[:16]
 
 
@@ -77,28 +75,22 @@ def _fingerprint(spark: SparkSession, source: str) -> str:
 _OPENED: dict = {}
 # One writer per process: concurrent queries wait for the first materialisation.
 _LOCK = threading.RLock()
-_LOG = logging.getLogger(__name__)
-
-
 def with_partitions(flagged: DataFrame) -> DataFrame:
-    """Add the year partition column and cluster each task's rows by time.
+    """Add the partition columns, dealt for the write and clustered by time.
 
-    The writer sorts by the partition column anyway; sorting by
-    (year, pickup_time) instead costs no shuffle and leaves each file's row
-    groups in time order, so pushed month/day ranges skip whole row groups.
+    The rebalance brings a month's rows together; adaptive execution then splits a large
+    month over many tasks and merges small ones, so neither one input split nor one month
+    ends in a single task, and a month has few files. Sorting leaves each file's row
+    groups in time order, so pushed day ranges skip row groups.
     """
-    return (flagged.withColumn("pickup_year", F.year("pickup_time"))
-            .sortWithinPartitions("pickup_year", "pickup_time"))
+    return (flagged.withColumns({"pickup_year": F.year("pickup_time"), "pickup_month": F.month("pickup_time")})
+            .hint("rebalance", "pickup_year", "pickup_month")
+            .sortWithinPartitions("pickup_year", "pickup_month", "pickup_time"))
 
 
 def write_flagged(flagged: DataFrame, path: str) -> None:
-    """Write flagged trips partitioned by pickup year.
-
-    No repartition before the write: monthly source files already hold about
-    one month per task, and a shuffle by year or month would funnel a whole
-    period (possibly a third of all rows) through one task.
-    """
-    (with_partitions(flagged).write.mode("overwrite")
+    """Write flagged trips partitioned by pickup year and month (replaces what is there)."""
+    (with_partitions(flagged).write.mode("overwrite").option("partitionOverwriteMode", "static")
      .partitionBy(*PARTITION_COLUMNS).parquet(path))
 
 
@@ -125,10 +117,10 @@ def _materialised(spark: SparkSession, sf_dir: str, kind: str, build,
     source = f"{sf_dir.rstrip('/')}/lineitem.parquet"
     key = (spark.sparkContext.applicationId, store_root(spark), source, kind)
     with _LOCK:
-        fp = _fingerprint(spark, source)
         opened = _OPENED.get(key)
-        if opened is not None and opened[0] == fp:
+        if opened is not None:
             return opened[1]
+        fp = _fingerprint(spark, source)
         base = f"{store_root(spark)}/cordon-{kind}-{fp}"
         target = _pointed(spark, f"{base}/current")
         if target is None:
@@ -144,6 +136,36 @@ def _materialised(spark: SparkSession, sf_dir: str, kind: str, build,
         return df
 
 
+def refresh() -> None:
+    """Look at the sources again at the next use (their listing is read once a session)."""
+    with _LOCK:
+        _OPENED.clear()
+
+
+def clean_store(spark: SparkSession) -> list[str]:
+    """Remove the store's tables that no open table of this process uses; returns their paths.
+
+    For maintenance, when no other application uses the store.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(store_root(spark))
+    fs = root.getFileSystem(conf)
+    with _LOCK:
+        used = {f"cordon-{key[3]}-{fp}" for key, (fp, _) in _OPENED.items() if key[1] == store_root(spark)}
+        gone = []
+        for s in fs.listStatus(root) if fs.exists(root) else []:
+            name = s.getPath().getName()
+            if name.startswith("cordon-") and name not in used:
+                gone.append(s.getPath())
+            elif name in used:
+                current = _pointed(spark, f"{s.getPath().toString()}/current")
+                gone += [w.getPath() for w in fs.listStatus(s.getPath())
+                         if w.getPath().getName().startswith("w-") and w.getPath().getName() != (current or "").rsplit("/", 1)[-1]]
+        for path in gone:
+            fs.delete(path, True)
+        return [path.toString() for path in gone]
+
+
 def flagged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged trips derived from ``lineitem`` at `sf_dir`, materialised once."""
     return _materialised(spark, sf_dir, "flagged",
@@ -163,4 +185,4 @@ def base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return _materialised(spark, sf_dir, "base",
                          lambda: with_year(base_aggregate(clean(flagged_table(spark, sf_dir)))),
-                         [BASE_PARTITION])
+                         BASE_PARTITION)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordon.functions.timeexpr import in_range
-from cordon.sources.trips import project_unified
+from cordon.sources.trips import TIME_COLUMNS, project_unified
 
 # Days that move 1998-01-01 to 2025-01-01.
 DAY_SHIFT = 9862
@@ -81,3 +81,51 @@ def weather_from_orders(orders: DataFrame, year: int = 2025) -> DataFrame:
 
 def weather(spark: SparkSession, sf_dir: str, year: int = 2025) -> DataFrame:
     return weather_from_orders(read_table(spark, sf_dir, "orders"), year)
+
+
+def raw_frame(lineitem: DataFrame, taxi_type: str) -> DataFrame:
+    """The trips of one type under that type's own raw column names (as its monthly files have them)."""
+    pickup, dropoff = TIME_COLUMNS[taxi_type]
+    raw = raw_trips_from_lineitem(lineitem).filter(F.col("taxi_type") == taxi_type).drop("taxi_type")
+    return raw.withColumnsRenamed({"pickup_datetime": pickup, "dropoff_datetime": dropoff})
+
+
+def listing_pages(pages: DataFrame, present: bool = False) -> DataFrame:
+    """``pages`` with an anchor to a trip file behind their own HTML; ``present``: pages whose id is divisible by 3 only.
+
+    The file's type, year (2023-2025) and month follow from the page id; December 2025 is never listed.
+    Odd ids write the address from the root, with single quotes and a decoy attribute.
+    """
+    k = F.col("page_id")
+    year, month = 2023 + F.floor(k / 24) % 3, F.floor(k / 2) % 12 + 1
+    month = F.when((year == 2025) & (month == 12), 11).otherwise(month)
+    name = F.format_string("%s_tripdata_%d-%02d.parquet", F.when(k % 2 == 0, "yellow").otherwise("green"), year.cast("int"), month.cast("int"))
+    anchor = F.when(k % 2 == 0, F.concat(F.lit('<a href="'), name, F.lit('">file</a>'))).otherwise(
+        F.concat(F.lit("<a data-href='x' title='a > b' href='/trip-data/"), name, F.lit("'>file</a>")))
+    rows = pages.filter(k % 3 == 0) if present else pages
+    return rows.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), anchor).alias("html"))
+
+
+def weather_documents(orders: DataFrame) -> DataFrame:
+    """One archive response per calendar year of ``orders``: parallel arrays of day, precipitation and rain."""
+    day = F.expr(f"CAST(o_orderdate + INTERVAL '{DAY_SHIFT}' DAY AS DATE)")
+    daily = (orders.groupBy(day.alias("date")).agg((F.avg("o_totalprice") / 10000).alias("p"), (F.min("o_totalprice") / 10000).alias("r")))
+    days = F.array_sort(F.collect_list(F.struct("date", "p", "r")))
+    return (daily.groupBy(F.year("date").alias("y")).agg(days.alias("d"))  # at most 366 days each
+            .select(F.struct(F.transform("d", lambda x: x["date"].cast("string")).alias("time"),
+                             F.transform("d", lambda x: x["p"]).alias("precipitation_sum"),
+                             F.transform("d", lambda x: x["r"]).alias("rain_sum")).alias("daily")))
+
+
+def lookup_from_supplier(supplier: DataFrame) -> DataFrame:
+    """A zone lookup (LocationID, Borough, Zone, service_zone): supplier k up to 41 names zone 266 - k, one in ten left out."""
+    k = F.col("s_suppkey")
+    return supplier.filter(k.between(1, 41) & (k % 10 != 0)).select(
+        (266 - k).cast("int").alias("LocationID"), F.lit("Manhattan").alias("Borough"), F.col("s_name").alias("Zone"), F.lit("Yellow Zone").alias("service_zone"))
+
+
+def coordinates_from_supplier(supplier: DataFrame) -> DataFrame:
+    """Coordinates (zone_id, lat, lon) of zone 266 - k for each even supplier key k up to 41."""
+    k = F.col("s_suppkey")
+    return supplier.filter(k.between(1, 41) & (k % 2 == 0)).select(
+        (266 - k).cast("int").alias("zone_id"), (F.lit(40.0) + k / 1000).alias("lat"), (F.lit(-74.0) + k / 1000).alias("lon"))
