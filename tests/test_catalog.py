@@ -46,6 +46,29 @@ def test_harvest_all_links(spark):
     assert len(links) == 10
 
 
+def test_links_as_a_parser_sees_them(spark):
+    html = """<!-- <a href="/trip-data/yellow_tripdata_2024-01.parquet">hidden</a> -->
+<a data-href="x.parquet?yellow_tripdata" href="/trip-data/yellow_tripdata_2025-02.parquet">a</a>
+<a title="a > b" href=/trip-data/green_tripdata_2025-03.parquet>b</a>
+<a
+ href = '/trip-data/green_tripdata_2025-04.parquet&#63;v=1&#x26;w=&lt;'>c</a>
+<a title="href='/trip-data/yellow_tripdata_2024-05.parquet'" name=x>no href</a>
+<abbr href="/trip-data/yellow_tripdata_2024-06.parquet">not an anchor</abbr>
+<!-- never closed <a href="/trip-data/yellow_tripdata_2024-07.parquet">hidden</a>"""
+    df = spark.createDataFrame([(html,), (None,), ("",)], "html string")
+    got = sorted(r.url for r in catalog.harvest_links(df).collect())
+    assert got == [f"{HOST}/trip-data/green_tripdata_2025-03.parquet", f"{HOST}/trip-data/green_tripdata_2025-04.parquet?v=1&w=<",
+                   f"{HOST}/trip-data/yellow_tripdata_2025-02.parquet"]
+
+
+def test_months_to_fetch_keeps_types_without_files(spark):
+    schema = "taxi_type string, year int, month int"
+    online = spark.createDataFrame([("yellow", 2025, 11), ("yellow", 2025, 2), ("yellow", 2024, 1), ("yellow", 2025, 3)], schema)
+    local = spark.createDataFrame([("yellow", 2025, 3)], schema)
+    got = {r.taxi_type: r.months for r in catalog.months_to_fetch(online, local, 2025).collect()}
+    assert got == {"yellow": [2, 11], "green": []}
+
+
 def test_parse_and_months(spark):
     parsed = catalog.parse_links(catalog.harvest_links(_pages(spark)))
     got = sorted((r.taxi_type, r.year, r.month) for r in parsed.collect())

@@ -29,6 +29,23 @@ def test_t_p_value_matches_integration(spark, t, df):
     assert math.isclose(got, _t_sf_numeric(t, df), rel_tol=1e-7, abs_tol=1e-10)
 
 
+def _tail_numeric(t, df):
+    """The two-sided tail itself, integrated in log space over u = 1 / x (no cancellation)."""
+    u = np.linspace(1e-12, 1 / abs(t), 400001)
+    c = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
+    f = np.exp(c - (df + 1) / 2 * np.log1p(1 / (df * u * u)) - 2 * np.log(u))
+    h = u[1] - u[0]
+    return 2 * h / 3 * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum())
+
+
+@pytest.mark.parametrize("r,n", [(0.15, 335), (0.3, 335), (0.5, 335), (0.6, 335), (0.9, 335), (0.99, 20), (-0.9, 334), (0.2, 5000)])
+def test_small_p_values(spark, r, n):
+    from cordon.functions.stats import regression_p_value
+    got = spark.range(1).select(regression_p_value(F.lit(r), F.lit(n)).alias("p")).collect()[0].p
+    t = r * math.sqrt((n - 2) / (1 - r * r))
+    assert math.isclose(got, _tail_numeric(t, n - 2), rel_tol=1e-6)
+
+
 def test_p_value_null_for_bad_df(spark):
     got = spark.range(1).select(t_two_sided_p(F.lit(1.0), F.lit(0)).alias("p")).collect()[0].p
     assert got is None

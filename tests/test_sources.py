@@ -120,8 +120,11 @@ def test_zone_lookup_na_is_null(spark, tmp_path):
 def test_zone_dimension(spark):
     z = zones.zones(spark)
     counts = {r.roster: r["count"] for r in z.groupBy("roster").count().collect()}
-    assert counts == {"congestion": 41, "border": 9, "upper": 16, "island": 3}
-    assert z.filter(F.col("zone_name").isNull()).count() == 3  # island names not listed
+    assert counts == {"congestion": 41, "border": 9, "upper": 16, "island": 3, "manhattan": 69}
+    assert z.filter(F.col("zone_name").isNotNull()).select("zone_id").distinct().count() == 9
+    lookup = spark.createDataFrame([(4, "B", "Four", "s"), (142, "B", "Square", "s")], zones.LOOKUP_SCHEMA)
+    named = {(r.zone_id, r.roster): r.zone_name for r in zones.zones(spark, lookup).collect()}
+    assert len(named) == 138 and named[4, "manhattan"] == named[4, "congestion"] == "Four" and named[143, "border"] is None
 
 
 def test_read_type_multi_path(spark, tmp_path):

@@ -43,7 +43,10 @@ def test_new_table_when_source_changes(spark, sf_copy, root):
     path = os.path.join(sf_copy, "lineitem.parquet")
     st = os.stat(path)
     os.utime(path, ns=(st.st_atime_ns, st.st_mtime_ns + 10_000_000_000))
-    store.flagged_table(spark, sf_copy)
+    a = store.flagged_table(spark, sf_copy)
+    assert len(_tables(root)) == 1  # listed once a session
+    store.refresh()
+    assert store.flagged_table(spark, sf_copy) is not a
     assert len(_tables(root)) == 2
 
 
@@ -63,6 +66,42 @@ def test_partial_write_is_not_reused(spark, sf_copy, root):
     assert df.count() == 6000
 
 
+def test_clean_store(spark, sf_copy, root):
+    store.flagged_table(spark, sf_copy)
+    (name,) = _tables(root)
+    os.makedirs(os.path.join(root, "cordon-flagged-old", "w-1"))
+    os.makedirs(os.path.join(root, name, "w-left"))
+    assert len(store.clean_store(spark)) == 2
+    assert _tables(root) == [name] and len(_writers(root, name)) == 1
+    assert store.flagged_table(spark, sf_copy).count() == 6000
+
+
+def test_other_store_failures_are_raised(spark, sf_copy, root, monkeypatch):
+    from cordon.plans import queries
+
+    def broken(spark, sf):
+        raise ConnectionError("transient")
+
+    monkeypatch.setattr(store, "flagged_table", broken)
+    with pytest.raises(ConnectionError):
+        queries.QUERIES["trip_counts"](spark, sf_copy)
+
+
+def test_rerun_leaves_no_old_partition(spark, tmp_path):
+    from helpers import trips
+
+    from cordon.operators.flag import flag
+    out = str(tmp_path / "flagged")
+    two = [dict(pickup_time="2024-03-01 10:00:00", dropoff_time="2024-03-01 10:20:00"), dict(pickup_time="2025-03-01 10:00:00", dropoff_time="2025-03-01 10:20:00")]
+    store.write_flagged(flag(trips(spark, two)), out)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        store.write_flagged(flag(trips(spark, two[1:])), out)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert [r.pickup_time.year for r in spark.read.parquet(out).collect()] == [2025]
+
+
 def test_year_partitions(spark, sf_copy, root):
     store.flagged_table(spark, sf_copy)
     (name,) = _tables(root)
