@@ -22,7 +22,8 @@ from .words import PIECE, PUNCT, pieces, texts, word_hashes, words_at
 
 #: Notices by which licences announce themselves (fixed values: their customary wording).
 TEMPLATES = (
-    ("MIT", "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),

@@ -12,7 +12,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 
-from .tables import read, written
+from .tables import free, read, written
 
 #: Sources are weighed by these numbers in turn, in code point order, null last.
 WEIGHTS = (3, 1, 2)
@@ -60,26 +60,27 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies`` (how often the mix takes the row).
 
     Null texts count 0 words; a null source is a source like others, ordered last. Rows with a
-    null id draw by their text. Repeated rows draw alike. An empty table gives no rows. Clashing
-    column names don't matter: the added ones are joined under names of their own.
+    null id draw by their text. Repeated rows draw alike. An empty table gives no rows. Where ``docs``
+    has a column of an added name, the added one gets another underscore.
     """
-    sized = docs.withColumn("_size", words(F.col(text_col)))
-    table = written(rates(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size")), **how)
-                    .select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate")), "rates")
+    size, source_size, target, n, source, rate = (free(x, docs.columns) for x in ("_size", "_source_size", "_target", "_copies", "_source", "_rate"))
+    sized = docs.withColumn(size, words(F.col(text_col)))
+    table = written(rates(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("source_size")), **how)
+                    .select(F.col("source").alias(source), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate)), "rates")
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit(""))
-    whole = F.floor("_rate")
-    extra = (draw(key, seed) < F.col("_rate") - whole).cast("int")
-    return (sized.join(table, sized[source_col].eqNullSafe(table["_source"])).withColumn("_copies", (whole + extra).cast("int"))
-            .drop("_source", "_rate"))
+    whole = F.floor(rate)
+    extra = (draw(key, seed) < F.col(rate) - whole).cast("int")
+    return (sized.join(table, sized[source_col].eqNullSafe(table[source])).withColumn(n, (whole + extra).cast("int"))
+            .drop(source, rate))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """Every taken row as often as the mix takes it: the columns of ``docs`` and ``copy`` (from 1)."""
-    name = "copy" if "copy" not in docs.columns else "_copy"
-    taken = copies(docs, **how).where("_copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias(name))
+    n = free("_copies", docs.columns)
+    taken = copies(docs, **how).where(F.col(n) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(free("copy", docs.columns)))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from cordon.session import checkpoint_dir
 
@@ -58,6 +57,8 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z, other characters as they are."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    while name in columns:
+        name = "_" + name
+    return name

@@ -66,8 +66,10 @@ def test_edges(spark):
     assert len({r._copies for r in got if r.doc_id == 3}) == 1
     assert all(r._target == 0 and r._copies == 0 for r in got if r.source is None)
     assert mixing.copies(docs(spark, [])).count() == 0
-    extra = docs(spark, rows).selectExpr("*", "1 AS copy", "2 AS rate", "3 AS target")
-    assert mixing.mixed(extra).columns == [*extra.columns, "_copy"]
+    extra = docs(spark, rows).selectExpr("*", "1 AS copy", "2 AS rate", "3 AS target", "4 AS _size", "5 AS _copies", "6 AS _source")
+    out = mixing.mixed(extra)
+    assert out.columns == [*extra.columns, "_copy"] and out.count() == mixing.mixed(docs(spark, rows)).count()
+    assert {(r._size, r._copies, r._source) for r in out.collect()} == {(4, 5, 6)}
 
 
 def test_query_equals_sql(spark):
