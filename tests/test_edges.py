@@ -214,3 +214,30 @@ def test_coordinates_dict_equals_join(spark):
     assert [(r.lat, r.lon) for r in a] == [(r.lat, r.lon) for r in b]
     assert (a[0].lat, a[0].lon) == params.BORDER_COORDS[142]
     assert (a[1].lat, a[1].lon) == params.DEFAULT_COORD == (a[2].lat, a[2].lon)
+
+
+def test_fused_equals_direct_on_null_and_odd_rows(spark):
+    """Null times, zones, fares, totals and vendors, NaN distances, strange years: every fold equals its direct operator."""
+    import itertools
+
+    import diffcheck
+    from cordon.operators import zone
+    from cordon.plans import fused
+    times = [("2025-01-04 23:59:59", "2025-01-05 00:20:00"), ("2025-01-05 00:00:00", "2025-01-05 00:20:00"), ("2025-02-10 08:00:00", "2025-02-10 08:00:59"),
+             ("2024-03-31 23:00:00", "2024-04-01 00:10:00"), ("2098-07-01 10:00:00", "2098-07-01 10:30:00"), (None, "2025-01-05 00:20:00"), ("2025-03-01 10:00:00", None)]
+    zones_ = [(1, 230), (230, 161), (161, 1), (1, 142), (None, 161), (161, None), (7, 161)]
+    odd = [dict(), dict(total_amount=None), dict(fare=None, tip_amount=2.0), dict(trip_distance=float("nan")), dict(vendor_id=None),
+           dict(congestion_surcharge=0.0, total_amount=20.0), dict(congestion_surcharge=-2.5), dict(congestion_surcharge=2.5, taxi_type="green")]
+    rows = [dict(pickup_time=p, dropoff_time=d, pickup_loc=a, dropoff_loc=b, **o) for (p, d), (a, b), o in itertools.product(times, zones_, odd)]
+    clean = fl.clean(fl.flag(trips(spark, rows)))
+    base = fused.base_aggregate(clean)
+    pairs = [(zone.surcharge_compliance(clean), fused.surcharge_compliance(base)),
+             (zone.missing_surcharge_locations(clean, min_entries=1), fused.missing_surcharge_locations(base, min_entries=1)),
+             (zone.quarterly_volumes(clean), fused.quarterly_volumes(base)), (zone.zone_direction_summary(clean), fused.zone_direction_summary(base)),
+             (zone.surcharge_revenue(clean), fused.surcharge_revenue(base)), (profile.hourly_speeds(clean, 2025, 1), fused.hourly_speeds(base, 2025, 1)),
+             (profile.daily_trips(clean, 2025), fused.daily_trips(base, 2025)), (profile.monthly_tips(clean, 2025), fused.monthly_tips(base, 2025)),
+             (profile.border_effect(clean), fused.border_effect(base))]
+    for a, b in pairs:
+        got = [tuple(r) for r in b.collect()]
+        ok, msg = diffcheck.compare([tuple(r) for r in a.collect()], a.columns, got, b.columns)
+        assert ok and got, msg
