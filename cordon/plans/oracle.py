@@ -33,18 +33,20 @@ WITH raw_trips AS NOT MATERIALIZED (
       + ((l_partkey * 7919 + l_orderkey * 31 + l_linenumber * 104729) % 86400) * INTERVAL '1' SECOND
       AS pickup_datetime,
     (l_orderkey * 31 + l_partkey * 17 + l_linenumber * 13) % 3600 - 60 AS dur_s,
-    225 + (l_partkey * 7 + l_linenumber) % 41 AS PULocationID,
-    225 + (l_orderkey * 11 + l_linenumber) % 41 AS DOLocationID,
+    CASE WHEN l_quantity = 30 AND l_linenumber = 3 THEN NULL WHEN l_partkey % 3 = 0 THEN 1 + (l_partkey * 7 + l_linenumber) % 265
+         ELSE 225 + (l_partkey * 7 + l_linenumber) % 41 END AS PULocationID,
+    CASE WHEN l_quantity = 31 AND l_linenumber = 2 THEN NULL WHEN l_partkey % 3 = 0 THEN 1 + (l_orderkey * 11 + l_linenumber) % 265
+         ELSE 225 + (l_orderkey * 11 + l_linenumber) % 41 END AS DOLocationID,
     CASE WHEN l_quantity <= 2 THEN CAST(0 AS DOUBLE) ELSE l_quantity / 4 END AS trip_distance,
-    l_extendedprice / 1000 AS fare_amount,
-    l_extendedprice / 1000 * (1 + l_tax) AS total_amount,
+    CASE WHEN l_quantity <> 32 THEN l_extendedprice / 1000 END AS fare_amount,
+    CASE WHEN l_quantity <> 33 THEN l_extendedprice / 1000 * (1 + l_tax) END AS total_amount,
     CASE WHEN l_tax = 0.08 THEN CAST(-2.5 AS DOUBLE)
          WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN NULL
          WHEN l_returnflag = 'N' THEN CAST(0 AS DOUBLE)
          ELSE CAST(2.5 AS DOUBLE) END AS congestion_surcharge,
     CASE WHEN l_discount = 0 THEN NULL ELSE l_extendedprice / 1000 * l_discount END AS tip_amount,
     CASE WHEN l_linestatus = 'O' THEN 'yellow' ELSE 'green' END AS taxi_type,
-    l_suppkey % 7 + 1 AS VendorID
+    CASE WHEN l_quantity <> 34 THEN l_suppkey % 7 + 1 END AS VendorID
   FROM lineitem
 ),
 unified_trips AS NOT MATERIALIZED (

@@ -28,7 +28,7 @@ from cordon.sources.catalog import list_files
 # pushed to the Parquet reader.
 PARTITION_COLUMNS = ["pickup_year", "pickup_month"]
 # Bump when the stored columns, the classifier or the layout change.
-STORE_VERSION = "store-v6"
+STORE_VERSION = "store-v7"
 FLAG_COLUMNS = ["trip_duration_min", "avg_speed_mph", "ghost_type"]
 
 

@@ -24,24 +24,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _zone(key, missing):
+    """A zone id from a row's key: of all 265 for every third part, else of the last 41; null where `missing`."""
+    place = key + F.col("l_linenumber")
+    return F.when(~missing, F.when(F.col("l_partkey") % 3 == 0, 1 + place % 265).otherwise(225 + place % 41))
+
+
 def raw_trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """Raw-trip columns (type-neutral names) plus the taxi type, one projection."""
+    """Raw-trip columns (type-neutral names) plus the taxi type, one projection.
+
+    A third of the trips use all 265 zones, the others 225-265; some zones, fares, totals and vendors are null.
+    """
     pickup = F.expr(
         f"l_shipdate + INTERVAL '{DAY_SHIFT}' DAY + "
         "((l_partkey * 7919 + l_orderkey * 31 + l_linenumber * 104729) % 86400) "
         "* INTERVAL '1' SECOND")
     dur_s = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 17
              + F.col("l_linenumber") * 13) % 3600 - 60
-    price = F.col("l_extendedprice") / 1000
+    price, quantity = F.col("l_extendedprice") / 1000, F.col("l_quantity")
     return lineitem.select(
         pickup.alias("pickup_datetime"),
         (pickup + dur_s * F.expr("INTERVAL '1' SECOND")).alias("dropoff_datetime"),
-        (225 + (F.col("l_partkey") * 7 + F.col("l_linenumber")) % 41).alias("PULocationID"),
-        (225 + (F.col("l_orderkey") * 11 + F.col("l_linenumber")) % 41).alias("DOLocationID"),
+        _zone(F.col("l_partkey") * 7, (quantity == 30) & (F.col("l_linenumber") == 3)).alias("PULocationID"),
+        _zone(F.col("l_orderkey") * 11, (quantity == 31) & (F.col("l_linenumber") == 2)).alias("DOLocationID"),
         F.when(F.col("l_quantity") <= 2, F.lit(0.0))
          .otherwise(F.col("l_quantity") / 4).alias("trip_distance"),
-        price.alias("fare_amount"),
-        (price * (1 + F.col("l_tax"))).alias("total_amount"),
+        F.when(quantity != 32, price).alias("fare_amount"),
+        F.when(quantity != 33, price * (1 + F.col("l_tax"))).alias("total_amount"),
         F.when(F.col("l_tax") == 0.08, F.lit(-2.5))
          .when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1), F.lit(None).cast("double"))
          .when(F.col("l_returnflag") == "N", F.lit(0.0))
@@ -50,7 +59,7 @@ def raw_trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
          .otherwise(price * F.col("l_discount")).alias("tip_amount"),
         F.when(F.col("l_linestatus") == "O", F.lit("yellow"))
          .otherwise(F.lit("green")).alias("taxi_type"),
-        (F.col("l_suppkey") % 7 + 1).alias("VendorID"),
+        F.when(quantity != 34, F.col("l_suppkey") % 7 + 1).alias("VendorID"),
     )
 
 
