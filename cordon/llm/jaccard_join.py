@@ -55,7 +55,7 @@ EXTRA = 0.05
 HOT = 64
 #: Sets and tokens of one side of a verification unit.
 UNIT_SETS, UNIT_TOKENS = 256, 2_000_000
-#: Rows up to which the list of documents to re-read is broadcast (16 bytes each).
+#: Rows up to which a list of documents to re-read or to drop is broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
 
@@ -315,7 +315,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     Rows that repeat the kept id stay, so does every row whose id is null.
     """
     found = jaccard_components(docs, id_col, **how).select(F.col("doc_id").alias("_id"), "component_id")
-    gone = found.where("_id IS NOT NULL AND _id <> component_id").select("_id").distinct()
+    gone = written(found.where("_id IS NOT NULL AND _id <> component_id").select("_id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone  # texts needn't be shuffled for few ids
     return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import dropped, prepared, read, written
+from .tables import free, prepared, read, written
 from .words import SPACE, shingles, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -263,11 +263,13 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = _keyed(docs, id_col, text_col)
     scan = written(_scan(rows), "scan")
     found = discovered(rows, scan)
-    listed = written(found.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_more")).withColumnRenamed("at", "_at"), "listed")
+    key, more_at, more_name = (free(n, docs.columns) for n in ("_key", "_at", "_more"))
+    listed = written(found.groupBy(F.col("at").alias(more_at)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(more_name)), "listed")
     small = listed.count() <= BROADCAST_ROWS
-    own = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    full = own.join(F.broadcast(listed) if small else listed, own["_key"] == listed["_at"], "left").drop("_key", "_at")
-    at = docs.columns.index(text_col)
+    own = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    full = own.join(F.broadcast(listed) if small else listed, own[key] == listed[more_at], "left").drop(key, more_at)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
@@ -279,7 +281,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 texts.append(masked_text(text, spans) if spans else text)
             cols = list(batch.columns[:-1])
             cols[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     out = full.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
