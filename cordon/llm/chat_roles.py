@@ -34,7 +34,7 @@ LENGTHS = (0, 20, 60, 120, 240, 480)  # length classes start here
 #: Symbols of the three emissions: marker, length class, and question x after a blank line.
 SIZES = (len(MARKERS) + 1, len(LENGTHS), 4)
 #: Lines that share a task, about.
-TASK_LINES = 20_000
+TASK_LINES = 4_000
 
 
 def _marker(line: Column) -> tuple[Column, Column]:

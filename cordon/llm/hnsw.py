@@ -172,6 +172,7 @@ def points(vectors: DataFrame, keep: int, id_col: str = "vec_id", vec_col: str =
 
 def index(pts: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row per shard: its points, vectors and flat graph."""
+    prepared(pts.sparkSession)
     n = max(1, math.ceil(pts.count() / shard))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -209,6 +210,7 @@ def nearest(queries: DataFrame, shards: DataFrame, k: int, id_col: str = "vec_id
     """
     q = (queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("q"))
          .where(F.col("query_id").isNotNull() & _usable(F.col("q"))).dropDuplicates(["query_id", "q"]).withColumn("dim", F.size("q")))
+    prepared(queries.sparkSession)
     n = q.count()
     blocks = max(1, math.ceil(n / BLOCK))
     # Every block has to meet every shard: the keys say so; each (shard, block) is one bounded task.
