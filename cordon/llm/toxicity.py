@@ -77,7 +77,9 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, copies: np.n
     theta = np.array([-np.log(max(s, 1e-4) / max(1 - s, 1e-4)) for s in share])
     theta = np.maximum.accumulate(theta)
     rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    rows = rows.astype(np.int32)
     tokens, column = np.unique(np.concatenate(texts) if len(rows) else np.zeros(0, np.uint64), return_inverse=True)
+    column = column.astype(np.int32)
     if not len(tokens) or y.max() == y.min():
         return Model(np.zeros(0, np.uint64), np.zeros(0), theta)
     raw = votes * len(np.unique(group))  # votes in texts
@@ -96,7 +98,7 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, copies: np.n
     x[rows[known], place[column[known]]] = 1
     w = np.zeros(len(good))
     # Proximal gradient with momentum; the step from the largest curvature of the logistic parts.
-    step = 1 / (0.5 * float(np.linalg.norm(x * np.sqrt(votes)[:, None], 2) ** 2) + 0.5)
+    step = 1 / (0.5 * float(np.linalg.eigvalsh(x.T @ (x * votes[:, None]))[-1]) + 0.5)
     ahead_w, ahead_t, t = w.copy(), theta.copy(), 1.0
     for _ in range(ROUNDS):
         _, dz, dt = _log_lik_parts(x @ ahead_w, y, ahead_t)
@@ -148,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int, id_col: str = "doc_
             .mapInArrow(run, "g int, w array<long>, c long").toArrow())
     grades = np.clip(rows["g"].to_numpy(), 0, n_grades - 1)
     sets = [np.asarray(x.values, dtype=np.int64).view(np.uint64) if x.values is not None else np.zeros(0, np.uint64) for x in rows["w"]]
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sets[i].tobytes(), grades[i]))  # the fit doesn't hang on task order
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i].sum()), grades[i]))  # the fit doesn't hang on task order
     order = order[: 4 * SAMPLE]  # more rows than ids only if ids repeat
     sets, grades, copies = [sets[i] for i in order], grades[order], rows["c"].to_numpy()[order]
     if binary:
