@@ -48,15 +48,15 @@ def _series(n_terms: Column, first: Column, ratio, c2: Column) -> Column:
     return F.aggregate(ks, init, step).getField("total")
 
 
-def _tail(t2: Column, df: Column) -> Column:
-    """The two-sided tail for small p, as a sum of positive terms."""
+def _tail(t2: Column, df: Column, wanted: Column) -> Column:
+    """The two-sided tail for small p, as a sum of positive terms (one term where it isn't wanted)."""
     a, x, y = df / 2, df / (df + t2), t2 / (df + t2)
     start = F.when(df % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.5))
     steps = F.sequence(F.lit(0), F.greatest(F.floor(a - start).cast("int"), F.lit(0)))
     log_beta = F.when(df % 2 == 0, F.lit(math.log(2.0))).otherwise(F.lit(math.log(math.pi))) + F.aggregate(
         F.filter(steps, lambda k: k < F.floor(a - start)), F.lit(0.0),
         lambda s, k: s + F.log((start + k) / (start + k + 0.5)))
-    n = F.least(F.ceil(45.0 / y), F.lit(1_000_000)).cast("int")
+    n = F.when(wanted, F.least(F.ceil(45.0 / y), F.lit(1_000_000)).cast("int")).otherwise(F.lit(0))
     total = F.aggregate(
         F.sequence(F.lit(0), n), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
         lambda s, k: F.struct((s["term"] * x * (a + 0.5 + k) / (a + 1 + k)).alias("term"),
@@ -79,7 +79,7 @@ def t_two_sided_p(t, df) -> Column:
          .when(df == 1, F.lit(2.0 / math.pi) * theta)
          .otherwise(odd_a))
     p = F.lit(1.0) - a
-    return F.when(df >= 1, F.when(p < _SMALL, _tail(t * t, dfd)).otherwise(p))
+    return F.when(df >= 1, F.when(p < _SMALL, _tail(t * t, dfd, p < _SMALL)).otherwise(p))
 
 
 def t_statistic(r, df) -> Column:
