@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from llm.frames import docs, prose
@@ -88,4 +87,3 @@ def test_long_repetitive_text_is_quick():
     words = next(word_hashes(pa.array(["from " * 3000]), PUNCT))[1]
     (one,) = d.leaks(words, block, 0.5)
     assert one[1] == 1.0
-    assert isinstance(np.asarray(words), np.ndarray)
