@@ -1,8 +1,12 @@
 """License scans: TF-IDF cosine of every passage to licence templates, then inheritance from the nearest directory.
 
-1. Every line of every file (headers, licence files, notices anywhere) is compared with the templates
+1. Runs of words of every file (headers, licence files, notices anywhere) are compared with the templates
    as sparse TF-IDF vectors over the templates' vocabulary. Document frequencies of that vocabulary are
-   counted over all files. Only lines that hold two or more words of a template are scored.
+   counted over all files. A run starts at a word of the template, is at most as long as the template, ends at its
+   last word there and goes on over line breaks; whole lines of any length are runs too. A run whose shared words
+   can't reach ``NOTICE`` (their part of the template's norm bounds the cosine) isn't scored.
+   A text that begins with a licence's title, word for word, scores 1. Between GNU licences, which differ in a
+   word or two of a long notice, the family and version that the run and the words after it state decide.
 2. A licence file's licence holds for its directory. A file without a notice of its own takes that of
    its nearest ancestor directory that has one: distinct directories explode into their ancestors (a few rows
    each), join the licensed directories by path, and keep the deepest; files then join their directory.
@@ -10,15 +14,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from .tables import prepared, read, written
-from .words import PIECE, PUNCT, pieces, texts, word_hashes, words_at
+from .words import PUNCT, pieces, texts, word_hashes, words_at
 
 #: Notices by which licences announce themselves (fixed values: their customary wording).
 TEMPLATES = (
@@ -44,7 +46,22 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: A line has a licence if its cosine with a template is at least this.
+#: How licence texts begin that need not hold a notice (fixed values: their titles).
+TITLES = (
+    ("GPL-2.0", "GNU General Public License Version 2"),
+    ("GPL-3.0", "GNU General Public License Version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+)
+#: GNU licences, and how many words after a notice may state its version.
+GNU = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+AFTER = 16
+#: A run of words has a licence if its cosine with a template is at least this.
 NOTICE = 0.75
 #: Names of files whose licence holds for their directory.
 LICENSE_FILE = r"(?i)^(license|licence|copying|unlicense|notice)([._-].*)?$"
@@ -67,9 +84,17 @@ class Templates:
         self.rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
         self.unknown = float(np.log(n_files + 1) + 1) / 2  # a word outside the vocabulary; its document frequency isn't counted
 
-    def best(self, words: np.ndarray) -> tuple[float, int] | None:
-        """Cosine and number of the nearest template of one line (ties: the earlier one)."""
-        if len(words) < 2 or len(words) > 400 or not len(self.vocabulary):
+        self.lengths = [len(w) for w in sets]
+        self.part = self.rows ** 2  # of each word in a template's norm
+        holds = self.rows > 0
+        others = np.array([[a != b for b in self.names] for a in self.names])
+        # Words of no other licence's template; a run needs one of them where a template has any.
+        self.own = holds & ~((others.astype(np.int64) @ holds) > 0)
+        self.titles = [(name, w) for (name, _), (_, w) in zip(TITLES, word_hashes(pa.array([t for _, t in TITLES], pa.string()), PUNCT), strict=True) if name in self.names]
+
+    def cosines(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Cosine of one run with each template, and which vocabulary words it holds."""
+        if len(words) < 2 or not len(self.vocabulary):
             return None
         at = np.searchsorted(self.vocabulary, words)
         at[at == len(self.vocabulary)] = 0
@@ -79,21 +104,87 @@ class Templates:
         tf = np.bincount(at[known], minlength=len(self.vocabulary))
         v = (1 + np.log(np.maximum(tf, 1))) * (tf > 0) * self.idf
         others = len(np.unique(words[~known]))
-        cosine = self.rows @ v / np.sqrt(v @ v + others * self.unknown ** 2)
-        k = int(cosine.argmax())
-        return round(float(cosine[k]), 9), k
+        return self.rows @ v / np.sqrt(v @ v + others * self.unknown ** 2), tf > 0
 
-
-def _line_pieces(own: np.ndarray) -> Iterator[np.ndarray]:
-    """A text in pieces of about PIECE bytes, cut at line breaks; a longer line is cut at its words."""
-    at = 0
-    while at < len(own):
-        to = min(len(own), at + PIECE)
-        if to < len(own):
-            breaks = np.flatnonzero(own[at:to] == 10)
-            to = at + int(breaks[-1]) + 1 if len(breaks) else at + next(pieces(own[at:], PUNCT))[1]
-        yield own[at:to]
-        at = to
+    def best(self, words: np.ndarray) -> tuple[float, int] | None:
+        """Cosine and number of the nearest template of one run (ties: the earlier one)."""
+        found = self.cosines(words)
+        if found is None:
+            return None
+        k = int(found[0].argmax())
+        return round(float(found[0][k]), 9), k
+
+    def notice(self, words: np.ndarray, line: np.ndarray) -> tuple[float, str] | None:
+        """Score and licence of a text's best run (ties: the first); ``line`` is the line of each word."""
+        for name, title in self.titles:
+            if len(words) >= len(title) and (words[: len(title)] == title).all():
+                return 1.0, name
+        if not len(words) or not len(self.vocabulary):
+            return None
+        at = np.searchsorted(self.vocabulary, words)
+        at[at == len(self.vocabulary)] = 0
+        hit = np.flatnonzero(self.vocabulary[at] == words)
+        if len(hit) < 2:
+            return None
+        at = at[hit]
+        least = NOTICE ** 2 - 1e-6
+        present = np.bincount(at, minlength=len(self.vocabulary)) > 0
+        runs: set[tuple[int, int, int]] = set()  # first word, end, template (-1: a line, any template)
+        for k in np.flatnonzero(self.part @ present >= least):
+            part = self.part[k][at]
+            mine = np.flatnonzero(part > 0)
+            place, part = hit[mine], part[mine]
+            total = np.append(0.0, np.cumsum(part))
+            end = np.searchsorted(place, place + self.lengths[k])
+            for i in np.flatnonzero(total[end] - total[:-1] >= least):
+                runs.add((int(place[i]), int(place[end[i] - 1]) + 1, int(k)))
+            lines, nth = np.unique(line[place], return_inverse=True)
+            for one in lines[np.bincount(nth, part) >= least]:
+                a, b = np.searchsorted(line, [one, one + 1])
+                runs.add((int(a), int(b), -1))
+        top: tuple[float, int, int, int] | None = None
+        for a, b, k in sorted(runs):
+            found = self.cosines(words[a:b])
+            if found is None:
+                continue
+            cosine, held = found
+            right = ~self.own.any(axis=1) | (self.own & held).any(axis=1)
+            cosine = np.where(right, cosine, 0.0)
+            k = int(cosine.argmax()) if k < 0 else k
+            score = round(float(cosine[k]), 9)
+            if score >= NOTICE and (top is None or score > top[0]):
+                top = score, k, a, b
+        return top and (top[0], self.stated(self.names[top[1]], words, top[2], top[3]))
+
+    @staticmethod
+    def stated(name: str, words: np.ndarray, a: int, b: int) -> str:
+        """A GNU licence's name by the family in the run ``words[a:b]`` and the first version in it or after it."""
+        if name not in GNU:
+            return name
+        own = words[a:b]
+        family = "AGPL" if (own == _WORD["affero"]).any() else "LGPL" if (own == _WORD["lesser"]).any() else "GPL"
+        follows = words[a: b + AFTER]
+        for i in np.flatnonzero((follows == _WORD["version"]) | (follows == _WORD["v"])):
+            number = [_DIGIT.get(int(w)) for w in follows[i + 1: i + 3]]
+            if number and number[0] is not None:
+                full = f"{family}-{number[0]}.{(number + [None])[1] or 0}"
+                return full if full in GNU else name
+        return next((n for n in (name, f"{family}-3.0") if n.startswith(family + "-")), name)
+
+
+_NAMED = ("affero", "lesser", "version", "v")
+_WORD = dict(zip(_NAMED, (w[0] for _, w in word_hashes(pa.array(_NAMED, pa.string()), PUNCT)), strict=True))
+_DIGIT = {int(w[0]): d for d, (_, w) in enumerate(word_hashes(pa.array([str(d) for d in range(10)], pa.string()), PUNCT))}
+
+
+def _words(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of one text and the line that each is in, piece by piece."""
+    words, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in pieces(own, PUNCT):
+        w, at = words_at(own[a:b], PUNCT)
+        words.append(w)
+        starts.append(at + a)
+    return np.concatenate(words), np.searchsorted(np.flatnonzero(own == 10), np.concatenate(starts))
 
 
 def frequencies(files: DataFrame, templates, text_col: str = "text") -> tuple[dict[int, int], int]:
@@ -118,7 +209,7 @@ def frequencies(files: DataFrame, templates, text_col: str = "text") -> tuple[di
 
 
 def notices(files: DataFrame, templates=TEMPLATES, key: tuple[str, ...] = ("path",), text_col: str = "text") -> DataFrame:
-    """The key columns with ``license`` and ``score`` of each file's best line (null and 0 without one)."""
+    """The key columns with ``license`` and ``score`` of each file's best run of words (null and 0 without one)."""
     spark = prepared(files.sparkSession)
     df, n = frequencies(files, templates, text_col)
     shared = spark.sparkContext.broadcast(Templates(templates, df, n))
@@ -131,19 +222,8 @@ def notices(files: DataFrame, templates=TEMPLATES, key: tuple[str, ...] = ("path
             names, scores = [], []
             data, offsets = texts(batch.column(batch.num_columns - 1))
             for row in range(batch.num_rows):
-                found: tuple[float, int] | None = None
-                for own in _line_pieces(data[offsets[row]: offsets[row + 1]]):
-                    words, starts = words_at(own, PUNCT)
-                    at = np.searchsorted(t.vocabulary, words)
-                    at[at == len(t.vocabulary)] = 0
-                    line = np.searchsorted(np.flatnonzero(own == 10), starts)
-                    hits = np.bincount(line[t.vocabulary[at] == words], minlength=1)
-                    for k in np.flatnonzero(hits >= 2):  # only lines with two template words are scored
-                        a, b = np.searchsorted(line, [k, k + 1])
-                        one = t.best(words[a:b])
-                        if one and one[0] >= NOTICE and (found is None or one[0] > found[0]):
-                            found = one
-                names.append(t.names[found[1]] if found else None)
+                found = t.notice(*_words(data[offsets[row]: offsets[row + 1]]))
+                names.append(found[1] if found else None)
                 scores.append(found[0] if found else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*key, "license", "score"])
 
@@ -177,7 +257,7 @@ def scan(files: DataFrame, templates=TEMPLATES, key: tuple[str, ...] = ("path",)
     """Key columns (``path`` among them), license, score, effective and from_dir, one row per input row.
 
     Null and empty texts have no notice; repeated rows and files agree; an empty table gives no rows; columns beside
-    the key and the text are ignored. Very long texts are read line by line, in whole.
+    the key and the text are ignored. Texts and lines of any length are read in whole.
     """
     return inherited(written(notices(files, templates, key, text_col), "notices"))
 

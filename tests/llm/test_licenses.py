@@ -77,3 +77,35 @@ def test_long_lines(spark, monkeypatch):
     rows = [("a", prose(1, 60_000) + "\nLicensed under CC BY-NC 4.0.\n" + prose(2, 60_000) + "\n"), ("b", prose(3, 200_000))]
     got = {r.path: r.license for r in s.scan(files(spark, rows)).collect()}
     assert got == {"a": "CC-BY-NC-4.0", "b": None}
+
+
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""
+ASF = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the "Software"), to deal"""
+
+
+def test_wrapped_headers_full_files_and_one_line_documents(spark):
+    """Notices over line breaks, inside longer lines and in lines of any length; versions by the words that follow."""
+    want = {"gpl3": ("GPL-3.0", GPL3), "gpl2": ("GPL-2.0", GPL3.replace("software:", "software;").replace("version 3", "version 2")),
+            "agpl": ("AGPL-3.0", GPL3.replace("GNU General", "GNU Affero General")),
+            "lgpl": ("LGPL-2.1", GPL3.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")),
+            "asf": ("Apache-2.0", ASF), "bsd": ("BSD-3-Clause", BSD), "mit": ("MIT", MIT),
+            "title": ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3"), "full": ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n" + prose(11, 3000)),
+            "full_mit": ("MIT", "MIT License\n\nCopyright (c) 2020 A\n\n" + MIT + "\n" + prose(12, 300)),
+            "inside": ("MIT", prose(13, 11) + " Released under the MIT License. " + prose(14, 11)),
+            "one_line": ("Apache-2.0", prose(15, 5000) + " Licensed under the Apache License, Version 2.0. " + prose(16, 5000)),
+            "released": ("Apache-2.0", "Licensed under the Apache License"), "none": (None, prose(17, 900) + " the license of this version " + prose(18, 900))}
+    want |= {f"{k}_in_text": (v, prose(20, 500) + "\n" + t + "\n" + prose(21, 500)) for k, (v, t) in want.items() if k in ("gpl3", "gpl2", "asf", "bsd", "mit")}
+    rows = [(k, t) for k, (_, t) in want.items()] + [(f"p{i}", prose(100 + i, 60)) for i in range(60)]
+    got = {r.path: r.license for r in s.notices(files(spark, rows)).collect()}
+    assert {k: got[k] for k in want} == {k: v for k, (v, _) in want.items()}
+    assert not any(got[f"p{i}"] for i in range(60))
