@@ -1,13 +1,15 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of further identifiers.
 
 1. One scan finds the base spans (email, ip, card, phone) of every whole text, and *candidates*:
-   other runs of letters, digits and ``._%+@:/#-`` that hold a digit. Spans and candidates both emit the
-   lexical patterns around them: the word before, the two words before, the word before with the one after.
+   other runs of six or more letters, digits and ``._%+@:/#-`` that hold a digit and begin and end with a
+   letter or digit; shorter codes and handles without a digit are no candidates, whatever their context. Spans and
+   candidates both emit the lexical patterns around them: the word before, the two words before, the word before
+   with the one after. Values and words are hashed whole, however long.
 2. Base spans are the seed instances. Patterns and instances form a graph that Spark scores in rounds:
    a pattern's confidence is the confidence-weighted number of its occurrences over how often its
    context occurs in all texts (a second scan counts that, whatever fills the slot); an instance's is
    ``1 - prod(1 - confidence)`` over its patterns. Newly trusted instances support further patterns
-   in the next round.
+   in the next round; rounds go on until no confidence rises.
 3. Candidate occurrences whose instance reaches ``TRUST`` become spans of kind ``context``.
 
 Only occurrences travel in shuffles, never texts; all sums are combined before shuffling, so a frequent
@@ -24,8 +26,8 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import free, prepared, read, written
-from .words import SPACE, shingles, word_hashes
+from .tables import dropped, free, prepared, read, written
+from .words import SPACE, pieces, shingles, word_hashes, words_at
 
 KINDS = ("email", "ip", "card", "phone", "context")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -39,7 +41,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: A pattern needs this weight of distinct instances, a trusted instance this confidence.
-SUPPORT, TRUST, ROUNDS = 3, 0.5, 3
+SUPPORT, TRUST = 3, 0.5
+#: Rounds end when no confidence rises by more than this.
+SETTLED = 1e-6
 #: Patterns whose contexts are counted in one scan (8 bytes each are broadcast); more take more scans.
 PATTERNS_A_SCAN = 2_000_000
 #: Rows with discovered spans up to which they are broadcast for masking.
@@ -75,7 +79,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(int(p) <= 255 for p in m.group().split(".")):
+            parts = [p.lstrip("0") for p in m.group().split(".")]  # int() takes no part of thousands of digits
+            if all(len(p) < 3 or (len(p) == 3 and p <= "255") for p in parts):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             digits = re.sub("[^0-9]", "", m.group())
@@ -107,39 +112,42 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-_REACH = 200  # characters in which the words next to a span are looked for
+_SALT = np.array([0x51ED270B, 0x2545F491, 0x9E3779B9], np.uint64)
 
 
-def contexts(text: str, start: int, end: int) -> list[tuple[int, str]]:
-    """``(sort, words)`` of the patterns around a span: 0 word before, 1 two words before, 2 before and after.
+def patterns(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Hashes of the patterns around each ``(start, end)``: word before, two words before, before and after.
 
-    The text next to the span up to white space belongs to it, so words are whole; words are at most _REACH long.
+    The text next to the span up to white space belongs to it, so words are whole.
     """
-    left = WORD.findall(text[max(0, start - _REACH): start])
-    if left and text[start - 1] not in " \t\n\x0b\x0c\r":
-        left.pop()
-    right = text[end: end + _REACH]
-    cut = WORD.match(right)
-    after = WORD.findall(right[cut.end():] if cut else right)[:1]
+    if not spans:
+        return []
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = [(w, at + a) for a, b in pieces(data, SPACE) for w, at in [words_at(data[a:b], SPACE)]]
+    w, starts = (np.concatenate([f[k] for f in found]) for k in range(2))
+    if len(data) != len(text):
+        starts = np.cumsum((data & 0xC0) != 0x80)[starts] - 1
+    bounds = np.array(spans, np.int64)
+    own = np.searchsorted(starts, bounds[:, 0], "right") - 1  # the word in which a span starts
+    after = np.searchsorted(starts, bounds[:, 1])
+    one, two = shingles(w, 1), shingles(w, 2)
+    both = (own >= 1) & (after < len(w))
+    around = np.zeros(len(spans), np.uint64)
+    if both.any():
+        around[both] = shingles(np.stack([w[own[both] - 1], w[after[both]]], axis=1).ravel(), 2)[::2]
     out = []
-    if left:
-        out.append((0, left[-1]))
-        if after:
-            out.append((2, f"{left[-1]} {after[0]}"))
-        if len(left) > 1:
-            out.append((1, f"{left[-2]} {left[-1]}"))
+    for k, at in enumerate(own):
+        hashes = [one[at - 1] ^ _SALT[0]] if at >= 1 else []
+        if both[k]:
+            hashes.append(around[k] ^ _SALT[2])
+        if at >= 2:
+            hashes.append(two[at - 2] ^ _SALT[1])
+        out.append((np.array(hashes, np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist())
     return out
 
 
-_SALT = np.array([0x51ED270B, 0x2545F491, 0x9E3779B9], np.uint64)
-
-
-def _context_hash(found: list[tuple[int, str]]) -> list[int]:
-    out = []
-    for sort, words in found:
-        h = next(word_hashes(pa.array([words]), SPACE))[1]
-        out.append(int(((shingles(h, len(h)) ^ _SALT[sort]) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0]))
-    return out
+def _instance(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.lower().encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -150,7 +158,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _scan(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.list_(pa.int64())), ("base", pa.string()), ("sha", pa.string()),
-                        ("seen", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int8()), ("value", pa.string()), ("patterns", pa.list_(pa.int64()))])))])
+                        ("seen", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int8()), ("i", pa.int64()), ("patterns", pa.list_(pa.int64()))])))])
 
     def run(batches):
         for batch in batches:
@@ -158,14 +166,14 @@ def _scan(rows: DataFrame) -> DataFrame:
             for doc_id, text, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 spans = base_spans(text)
                 base = joined(spans)
-                seen = []
-                for a, b, kind in [(a, b, k) for a, k, b in spans] + [(a, b, 4) for a, b in candidates(text, spans)]:
-                    seen.append({"start": a, "end": b, "kind": kind, "value": text[a:b].lower()[:_REACH], "patterns": _context_hash(contexts(text, a, b))})
+                places = [(a, b, k) for a, k, b in spans] + [(a, b, 4) for a, b in candidates(text, spans)]
+                seen = [{"start": a, "end": b, "kind": kind, "i": _instance(text[a:b]), "patterns": around}
+                        for (a, b, kind), around in zip(places, patterns(text, [p[:2] for p in places]), strict=True)]
                 out.append({"doc_id": doc_id, "at": at, "n": [sum(k == one for _, k, _ in spans) for one in range(4)], "base": base,
                             "sha": hashlib.sha256(base.encode()).hexdigest(), "seen": seen})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, at long, n array<long>, base string, sha string, seen array<struct<start:int,end:int,kind:tinyint,value:string,patterns:array<bigint>>>")
+    return rows.mapInArrow(run, "doc_id long, at long, n array<long>, base string, sha string, seen array<struct<start:int,end:int,kind:tinyint,i:bigint,patterns:array<bigint>>>")
 
 
 def _count_contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -203,22 +211,26 @@ def _count_contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def discovered(rows: DataFrame, scan: DataFrame) -> DataFrame:
     """``(at, start, end)`` of the candidates that the scored graph trusts."""
     seen = written(scan.where(F.size("seen") > 0).dropDuplicates(["at"]).select("at", F.explode("seen").alias("s")).select("at", "s.*"), "seen")
-    edges = seen.select(F.xxhash64("value").alias("i"), (F.col("kind") < 4).alias("seed"), F.explode("patterns").alias("pattern"))
+    edges = seen.select("i", (F.col("kind") < 4).alias("seed"), F.explode("patterns").alias("pattern"))
     edges = written(edges.groupBy("pattern", "i").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
     # Only patterns with enough distinct instances can ever be trusted.
     wide = edges.groupBy("pattern").agg(F.count("*").alias("m"), F.max("seed").alias("any")).where(F.col("m") >= SUPPORT).select("pattern")
     totals = written(_count_contexts(rows, wide), "totals")
     graph = written(edges.join(totals, "pattern"), "graph")
-    trust = graph.groupBy("i").agg(F.max(F.col("seed").cast("double")).alias("conf"))
-    for _ in range(ROUNDS):
-        held = graph.join(trust, "i")
-        patterns = (held.groupBy("pattern").agg((F.sum(F.col("n") * F.col("conf")) / F.greatest(F.max("total"), F.sum("n"))).alias("p"), F.sum("conf").alias("support"))
+    trust = written(graph.groupBy("i").agg(F.max(F.col("seed").cast("double")).alias("conf")), "trust")
+    while True:
+        held = graph.join(trust.select("i", "conf"), "i")
+        scored = (held.groupBy("pattern").agg((F.sum(F.col("n") * F.col("conf")) / F.greatest(F.max("total"), F.sum("n"))).alias("p"), F.sum("conf").alias("support"))
                     .where(F.col("support") >= SUPPORT).select("pattern", F.least("p", F.lit(0.999)).alias("p")))
-        lifted = (graph.join(patterns, "pattern").groupBy("i")
+        lifted = (graph.join(scored, "pattern").groupBy("i")
                   .agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("up")))
-        trust = written(trust.join(lifted, "i", "left").select("i", F.greatest("conf", F.coalesce("up", F.lit(0.0))).alias("conf")), "trust")
+        conf = F.greatest("conf", F.coalesce("up", F.lit(0.0)))
+        before, trust = trust, written(trust.select("i", "conf").join(lifted, "i", "left").select("i", conf.alias("conf"), (conf - F.col("conf")).alias("rise")), "trust")
+        dropped(before)
+        if (trust.agg(F.max("rise")).first()[0] or 0) <= SETTLED:
+            break
     trusted = trust.where(F.col("conf") >= TRUST).select("i")
-    return written(seen.where("kind = 4").withColumn("i", F.xxhash64("value")).join(trusted, "i", "left_semi").select("at", "start", "end"), "found")
+    return written(seen.where("kind = 4").join(trusted, "i", "left_semi").select("at", "start", "end"), "found")
 
 
 def _with_found(scan: DataFrame, found: DataFrame) -> DataFrame:

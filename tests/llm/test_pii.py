@@ -86,3 +86,44 @@ def test_masking(spark):
     assert out.columns == rows.columns
     assert sorted((r.doc_id or 0, r.text) for r in out.collect() if r.text) == [(0, "[EMAIL]"), (2, "x")]
     assert pii.masked_text("ab cd ef", [(0, 0, 4), (3, 2, 5)]) == "[EMAIL] ef"
+
+
+def spans_of(spark, rows):
+    return {r.doc_id: r.spans for r in pii.personal_data(docs(spark, rows)).collect()}
+
+
+def test_long_values_and_neighbour_words_count_whole(spark):
+    """Instances with one long prefix are several; a neighbour word over 200 characters is one like others."""
+    rows = [(k, f"{prose(k, 20)} reach member at {'a' * 210}{k}@mail.example.com today {prose(k + 50, 20)}") for k in range(4)]
+    rows += [(10, f"{prose(60, 20)} reach member at AB-7000-X today {prose(61, 20)}")]
+    rows += [(20 + k, f"é {prose(k + 70, 20)} {'z' * 250} m{k}@mail.example.com {prose(k + 90, 20)}") for k in range(4)]
+    rows += [(30, f"é {prose(95, 20)} {'z' * 250} CD-7000-X {prose(96, 20)}"), (31, f"é {prose(97, 20)} {'y' * 250} EF-7000-X {prose(98, 20)}")]
+    got, text = spans_of(spark, rows), dict(rows)
+    for k, code in ((10, "AB-7000-X"), (30, "CD-7000-X")):
+        at = text[k].index(code)
+        assert got[k] == f"context:{at}:{at + 9}"
+    assert got[31] == ""
+
+
+def test_chains_of_contexts_are_followed_to_their_end(spark):
+    """Codes of level k stand in context k - 1, and more often in context k: each level is trusted by the one before."""
+    levels, n, rows = 7, 8, []
+
+    def add(level, value):
+        rows.append((len(rows), f"{prose(len(rows), 15)} context{'abcdefgh'[level]} {value} {prose(5000 + len(rows), 15)}"))
+
+    for k in range(3 * n):
+        add(0, f"m{k}@mail.example.com")
+    for level in range(1, levels + 1):
+        for k in range(n):
+            add(level - 1, f"L{level}-{k}-code")
+            for _ in range(4 if level < levels else 0):
+                add(level, f"L{level}-{k}-code")
+    got = spans_of(spark, rows)
+    assert all(got[k] for k in got)
+
+
+def test_address_parts_of_any_length():
+    long = "1.2.3." + "0" * 5000
+    assert pii.base_spans(long + "4")[0] == (0, 1, 5007) and pii.base_spans("1.2.3.000")[0] == (0, 1, 9)
+    assert not [s for s in pii.base_spans("1.2.3." + "9" * 5000) if s[1] == 1]
