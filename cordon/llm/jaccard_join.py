@@ -208,7 +208,7 @@ def _verify(units: DataFrame, percent: int, classes, bits: int) -> DataFrame:
         pdf = pdf.drop_duplicates(["k", "side"])
         sets = [np.frombuffer(x, dtype=_U) for x in pdf["s"]]
         side, keys = pdf["side"].to_numpy(), pdf["k"].to_numpy()
-        cross = side[:, None] != side[None, :] if side.max() > side.min() else ~np.eye(len(keys), dtype=bool)
+        cross = side[:, None] != side[None, :] if pdf["two"].iloc[0] else ~np.eye(len(keys), dtype=bool)
         ok = linked(sets, cross, percent, classes.value, 64 - bits)
         label = keys.copy()
         while True:
@@ -222,7 +222,7 @@ def _verify(units: DataFrame, percent: int, classes, bits: int) -> DataFrame:
 
 
 def _units(members: DataFrame, percent: int) -> DataFrame:
-    """``(k, fam, unit, side)``: where each member of a family is compared.
+    """``(k, fam, unit, side, two)``: where each member of a family is compared; ``two``: the unit meets two blocks.
 
     A small family is one unit. In a large one, a length band meets itself and the next
     band, block by block; every pair that the length filter admits meets in exactly one unit.
@@ -231,7 +231,7 @@ def _units(members: DataFrame, percent: int) -> DataFrame:
     cells = members.withColumn("band", band).groupBy("fam", "band").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     whole = (cells.groupBy("fam").agg(F.sum("m").alias("fm"), F.sum("t").alias("ft"))
              .withColumn("one", (F.col("fm") <= UNIT_SETS) & (F.col("ft") <= UNIT_TOKENS)))
-    small = members.join(whole.where("one AND fm > 1").select("fam"), "fam").select("k", "fam", F.lit("").alias("unit"), F.lit(0).alias("side"))
+    small = members.join(whole.where("one AND fm > 1").select("fam"), "fam").select("k", "fam", F.lit("").alias("unit"), F.lit(0).alias("side"), F.lit(False).alias("two"))
     blocks = F.ceil(F.greatest(F.col("m") / UNIT_SETS, F.col("t") / UNIT_TOKENS)).cast("int")
     cells = cells.join(whole.where("NOT one").select("fam"), "fam").select("fam", "band", blocks.alias("blocks"))
     up = cells.select("fam", (F.col("band") - 1).alias("band"), F.col("blocks").alias("up"))
@@ -241,10 +241,10 @@ def _units(members: DataFrame, percent: int) -> DataFrame:
     name = lambda b, i, c, j: F.concat_ws(".", b.cast("string"), i.cast("string"), c.cast("string"), j.cast("string"))
     seq = lambda n: F.when(n.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1))
     b, i = F.col("band"), F.col("i")
-    own = F.transform(seq(F.col("blocks")), lambda j: F.struct(name(b, F.least(i, j), b, F.greatest(i, j)).alias("unit"), F.when(i <= j, 0).otherwise(1).alias("side")))
-    above = F.transform(seq(F.col("up")), lambda j: F.struct(name(b, i, b + 1, j).alias("unit"), F.lit(0).alias("side")))
-    below = F.transform(seq(F.col("down")), lambda j: F.struct(name(b - 1, j, b, i).alias("unit"), F.lit(1).alias("side")))
-    large = large.select("k", "fam", F.explode(F.concat(own, above, below)).alias("u")).select("k", "fam", "u.unit", "u.side")
+    own = F.transform(seq(F.col("blocks")), lambda j: F.struct(name(b, F.least(i, j), b, F.greatest(i, j)).alias("unit"), F.when(i <= j, 0).otherwise(1).alias("side"), (i != j).alias("two")))
+    above = F.transform(seq(F.col("up")), lambda j: F.struct(name(b, i, b + 1, j).alias("unit"), F.lit(0).alias("side"), F.lit(True).alias("two")))
+    below = F.transform(seq(F.col("down")), lambda j: F.struct(name(b - 1, j, b, i).alias("unit"), F.lit(1).alias("side"), F.lit(True).alias("two")))
+    large = large.select("k", "fam", F.explode(F.concat(own, above, below)).alias("u")).select("k", "fam", "u.unit", "u.side", "u.two")
     return small.unionByName(large)
 
 

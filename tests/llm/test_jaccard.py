@@ -111,3 +111,12 @@ def test_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{os.path.join(SF001, 'documents.parquet')}'")
     assert rows == sorted(con.execute(f"SELECT doc_id, n_shingles, component_id, n_links FROM ({j.ORACLE_SQL})").fetchall())
+
+
+def test_links_count_once_where_blocks_are_empty(spark, monkeypatch):
+    """More blocks than sets, cut by tokens: some units of two blocks hold one side only."""
+    base = prose(77, 120)
+    rows = [(k, near(base, k, 1)) for k in range(14)]
+    for tokens in (20, 60, 150):
+        monkeypatch.setattr(j, "UNIT_TOKENS", tokens)
+        assert got(spark, rows) == brute(rows, 4, 85)
