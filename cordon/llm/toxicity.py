@@ -16,7 +16,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import prepared, read
-from .words import PUNCT, shingles, word_hashes
+from .words import PUNCT, mix, shingles, word_hashes
 
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
 SAMPLE = 10_000
@@ -25,6 +25,8 @@ FEATURES = 512
 #: A word needs this many labelled texts and this z-score against the grades.
 MIN_DOCS, MIN_Z = 5, 4.0
 COPY_WORDS = 5
+#: Copies agree in this share of so many minima of their runs of words; the first few find the texts to compare.
+SIMILAR, MINIMA, FIRST = 0.8, 128, 8
 L1, ROUNDS = 1e-4, 1500
 
 
@@ -124,6 +126,37 @@ def graded(texts: list[np.ndarray], toxic: np.ndarray, copies: np.ndarray, n_gra
     return np.where(toxic == 1, 1 + np.searchsorted(cuts, score, side="left"), 0)
 
 
+_SALTS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64))
+
+
+def minima(words: np.ndarray) -> np.ndarray:
+    """Least fingerprint of a text's runs of words under each of ``MINIMA`` orders; zeros without words."""
+    if not len(words):
+        return np.zeros(MINIMA, np.uint64)
+    runs = np.unique(shingles(words, COPY_WORDS))
+    return np.array([mix(runs ^ salt).min() for salt in _SALTS])
+
+
+def copy_groups(signs: np.ndarray) -> np.ndarray:
+    """A number for each row of minima: that of the first row it is a copy of (``SIMILAR``), or its own."""
+    out, same = np.arange(len(signs)), {}
+    heads: list[dict[int, list[int]]] = [{} for _ in range(FIRST)]
+    for i, sign in enumerate(signs):
+        if (first := same.setdefault(sign.tobytes(), i)) != i:
+            out[i] = out[first]
+            continue
+        found = [h[int(v)] for h, v in zip(heads, sign, strict=False) if int(v) in h]
+        if found:
+            near = np.unique(np.concatenate(found))
+            alike = (signs[near] == sign).mean(axis=1)
+            if alike.max() >= SIMILAR:
+                out[i] = near[alike.argmax()]
+                continue
+        for h, v in zip(heads, sign, strict=False):
+            h.setdefault(int(v), []).append(i)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
           label_id: str = "doc_id", grade_col: str = "grade", binary: bool = False) -> Model:
     """Fits on at most ``SAMPLE`` rows of ``labels`` (id, grade) and their texts; null ids and grades don't count.
@@ -138,21 +171,22 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int, id_col: str = "doc_
     def run(batches):
         for batch in batches:
             found = [w for _, w in word_hashes(batch.column(0), PUNCT)]
-            # Copies share the least fingerprint of their runs of words, other texts hardly ever.
-            least = [int(shingles(w, COPY_WORDS).min().view(np.int64)) if len(w) else 0 for w in found]
+            signs = np.concatenate([minima(w) for w in found] or [np.zeros(0, np.uint64)]).view(np.int64)
             sets = [np.unique(w).view(np.int64) for w in found]
             lengths = np.cumsum([0, *map(len, sets)]).astype(np.int64)
             values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.LargeListArray.from_arrays(pa.array(lengths), values).cast(pa.list_(pa.int64())), pa.array(least, pa.int64())], names=["g", "w", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.LargeListArray.from_arrays(pa.array(lengths), values).cast(pa.list_(pa.int64())),
+                                              pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * MINIMA), pa.array(signs))], names=["g", "w", "c"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_t"))
     rows = (texts.join(F.broadcast(known), texts["_d"] == known["_l"]).select("_t", "_g")
-            .mapInArrow(run, "g int, w array<long>, c long").toArrow())
+            .mapInArrow(run, "g int, w array<long>, c array<long>").toArrow())
     grades = np.clip(rows["g"].to_numpy(), 0, n_grades - 1)
     sets = [np.asarray(x.values, dtype=np.int64).view(np.uint64) if x.values is not None else np.zeros(0, np.uint64) for x in rows["w"]]
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i].sum()), grades[i]))  # the fit doesn't hang on task order
     order = order[: 4 * SAMPLE]  # more rows than ids only if ids repeat
-    sets, grades, copies = [sets[i] for i in order], grades[order], rows["c"].to_numpy()[order]
+    signs = np.array([x.values.to_numpy() for x in rows["c"]], np.int64).reshape(-1, MINIMA).view(np.uint64)
+    sets, grades, copies = [sets[i] for i in order], grades[order], copy_groups(signs[order])
     if binary:
         grades = graded(sets, np.minimum(grades, 1), copies, n_grades)
     return fit(sets, grades, n_grades, copies)

@@ -88,3 +88,15 @@ def test_probabilities_follow_the_thresholds():
     m = t.Model(np.zeros(0, np.uint64), np.zeros(0), np.array([1.0, 2.0, 4.0]))
     above = m.above(2.0)
     assert above[1] == pytest.approx(0.5) and (np.diff(above) < 0).all()
+
+
+def test_texts_that_share_a_passage_are_no_copies(spark, monkeypatch):
+    """Near copies share a vote; texts with a long common passage each have their own."""
+    seen, fit = [], t.fit
+    monkeypatch.setattr(t, "fit", lambda *a: seen.append(a) or fit(*a))
+    passage, base = prose(1, 150), prose(2, 200)
+    rows = [(k, passage + " " + prose(100 + k, 60)) for k in range(30)]
+    rows += [(100 + k, " ".join("x" if i == 20 * k else w for i, w in enumerate(base.split()))) for k in range(6)] + [(200, base), (201, base.upper())]
+    t.train(docs(spark, rows), spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id long, grade int"), 2)
+    _, _, _, copies = seen[-1]
+    assert sorted(np.unique(copies, return_counts=True)[1].tolist()) == [1] * 30 + [8]
