@@ -98,8 +98,8 @@ def _trip_links(spark, sf):
 
 
 def _local(spark, sf):
-    """Names of the files present: those that every third page lists."""
-    return catalog.parse_links(catalog.harvest_links(adapter.listing_pages(_pages(spark, sf), present=True)))
+    """Names of the files present: of all that the pages list, those of certain months of each type."""
+    return adapter.present_files(catalog.parse_links(catalog.harvest_links(_listing(spark, sf))))
 
 
 def months_to_fetch(spark, sf):

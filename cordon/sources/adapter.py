@@ -99,8 +99,8 @@ def raw_frame(lineitem: DataFrame, taxi_type: str) -> DataFrame:
     return raw.withColumnsRenamed({"pickup_datetime": pickup, "dropoff_datetime": dropoff})
 
 
-def listing_pages(pages: DataFrame, present: bool = False) -> DataFrame:
-    """``pages`` with an anchor to a trip file behind their own HTML; ``present``: pages whose id is divisible by 3 only.
+def listing_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` with an anchor to a trip file behind their own HTML.
 
     The file's type, year (2023-2025) and month follow from the page id; December 2025 is never listed.
     Odd ids write the address from the root, with single quotes and a decoy attribute.
@@ -111,8 +111,12 @@ def listing_pages(pages: DataFrame, present: bool = False) -> DataFrame:
     name = F.format_string("%s_tripdata_%d-%02d.parquet", F.when(k % 2 == 0, "yellow").otherwise("green"), year.cast("int"), month.cast("int"))
     anchor = F.when(k % 2 == 0, F.concat(F.lit('<a href="'), name, F.lit('">file</a>'))).otherwise(
         F.concat(F.lit("<a data-href='x' title='a > b' href='/trip-data/"), name, F.lit("'>file</a>")))
-    rows = pages.filter(k % 3 == 0) if present else pages
-    return rows.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), anchor).alias("html"))
+    return pages.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), anchor).alias("html"))
+
+
+def present_files(links: DataFrame) -> DataFrame:
+    """The links whose file stands for one present locally: yellow months 1, 4, 7 and 10, green months 2, 5, 8 and 11."""
+    return links.filter(F.col("month") % 3 == F.when(F.col("taxi_type") == "yellow", 1).otherwise(2))
 
 
 def weather_documents(orders: DataFrame) -> DataFrame:
