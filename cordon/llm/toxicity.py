@@ -14,12 +14,15 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 
-from .tables import prepared, read
+from .tables import dropped, prepared, read, written
 from .words import PUNCT, mix, shingles, word_hashes
 
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
 SAMPLE = 10_000
+#: Different texts of those ids, at most: of each id as many with the least hash as fit in evenly, ``PER_ID`` at most.
+ROWS, PER_ID = 4 * SAMPLE, 1_000
 #: Words that may carry a weight, at most: those that part the grades best in the sample.
 FEATURES = 512
 #: A word needs this many labelled texts and this z-score against the grades.
@@ -159,32 +162,42 @@ def copy_groups(signs: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
           label_id: str = "doc_id", grade_col: str = "grade", binary: bool = False) -> Model:
-    """Fits on at most ``SAMPLE`` rows of ``labels`` (id, grade) and their texts; null ids and grades don't count.
+    """Fits on at most ``SAMPLE`` rows of ``labels`` (id, grade) and ``ROWS`` texts; null ids and grades don't count.
+
+    Where an id repeats, its equal texts count once, and of its different ones those with the least hash are taken.
 
     ``binary``: the labels say only yes or no, and ``graded`` derives the grades.
     """
     spark = prepared(docs.sparkSession)
-    known = (labels.select(F.col(label_id).cast("long").alias("_l"), F.col(grade_col).cast("int").alias("_g"))
+    known = written(labels.select(F.col(label_id).cast("long").alias("_l"), F.col(grade_col).cast("int").alias("_g"))
              .where("_l IS NOT NULL AND _g IS NOT NULL").groupBy("_l").agg(F.max("_g").alias("_g"))
-             .orderBy(F.xxhash64("_l"), "_l").limit(SAMPLE))
+             .orderBy(F.xxhash64("_l"), "_l").limit(SAMPLE), "known")
+    each = max(1, min(PER_ID, ROWS // max(1, known.count())))
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            new = [key not in seen and not seen.add(key) for key in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            batch = batch.filter(pa.array(new, pa.bool_()))
             found = [w for _, w in word_hashes(batch.column(0), PUNCT)]
             signs = np.concatenate([minima(w) for w in found] or [np.zeros(0, np.uint64)]).view(np.int64)
             sets = [np.unique(w).view(np.int64) for w in found]
             lengths = np.cumsum([0, *map(len, sets)]).astype(np.int64)
             values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.LargeListArray.from_arrays(pa.array(lengths), values).cast(pa.list_(pa.int64())),
-                                              pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * MINIMA), pa.array(signs))], names=["g", "w", "c"])
+                                              pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * MINIMA), pa.array(signs)), batch.column(2), batch.column(3)], names=["g", "w", "c", "l", "h"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_t"))
-    rows = (texts.join(F.broadcast(known), texts["_d"] == known["_l"]).select("_t", "_g")
-            .mapInArrow(run, "g int, w array<long>, c array<long>").toArrow())
+    own = texts.join(F.broadcast(known), texts["_d"] == known["_l"]).select("_t", "_g", "_l", F.xxhash64("_t").alias("_h"))
+    # Hashes alone choose the rows; each task keeps few of an id, so one that repeats much is no hot key.
+    nth = F.row_number().over(W.partitionBy("_l").orderBy("_h"))
+    chosen = written(own.select("_l", "_h").distinct().withColumn("_n", nth).where(F.col("_n") <= each).select("_l", "_h"), "chosen")
+    rows = (own.join(F.broadcast(chosen), ["_l", "_h"]).select("_t", "_g", "_l", "_h")
+            .mapInArrow(run, "g int, w array<long>, c array<long>, l long, h long").dropDuplicates(["l", "h"]).toArrow())
+    dropped(known, chosen)
     grades = np.clip(rows["g"].to_numpy(), 0, n_grades - 1)
     sets = [np.asarray(x.values, dtype=np.int64).view(np.uint64) if x.values is not None else np.zeros(0, np.uint64) for x in rows["w"]]
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i].sum()), grades[i]))  # the fit doesn't hang on task order
-    order = order[: 4 * SAMPLE]  # more rows than ids only if ids repeat
     signs = np.array([x.values.to_numpy() for x in rows["c"]], np.int64).reshape(-1, MINIMA).view(np.uint64)
     sets, grades, copies = [sets[i] for i in order], grades[order], copy_groups(signs[order])
     if binary:

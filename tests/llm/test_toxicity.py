@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF01
 from llm.frames import docs, prose
@@ -100,3 +101,15 @@ def test_texts_that_share_a_passage_are_no_copies(spark, monkeypatch):
     t.train(docs(spark, rows), spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id long, grade int"), 2)
     _, _, _, copies = seen[-1]
     assert sorted(np.unique(copies, return_counts=True)[1].tolist()) == [1] * 30 + [8]
+
+
+def test_an_id_that_repeats_much_leaves_the_others_their_place(spark, monkeypatch):
+    """Rows are bounded by id and hash, not by length: many short texts of one id don't crowd out longer ones."""
+    seen, fit = [], t.fit
+    monkeypatch.setattr(t, "fit", lambda *a: seen.append(a) or fit(*a))
+    monkeypatch.setattr(t, "SAMPLE", 60)
+    monkeypatch.setattr(t, "ROWS", 240, raising=False)
+    rows = [(0, prose(k, 6)) for k in range(500)] + [(0, prose(1, 6))] * 50
+    rows += [(k, prose(1000 + k, 60) + (" nasty" if k <= 20 else "")) for k in range(1, 60)]
+    m = t.train(docs(spark, rows), spark.createDataFrame([(k, int(1 <= k <= 20)) for k in range(60)], "doc_id long, grade int"), 2)
+    assert len(seen[-1][0]) == 59 + 4 and m.score(np.unique(next(t.word_hashes(pa.array(["nasty"]), t.PUNCT))[1])) > 0
