@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 
 from .components import components
-from .tables import dropped, read, prepared, written
+from .tables import dropped, free, prepared, read, written
 from .words import SPACE, mix, shingles, word_hashes
 
 _U = np.uint64
@@ -87,8 +87,8 @@ def _order(s: np.ndarray, salt: np.uint64, classes: np.ndarray, shift: int) -> n
 
 
 def _scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """Row kind 0: a document's set size and class; kind 1: a task's token count per bucket."""
-    names = ["kind", "doc_id", "n", "k", "at"]
+    """Row kind 0: a document's set size, class and hash of its text; kind 1: a task's token count per bucket."""
+    names = ["kind", "doc_id", "n", "k", "th"]
 
     def run(batches):
         total = np.zeros(1 << bits, np.int64)
@@ -99,13 +99,13 @@ def _scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
                     sizes[row], keys[row] = len(s), _class_key(s)
                     np.add.at(total, (s >> _U(64 - bits)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(keys), np.int8)), batch.column(0), pa.array(sizes), pa.array(keys, pa.int64()), batch.column(2)], names=names)
+                [pa.array(np.zeros(len(keys), np.int8)), batch.column(0), pa.array(sizes), pa.array(keys, pa.int64()), batch.column(3)], names=names)
         some = np.flatnonzero(total)
         for at in range(0, len(some), 1 << 16):
             part = some[at: at + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(len(part), np.int8)), pa.array(part), pa.array(total[part]), none := pa.nulls(len(part), pa.int64()), none], names=names)
-    return docs.mapInArrow(run, "kind byte, doc_id long, n long, k long, at long")
+    return docs.mapInArrow(run, "kind byte, doc_id long, n long, k long, th long")
 
 
 def _index(docs: DataFrame, size: int, percent: int, classes, bits: int) -> DataFrame:
@@ -264,10 +264,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a null id are rows like others; a component whose ids are all null has a null id. An empty
     table gives no rows; other columns of ``docs`` are ignored.
     """
+    return _found(docs, id_col, text_col, size, percent).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """``jaccard_components`` with ``th``, the hash of the row's text, and ``c``, its component (null without words)."""
     spark = prepared(docs.sparkSession)
     # ``at`` finds a row's text again; rows without an id go by their text.
     own = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-           .withColumn("at", F.coalesce("doc_id", F.xxhash64("text"))))
+           .withColumn("at", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("th", F.xxhash64("text")))
     bits = _bits(docs)
     scan = written(_scan(own, size, bits), "scan")
     buckets = scan.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n"))
@@ -279,7 +284,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     weights[table["doc_id"].to_numpy(np.int64)] = np.minimum(np.floor(np.log2(table["n"].to_numpy(np.float64) / mean)), 63)
     classes = spark.sparkContext.broadcast(weights)
 
-    signs = scan.where("kind = 0").select("doc_id", "n", "k", "at")
+    signs = scan.where("kind = 0").select("doc_id", "n", "k", "th", F.coalesce("doc_id", "th").alias("at"))
     index = written(_index(own, size, percent, classes, bits), "index")
     families = components(_edges(index, percent)).select(F.col("v").alias("k"), F.col("c").alias("fam"))
     sets = signs.where("k IS NOT NULL").groupBy("k").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("at").alias("at"))
@@ -302,22 +307,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     degree = found.groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("n_links"))
     reach = (sets.select("k", "doc_id").join(parts, "k", "left").withColumn("c", F.coalesce("c", "k")))
     least = reach.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = reach.join(least, "c").join(degree, "k", "left").select("k", "component_id", "n_links")
+    named = reach.join(least, "c").join(degree, "k", "left").select("k", "c", "component_id", "n_links")
     return (signs.join(named, "k", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links")))
+                    F.coalesce("n_links", F.lit(0)).alias("n_links"), "th", "c"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """``docs`` with the least ``doc_id`` of each component kept (all columns, all rows without words).
 
-    Rows that repeat the kept id stay, so does every row whose id is null.
+    Row by row: where an id repeats, only its rows in a component of a lesser id go; rows that repeat the kept id stay.
+    Rows without an id go where their component has one; of a component without any, one row stays (that of the least text hash).
     """
-    found = jaccard_components(docs, id_col, **how).select(F.col("doc_id").alias("_id"), "component_id")
-    gone = written(found.where("_id IS NOT NULL AND _id <> component_id").select("_id").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone  # texts needn't be shuffled for few ids
-    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    text_col = how.get("text_col", "text")
+    found = _found(docs, id_col, **how).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "component_id", "c").where("c IS NOT NULL")
+    found = written(found.where("_id IS NULL OR _id <> component_id").distinct(), "copies")
+    bare = found.where("_id IS NULL AND component_id IS NULL")
+    kept = written(bare.groupBy("c").agg(F.min("_th").alias("_kept")).select("_kept"), "kept")
+    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t  # noqa: E731  texts needn't be shuffled for few rows
+    own, text = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    gone = small(found.select("_id", "_th"))
+    out = docs.join(gone, own.eqNullSafe(gone["_id"]) & (text == gone["_th"]), "left_anti")
+    if kept.isEmpty():
+        return out
+    few = small(kept)
+    key, row = free("_key", docs.columns), free("_row", docs.columns)
+    one = (docs.join(few, own.isNull() & (text == few["_kept"]), "left_semi").select(text.alias(key), F.struct(*docs.columns).alias(row))
+           .groupBy(key).agg(F.first(row).alias(row)).select(f"{row}.*"))
+    return out.unionByName(one)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,3 +120,13 @@ def test_links_count_once_where_blocks_are_empty(spark, monkeypatch):
     for tokens in (20, 60, 150):
         monkeypatch.setattr(j, "UNIT_TOKENS", tokens)
         assert got(spark, rows) == brute(rows, 4, 85)
+
+
+def test_one_of_each_decides_by_row(spark):
+    """An id that repeats loses only its copied text; near copies without an id leave one row."""
+    a, b, own = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a), (5, near(a, 1, 1)), (5, own), (None, near(a, 2, 1)), (None, b), (None, b), (None, near(b, 3, 1)), (None, near(b, 4, 1)), (None, None), (None, ""), (7, None)]
+    kept = sorted(((r.doc_id, r.text) for r in j.one_of_each(docs(spark, rows)).collect()), key=str)
+    of_b = [r for r in kept if r[0] is None and r[1]]
+    assert len(of_b) == 1 and of_b[0][1] in [rows[k][1] for k in (4, 6, 7)]
+    assert [r for r in kept if r not in of_b] == sorted([(1, a), (5, own), (None, None), (None, ""), (7, None)], key=str)
