@@ -21,13 +21,8 @@ def _sq(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-# A start tag of an anchor, and its attribute named exactly href (at the tag's start or after white space).
-_OWN_TAG = _sq(r"""(?i)<a\s((?:[^>"']|"[^"]*"|'[^']*')*)>""")
-_OWN_HREF = _sq(r"""(?i)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
-
-
 BASE = f"""
-WITH raw_trips AS NOT MATERIALIZED (
+WITH RECURSIVE raw_trips AS NOT MATERIALIZED (
   SELECT
     l_shipdate + INTERVAL '9862' DAY
       + ((l_partkey * 7919 + l_orderkey * 31 + l_linenumber * 104729) % 86400) * INTERVAL '1' SECOND
@@ -102,22 +97,40 @@ daily AS NOT MATERIALIZED (
 listing AS NOT MATERIALIZED (
   SELECT page_id, html,
          CASE WHEN page_id % 2 = 0 THEN '<a href="' || printf('yellow_tripdata_%d-%02d.parquet', y, m) || '">file</a>'
-              ELSE '<a data-href=''x'' title=''a > b'' href=''/trip-data/' || printf('green_tripdata_%d-%02d.parquet', y, m) || '''>file</a>' END AS anchor
-  FROM (SELECT page_id, html, y, CASE WHEN y = 2025 AND m0 = 12 THEN 11 ELSE m0 END AS m
+              ELSE '<a data-href=''x'' title=''a > b'' href=''/trip-data/' || printf('green_tripdata_%d-%02d.parquet', y, m) || '''>file</a>' END AS anchor,
+         list_extract(['<!-- <a href="yellow_tripdata_2030-01.parquet"> -->', '<script>s = "<a href=green_tripdata_2031-01.parquet>"</script>',
+                       '<img alt=''<a href="yellow_tripdata_2032-01.parquet">''>', '', ''], CAST(page_id % 5 + 1 AS INT)) AS decoy
+  FROM (SELECT page_id, html, y, CASE WHEN y = 2025 AND m0 = 12 AND page_id % 2 = 1 THEN 11 ELSE m0 END AS m
         FROM (SELECT page_id, html, 2023 + (page_id // 24) % 3 AS y, (page_id // 2) % 12 + 1 AS m0 FROM pages))
 ),
 page_sources AS NOT MATERIALIZED (
   SELECT 'page' AS origin, page_id, html FROM pages
-  UNION ALL SELECT 'listing', page_id, coalesce(html, '') || anchor FROM listing
+  UNION ALL SELECT 'listing', page_id, coalesce(html, '') || decoy || anchor || CASE WHEN page_id % 5 = 4 THEN '<a title="open href=yellow_tripdata_2033-01.parquet>' ELSE '' END FROM listing
 ),
-tags AS NOT MATERIALIZED (
-  SELECT origin, page_id, unnest(regexp_extract_all(regexp_replace(html, '<!--(.|\\n)*?-->', '', 'g'), {_OWN_TAG}, 1)) AS attrs
-  FROM page_sources
+-- A page read step by step: in the text a step goes to the next markup, in a tag it takes one attribute.
+steps AS (
+  SELECT origin, page_id, coalesce(html, '') AS rest, '' AS tag, NULL::VARCHAR AS href, NULL::VARCHAR AS found FROM page_sources
+  UNION ALL
+  SELECT origin, page_id,
+    CASE WHEN tag = '' THEN CASE WHEN place = 0 THEN '' WHEN starts_with(m, '<!--') THEN CASE WHEN strpos(m[5:], '-->') = 0 THEN '' ELSE m[strpos(m[5:], '-->') + 7:] END
+                                 WHEN name = '' THEN m[2:] ELSE m[2 + len(name):] END
+         WHEN u = '' THEN '' WHEN ends THEN CASE WHEN tag NOT IN ('script', 'style', 'title', 'textarea') THEN u[2:]
+                                                 WHEN strpos(lower(u), '</' || tag) = 0 THEN '' ELSE u[strpos(lower(u), '</' || tag) + 2:] END
+         WHEN quoted THEN CASE WHEN strpos(w[2:], w[1]) = 0 THEN '' ELSE w[strpos(w[2:], w[1]) + 2:] END
+         WHEN valued THEN w[1 + len(bare):] ELSE u[1 + len(attr):] END,
+    CASE WHEN tag = '' THEN lower(name) WHEN ends THEN '' ELSE tag END,
+    CASE WHEN tag = '' OR ends THEN NULL WHEN href IS NULL AND lower(attr) = 'href' AND valued THEN CASE WHEN quoted THEN split_part(w[2:], w[1], 1) ELSE bare END ELSE href END,
+    CASE WHEN tag = 'a' AND ends THEN href END
+  FROM (
+    SELECT *, ltrim(v[2:], x) AS w, starts_with(v, '=') AS valued, starts_with(v, '=') AND ltrim(v[2:], x)[1] IN ('"', chr(39)) AS quoted, regexp_extract(ltrim(v[2:], x), '^[^ \\t\\r\\n\\f\\v>]*') AS bare
+    FROM (SELECT *, starts_with(u, '>') AS ends, regexp_extract(u, '^[^/>][^ \\t\\r\\n\\f\\v/>=]*') AS attr, ltrim(u[1 + len(regexp_extract(u, '^[^/>][^ \\t\\r\\n\\f\\v/>=]*')):], x) AS v
+      FROM (SELECT *, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS x, strpos(rest, '<') AS place, rest[strpos(rest, '<'):] AS m,
+              regexp_extract(rest[strpos(rest, '<'):], '^<([a-zA-Z][^ \\t\\r\\n\\f\\v/>]*)', 1) AS name,
+              ltrim(rest, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '/') AS u
+            FROM steps WHERE rest <> '')))
 ),
 hrefs AS NOT MATERIALIZED (
-  SELECT origin, page_id, replace(coalesce(nullif(regexp_extract(attrs, {_OWN_HREF}, 1), ''), nullif(regexp_extract(attrs, {_OWN_HREF}, 2), ''),
-                          regexp_extract(attrs, {_OWN_HREF}, 3)), '&amp;', '&') AS href
-  FROM tags WHERE regexp_matches(attrs, {_OWN_HREF})
+  SELECT origin, page_id, replace(found, '&amp;', '&') AS href FROM steps WHERE found IS NOT NULL
 ),
 resolved AS NOT MATERIALIZED (
   SELECT origin, page_id, href AS raw_href,

@@ -102,16 +102,21 @@ def raw_frame(lineitem: DataFrame, taxi_type: str) -> DataFrame:
 def listing_pages(pages: DataFrame) -> DataFrame:
     """``pages`` with an anchor to a trip file behind their own HTML.
 
-    The file's type, year (2023-2025) and month follow from the page id; December 2025 is never listed.
-    Odd ids write the address from the root, with single quotes and a decoy attribute.
+    The file's type, year (2023-2025) and month follow from the page id; the green December 2025 is never listed.
+    Odd ids write the address from the root, with single quotes and a decoy attribute. Most pages also hold a decoy that is
+    no anchor (in a comment, a script, an attribute), or end in a tag whose quote stays open.
     """
     k = F.col("page_id")
     year, month = 2023 + F.floor(k / 24) % 3, F.floor(k / 2) % 12 + 1
-    month = F.when((year == 2025) & (month == 12), 11).otherwise(month)
+    month = F.when((year == 2025) & (month == 12) & (k % 2 == 1), 11).otherwise(month)
     name = F.format_string("%s_tripdata_%d-%02d.parquet", F.when(k % 2 == 0, "yellow").otherwise("green"), year.cast("int"), month.cast("int"))
     anchor = F.when(k % 2 == 0, F.concat(F.lit('<a href="'), name, F.lit('">file</a>'))).otherwise(
         F.concat(F.lit("<a data-href='x' title='a > b' href='/trip-data/"), name, F.lit("'>file</a>")))
-    return pages.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), anchor).alias("html"))
+    decoys = ['<!-- <a href="yellow_tripdata_2030-01.parquet"> -->', '<script>s = "<a href=green_tripdata_2031-01.parquet>"</script>',
+              """<img alt='<a href="yellow_tripdata_2032-01.parquet">'>""", "", ""]
+    decoy = F.element_at(F.array(*[F.lit(d) for d in decoys]), (k % 5 + 1).cast("int"))
+    tail = F.when(k % 5 == 4, F.lit('<a title="open href=yellow_tripdata_2033-01.parquet>')).otherwise(F.lit(""))
+    return pages.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), decoy, anchor, tail).alias("html"))
 
 
 def present_files(links: DataFrame) -> DataFrame:

@@ -13,28 +13,35 @@ from pyspark.sql import functions as F
 
 from cordon import params
 
-# A start tag of an anchor: quoted values may hold any character, also ">".
-_ANCHOR = r"""(?is)<a((?:\s|/)(?:[^>"']|"[^"]*"|'[^']*')*)>"""
-# The attributes of a tag in order; each quoted value is consumed as one.
-_ATTRIBUTE = r"""(?s)[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?"""
-_COMMENT = "(?s)<!--.*?(?:-->|$)"
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}  # &amp; last
+# An attribute: a name and, behind "=", a quoted or bare value. An unclosed quote runs to the end of the page.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|(?![>"'])[^\s>]++)?+)?+"""
+# What may stand between a tag's name and its ">": white space, slashes and attributes.
+_INSIDE = rf"(?:[\s/]++|{_ATTRIBUTE})*+"
+# The pieces of a page, one after the other: comments, elements whose content is text, anchors (group 2: their inside),
+# other tags, declarations. Every piece ends at the page's end at the latest and every loop is possessive, so a page is
+# read once from left to right, without backtracking or recursion, however long a tag or however many quotes stay open.
+_PIECES = (r"(?is)<!--(?:-?>|.*?(?:-->|\z))"
+           rf"|<(script|style|title|textarea)(?=[\s/>]){_INSIDE}(?:\z|>.*?(?:</\1(?=[\s/>])|\z))"
+           rf"|<a(?=[\s/])({_INSIDE})>"
+           rf"|</?+[a-z][^\s/>]*+{_INSIDE}(?:>|\z)"
+           r"|<[!?/][^>]*+(?:>|\z)")
+_ANCHOR_GROUP = 2
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+_REFERENCE = "(?i)&(?:#x[0-9a-f]{1,6}|#[0-9]{1,7}|lt|gt|quot|apos|amp);"
 
 
 def _decoded(value: Column) -> Column:
-    """Character references of an attribute value, as an HTML parser reads them."""
-    refs = F.array_distinct(F.regexp_extract_all(value, F.lit("(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"), 0))
+    """Character references of an attribute value, as an HTML parser reads them, each once and in one pass."""
+    named = F.create_map(*[F.lit(x) for pair in _ENTITIES.items() for x in pair])
 
-    def put(text, ref):
+    def put(ref):
         digits = F.regexp_extract(ref, "(?i)&#x?([0-9a-f]+);", 1)
-        code = F.when(F.lower(ref).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        code = F.when(F.lower(ref).startswith("&#x"), F.conv(digits, 16, 10)).when(ref.startswith("&#"), digits).cast("long")
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.replace(text, ref, F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), char).otherwise(ref))
+        return F.coalesce(F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), char), F.try_element_at(named, F.lower(ref)), ref)
 
-    out = F.aggregate(refs, value, put)
-    for name, char in _ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    refs = F.regexp_extract_all(value, F.lit(_REFERENCE), 0)
+    return F.array_join(F.zip_with(F.split(value, _REFERENCE, -1), F.transform(refs, put), lambda t, r: F.concat(t, F.coalesce(r, F.lit("")))), "")
 
 
 def _attribute_value(attribute: Column) -> Column:
@@ -45,9 +52,13 @@ def _attribute_value(attribute: Column) -> Column:
 
 
 def anchor_hrefs(html: Column) -> Column:
-    """Array of the ``href`` values of a page's anchors, as an HTML parser sees them (comments hold none)."""
-    tags = F.regexp_extract_all(F.regexp_replace(html, _COMMENT, ""), F.lit(_ANCHOR), 1)
-    attributes = F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(_ATTRIBUTE), 0))
+    """Array of the ``href`` values of a page's anchors, as an HTML parser sees them.
+
+    Comments, scripts, styles, titles and text areas hold none, nor do the attribute values of other tags; an anchor that
+    the page's end cuts off is none.
+    """
+    tags = F.filter(F.regexp_extract_all(html, F.lit(_PIECES), _ANCHOR_GROUP), lambda t: t != "")
+    attributes = F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit("(?s)" + _ATTRIBUTE), 0))
     hrefs = F.transform(attributes, lambda a: F.get(F.filter(a, lambda x: x.rlike(r"(?is)^href\s*=")), 0))
     return F.transform(F.filter(hrefs, lambda h: h.isNotNull()), _attribute_value)
 

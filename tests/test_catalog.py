@@ -1,5 +1,9 @@
 """Link harvest and month bookkeeping on literal pages."""
 
+import time
+
+from pyspark.sql import functions as F
+
 from cordon import params
 from cordon.sources import catalog
 
@@ -125,3 +129,34 @@ def test_files_present_come_from_all_pages(spark):
     links = adapter.present_files(catalog.parse_links(catalog.harvest_links(adapter.listing_pages(pages.unionByName(more)))))
     got = {(r.taxi_type, r.year, r.month) for r in links.collect()}
     assert got == {("yellow", 2024, 7), ("yellow", 2024, 1)}
+
+
+CASES = {  # page -> hrefs of its anchors
+    '<a href="x">': ["x"], "<a title=\"a > b\" href='y'>": ["y"], "<a/href=sl/><a href=b/>": ["sl/", "b/"],
+    '<script>var s="<a href=no>";</script><a href=yes>': ["yes"], "<title><a href=no></title ><a href=t>": ["t"],
+    "<!-- <!-- <a href=no> --> <a href=in> -->": ["in"], "<!--><a href=c>": ["c"], "<!-- open <a href=no>": [],
+    '<img alt="<a href=no>"><a href=yes>': ["yes"], '<a href="never closed> <a href=z>': [], "<a href=x": [],
+    "<a x\"y href=q>": ["q"], '<!DOCTYPE html "x"><a href=d>': ["d"], "<a href=1 href=2>": ["1"], "<abbr href=no>": [],
+    "a < b <a href=lt>": ["lt"], '<a title="x"href=glued>': ["glued"], "<a href='&#38;lt;&lt;&#x41;&bad;'>": ["&lt;<A&bad;"],
+    "<scripty><a href=s>": ["s"], "<script>": [], "": [],
+}
+
+
+def test_scanner_cases(spark):
+    df = spark.createDataFrame([(k,) for k in CASES] + [(None,)], "html string")
+    got = {r.html: r.h for r in df.select("html", catalog.anchor_hrefs(F.col("html")).alias("h")).collect()}
+    assert got == {**CASES, None: None}
+
+
+def test_hostile_pages_are_read_once(spark):
+    pages = ["<a " + " ".join(f"x{k}" for k in range(1500)) + " href=ok>", "<a " + "x=1 " * 250_000 + "href=ok>", '<a "' * 250_000 + "><a href=ok>", "<" * 1_000_000 + "a href=ok>",
+             "<a " + " " * 1_000_000 + "href=ok>", "<a " + "n   " * 250_000 + "href=ok>", "<a " + "=" * 1_000_000 + " href=ok>", "<a title='" + "<a href=no>" * 90_000 + "' href=ok>",
+             "<title " * 100_000 + "></title><a href=ok>"]
+    none = ["<a x='" * 200_001, "<!--" * 250_000, "<script>" * 100_000, '<a href="' + "y" * 1_000_000]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pages + none)], "k int, html string")
+    start = time.time()
+    got = {r.k: r.h for r in df.select("k", catalog.anchor_hrefs(F.col("html")).alias("h")).collect()}
+    assert time.time() - start < 60
+    assert got == {k: ["ok"] if k < len(pages) else [] for k in range(len(pages + none))}
+    refs = spark.createDataFrame([("<a href='" + "".join(f"&#{k};" for k in range(65, 60_000)) + "'>",)], "html string")
+    assert refs.select(F.length(catalog.anchor_hrefs(F.col("html"))[0]).alias("n")).first().n > 50_000
