@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,16 @@ def impute_month_by_join(trips: DataFrame, month: int = 12, years=params.IMPUTE_
     joined = month_profile(trips, y1, month).join(
         month_profile(trips, y2, month), ["hour", "dow"], "full")
     return _imputed(joined, years, weights, renormalize)
+
+
+def impute_where_missing(trips: DataFrame, gate: DataFrame, years, month: int = 12,
+                         weights=params.IMPUTE_WEIGHTS) -> DataFrame:
+    """(year, hour, dow, imputed_*) of each of `years` whose `month` the gate (``catalog.imputation_gate``) finds missing.
+
+    A month that is at hand is not imputed: its year has no row. The two years before are blended.
+    """
+    parts = []
+    for year in years:
+        filled = impute_month(trips, month, (year - 2, year - 1), weights)
+        parts.append(filled.select(F.lit(int(year)).alias("year"), "hour", "dow", "imputed_count", "imputed_fare", "imputed_total"))
+    return reduce(DataFrame.unionByName, parts).join(gate.filter("needs_imputation").select("year"), "year", "left_semi")

@@ -118,3 +118,30 @@ def surcharge_revenue(clean: DataFrame, year: int = params.ANALYSIS_YEAR) -> Dat
             .agg(F.sum("congestion_surcharge").alias("total_surcharge_revenue"),
                  F.count(F.lit(1)).alias("total_trips_with_surcharge"),
                  F.avg("congestion_surcharge").alias("avg_surcharge")))
+
+
+def zone_entries_by_roster(trips: DataFrame, roster: DataFrame, start: str = params.CONGESTION_START,
+                           id_col: str = "zone_id") -> DataFrame:
+    """``zone_entries`` where the cordon is a table: a left semi join on the drop-off, a null-aware anti join on the pickup.
+
+    As ``NOT IN``: a null pickup is not outside (unless the roster is empty), and a null id in the roster leaves no
+    pickup that is known to be outside. Repeated ids do not repeat trips.
+    """
+    trips = scope(trips, min_year=int(str(start)[:4])).filter(since("pickup_time", start))
+    return trips.sparkSession.sql(
+        f"SELECT * FROM {{trips}} WHERE dropoff_loc IN (SELECT `{id_col}` FROM {{roster}}) "
+        f"AND pickup_loc NOT IN (SELECT `{id_col}` FROM {{roster}})", trips=trips, roster=roster)
+
+
+def direction_by_roster(trips: DataFrame, roster: DataFrame, id_col: str = "zone_id") -> DataFrame:
+    """Trips with ``trip_type`` (see ``direction``) by existence joins with a roster table; null ids of the roster are no zones."""
+    ids = roster.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_zone")).distinct()
+    out = trips
+    for side in ("pickup", "dropoff"):
+        there = ids.withColumn(f"_{side}_in", F.lit(True))
+        out = out.join(there, F.col(f"{side}_loc") == F.col("_zone"), "left").drop("_zone")
+        out = out.withColumn(f"_{side}_in", F.when(F.col(f"{side}_loc").isNotNull(), F.col(f"_{side}_in").isNotNull()))
+    pickup, dropoff = F.col("_pickup_in"), F.col("_dropoff_in")
+    kind = (F.when(pickup & dropoff, F.lit("within_zone")).when(~pickup & dropoff, F.lit("entering_zone"))
+            .when(pickup & ~dropoff, F.lit("exiting_zone")).otherwise(F.lit("outside_zone")))
+    return out.withColumn("trip_type", kind).drop("_pickup_in", "_dropoff_in")

@@ -145,10 +145,12 @@ parsed_links AS NOT MATERIALIZED (
   SELECT DISTINCT f.taxi_type AS taxi_type, CAST(f.year AS INTEGER) AS year, CAST(f.month AS INTEGER) AS month, url
   FROM parsed WHERE origin = 'listing' AND f.taxi_type <> ''
 ),
-local_links AS NOT MATERIALIZED (
-  SELECT DISTINCT f.taxi_type AS taxi_type, CAST(f.year AS INTEGER) AS year, CAST(f.month AS INTEGER) AS month
-  FROM parsed WHERE origin = 'listing' AND page_id % 3 = 0 AND f.taxi_type <> ''
+-- Monthly files: months whose number leaves 2 by 3 lack the surcharge, some of them the pickup column too.
+files AS NOT MATERIALIZED (
+  SELECT *, m % 3 = 2 AS old, (taxi_type, y, m) IN (('green', 2024, 11), ('green', 2025, 5), ('yellow', 2023, 8), ('yellow', 2025, 2)) AS broken
+  FROM (SELECT *, CAST(year(pickup_datetime) AS INTEGER) AS y, CAST(month(pickup_datetime) AS INTEGER) AS m FROM raw_trips)
 ),
+local_links AS NOT MATERIALIZED (SELECT DISTINCT taxi_type, y AS year, m AS month FROM files WHERE NOT broken),
 border_counts AS NOT MATERIALIZED (
   SELECT dropoff_loc, CAST(YEAR(pickup_time) AS INTEGER) AS year, COUNT(*) AS dropoff_count
   FROM clean
@@ -523,6 +525,86 @@ ORACLE["report_rows"] = BASE + _P_VALUE + f", {_VENDORS}, {_ZONES}" + "UNION ALL
              {"pickup_loc": True, "total_entries": True, "missing_surcharge": True, "missing_rate": True}),
 ])
 
+ORACLE["report_document_values"] = f"""
+WITH RECURSIVE long AS (
+{ORACLE['report_rows']}
+)
+SELECT section, metric, IF(section = 'rain_elasticity', NULL, row) AS row,
+       CASE WHEN number IS NOT NULL THEN 'number' WHEN text IS NOT NULL THEN 'text' ELSE 'null' END AS kind, number, text
+FROM long WHERE row IS NOT NULL
+UNION ALL SELECT section, metric, NULL, NULL, NULL, NULL FROM long GROUP BY section, metric HAVING count(row) = 0"""
+
+# Files: written from lineitem and read back, so their content follows from the trips.
+ORACLE["directory_trips"] = BASE + """
+SELECT taxi_type, y AS year, m AS month, COUNT(*) AS trip_count, CAST(SUM(VendorID) AS BIGINT) AS vendor_sum, COUNT(PULocationID) AS zoned_trips,
+       CAST(SUM(DOLocationID) AS BIGINT) AS dropoff_sum, COUNT(*) FILTER (WHERE old OR coalesce(congestion_surcharge, 0) = 0) AS without_surcharge,
+       SUM(fare_amount) AS total_fare, MAX(pickup_datetime + dur_s * INTERVAL '1' SECOND) AS last_dropoff
+FROM files WHERE NOT broken GROUP BY ALL"""
+ORACLE["file_check"] = BASE + """
+SELECT taxi_type, y AS year, m AS month, NOT broken AS ok,
+       CASE WHEN broken AND taxi_type = 'yellow' THEN 'tpep_pickup_datetime,congestion_surcharge' WHEN broken THEN 'lpep_pickup_datetime,congestion_surcharge'
+            WHEN old THEN 'congestion_surcharge' ELSE '' END AS missing_columns,
+       printf('VendorID:int%d,PULocationID:int%d,DOLocationID:int%d', IF(m % 3 = 1, 64, 32), IF(m % 3 = 0, 32, 64), IF(m % 3 = 0, 32, 64)) AS id_types,
+       COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS unreadable
+FROM files GROUP BY ALL"""
+ORACLE["file_columns"] = BASE + """
+, shown AS (
+  SELECT DISTINCT taxi_type, y, m, list_concat(
+      IF(broken, [], [{'n': IF(taxi_type = 'yellow', 'tpep', 'lpep') || '_pickup_datetime', 't': 'timestamp[us]'}]),
+      [{'n': IF(taxi_type = 'yellow', 'tpep', 'lpep') || '_dropoff_datetime', 't': 'timestamp[us]'}, {'n': 'VendorID', 't': IF(m % 3 = 1, 'int64', 'int32')},
+       {'n': 'trip_distance', 't': 'double'}, {'n': 'PULocationID', 't': IF(m % 3 = 0, 'int32', 'int64')}, {'n': 'DOLocationID', 't': IF(m % 3 = 0, 'int32', 'int64')},
+       {'n': 'fare_amount', 't': 'double'}, {'n': 'tip_amount', 't': 'double'}, {'n': 'total_amount', 't': 'double'}],
+      IF(old, [], [{'n': 'congestion_surcharge', 't': 'double'}]), IF(m % 3 = 1, [{'n': 'store_and_fwd_flag', 't': 'string'}], [])) AS c
+  FROM files
+)
+SELECT taxi_type, y AS year, m AS month, CAST(i - 1 AS INTEGER) AS position, c[i].n AS column_name, c[i].t AS column_type
+FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM shown)"""
+ORACLE["local_files"] = BASE + "SELECT DISTINCT taxi_type, y AS year, m AS month, true AS has_data FROM files"
+ORACLE["fetch_plan"] = BASE + f"""
+SELECT *, '{_HOST}{_DIR}' || file_name AS url FROM (
+  SELECT DISTINCT p.taxi_type, p.year, p.month, printf('%s_tripdata_%d-%02d.parquet', p.taxi_type, p.year, p.month) AS file_name
+  FROM parsed_links p ANTI JOIN local_links l USING (taxi_type, year, month) WHERE p.year BETWEEN 2023 AND 2025)"""
+_GATE = """
+, gate AS (
+  SELECT year, list_sort(coalesce(list(taxi_type) FILTER (WHERE absent), [])) AS missing_types, bool_or(absent) AS needs_imputation
+  FROM (SELECT CAST(y AS INTEGER) AS year, t AS taxi_type, NOT EXISTS (SELECT 1 FROM parsed_links p WHERE p.year = y AND p.taxi_type = t AND p.month = 12) AS absent
+        FROM range(2023, 2026) AS ys(y), unnest(['yellow', 'green']) AS ts(t))
+  GROUP BY year
+)"""
+ORACLE["imputation_gate"] = BASE + _GATE + " SELECT * FROM gate"
+ORACLE["december_where_missing"] = BASE + _GATE + """
+, cells AS (
+  SELECT target, CAST(hour(pickup_time) AS INTEGER) AS hour, CAST(dayofweek(pickup_time) AS INTEGER) AS dow, IF(target - year(pickup_time) = 2, 0.3::DOUBLE, 0.7::DOUBLE) AS w,
+         COUNT(*)::DOUBLE AS c, AVG(fare) AS f, AVG(total_amount) AS t
+  FROM unified_trips JOIN (SELECT unnest([2024, 2025]) AS target) ON target - year(pickup_time) IN (1, 2)
+  WHERE month(pickup_time) = 12 GROUP BY ALL
+)
+SELECT target AS year, hour, dow, coalesce(SUM(w * c), 0) AS imputed_count, coalesce(SUM(w * f), 0) AS imputed_fare, coalesce(SUM(w * t), 0) AS imputed_total
+FROM cells JOIN gate ON gate.year = target WHERE needs_imputation GROUP BY ALL"""
+_ROSTER = f"""
+, roster AS (SELECT 266 - s_suppkey AS z FROM supplier WHERE s_suppkey BETWEEN 1 AND 41 AND s_suppkey % 10 <> 0 AND 266 - s_suppkey IN ({_Z})),
+since AS (
+  SELECT *, list_contains((SELECT list(z) FROM roster), pickup_loc) AS pu, list_contains((SELECT list(z) FROM roster), dropoff_loc) AS dropped
+  FROM clean WHERE pickup_time >= TIMESTAMP '{params.CONGESTION_START}'
+)"""
+ORACLE["roster_entries"] = BASE + _ROSTER + """
+SELECT pickup_loc, COUNT(*) AS trip_count, COUNT(*) FILTER (WHERE congestion_surcharge > 0) AS paid FROM since WHERE dropped AND NOT pu GROUP BY pickup_loc"""
+ORACLE["roster_directions"] = BASE + _ROSTER + """
+SELECT CASE WHEN pu AND dropped THEN 'within_zone' WHEN dropped AND NOT pu THEN 'entering_zone' WHEN pu AND NOT dropped THEN 'exiting_zone' ELSE 'outside_zone' END AS trip_type,
+       COUNT(*) AS trip_count, AVG(total_amount) AS avg_total
+FROM since GROUP BY ALL"""
+ORACLE["weather_cache"] = """
+SELECT CAST(o_orderdate + INTERVAL '9862' DAY AS DATE) AS date, AVG(o_totalprice) / 10000 * IF(YEAR(CAST(o_orderdate + INTERVAL '9862' DAY AS DATE)) = 2025, 2, 1) AS precipitation_mm,
+       MIN(o_totalprice) / 10000 AS rain_mm
+FROM orders WHERE YEAR(o_orderdate + INTERVAL '9862' DAY) IN (2024, 2025) GROUP BY 1"""
+ORACLE["lookup_round_trip"] = """
+SELECT CAST(266 - s_suppkey AS INTEGER) AS "LocationID", 'Manhattan' AS "Borough", IF((266 - s_suppkey) % 3 = 0, NULL, s_name) AS "Zone", IF((266 - s_suppkey) % 3 = 0, 'Yellow Zone', NULL) AS service_zone
+FROM supplier WHERE s_suppkey BETWEEN 1 AND 41 AND s_suppkey % 10 <> 0"""
+ORACLE["published_round_trip"] = BASE + "SELECT * FROM daily"
+ORACLE["ghost_audit"] = BASE + f"""
+SELECT ghost_type, COUNT(*) AS trips, SUM(fare) AS total_fare, written FROM ghosts, (SELECT unnest([1, 2]) AS written)
+WHERE written = 1 OR ghost_type <> '{params.GHOST_STATIONARY}' GROUP BY ALL"""
+
 # The fused variants answer the same questions as the direct operators.
 for _name in ["surcharge_compliance", "missing_surcharge_locations", "quarterly_volumes",
               "zone_direction_summary", "surcharge_revenue", "hourly_speeds_q1_2025",

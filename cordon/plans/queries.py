@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordon import params
+from cordon.functions.scope import scope
+from cordon.functions.timeexpr import since
 from cordon.operators import flag as fl
 from cordon.operators import impute, profile, summary, weather as wx, zone
-from cordon.plans import fused, store
-from cordon.plans.report import report_rows
+from cordon.plans import archive, fused, store
+from cordon.plans.report import report_json, report_rows, report_values
 from cordon.sources import adapter, catalog
 from cordon.sources import trips as trips_source
 from cordon.sources import weather as weather_source
+from cordon.sources import zones as zones_source
 
 
 _LOG = logging.getLogger(__name__)
@@ -97,13 +100,40 @@ def _trip_links(spark, sf):
     return catalog.parse_links(catalog.harvest_links(_listing(spark, sf), trip_files_only=True))
 
 
-def _local(spark, sf):
-    """Names of the files present: of all that the pages list, those of certain months of each type."""
-    return adapter.present_files(catalog.parse_links(catalog.harvest_links(_listing(spark, sf))))
+def months_to_fetch(spark, sf):
+    return catalog.months_to_fetch(_trip_links(spark, sf), archive.local(spark, sf), params.ANALYSIS_YEAR)
 
 
-def months_to_fetch(spark, sf):
-    return catalog.months_to_fetch(_trip_links(spark, sf), _local(spark, sf), params.ANALYSIS_YEAR)
+def fetch_plan(spark, sf):
+    """Listed files of the analysis and comparison years and those imputed from that are not at hand."""
+    return catalog.fetch_plan(_trip_links(spark, sf), archive.local(spark, sf), [params.ANALYSIS_YEAR, params.COMPARISON_YEAR], params.IMPUTE_YEARS)
+
+
+def _gate(spark, sf):
+    return catalog.imputation_gate(_trip_links(spark, sf), [2023, 2024, 2025])
+
+
+def december_where_missing(spark, sf):
+    return impute.impute_where_missing(_unified(spark, sf), _gate(spark, sf), [2024, 2025])
+
+
+def _cordon_roster(spark, sf):
+    """The cordon's zones that a lookup (from ``supplier``) names, from the zone dimension."""
+    lookup = adapter.lookup_from_supplier(adapter.read_table(spark, sf, "supplier"))
+    return zones_source.zones(spark, lookup).filter("roster = 'congestion' AND zone_name IS NOT NULL").select("zone_id")
+
+
+def roster_entries(spark, sf):
+    """Entries into the named zones, by pickup zone, through semi and null-aware anti joins."""
+    return (zone.zone_entries_by_roster(_clean(spark, sf), _cordon_roster(spark, sf)).groupBy("pickup_loc")
+            .agg(F.count(F.lit(1)).alias("trip_count"), F.count_if(F.col("congestion_surcharge") > 0).alias("paid")))
+
+
+def roster_directions(spark, sf):
+    """Trips since the start by direction relative to the named zones, through existence joins."""
+    trips = scope(_clean(spark, sf), min_year=int(params.CONGESTION_START[:4])).filter(since("pickup_time", params.CONGESTION_START))
+    return (zone.direction_by_roster(trips, _cordon_roster(spark, sf)).groupBy("trip_type")
+            .agg(F.count(F.lit(1)).alias("trip_count"), F.avg("total_amount").alias("avg_total")))
 
 
 def missing_months(spark, sf):
@@ -147,22 +177,37 @@ def daily_trips_stream(spark, sf):
     return stream.run_daily_counts(spark, stream.lineitem_stream(spark, sf), store.store_root(spark))
 
 
-def report(spark, sf):
+def _sections(spark, sf):
     """Trips are scanned once (vendors); everything else folds the base."""
     base = _base(spark, sf)
-    return report_rows({
+    return {
         "total_surcharge_revenue": fused.surcharge_revenue(base),
         "rain_elasticity": wx.rain_elasticity(_weather(spark, sf), fused.daily_trips(base)),
         "suspicious_vendors": fl.suspicious_vendors(_flagged(spark, sf)),
         "compliance_rate": fused.surcharge_compliance(base),
         "missing_surcharge_locations": fused.missing_surcharge_locations(base),
-    })
+    }
+
+
+def report(spark, sf):
+    return report_rows(_sections(spark, sf))
+
+
+def report_document_values(spark, sf):
+    """The report's JSON documents, read back: every value with its JSON type."""
+    return report_values(report_json(_sections(spark, sf)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources and unify
     "unified_trips_by_type": unified_trips_by_type,
     "raw_trips_by_zone": raw_trips_by_zone,
+    "directory_trips": archive.directory_trips,
+    "file_check": archive.file_check,
+    "file_columns": archive.file_columns,
+    "weather_cache": archive.weather_cache,
+    "lookup_round_trip": archive.lookup_round_trip,
+    "published_round_trip": lambda s, sf: archive.published_round_trip(s, _daily(s, sf), sf),
     "weather_documents": weather_documents,
     # flag
     "ghost_flags": ghost_flags,
@@ -170,7 +215,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ghost_summary": lambda s, sf: fl.ghost_summary(_flagged(s, sf)),
     "ghost_stats": lambda s, sf: fl.ghost_stats(_flagged(s, sf)),
     "suspicious_vendors": lambda s, sf: fl.suspicious_vendors(_flagged(s, sf)),
+    "ghost_audit": lambda s, sf: archive.ghost_audit(s, _flagged(s, sf).drop(*store.PARTITION_COLUMNS), sf),
     # zone
+    "roster_entries": roster_entries,
+    "roster_directions": roster_directions,
     "surcharge_compliance": lambda s, sf: zone.surcharge_compliance(_clean(s, sf)),
     "missing_surcharge_locations": lambda s, sf: zone.missing_surcharge_locations(_clean(s, sf)),
     "quarterly_volumes": lambda s, sf: zone.quarterly_volumes(_clean(s, sf)),
@@ -207,12 +255,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "month_coverage": lambda s, sf: catalog.available_months(_trip_links(s, sf)),
     "missing_months": missing_months,
     "months_to_fetch": months_to_fetch,
-    "local_months": lambda s, sf: catalog.available_months(_local(s, sf)),
+    "local_months": lambda s, sf: catalog.available_months(archive.local(s, sf)),
+    "local_files": archive.local_files,
+    "fetch_plan": fetch_plan,
+    "imputation_gate": _gate,
+    "december_where_missing": december_where_missing,
     "needs_imputation": lambda s, sf: catalog.needs_imputation(missing_months(s, sf)),
     # streaming: same classifier, event-time daily windows
     "daily_trips_stream": daily_trips_stream,
     # report
     "report_rows": report,
+    "report_document_values": report_document_values,
     # the same profiles folded from the fused base aggregate (one clean-trip scan)
     "surcharge_compliance_fused": lambda s, sf: fused.surcharge_compliance(_base(s, sf)),
     "missing_surcharge_locations_fused": lambda s, sf: fused.missing_surcharge_locations(_base(s, sf)),

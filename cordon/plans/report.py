@@ -56,6 +56,28 @@ def report_json(sections: dict[str, DataFrame], flat_sections=FLAT_SECTIONS) ->
     return reduce(DataFrame.unionByName, parts)
 
 
+def report_values(sections: DataFrame) -> DataFrame:
+    """The rows of ``report_json`` read back from their text: (section, metric, row, kind, number, text).
+
+    ``kind`` is the value's type in the document (number, text or null); flat sections have no row, and a metric without
+    rows has one without kind.
+    """
+    metrics = sections.select("section", F.explode(F.from_json("json", "map<string,string>")).alias("metric", "inner"))
+    nested = F.col("inner").startswith("{")
+    cells = F.when(nested, F.from_json(F.when(nested, F.col("inner")), "map<string,variant>"))
+    rows = metrics.select("section", "metric", "inner", nested.alias("nested"), F.explode_outer(cells).alias("row", "value"))
+    # A flat value is taken from the document again: the map above has lost whether it was quoted.
+    flat = sections.select("section", F.explode(F.from_json("json", "map<string,variant>")).alias("metric", "whole"))
+    full = rows.join(flat, ["section", "metric"])
+    value = F.when(F.col("nested"), F.col("value")).otherwise(F.col("whole"))
+    out = full.select("section", "metric", F.col("row").cast("int").alias("row"), value.alias("v"), (F.col("nested") & F.col("row").isNull()).alias("empty"))
+    kind = F.regexp_replace(F.schema_of_variant("v"), r"\(.*", "")
+    kind = F.when(F.col("empty"), F.lit(None)).when(F.is_variant_null("v") | F.col("v").isNull(), F.lit("null")).when(kind == "STRING", F.lit("text")).otherwise(F.lit("number"))
+    return (out.withColumn("kind", kind)
+            .select("section", "metric", "row", "kind", F.when(F.col("kind") == "number", F.try_variant_get("v", "$", "double")).alias("number"),
+                    F.when(F.col("kind") == "text", F.try_variant_get("v", "$", "string")).alias("text")))
+
+
 def _json_string(c):
     """The JSON literal (quoted, escaped) of a string column."""
     return F.regexp_extract(F.to_json(F.struct(c.alias("s"))), r'^\{"s":(.*)\}$', 1)

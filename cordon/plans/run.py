@@ -22,13 +22,13 @@ from cordon.plans.store import unflagged, write_flagged
 from cordon.sources import catalog, trips, zones
 
 
-def write_small(df: DataFrame, path: str) -> str:
-    """CSV with header, one file: only for results of bounded size.
+def write_small(df: DataFrame, path: str, null: str = "") -> str:
+    """CSV with header, one file: only for results of bounded size; nulls are written as `null`.
 
     Repartitioned, not coalesced: the last aggregation keeps its tasks.
     """
     ordered = df.withColumn("_ord", F.monotonically_increasing_id())
-    ordered.repartition(1).sortWithinPartitions("_ord").drop("_ord").write.mode("overwrite").option("header", True).csv(path)
+    ordered.repartition(1).sortWithinPartitions("_ord").drop("_ord").write.mode("overwrite").options(header=True, nullValue=null, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 

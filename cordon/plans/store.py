@@ -28,7 +28,7 @@ from cordon.sources.catalog import list_files
 # pushed to the Parquet reader.
 PARTITION_COLUMNS = ["pickup_year", "pickup_month"]
 # Bump when the stored columns, the classifier or the layout change.
-STORE_VERSION = "store-v7"
+STORE_VERSION = "store-v8"
 FLAG_COLUMNS = ["trip_duration_min", "avg_speed_mph", "ghost_type"]
 
 
@@ -104,9 +104,8 @@ def _pointed(spark: SparkSession, pointer: str) -> str | None:
     return target if target and _exists(spark, target) else None
 
 
-def _materialised(spark: SparkSession, sf_dir: str, kind: str, build,
-                  partition_by=()) -> DataFrame:
-    """Open (writing first if needed) the `kind` table derived from `sf_dir`.
+def _target(spark: SparkSession, sf_dir: str, kind: str, write, table: str) -> tuple[str, str]:
+    """Fingerprint and folder of `kind` derived from one table at `sf_dir`, made by ``write(folder)`` where there is none yet.
 
     Each writer writes its own folder and then points ``current`` at it;
     data folders are never overwritten, so a reader holding one never sees
@@ -114,28 +113,54 @@ def _materialised(spark: SparkSession, sf_dir: str, kind: str, build,
     """
     import uuid
 
+    fp = _fingerprint(spark, f"{sf_dir.rstrip('/')}/{table}.parquet")
+    base = f"{store_root(spark)}/cordon-{kind}-{fp}"
+    target = _pointed(spark, f"{base}/current")
+    if target is None:
+        target = f"{base}/w-{uuid.uuid4().hex}"
+        write(target)
+        (spark.createDataFrame([(target,)], "value string").coalesce(1)
+         .write.mode("overwrite").text(f"{base}/current"))
+    return fp, target
+
+
+def _materialised(spark: SparkSession, sf_dir: str, kind: str, build,
+                  partition_by=()) -> DataFrame:
+    """Open (writing first if needed) the `kind` table derived from `sf_dir`."""
     source = f"{sf_dir.rstrip('/')}/lineitem.parquet"
     key = (spark.sparkContext.applicationId, store_root(spark), source, kind)
+
+    def write(target):
+        writer = build().write.mode("errorifexists")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(target)
+
     with _LOCK:
         opened = _OPENED.get(key)
         if opened is not None:
             return opened[1]
-        fp = _fingerprint(spark, source)
-        base = f"{store_root(spark)}/cordon-{kind}-{fp}"
-        target = _pointed(spark, f"{base}/current")
-        if target is None:
-            target = f"{base}/w-{uuid.uuid4().hex}"
-            writer = build().write.mode("errorifexists")
-            if partition_by:
-                writer = writer.partitionBy(*partition_by)
-            writer.parquet(target)
-            (spark.createDataFrame([(target,)], "value string").coalesce(1)
-             .write.mode("overwrite").text(f"{base}/current"))
+        fp, target = _target(spark, sf_dir, kind, write, "lineitem")
         df = spark.read.parquet(target)
         _OPENED[key] = (fp, df)
         return df
 
 
+def folder(spark: SparkSession, sf_dir: str, kind: str, write, table: str) -> str:
+    """A folder of files derived from one table, made by ``write(folder)`` once per source version."""
+    key = (spark.sparkContext.applicationId, store_root(spark), f"{sf_dir.rstrip('/')}/{table}.parquet", kind)
+
+    def whole(target):
+        write(target)
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+        done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(done, True).close()
+
+    with _LOCK:
+        if key not in _OPENED:
+            _OPENED[key] = _target(spark, sf_dir, kind, whole, table)
+        return _OPENED[key][1]
+
+
 def refresh() -> None:
     """Look at the sources again at the next use (their listing is read once a session)."""
     with _LOCK:

@@ -119,11 +119,6 @@ def listing_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), decoy, anchor, tail).alias("html"))
 
 
-def present_files(links: DataFrame) -> DataFrame:
-    """The links whose file stands for one present locally: yellow months 1, 4, 7 and 10, green months 2, 5, 8 and 11."""
-    return links.filter(F.col("month") % 3 == F.when(F.col("taxi_type") == "yellow", 1).otherwise(2))
-
-
 def weather_documents(orders: DataFrame) -> DataFrame:
     """One archive response per calendar year of ``orders``: parallel arrays of day, precipitation and rain."""
     day = F.expr(f"CAST(o_orderdate + INTERVAL '{DAY_SHIFT}' DAY AS DATE)")

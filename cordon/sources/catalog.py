@@ -117,14 +117,19 @@ def parse_links(links: DataFrame, url_col: str = "url") -> DataFrame:
             .filter(F.col("taxi_type") != ""))
 
 
+def parse_trip_path(path: Column) -> tuple[Column, Column, Column]:
+    """``parse_trip_name`` of a file's path: a month is a file, or a folder of part files that bears its name."""
+    return parse_trip_name(F.regexp_extract(path, r"([^/]*\.parquet)(?:/[^/]*)?$", 1))
+
+
 def list_files(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
-    """File listing (path, length, modificationTime); file contents are never read.
+    """File listing (path, length, modificationTime), subfolders included; file contents are never read.
 
     The file source plans one split per file by size even when only metadata
     is selected; coalescing (no shuffle) to the cluster's parallelism keeps a
     listing of many large files from becoming one task per file.
     """
-    return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+    return (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
             .load(directory).select("path", "length", "modificationTime")
             .coalesce(max(1, spark.sparkContext.defaultParallelism)))
 
@@ -133,11 +138,11 @@ def local_catalog(spark: SparkSession, directory: str) -> DataFrame:
     """Local Parquet files with parsed type, year, month and size in MB.
 
     Files whose names do not parse keep ``matched = false`` so they can be
-    reported rather than silently read as some type.
+    reported rather than silently read as some type. A month written as a folder
+    of part files has a row for each of them.
     """
     files = list_files(spark, directory, "*.parquet")
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    taxi_type, year, month = parse_trip_name(name)
+    taxi_type, year, month = parse_trip_path(F.col("path"))
     return files.select(
         F.when(taxi_type != "", taxi_type).alias("taxi_type"),
         year.alias("year"), month.alias("month"), F.col("path"),
@@ -145,6 +150,11 @@ def local_catalog(spark: SparkSession, directory: str) -> DataFrame:
         (taxi_type != "").alias("matched"))
 
 
+def local_months(local: DataFrame) -> DataFrame:
+    """Distinct (taxi_type, year, month) of a local catalog; files whose names do not parse are left out."""
+    return local.filter("matched").select("taxi_type", "year", "month").distinct()
+
+
 def available_months(parsed: DataFrame) -> DataFrame:
     """Sorted distinct months per (year, taxi_type)."""
     return (parsed.filter(F.col("taxi_type").isNotNull())
@@ -194,6 +204,16 @@ def needs_imputation(missing: DataFrame, month: int = 12) -> DataFrame:
     return missing.agg((F.count_if(F.col("month") == month) > 0).alias("needs_imputation"))
 
 
+def imputation_gate(available: DataFrame, years: Iterable[int], month: int = 12,
+                    taxi_types: Iterable[str] = params.TAXI_TYPES) -> DataFrame:
+    """Per year: the taxi types whose `month` is not available, and whether it has to be imputed (any type lacks it)."""
+    grid = expected_catalog(available.sparkSession, years, taxi_types, [month])
+    have = available.select("year", "taxi_type", "month").distinct().withColumn("_there", F.lit(True))
+    lacks = F.when(F.col("_there").isNull(), F.col("taxi_type"))
+    return (grid.join(have, ["year", "taxi_type", "month"], "left").groupBy("year")
+            .agg(F.array_sort(F.collect_set(lacks)).alias("missing_types"), (F.count(lacks) > 0).alias("needs_imputation")))
+
+
 def fetch_plan(online: DataFrame, local: DataFrame, years: Iterable[int],
                comparison_years: Iterable[int] = ()) -> DataFrame:
     """Listed trip files of the wanted years that are not present locally.

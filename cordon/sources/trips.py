@@ -101,18 +101,18 @@ def read_type(spark: SparkSession, paths, taxi_type: str) -> DataFrame:
 def read_directory(spark: SparkSession, directory: str, without: DataFrame | None = None) -> DataFrame:
     """Unified trips from every `{yellow|green}_tripdata_*.parquet` in a directory.
 
-    The type comes from the file-name glob, so a file named neither way is
-    not read (it is reported by ``catalog.local_catalog`` instead). Files whose ``path`` is in
-    `without` are left out; a column that a file lacks reads as null.
+    Such a name is a file, or a folder of part files. The type comes from the name, so a file named neither way is
+    not read (it is reported by ``catalog.local_catalog`` instead); the name is tested on the listing, so files of the
+    other type are not opened. Files whose ``path`` is in `without` are left out; a column that a file lacks reads as null.
     """
     frames = []
     for taxi_type in params.TAXI_TYPES:
-        raw = (spark.read.schema(raw_schema(taxi_type))
-               .option("pathGlobFilter", f"{taxi_type}_tripdata_*.parquet")
-               .parquet(directory))
+        raw = spark.read.schema(raw_schema(taxi_type)).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(directory)
+        path = F.col("_metadata.file_path")
+        raw = raw.filter(path.rlike(rf"/{taxi_type}_tripdata_[^/]*\.parquet(/[^/]*)?$"))
         if without is not None:
             bad = without.select(_plain_path(F.col("path")).alias("_bad"))
-            raw = raw.withColumn("_file", _plain_path(F.col("_metadata.file_path"))).join(bad, F.col("_file") == F.col("_bad"), "left_anti")
+            raw = raw.withColumn("_file", _plain_path(path)).join(bad, F.col("_file") == F.col("_bad"), "left_anti")
         frames.append(to_unified(raw, taxi_type))
     return unify(*frames)
 
@@ -177,7 +177,7 @@ def validate_files(spark: SparkSession, directory: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for path in pdf["path"]:
-                name = path.rsplit("/", 1)[-1]
+                name = next((part for part in path.rsplit("/", 2)[:0:-1] if "_tripdata" in part), "")  # the file, or its folder
                 taxi_type = ("yellow" if "yellow_tripdata" in name
                              else "green" if "green_tripdata" in name else None)
                 want = expected[taxi_type] if taxi_type else unknown_type_expected

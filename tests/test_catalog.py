@@ -121,16 +121,6 @@ def test_labels(spark):
     assert [(r.m, r.d) for r in rows] == [("Jan", "Sun"), ("Dec", "Sat")]
 
 
-def test_files_present_come_from_all_pages(spark):
-    """A file counts by its name, whichever page lists it."""
-    from cordon.sources import adapter
-    pages = spark.createDataFrame([(k, f"u{k}", "") for k in (1, 7, 8, 13, 14, 24)], "page_id long, url string, html string")
-    more = spark.createDataFrame([(4, "u", '<a href="/trip-data/yellow_tripdata_2024-07.parquet">f</a>')], pages.schema)
-    links = adapter.present_files(catalog.parse_links(catalog.harvest_links(adapter.listing_pages(pages.unionByName(more)))))
-    got = {(r.taxi_type, r.year, r.month) for r in links.collect()}
-    assert got == {("yellow", 2024, 7), ("yellow", 2024, 1)}
-
-
 CASES = {  # page -> hrefs of its anchors
     '<a href="x">': ["x"], "<a title=\"a > b\" href='y'>": ["y"], "<a/href=sl/><a href=b/>": ["sl/", "b/"],
     '<script>var s="<a href=no>";</script><a href=yes>': ["yes"], "<title><a href=no></title ><a href=t>": ["t"],
