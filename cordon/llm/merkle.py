@@ -180,10 +180,10 @@ def manifest(docs: DataFrame, columns: list[str], key_col: str = "doc_id", sourc
     leaves = written(ranked(written(rows, "leaves")), "ranked")
     roots, pages = built(leaves.select("tree", "rank", "n", F.col("leaf").alias("digest")), "pages")
     sizes = leaves.where("rank = 0").select("tree", "source", "n")
-    trees = written(sizes.join(roots, "tree"), "trees")
+    trees = written(sizes.join(roots, "tree").withColumn("forest", F.lit(0).cast("long")), "trees")
     of_all = trees.count()
-    top, top_pages = built(trees.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("rank"), F.lit(of_all).cast("long").alias("n"), "digest"), "top")
-    top = top.withColumn("n", F.lit(of_all).cast("long"))
+    top, top_pages = built(trees.select(F.col("forest").alias("tree"), F.col("tree").alias("rank"), F.lit(of_all).cast("long").alias("n"), "digest"), "top")
+    top = written(top.withColumn("n", F.lit(of_all).cast("long")), "root")
     one = top.first()
     return Manifest(leaves, trees, top, pages, top_pages, one and one["digest"])
 
@@ -193,7 +193,7 @@ def proofs(m: Manifest, requests: DataFrame, carry: tuple[str, ...] = ()) -> Dat
 
     A path lists, from the leaf up, the unselected children of each run left and right of the selected node.
     """
-    asked = requests.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("rank")).distinct()
+    asked = requests.select("tree").distinct().join(m.trees.select("tree", "forest"), "tree").select(F.col("forest").alias("tree"), F.col("tree").alias("rank"))
     heads = descended(asked, m.top.select("tree", "n", "digest", F.array().cast(SEGMENT).alias("path")), m.top_pages, [])
     heads = heads.select(F.col("rank").alias("tree"), "digest", "path").join(m.trees.select("tree", "n"), "tree")
     found = descended(requests, heads, m.pages, list(carry))
