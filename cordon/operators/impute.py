@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,10 +91,16 @@ def impute_where_missing(trips: DataFrame, gate: DataFrame, years, month: int =
                          weights=params.IMPUTE_WEIGHTS) -> DataFrame:
     """(year, hour, dow, imputed_*) of each of `years` whose `month` the gate (``catalog.imputation_gate``) finds missing.
 
-    A month that is at hand is not imputed: its year has no row. The two years before are blended.
+    A month that is at hand is not imputed: its year has no row. The two years before are blended; one scan and one
+    aggregate serve all years, and each year's cells go on to the two years that they may fill.
     """
-    parts = []
-    for year in years:
-        filled = impute_month(trips, month, (year - 2, year - 1), weights)
-        parts.append(filled.select(F.lit(int(year)).alias("year"), "hour", "dow", "imputed_count", "imputed_fare", "imputed_total"))
-    return reduce(DataFrame.unionByName, parts).join(gate.filter("needs_imputation").select("year"), "year", "left_semi")
+    years = [int(y) for y in years]
+    sources = sorted({y - back for y in years for back in (1, 2)})
+    cells = (_month_of_years(trips, month, sources)
+             .groupBy(F.year("pickup_time").alias("source"), F.hour("pickup_time").alias("hour"), day_of_week("pickup_time").alias("dow"))
+             .agg(F.count(F.lit(1)).cast("double").alias("count"), F.avg("fare").alias("fare"), F.avg("total_amount").alias("total")))
+    cells = cells.withColumn("year", F.explode(F.array(F.col("source") + 2, F.col("source") + 1))).filter(F.col("year").isin(years))
+    weight = F.when(F.col("year") - F.col("source") == 2, F.lit(float(weights[0]))).otherwise(F.lit(float(weights[1])))
+    due = gate.filter("needs_imputation").select("year")
+    return (cells.join(due, "year", "left_semi").groupBy("year", "hour", "dow")
+            .agg(*[F.coalesce(F.sum(weight * F.col(m)), F.lit(0.0)).alias(f"imputed_{m}") for m in ("count", "fare", "total")]))

