@@ -109,3 +109,78 @@ def test_wrapped_headers_full_files_and_one_line_documents(spark):
     got = {r.path: r.license for r in s.notices(files(spark, rows)).collect()}
     assert {k: got[k] for k in want} == {k: v for k, (v, _) in want.items()}
     assert not any(got[f"p{i}"] for i in range(60))
+
+
+COPYRIGHT = "Copyright (c) 2021, A. N. Author\nAll rights reserved.\n\n"
+BSD2 = COPYRIGHT + s._BSD[0] + ":\n\n1. " + s._BSD[1].replace("Redistributions in", "\n2. Redistributions in") + "\n\n" + s._BSD[3]
+BSD3 = COPYRIGHT + s._BSD[0] + ":\n\n1. " + s._BSD[1].replace("Redistributions in", "\n2. Redistributions in") + "\n\n3. " + s._BSD[2] + "\n\n" + s._BSD[3]
+
+
+def test_full_licence_texts(spark):
+    """Licences that share sentences are told apart by their full texts; versions by their own words."""
+    want = {"bsd2": ("BSD-2-Clause", BSD2), "bsd3": ("BSD-3-Clause", BSD3), "isc": ("ISC", "ISC License\n\n" + COPYRIGHT + s._ISC[0] + "\n\n" + s._ISC[1]),
+            "mit": ("MIT", "MIT License\n\n" + COPYRIGHT + s._MIT[1] + "\n\n" + s._MIT[2]), "zlib": ("Zlib", COPYRIGHT + s._ZLIB), "unlicense": ("Unlicense", s._UNLICENSE),
+            "epl2": ("EPL-2.0", "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at"),
+            "lgpl21": ("LGPL-2.1", s._gnu("library", "Lesser ", "2.1")[1]), "gpl2": ("GPL-2.0", s._gnu("program", "", "2")[1]), "agpl": ("AGPL-3.0", s._gnu("program", "Affero ", "3", True)[1])}
+    want |= {f"{k}_in_text": (v, prose(30, 700) + "\n" + t.replace(" ", "\n * ") + "\n" + prose(31, 700)) for k, (v, t) in want.items() if k in ("bsd2", "bsd3", "lgpl21")}
+    rows = [(k, t) for k, (_, t) in want.items()] + [(f"p{i}", prose(200 + i, 60) + " the of and to in is for this with or") for i in range(60)]
+    got = {r.path: r.license for r in s.notices(files(spark, rows)).collect()}
+    assert {k: got[k] for k in want} == {k: v for k, (v, _) in want.items()}
+    assert not any(got[f"p{i}"] for i in range(60))
+
+
+def _templates(texts):
+    import pyarrow as pa
+
+    from cordon.llm.words import PUNCT, word_hashes
+    words = [w for _, w in word_hashes(pa.array(texts, pa.string()), PUNCT)]
+    vocabulary = {int(x) for _, w in word_hashes(pa.array([t for _, t in s.TEMPLATES], pa.string()), PUNCT) for x in w.view("int64")}
+    df = {v: sum(v in set(map(int, w.view("int64"))) for w in words) for v in vocabulary}
+    return s.Templates(s.TEMPLATES, df, len(texts)), words
+
+
+def min_sum(a, b):
+    return sum(min(int(x), int(y)) for x, y in zip(a, b, strict=True))
+
+
+def test_chosen_licence_equals_a_search_of_all_runs():
+    """Every run of up to a template's length is scored against it; the one with most matched words decides."""
+    notices = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "GNU General Public License, version 3", "This work is licensed under the GNU General Public License, version 2.",
+               "released under the license of MIT", "Licensed under the Apache License, Version 2.0 (the License); you may not use this", "Mozilla Public License, version 1.1", s._ISC[0]]
+    texts = [prose(40 + k, 8) + " " + n + " " + prose(60 + k, 8) for k, n in enumerate(notices)] + [notices[0] + " " + notices[3]] + [prose(90 + k, 30) for k in range(60)]
+    t, words = _templates(texts)
+    for w, text in zip(words, texts, strict=True):
+        best = None
+        for k, size in enumerate(t.lengths):
+            for a in range(len(w)):
+                for b in range(a + 2, min(len(w), a + size) + 1):
+                    found = t.cosines(w[a:b])
+                    if found is None or (t.marked[k] and not (t.own[k] & (found[1] > 0)).any()):
+                        continue
+                    score = round(float(found[0][k]), 9)
+                    matched = score * min_sum(found[1], t.counts[k])
+                    if score >= s.NOTICE and (best is None or (round(matched, 6), score) > best[0]):
+                        best = (round(matched, 6), score), t.names[k]
+        got = t.notice(w)
+        assert (got and got[1]) == (best and best[1]), text
+
+
+def test_notice_dense_texts_are_quick():
+    """Repeated notices are scored once; a text of nothing but templates stays within seconds and a few megabytes."""
+    import time
+    import tracemalloc
+    lines = ["Licensed under the Apache License, Version 2.0.\n" * 4000, "\n".join(x for _, x in s.TEMPLATES) * 300, "is the of license " * 100_000]
+    t, words = _templates(lines + [prose(k, 50) for k in range(50)])
+    for w, limit, name in zip(words, (0.5, 20, 5), ("Apache-2.0", "BSD-3-Clause", None), strict=False):
+        start = time.time()
+        found = t.notice(w)
+        assert time.time() - start < limit and (name is None or found[1] == name)
+    tracemalloc.start()
+    t.notice(words[1])
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+
+
+def test_notice_at_the_border_of_parts(monkeypatch):
+    monkeypatch.setattr(s, "PART", 64)
+    t, words = _templates([prose(k, 20 + k) + " Licensed under the Apache License, Version 2.0. " + prose(3, 300) for k in range(90)])
+    assert all(t.notice(w) == (1.0, "Apache-2.0") for w in words)
