@@ -1,21 +1,23 @@
 """Not-modified revisits of a web archive: an as-of join by canonical URL to the latest earlier full response.
 
-Built-in functions only. Records of one URL are cut into time slices of bounded size (a URL with a third of
-all records gets many), each slice sorts its own records, and a small table of one row per slice carries
-the last response of earlier slices forward. Only (URL, time, id) takes part; headers follow by an
-equality join on the response's id.
+Built-in functions only. Records are dealt by ranges of (URL, time, id) that hold a bounded number of rows each, whatever
+a URL's share of them and however its captures are spread in time: a URL with a third of all records gets many slices. Each
+slice sorts its own records, and a small table of one row per slice carries the last responses of a URL's earlier slices
+forward. Only (URL, time, id) takes part; headers follow by an equality join on the response's id.
 """
 
 from __future__ import annotations
 
+import math
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 
 from .tables import read, written
 
-#: Records of one URL in a time slice, about (exactly, if its captures are evenly spread).
-SLICE = 500
+#: Records of a slice, about.
+SLICE = 50_000
 #: Fields of a stored response that a not-modified answer must not replace, in lower case (fixed values).
 KEPT = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
         "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
@@ -41,20 +43,25 @@ def latest_before(records: DataFrame, slice_rows: int = SLICE) -> DataFrame:
 
     Ties in ts go to the larger id; a revisit with a null key or ts, or without an earlier response, gets null.
     """
-    timed = records.where("key IS NOT NULL AND ts IS NOT NULL")
-    sizes = timed.groupBy("key").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    large = sizes.where(F.col("n") > slice_rows)
-    at = F.when(F.col("n").isNull(), F.lit(0)).otherwise(
-        F.floor((F.col("ts") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * F.ceil(F.col("n") / slice_rows)))
-    sliced = timed.join(large, "key", "left").select("id", "key", "ts", "full", at.cast("long").alias("slice"))
+    timed = records.where("key IS NOT NULL AND ts IS NOT NULL").select("id", "key", "ts", "full")
+    slices = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(timed.count() / slice_rows))
+    sliced = written(timed.repartitionByRange(slices, "key", "ts", "id").withColumn("slice", F.spark_partition_id()), "sliced")
     point = F.when(F.col("full"), F.struct("ts", "id"))
-    last = sliced.groupBy("key", "slice").agg(F.max(point).alias("last"))
-    before = W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = last.withColumn("carried", F.max("last").over(before)).where("slice > 0").select("key", "slice", "carried")
     earlier = W.partitionBy("key", "slice").orderBy("ts").rangeBetween(W.unboundedPreceding, -1)
-    found = sliced.withColumn("own", F.max(point).over(earlier)).where("NOT full").select("id", "key", "slice", "own")
-    return (found.join(carried, ["key", "slice"], "left")
-            .select("id", F.coalesce("own", "carried")["id"].alias("response_id")))
+    sliced = written(sliced.withColumn("own", F.max(point).over(earlier)), "own")
+    # Of keys in several slices: first and last time, last response, and the last one before the last time.
+    per = (sliced.groupBy("key", "slice").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.max(point).alias("last"), F.max_by("own", "ts").alias("sooner"))
+           .withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1"))
+    before = W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumns({"any": F.max("last").over(before), "less": F.max("sooner").over(before)})
+    # A slice may begin within a moment that an earlier one holds records of: for its first time only what is older counts.
+    nothing = F.lit(None)
+    events = per.select("key", F.col("hi").alias("t"), F.col("last").alias("point"), nothing.cast("int").alias("slice")).unionByName(
+        per.select("key", F.col("lo").alias("t"), nothing.cast("struct<ts:long,id:long>").alias("point"), "slice"))
+    older = events.withColumn("older", F.max("point").over(W.partitionBy("key").orderBy("t").rangeBetween(W.unboundedPreceding, -1))).where("slice IS NOT NULL")
+    carried = per.join(older.select("key", "slice", "older"), ["key", "slice"]).select("key", "slice", "lo", "any", F.greatest("less", "older").alias("older"))
+    found = sliced.where("NOT full").join(carried, ["key", "slice"], "left")
+    return found.select("id", F.coalesce("own", F.when(F.col("ts") > F.col("lo"), F.col("any")).otherwise(F.col("older")))["id"].alias("response_id"))
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -66,11 +73,12 @@ def resolve(records: DataFrame) -> DataFrame:
 
     Verdict: ``etag`` or ``last-modified`` (that validator agrees; an entity tag counts first, and weak tags compare as
     strong ones), ``mismatch`` (it differs), ``unchecked`` (the revisit names none), ``missing`` (no earlier response; also for
-    null URLs and times). Headers, digest and length are null for ``mismatch`` and ``missing``. Records repeated
-    under one id count once; an empty table gives no rows; a null ``full`` means a revisit.
+    null URLs and times). Headers, digest and length are null for ``mismatch`` and ``missing``. Of records
+    under one id the one with the least time counts (then url, full, digest, length, headers; null first); an empty table gives no rows; a null ``full`` means a revisit.
     """
-    r = (records.select("id", "url", "ts", F.coalesce("full", F.lit(False)).alias("full"), "headers", "digest", "length").dropDuplicates(["id"])
-         .withColumn("key", canonical(F.col("url"))))
+    r = records.select("id", "url", "ts", F.coalesce("full", F.lit(False)).alias("full"), "headers", "digest", "length")
+    order = F.struct("ts", "url", "full", "digest", "length", F.array_sort(F.map_entries("headers")))
+    r = r.groupBy("id").agg(F.min_by(F.struct(*r.columns[1:]), order).alias("r")).select("id", "r.*").withColumn("key", canonical(F.col("url")))
     r = written(r, "records")
     asof = latest_before(r.select("id", "key", "ts", "full"))
     stored = r.where("full").select(F.col("id").alias("response_id"), F.col("ts").alias("rts"), F.col("headers").alias("rh"),

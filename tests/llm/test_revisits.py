@@ -24,6 +24,30 @@ def test_latest_before_equals_a_loop(spark, slice_rows):
             assert got[i] == (max(earlier)[1] if earlier else None)
 
 
+def test_slices_split_a_hot_key_and_a_moment(spark):
+    """Ranges may cut one key, and even one second of it; the answer is that of a loop."""
+    rng = random.Random(4)
+    rows = [(k, "hot" if k % 3 else f"u{k % 7}", rng.choice([5, 5, 5, 6, 7, 7, 20]), rng.random() < 0.3) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, key string, ts long, full boolean")
+    got = {x.id: x.response_id for x in r.latest_before(df, 5).collect()}
+    for i, key, ts, full in rows:
+        if not full:
+            earlier = [(t, j) for j, k, t, f in rows if f and k == key and t < ts]
+            assert got[i] == (max(earlier)[1] if earlier else None)
+    assert len(got) == sum(not f for *_, f in rows)
+
+
+def test_clashing_rows_of_one_id_have_a_defined_choice(spark):
+    rows = [(1, "http://x/a", 0, True, {"etag": "1"}, "d1", 9), (2, "http://x/a", 5, False, {"etag": "1"}, None, None), (2, "http://x/a", 4, False, {"etag": "2"}, None, None),
+            (2, "http://x/a", 4, False, {"etag": "1", "x": "y"}, None, None), (3, None, None, None, None, None, None), (3, "http://x/a", 9, False, {}, None, None)]
+    want = None
+    for k in range(4):
+        got = sorted(map(str, r.resolve(spark.createDataFrame(random.Random(k).sample(rows, len(rows)), SCHEMA).repartition(3)).collect()))
+        want = want or got
+        assert got == want and len(got) == 2
+    assert "verdict='etag'" in want[0] and "age=4" in want[0] and "verdict='missing'" in want[1]
+
+
 def test_canonical_urls(spark):
     same = ["http://WWW.Example.org:80/a/?b=2&a=1&utm_source=x#top", "https://example.org/a?a=1&b=2", "  https://user@example.org:443/a/?utm_x=&b=2&a=1 "]
     other = ["https://example.org/A?a=1&b=2", "https://m.example.org/a?a=1&b=2", "", None, "https://"]
