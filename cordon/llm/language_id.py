@@ -51,25 +51,34 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and log P(bin | language) from all rows with a label; null labels and texts teach nothing."""
+    """Languages and log P(bin | language) from all rows with a label; null labels and texts teach nothing.
+
+    Of more than ``LANGUAGES`` labels those with most text are languages (ties: the first names); the others teach nothing.
+    """
     prepared(docs.sparkSession)
 
+    def emit(total):
+        for lang, counts in total.items():
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["lang", "bin", "n"])
+
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             data, offsets = texts(batch.column(0))
             for row, lang in enumerate(batch.column(1).to_pylist()):
                 total[lang] = total.get(lang, 0) + trigrams(data[offsets[row]: offsets[row + 1]])
-        for lang, counts in total.items():
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["lang", "bin", "n"])
+            if len(total) > LANGUAGES:  # dirty labels: what is held stays bounded
+                yield from emit(total)
+                total = {}
+        yield from emit(total)
 
     counts = (docs.select(F.col(text_col).cast("string").alias("t"), F.lower(F.trim(lang_col)).alias("lang")).where("lang IS NOT NULL AND t IS NOT NULL AND lang <> ''")
               .mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")))
     counts = written(counts, "trigrams")
-    langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").limit(LANGUAGES + 1).collect()]
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages in {lang_col}")
+    most = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    langs = sorted(r["lang"] for r in most.collect())
+    counts = counts.join(F.broadcast(most.select("lang")), "lang", "left_semi")  # at most LANGUAGES rows
     table = np.full((len(langs), BINS), 0.5)
     found = counts.toPandas()
     place = {lang: k for k, lang in enumerate(langs)}
@@ -78,14 +87,20 @@ def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 
 def visible(html: Column) -> Column:
-    """A page's text: comments, scripts, styles and tags off."""
-    off = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1\s*>", " ")
-    return F.regexp_replace(off, r"(?s)<[^>]*>", " ")
+    """A page's text: comments, scripts, styles, its head and tags off, each in one pass.
+
+    A comment, script or style that nothing closes runs to the page's end; an unclosed head stays text.
+    """
+    off = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*+>|\z)", " ")
+    start = F.regexp_instr(off, F.lit(r"(?i)<head\b"))
+    parts = F.split(F.substring(off, start, F.length(off)), r"(?i)</head\s*+>", 2)
+    off = F.when((start > 0) & (F.size(parts) > 1), F.concat(F.substring(off, F.lit(1), start - 1), F.lit(" "), F.get(parts, F.lit(1)))).otherwise(off)
+    return F.regexp_replace(off, r"<[^<>]*+>", " ")
 
 
 def declared(html: Column) -> Column:
     """Main part of the ``lang`` attribute of the html element, in lower case; null if there is none."""
-    tag = F.regexp_extract(html, r"(?is)<html\b([^>]*)>", 1)
+    tag = F.regexp_extract(html, r"(?i)<html\b([^<>]*+)>", 1)
     found = F.lower(F.regexp_extract(tag, r"""(?is)(?:^|\s)(?:xml:)?lang\s*=\s*["']?\s*([a-z]{2,8})""", 1))
     return F.when(found != "", found)
 

@@ -94,3 +94,23 @@ def test_long_text_in_pieces(monkeypatch):
     whole = g.trigrams(data)
     monkeypatch.setattr(g, "PIECE", 64)
     assert abs(g.trigrams(data).sum() - whole.sum()) <= 0.05 * whole.sum()
+
+
+def test_hostile_markup_is_read_once(spark):
+    import time
+    pages = ["<script " * 60_000, "<!--" * 100_000, "<" * 400_000 + "text", "<head>" * 80_000 + "text", "<html " * 60_000, "<style>" * 60_000 + "</style>end"]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, html string")
+    start = time.time()
+    got = {r.k: (r.v, r.d) for r in df.select("k", g.visible(F.col("html")).alias("v"), g.declared(F.col("html")).alias("d")).collect()}
+    assert time.time() - start < 30
+    assert got[2][0].endswith("text") and got[3][0].strip() == "text" and got[5][0].strip() == "end" and got[0][0].strip() == "" and all(d is None for _, d in got.values())
+    page = "<html lang='fr'><head><title>no</title></head><header>a</header><body>b<script>c</script><!-- d -->e</body>"
+    one = spark.createDataFrame([(page,)], "html string").select(g.visible(F.col("html")).alias("v"), g.declared(F.col("html")).alias("d")).first()
+    assert one.v.split() == ["a", "b", "e"] and one.d == "fr"
+
+
+def test_many_labels_keep_the_largest(spark, monkeypatch):
+    monkeypatch.setattr(g, "LANGUAGES", 3)
+    rows = [(f"x{k}", "short") for k in range(20)] + [("en", "the word of the day " * 20), ("fr", "le mot du jour " * 20), ("de", "das wort des tages " * 20)]
+    langs, table = g.text_model(spark.createDataFrame(rows, "lang string, text string"))
+    assert langs == ["de", "en", "fr"] and table.shape[0] == 3
