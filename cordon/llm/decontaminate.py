@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 A benchmark item and a text share *seeds*: equal Karp-Rabin fingerprints of ``MIN_MATCH`` running words.
-Seeds on one diagonal join to maximal matches. The longest match whose words are unmarked on both
+Seeds on one diagonal join to maximal matches; of the seeds only those where a match begins or ends are kept, ``PAIRS`` are
+looked at at once, so a text and an item that repeat themselves cost memory by their lengths, not by the product. The longest match whose words are unmarked on both
 sides becomes a tile and is marked; what is left of a cut match is queued again, until no match of
 ``MIN_MATCH`` words is left. Tiles may lie in any order in the text, so a passage whose sentences were
 swapped around is still covered. A text leaks an item if its tiles cover ``COVERAGE`` of the item's words.
@@ -27,6 +28,8 @@ from .tables import prepared, read
 from .words import PUNCT, shingles, word_hashes
 
 MIN_MATCH, COVERAGE = 5, 0.5
+#: Shared seeds (position in the text, position in an item) looked at at once.
+PAIRS = 1 << 20
 #: Characters of benchmark text in one broadcast block (about 24 bytes each when indexed).
 BLOCK_CHARS = 16_000_000
 
@@ -41,13 +44,16 @@ class Block:
     items: np.ndarray
     places: np.ndarray
     filter: np.ndarray
+    words: np.ndarray  # of all items, one after the other
+    offsets: np.ndarray
     min_match: int
 
     @classmethod
     def of(cls, ids: list, texts: pa.Array, min_match: int) -> Block:
-        lengths, hashes, items, places = np.zeros(len(ids), np.int64), [], [], []
+        lengths, hashes, items, places, every = np.zeros(len(ids), np.int64), [], [], [], [np.zeros(0, np.uint64)]
         for row, words in word_hashes(texts, PUNCT):
             lengths[row] = len(words)
+            every.append(words.copy())
             if len(words) >= min_match:  # shorter items have no tiles
                 s = shingles(words, min_match)
                 hashes.append(s)
@@ -59,34 +65,48 @@ class Block:
         table = np.zeros(1 << 20, bool)
         table[(seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         flat = lambda x: np.concatenate(x)[by] if x else np.zeros(0, np.int64)
-        return cls(ids, lengths, seeds, np.append(starts, len(h)), flat(items), flat(places), table, min_match)
+        return cls(ids, lengths, seeds, np.append(starts, len(h)), flat(items), flat(places), table, np.concatenate(every), np.append(0, np.cumsum(lengths)), min_match)
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, position in the text, position in the item) of every shared seed."""
+    def matches(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, start in the text, start in the item, length) of every maximal match, by item, diagonal and start."""
         none = np.zeros(0, np.int64)
         if len(words) < self.min_match or not len(self.seeds):
-            return none, none, none
+            return none, none, none, none
         s = shingles(words, self.min_match)
         maybe = np.flatnonzero(self.filter[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
         at = np.searchsorted(self.seeds, s[maybe])
         at[at == len(self.seeds)] = 0
         same = self.seeds[at] == s[maybe]
         maybe, at = maybe[same], at[same]
-        n = self.starts[at + 1] - self.starts[at]
-        pick = np.repeat(self.starts[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
-        return self.items[pick], np.repeat(maybe, n), self.places[pick]
-
-
-def tiles(i: np.ndarray, j: np.ndarray, min_match: int, item_length: int = 1 << 60) -> list[tuple[int, int, int]]:
-    """Greedy tiles ``(start in text, start in item, length)`` from seed positions; longest first, ties to the front.
+        upto = np.cumsum(self.starts[at + 1] - self.starts[at])
+        begins, ends = [], []
+        for low in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+            pair = np.arange(low, min(low + PAIRS, int(upto[-1])))
+            k = np.searchsorted(upto, pair, side="right")
+            pick = self.starts[at[k] + 1] - (upto[k] - pair)
+            item, i, j = self.items[pick], maybe[k], self.places[pick]
+            first, size = self.offsets[item], self.lengths[item]
+            # A match begins where the words before differ or one side begins, and ends likewise.
+            head = (i == 0) | (j == 0)
+            head[~head] = words[i[~head] - 1] != self.words[first[~head] + j[~head] - 1]
+            m = self.min_match
+            tail = (i + m == len(words)) | (j + m == size)
+            tail[~tail] = words[i[~tail] + m] != self.words[first[~tail] + j[~tail] + m]
+            begins.append(np.stack([item[head], i[head] - j[head], i[head]]))
+            ends.append(np.stack([item[tail], i[tail] - j[tail], i[tail]]))
+        if not begins:
+            return none, none, none, none
+        b, e = np.concatenate(begins, axis=1), np.concatenate(ends, axis=1)
+        b, e = b[:, np.lexsort(b[::-1])], e[:, np.lexsort(e[::-1])]  # begins and ends of a diagonal take turns
+        return b[0], b[2], b[2] - b[1], e[2] - b[2] + self.min_match
+
+
+def tiles(i: np.ndarray, j: np.ndarray, length: np.ndarray, min_match: int, item_length: int = 1 << 60) -> list[tuple[int, int, int]]:
+    """Greedy tiles ``(start in text, start in item, length)`` from the maximal matches; longest first, ties to the front.
 
     Ends early once the item has no room for another tile.
     """
-    by = np.lexsort((i, i - j))
-    i, j = i[by], j[by]
-    breaks = np.flatnonzero((np.diff(i) != 1) | (np.diff(i - j) != 0)) + 1
-    first, last = np.append(0, breaks), np.append(breaks, len(i))
-    queue = [(-(int(b - a) + min_match - 1), int(i[a]), int(j[a])) for a, b in zip(first, last, strict=True)]
+    queue = [(-n, x, y) for n, x, y in zip(length.tolist(), i.tolist(), j.tolist(), strict=True)]
     heapq.heapify(queue)
     in_text, in_item, out = set(), set(), []
     while queue and item_length - len(in_item) >= min_match:
@@ -111,20 +131,27 @@ def tiles(i: np.ndarray, j: np.ndarray, min_match: int, item_length: int = 1 <<
     return out
 
 
+def reached(j: np.ndarray, length: np.ndarray) -> int:
+    """Words of the item that some match covers: a bound on what its tiles cover."""
+    by = np.argsort(j, kind="stable")
+    start, end = j[by], (j + length)[by]
+    before = np.append(0, np.maximum.accumulate(end)[:-1])
+    return int(np.maximum(0, end - np.maximum(start, before)).sum())
+
+
 def leaks(words: np.ndarray, block: Block, coverage: float) -> Iterator[tuple[int, float, int, int]]:
     """(item, coverage, tiles, longest tile) of every item that the text covers enough."""
-    item, i, j = block.hits(words)
-    for one in np.unique(item):
-        own = item == one
+    item, i, j, length = block.matches(words)
+    bounds = np.append(np.flatnonzero(np.append(True, np.diff(item) != 0)), len(item)) if len(item) else np.zeros(1, np.int64)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        one = int(item[a])
         need = coverage * block.lengths[one]
-        reach = np.unique(j[own])
-        # The seeds' union in the item bounds its coverage from above.
-        if np.minimum(np.diff(reach), block.min_match).sum() + block.min_match < need:
+        if reached(j[a:b], length[a:b]) < need:
             continue
-        found = tiles(i[own], j[own], block.min_match, int(block.lengths[one]))
+        found = tiles(i[a:b], j[a:b], length[a:b], block.min_match, int(block.lengths[one]))
         covered = sum(t[2] for t in found)
         if covered >= need:
-            yield int(one), covered / int(block.lengths[one]), len(found), max(t[2] for t in found)
+            yield one, covered / int(block.lengths[one]), len(found), max(t[2] for t in found)
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH, chars: int = BLOCK_CHARS) -> Iterator[Block]:

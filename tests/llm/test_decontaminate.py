@@ -39,8 +39,35 @@ def test_tiles_equal_the_plain_search(seed):
     text = [w for p in parts for w in [*p, f"x{rng.randrange(3)}"]]
     block = d.Block.of([1], pa.array([" ".join(item)]), 3)
     words = next(word_hashes(pa.array([" ".join(text)]), PUNCT))[1]
-    _, i, j = block.hits(words)
-    assert sorted(d.tiles(i, j, 3)) == sorted(greedy(text, item, 3))
+    _, i, j, n = block.matches(words)
+    assert sorted(d.tiles(i, j, n, 3)) == sorted(greedy(text, item, 3))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matches_equal_the_plain_search(seed, monkeypatch):
+    """All maximal common runs of several items, however few pairs are looked at at once."""
+    monkeypatch.setattr(d, "PAIRS", 7)
+    rng = random.Random(seed)
+    items = [[f"v{rng.randrange(3)}" for _ in range(rng.randrange(1, 25))] for _ in range(5)]
+    text = [f"v{rng.randrange(3)}" for _ in range(60)]
+    block = d.Block.of(list(range(5)), pa.array([" ".join(x) for x in items]), 3)
+    words = next(word_hashes(pa.array([" ".join(text)]), PUNCT))[1]
+    want = []
+    for one, item in enumerate(items):
+        for i in range(len(text)):
+            for j in range(len(item)):
+                if text[i] == item[j] and (i == 0 or j == 0 or text[i - 1] != item[j - 1]):
+                    k = 0
+                    while i + k < len(text) and j + k < len(item) and text[i + k] == item[j + k]:
+                        k += 1
+                    if k >= 3:
+                        want.append((one, i, j, k))
+    item, i, j, n = block.matches(words)
+    assert sorted(zip(item.tolist(), i.tolist(), j.tolist(), n.tolist(), strict=True)) == sorted(want)
+    for one, own in enumerate(items):
+        at = item == one
+        covered = {y + k for _, x, y, m in want if _ == one for k in range(m)}
+        assert d.reached(j[at], n[at]) == len(covered) <= len(own)
 
 
 ITEM = prose(1, 40)
@@ -87,3 +114,15 @@ def test_long_repetitive_text_is_quick():
     words = next(word_hashes(pa.array(["from " * 3000]), PUNCT))[1]
     (one,) = d.leaks(words, block, 0.5)
     assert one[1] == 1.0
+
+
+def test_repetitive_text_and_item_stay_small():
+    """20 million shared seeds of 50,000 by 400 equal words: memory follows the lengths, not their product."""
+    import tracemalloc
+    block = d.Block.of([1, 2], pa.array(["from " * 400, prose(1, 40)]), 5)
+    words = next(word_hashes(pa.array(["from " * 50_000 + prose(1, 40)]), PUNCT))[1]
+    tracemalloc.start()
+    found = list(d.leaks(words, block, 0.5))
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert [(x[0], x[1]) for x in found] == [(0, 1.0), (1, 1.0)]
