@@ -6,6 +6,7 @@ looked at at once, so a text and an item that repeat themselves cost memory by t
 sides becomes a tile and is marked; what is left of a cut match is queued again, until no match of
 ``MIN_MATCH`` words is left. Tiles may lie in any order in the text, so a passage whose sentences were
 swapped around is still covered. A text leaks an item if its tiles cover ``COVERAGE`` of the item's words.
+An item of fewer than ``MIN_MATCH`` words has one seed, all of its words, and is leaked where they stand whole in the text.
 
 The benchmark is the stated, small side: it is cut into blocks of bounded size, each broadcast to one
 map over the texts (one block for benchmarks up to ``BLOCK_CHARS`` characters). Texts are never shuffled
@@ -47,14 +48,18 @@ class Block:
     words: np.ndarray  # of all items, one after the other
     offsets: np.ndarray
     min_match: int
+    short: list  # per length below min_match: that length, sorted fingerprints of whole items, and their items
 
     @classmethod
     def of(cls, ids: list, texts: pa.Array, min_match: int) -> Block:
         lengths, hashes, items, places, every = np.zeros(len(ids), np.int64), [], [], [], [np.zeros(0, np.uint64)]
+        whole: dict[int, list] = {}
         for row, words in word_hashes(texts, PUNCT):
             lengths[row] = len(words)
             every.append(words.copy())
-            if len(words) >= min_match:  # shorter items have no tiles
+            if 0 < len(words) < min_match:
+                whole.setdefault(len(words), []).append((int(shingles(words, len(words))[0]), row))
+            elif len(words):
                 s = shingles(words, min_match)
                 hashes.append(s)
                 items.append(np.full(len(s), row))
@@ -65,7 +70,15 @@ class Block:
         table = np.zeros(1 << 20, bool)
         table[(seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         flat = lambda x: np.concatenate(x)[by] if x else np.zeros(0, np.int64)
-        return cls(ids, lengths, seeds, np.append(starts, len(h)), flat(items), flat(places), table, np.concatenate(every), np.append(0, np.cumsum(lengths)), min_match)
+        return cls(ids, lengths, seeds, np.append(starts, len(h)), flat(items), flat(places), table, np.concatenate(every), np.append(0, np.cumsum(lengths)), min_match,
+                   [(n, np.array([k for k, _ in sorted(pairs)], np.uint64), np.array([row for _, row in sorted(pairs)], np.int64)) for n, pairs in sorted(whole.items())])
+
+    def shorts(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, words) of every short item that stands whole in the text."""
+        for n, hashes, items in self.short:
+            if len(words) >= n:
+                at = np.isin(hashes, shingles(words, n))
+                yield from ((int(item), n) for item in items[at])
 
     def matches(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(item, start in the text, start in the item, length) of every maximal match, by item, diagonal and start."""
@@ -140,7 +153,9 @@ def reached(j: np.ndarray, length: np.ndarray) -> int:
 
 
 def leaks(words: np.ndarray, block: Block, coverage: float) -> Iterator[tuple[int, float, int, int]]:
-    """(item, coverage, tiles, longest tile) of every item that the text covers enough."""
+    """(item, coverage, tiles, longest tile) of every item that the text covers enough; short ones in one tile."""
+    for one, n in block.shorts(words):
+        yield one, 1.0, 1, n
     item, i, j, length = block.matches(words)
     bounds = np.append(np.flatnonzero(np.append(True, np.diff(item) != 0)), len(item)) if len(item) else np.zeros(1, np.int64)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -169,7 +184,7 @@ def leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
            min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """``(doc_id, item_id, coverage, tiles, longest)``: every row of ``docs`` with every item it leaks.
 
-    Null and empty texts leak nothing; items of fewer than ``min_match`` words can't be leaked; repeated rows
+    Null and empty texts leak nothing, and items without words aren't leaked; repeated rows
     and items give repeated results; rows with a null id are reported with it. Empty tables give no rows.
     """
     spark = prepared(docs.sparkSession)

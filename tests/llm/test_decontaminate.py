@@ -90,6 +90,14 @@ def test_leaks_whole_reordered_and_not_short_ones(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
 
 
+def test_short_items_are_matched_whole(spark):
+    rows = [(1, "so: What IS this? " + prose(3, 9)), (2, "what is, but this"), (3, "is this"), (4, "this"), (5, None), (6, ""), (7, "what is this")]
+    items = bench(spark, [(20, "what is this"), (21, "is this"), (22, ""), (23, "..."), (24, "what is this"), (25, "no such words")])
+    got = sorted((r.doc_id, r.item_id, r.coverage, r.tiles, r.longest) for r in d.leaked(docs(spark, rows), items).collect())
+    assert got == sorted([(k, i, 1.0, 1, 3) for k in (1, 7) for i in (20, 24)] + [(k, 21, 1.0, 1, 2) for k in (1, 3, 7)])
+    assert sorted(r.doc_id for r in d.clean(docs(spark, rows), items).collect()) == [2, 4, 5, 6]
+
+
 def test_blocks_change_nothing(spark):
     rows = [(k, prose(100 + k, 40)) for k in range(6)]
     one = list(d.blocks(bench(spark, rows)))
