@@ -4,8 +4,8 @@
    vector that a third of the rows share is one graph node.
 2. Points are dealt by hash to shards of about ``SHARD`` points. Each shard builds its graph in one task and
    stores it as one row of flat arrays: vectors, and per layer a neighbour array with offsets.
-3. The stated queries travel in blocks; each block meets each shard once, searches its graph and returns
-   its nearest points. The shards' results are merged by one limited window per query.
+3. The stated queries travel in blocks of ``BLOCK``; each block meets each shard once, searches its graph and returns
+   its nearest points. So a graph is loaded, and travels, once for every ``BLOCK`` queries. The shards' results are merged by one limited window per query.
 
 Shards have the same size at any corpus size; only their number grows.
 """
@@ -25,8 +25,8 @@ from .tables import prepared, read, written
 
 #: Points of a shard; links of a node (twice that on the lowest layer); list sizes when building and searching.
 SHARD, M, EF_BUILD, EF_SEARCH = 4096, 16, 80, 96
-#: Queries of a block.
-BLOCK = 256
+#: Queries of a block: a shard's graph travels once for so many of them.
+BLOCK = 4096
 
 
 class Graph:
@@ -214,8 +214,8 @@ def nearest(queries: DataFrame, shards: DataFrame, k: int, id_col: str = "vec_id
     blocks = max(1, math.ceil(n / BLOCK))
     # Every block has to meet every shard: the keys say so; each (shard, block) is one bounded task.
     asked = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    places = [r["shard"] for r in shards.select("shard").distinct().collect()]
-    asked = asked.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in places]))) if places else asked.withColumn("shard", F.lit(-1))
+    last = shards.agg(F.max("shard")).first()[0]  # a number without a shard finds nothing
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
     graphs = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

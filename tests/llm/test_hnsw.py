@@ -86,3 +86,19 @@ def test_few_and_no_vectors(spark):
     got = run(spark, two, two)
     assert {q: [i for i, _ in r] for q, r in got.items()} == {1: [2], 2: [1]}
     assert run(spark, empty, two) == {}
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    """Queries in one block or in many, shard numbers without a shard among them, give the same rows."""
+    vectors = read(spark, SF01, "embeddings").where("vec_id < 400")
+    queries = vectors.where("vec_id % 4 = 0")
+    one = run(spark, vectors, queries, shard=30)
+    monkeypatch.setattr(hnsw, "BLOCK", 9)
+    assert run(spark, vectors, queries, shard=30) == one and len(one) > 50
+    shards = written(hnsw.index(written(hnsw.points(vectors, 6), "points"), 30), "shards")
+    some = shards.where("shard % 2 = 1")
+    left = {r.vec_id for r in hnsw.nearest(queries, some, 5).collect()}
+    held = set()
+    for r in some.collect():
+        held |= set(np.frombuffer(r.ids, np.int64).tolist())
+    assert left and left <= held
