@@ -2,15 +2,21 @@
 
 1. One scan finds the base spans (email, ip, card, phone) of every whole text, and *candidates*:
    other runs of six or more letters, digits and ``._%+@:/#-`` that hold a digit and begin and end with a
-   letter or digit; shorter codes and handles without a digit are no candidates, whatever their context. Spans and
-   candidates both emit the lexical patterns around them: the word before, the two words before, the word before
-   with the one after. Values and words are hashed whole, however long.
-2. Base spans are the seed instances. Patterns and instances form a graph that Spark scores in rounds:
-   a pattern's confidence is the confidence-weighted number of its occurrences over how often its
-   context occurs in all texts (a second scan counts that, whatever fills the slot); an instance's is
-   ``1 - prod(1 - confidence)`` over its patterns. Newly trusted instances support further patterns
+   letter or digit. Spans and candidates both emit the lexical patterns around them: the word before, the two
+   words before, the word before with the one after. Values and words are hashed whole, however long.
+2. Base spans are the seed instances. Patterns and instances form a graph, of which only what seeds can reach is
+   kept. Spark scores it in rounds: a pattern's confidence is the confidence-weighted number of its occurrences
+   over how often its context occurs in all texts (a second scan counts that, whatever fills the slot); an
+   instance's is ``1 - prod(1 - confidence)`` over its patterns. Newly trusted instances support further patterns
    in the next round; rounds go on until no confidence rises.
 3. Candidate occurrences whose instance reaches ``TRUST`` become spans of kind ``context``.
+4. Patterns that reach ``OPEN`` also find words of any shape: handles without a digit, short codes. Such a word
+   must be particular to these contexts: one of its parts between punctuation has at least ``OWN`` of all its
+   occurrences there, so an everyday word that strays into a slot stays. This takes two more scans, and none
+   where no pattern is so sure.
+
+A scan that counts keys carries a bit filter of them, of bounded size; what passes is summed and joined with the
+keys themselves, so a crowded filter costs shuffled rows, never a result.
 
 Only occurrences travel in shuffles, never texts; all sums are combined before shuffling, so a frequent
 context is no hot key.
@@ -20,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +35,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import dropped, free, prepared, read, written
-from .words import SPACE, pieces, shingles, word_hashes, words_at
+from .words import PUNCT, SPACE, pieces, shingles, word_hashes, words_at
 
 KINDS = ("email", "ip", "card", "phone", "context")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -42,10 +50,12 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 
 #: A pattern needs this weight of distinct instances, a trusted instance this confidence.
 SUPPORT, TRUST = 3, 0.5
+#: A pattern of this confidence finds words of any shape, if this share of a word's occurrences is in such patterns.
+OPEN, OWN = 0.8, 0.5
 #: Rounds end when no confidence rises by more than this.
 SETTLED = 1e-6
-#: Patterns whose contexts are counted in one scan (8 bytes each are broadcast); more take more scans.
-PATTERNS_A_SCAN = 2_000_000
+#: log2 of the bits of a filter of keys: 32 bits a key, from 32 KB to 64 MB.
+LEAST_BITS, MOST_BITS = 18, 29
 #: Rows with discovered spans up to which they are broadcast for masking.
 BROADCAST_ROWS = 500_000
 
@@ -113,6 +123,17 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 _SALT = np.array([0x51ED270B, 0x2545F491, 0x9E3779B9], np.uint64)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the words of a text with a word, and the code points at which they start."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = [(w, at + a) for a, b in pieces(data, SPACE) for w, at in [words_at(data[a:b], SPACE)]]
+    w, starts = (np.concatenate([f[k] for f in found]) for k in range(2))
+    if len(data) != len(text):
+        starts = np.cumsum((data & 0xC0) != 0x80)[starts] - 1
+    return w, starts
 
 
 def patterns(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -122,11 +143,7 @@ def patterns(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
     """
     if not spans:
         return []
-    data = np.frombuffer(text.encode(), np.uint8)
-    found = [(w, at + a) for a, b in pieces(data, SPACE) for w, at in [words_at(data[a:b], SPACE)]]
-    w, starts = (np.concatenate([f[k] for f in found]) for k in range(2))
-    if len(data) != len(text):
-        starts = np.cumsum((data & 0xC0) != 0x80)[starts] - 1
+    w, starts = _words(text)
     bounds = np.array(spans, np.int64)
     own = np.searchsorted(starts, bounds[:, 0], "right") - 1  # the word in which a span starts
     after = np.searchsorted(starts, bounds[:, 1])
@@ -142,10 +159,19 @@ def patterns(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
             hashes.append(around[k] ^ _SALT[2])
         if at >= 2:
             hashes.append(two[at - 2] ^ _SALT[1])
-        out.append((np.array(hashes, np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist())
+        out.append((np.array(hashes, np.uint64) * _SPREAD).view(np.int64).tolist())
     return out
 
 
+def contexts(w: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """``(first, hashes)`` of each sort of pattern: hash k is that of the pattern around word ``first + k`` alone."""
+    out = [(1, shingles(w, 1)[:-1] ^ _SALT[0])] if len(w) > 1 else []
+    if len(w) > 2:
+        out.append((2, shingles(w, 2)[:-1] ^ _SALT[1]))
+        out.append((1, shingles(np.stack([w[:-2], w[2:]], axis=1).ravel(), 2)[::2] ^ _SALT[2]))
+    return [(first, h * _SPREAD) for first, h in out]
+
+
 def _instance(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.lower().encode(), digest_size=8).digest(), "little", signed=True)
 
@@ -176,53 +202,123 @@ def _scan(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, at long, n array<long>, base string, sha string, seen array<struct<start:int,end:int,kind:tinyint,i:bigint,patterns:array<bigint>>>")
 
 
-def _count_contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(pattern, total)``: how often each pattern's context occurs in all texts, whatever fills its slot."""
-    spark, out = rows.sparkSession, None
-    n = max(1, -(-wanted.count() // PATTERNS_A_SCAN))
-    for part in range(n):
-        keys = np.sort(wanted.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == part).toPandas()["pattern"].to_numpy(np.int64).view(np.uint64))
-        shared = spark.sparkContext.broadcast(keys)
-
-        def run(batches, shared=shared):
-            keys = shared.value
-            total = np.zeros(len(keys), np.int64)
-            for batch in batches if len(keys) else ():
-                for _, w in word_hashes(batch.column(0), SPACE):
-                    if len(w) < 2:
-                        continue
-                    found = [shingles(w, 1)[:-1] ^ _SALT[0]]
-                    if len(w) > 2:
-                        found.append(shingles(w, 2)[:-1] ^ _SALT[1])
-                        found.append(shingles(np.stack([w[:-2], w[2:]], axis=1).ravel(), 2)[::2] ^ _SALT[2])
-                    for f in found:
-                        f = f * np.uint64(0x9E3779B97F4A7C15)
-                        at = np.searchsorted(keys, f)
-                        at[at == len(keys)] = 0
-                        np.add.at(total, at[keys[at] == f], 1)
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], names=["pattern", "total"])
-
-        counted = rows.select("text").mapInArrow(run, "pattern long, total long")
-        out = counted if out is None else out.unionByName(counted)
-    return out.groupBy("pattern").agg(F.sum("total").alias("total"))
+@dataclass
+class Filter:
+    """Bits that are set at the leading bits of every key, and at few others."""
+
+    bits: np.ndarray
+    log: int
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys >> np.uint64(64 - self.log)).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def key_filter(keys: DataFrame, column: str) -> Filter:
+    """The filter of a column of hashes, put together from Spark's own bitmaps of 4 KB."""
+    log = min(MOST_BITS, max(LEAST_BITS, (32 * keys.count()).bit_length()))
+    place = F.shiftrightunsigned(column, 64 - log) + 1  # positions of a bitmap count from 1
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b"))
+    bits = np.zeros((1 << log) // 8, np.uint8)
+    for n, b in parts.toLocalIterator():
+        bits[(n - 1) * 4096: n * 4096] = np.frombuffer(b, np.uint8)
+    return Filter(bits, log)
+
+
+def _tally(rows: DataFrame, keys: DataFrame, column: str, separators: bytes, hashes: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """``(column, total)``: how often each of ``keys`` is among ``hashes`` of the words of all texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(key_filter(keys, column))
+
+    def run(batches):
+        chosen = shared.value
+        for batch in batches:
+            found = [h[chosen.passes(h)] for _, w in word_hashes(batch.column(0), separators) for h in hashes(w)]
+            some, total = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(total.astype(np.int64))], names=[column, "total"])
+
+    counted = rows.select("text").mapInArrow(run, f"{column} long, total long").groupBy(column).agg(F.sum("total").alias("total"))
+    return counted.join(keys, column, "left_semi")
+
+
+def _reached(edges: DataFrame) -> DataFrame:
+    """The patterns that may ever be supported: by seeds, or by instances of patterns that may be."""
+    live = written(edges.where("seed").select("i").distinct(), "live")
+    size = live.count()
+    while True:
+        wide = written(edges.join(live, "i").groupBy("pattern").agg(F.count("*").alias("m")).where(F.col("m") >= SUPPORT).select("pattern"), "wide")
+        more = written(edges.join(wide, "pattern").select("i").unionByName(live).distinct(), "live")
+        dropped(live)
+        live, before, size = more, size, more.count()
+        if size == before:
+            dropped(live)
+            return wide
+        dropped(wide)
+
+
+def _scored(graph: DataFrame, trust: DataFrame) -> DataFrame:
+    held = graph.join(trust.select("i", "conf"), "i")
+    return (held.groupBy("pattern").agg((F.sum(F.col("n") * F.col("conf")) / F.greatest(F.max("total"), F.sum("n"))).alias("p"), F.sum("conf").alias("support"))
+            .where(F.col("support") >= SUPPORT).select("pattern", F.least("p", F.lit(0.999)).alias("p")))
+
+
+def _fillers(rows: DataFrame, strong: DataFrame) -> DataFrame:
+    """``(at, start, end, parts, pattern)`` of the words in the slots of ``strong`` that touch no base span or candidate."""
+    shared = rows.sparkSession.sparkContext.broadcast(key_filter(strong, "pattern"))
+    schema = pa.schema([("at", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("parts", pa.list_(pa.int64())), ("pattern", pa.int64())])
+
+    def run(batches):
+        chosen = shared.value
+        for batch in batches:
+            out = []
+            for row, w in word_hashes(batch.column(1), SPACE):
+                slots = [(first + int(k), int(h[k])) for first, h in contexts(w) for k in np.flatnonzero(chosen.passes(h))]
+                if not slots:
+                    continue
+                text, at = batch.column(1)[row].as_py(), batch.column(0)[row].as_py()
+                starts = _words(text)[1]
+                spans = base_spans(text)
+                taken = np.zeros(len(text) + 1, bool)
+                for a, b in [(a, b) for a, _, b in spans] + candidates(text, spans):
+                    taken[a:b] = True
+                for slot, pattern in slots:
+                    a, b = WORD.match(text, int(starts[slot])).span()
+                    while a < b and not text[a].isalnum():
+                        a += 1
+                    while a < b and not text[b - 1].isalnum():
+                        b -= 1
+                    parts = words_at(np.frombuffer(text[a:b].encode(), np.uint8), PUNCT)[0]
+                    if len(parts) and not taken[a:b].any():
+                        out.append({"at": at, "start": a, "end": b, "parts": np.unique(parts).view(np.int64).tolist(),
+                                    "pattern": pattern - (1 << 64) if pattern >> 63 else pattern})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    found = rows.select("at", "text").mapInArrow(run, "at long, start int, end int, parts array<long>, pattern long")
+    return found.join(strong, "pattern", "left_semi")
+
+
+def opened(rows: DataFrame, strong: DataFrame) -> DataFrame:
+    """``(at, start, end)`` of the words of any shape that stand in ``strong`` patterns and are particular to them."""
+    fillers = _fillers(rows, strong).groupBy("at", "start", "end", "pattern").agg(F.count("*").alias("m"), F.first("parts").alias("parts"))
+    held = written(fillers.groupBy("at", "start", "end").agg(F.max("m").alias("m"), F.first("parts").alias("parts")), "fillers")
+    parts = written(held.select("m", F.explode("parts").alias("part")).groupBy("part").agg(F.sum("m").alias("inside")), "parts")
+    total = _tally(rows, parts.select("part"), "part", PUNCT, lambda w: [w])
+    own = parts.join(total, "part").where(F.col("inside") >= OWN * F.col("total")).select("part")
+    out = written(held.select("at", "start", "end", F.explode("parts").alias("part")).join(own, "part", "left_semi").select("at", "start", "end").distinct(), "opened")
+    dropped(held, parts)
+    return out
 
 
 def discovered(rows: DataFrame, scan: DataFrame) -> DataFrame:
-    """``(at, start, end)`` of the candidates that the scored graph trusts."""
+    """``(at, start, end)`` of what the scored graph trusts: candidates, and words in its surest patterns."""
     seen = written(scan.where(F.size("seen") > 0).dropDuplicates(["at"]).select("at", F.explode("seen").alias("s")).select("at", "s.*"), "seen")
     edges = seen.select("i", (F.col("kind") < 4).alias("seed"), F.explode("patterns").alias("pattern"))
     edges = written(edges.groupBy("pattern", "i").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
-    # Only patterns with enough distinct instances can ever be trusted.
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("m"), F.max("seed").alias("any")).where(F.col("m") >= SUPPORT).select("pattern")
-    totals = written(_count_contexts(rows, wide), "totals")
-    graph = written(edges.join(totals, "pattern"), "graph")
+    wide = _reached(edges)
+    graph = written(edges.join(_tally(rows, wide, "pattern", SPACE, lambda w: [h for _, h in contexts(w)]), "pattern"), "graph")
+    dropped(edges, wide)
     trust = written(graph.groupBy("i").agg(F.max(F.col("seed").cast("double")).alias("conf")), "trust")
     while True:
-        held = graph.join(trust.select("i", "conf"), "i")
-        scored = (held.groupBy("pattern").agg((F.sum(F.col("n") * F.col("conf")) / F.greatest(F.max("total"), F.sum("n"))).alias("p"), F.sum("conf").alias("support"))
-                    .where(F.col("support") >= SUPPORT).select("pattern", F.least("p", F.lit(0.999)).alias("p")))
-        lifted = (graph.join(scored, "pattern").groupBy("i")
+        lifted = (graph.join(_scored(graph, trust), "pattern").groupBy("i")
                   .agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("up")))
         conf = F.greatest("conf", F.coalesce("up", F.lit(0.0)))
         before, trust = trust, written(trust.select("i", "conf").join(lifted, "i", "left").select("i", conf.alias("conf"), (conf - F.col("conf")).alias("rise")), "trust")
@@ -230,7 +326,11 @@ def discovered(rows: DataFrame, scan: DataFrame) -> DataFrame:
         if (trust.agg(F.max("rise")).first()[0] or 0) <= SETTLED:
             break
     trusted = trust.where(F.col("conf") >= TRUST).select("i")
-    return written(seen.where("kind = 4").join(trusted, "i", "left_semi").select("at", "start", "end"), "found")
+    found = seen.where("kind = 4").join(trusted, "i", "left_semi").select("at", "start", "end")
+    strong = written(_scored(graph, trust).where(F.col("p") >= OPEN).select("pattern"), "strong")
+    out = written(found if strong.isEmpty() else found.unionByName(opened(rows, strong)), "found")
+    dropped(seen, graph, trust, strong)
+    return out
 
 
 def _with_found(scan: DataFrame, found: DataFrame) -> DataFrame:

@@ -127,3 +127,77 @@ def test_address_parts_of_any_length():
     long = "1.2.3." + "0" * 5000
     assert pii.base_spans(long + "4")[0] == (0, 1, 5007) and pii.base_spans("1.2.3.000")[0] == (0, 1, 9)
     assert not [s for s in pii.base_spans("1.2.3." + "9" * 5000) if s[1] == 1]
+
+
+def opened_rows():
+    """One slot mostly of addresses; in it also a handle, a short code, an everyday word, and a handle seen elsewhere too."""
+    rows = [(k, f"{prose(k, 20)} reach member at m{k}@mail.example.com today {prose(k + 50, 20)}") for k in range(30)]
+    for k, word in ((100, "kestrelfan,"), (101, "(Q7x)"), (102, "member."), (103, "blue-jay"), (104, "éclairist")):
+        rows.append((k, f"é {prose(k, 20)} reach member at {word} today {prose(k + 50, 20)}"))
+    return rows + [(200, "kestrelfan home " + prose(9, 40)), (201, "kestrelfan home " + prose(10, 40)), (202, "at home today " + prose(11, 40))]
+
+
+def test_sure_patterns_find_words_of_any_shape(spark):
+    """A handle without a digit and a short code are found where at least half of their occurrences are; others stay."""
+    rows = opened_rows()
+    got, text = spans_of(spark, rows), dict(rows)
+    for k, value in ((101, "Q7x"), (103, "blue-jay"), (104, "éclairist")):
+        at = text[k].index(value)
+        assert got[k] == f"context:{at}:{at + len(value)}"
+    assert got[100] == "" and got[102] == ""  # a third of kestrelfan's occurrences are in the slot; member is common, home stands elsewhere
+    assert all(got[k] == "" for k in (200, 201, 202))
+    out = {r.doc_id: r.text for r in pii.masked(docs(spark, rows)).collect()}
+    assert "reach member at ([CONTEXT]) today" in out[101] and "kestrelfan" in out[100]
+
+
+def test_repeated_rows_count_alike_for_words_of_any_shape(spark):
+    rows = opened_rows()
+    got = pii.personal_data(docs(spark, [*rows, *[r for r in rows if r[0] == 101] * 3, (None, None), (None, "")])).collect()
+    assert len({r.spans for r in got if r.doc_id == 101}) == 1 and [r.n_context for r in got if r.doc_id == 101] == [1] * 4
+
+
+def test_filter_holds_every_key_and_few_others(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 20_000)
+    table = spark.createDataFrame([(int(k),) for k in [*keys, -1, 0, 1, (1 << 63) - 1, -(1 << 63)]], "k long")
+    f = pii.key_filter(table, "k")
+    assert f.passes(keys.view(np.uint64)).all() and f.passes(np.array([-1, 0, 1, (1 << 63) - 1, -(1 << 63)], np.int64).view(np.uint64)).all()
+    assert f.passes(rng.integers(0, 1 << 63, 100_000).astype(np.uint64) << np.uint64(1)).mean() < 0.05
+    assert not pii.key_filter(table.where("k IS NULL"), "k").bits.any()
+
+
+def test_graph_scores_equal_a_plain_scorer(spark):
+    """The graph's verdicts against dictionaries that score all patterns of all texts, reached by seeds or not."""
+    from collections import Counter, defaultdict
+    rows = [(k, f"{prose(k, 15, 30)} call {'x' if k % 3 else 'y'} {v} now {prose(k + 900, 15, 30)}")
+            for k, v in enumerate([*(f"m{j % 9}@mail.example.com" for j in range(24)), *(f"ID-{j % 7}-code" for j in range(40)), *(f"w{j}" for j in range(12))])]
+    texts = dict(rows)
+    seen, total = [], Counter()
+    for k, t in rows:
+        base = pii.base_spans(t)
+        places = [(a, b, kind) for a, kind, b in base] + [(a, b, 4) for a, b in pii.candidates(t, base)]
+        seen += [(k, a, b, kind, t[a:b].lower(), ps) for (a, b, kind), ps in zip(places, pii.patterns(t, [p[:2] for p in places]), strict=True)]
+        words = [(m.start(), m.end()) for m in pii.WORD.finditer(t)]
+        total.update(p for ps in pii.patterns(t, words) for p in ps)
+    edges, conf = defaultdict(Counter), {}
+    for _, _, _, kind, v, ps in seen:
+        conf[v] = max(conf.get(v, 0.0), float(kind < 4))
+        for p in ps:
+            edges[p][v] += 1
+    while True:
+        score = {p: min(0.999, sum(n * conf[v] for v, n in vs.items()) / max(total[p], sum(vs.values())))
+                 for p, vs in edges.items() if sum(conf[v] for v in vs) >= pii.SUPPORT}
+        new = dict(conf)
+        for v in conf:
+            miss = 1.0
+            for p, s in score.items():
+                miss *= 1 - s if v in edges[p] else 1
+            new[v] = max(conf[v], 1 - miss)
+        done, conf = max(new[v] - conf[v] for v in conf) <= pii.SETTLED, new
+        if done:
+            break
+    assert max(score.values()) < pii.OPEN
+    want = {k: ",".join(f"context:{a}:{b}" for i, a, b, kind, v, _ in seen if i == k and kind == 4 and conf[v] >= pii.TRUST) for k in texts}
+    got = {r.doc_id: ",".join(s for s in r.spans.split(",") if s.startswith("context")) for r in pii.personal_data(docs(spark, rows)).collect()}
+    assert got == want and any(want.values())
