@@ -310,7 +310,7 @@ def opened(rows: DataFrame, strong: DataFrame) -> DataFrame:
 
 def discovered(rows: DataFrame, scan: DataFrame) -> DataFrame:
     """``(at, start, end)`` of what the scored graph trusts: candidates, and words in its surest patterns."""
-    seen = written(scan.where(F.size("seen") > 0).dropDuplicates(["at"]).select("at", F.explode("seen").alias("s")).select("at", "s.*"), "seen")
+    seen = written(scan.where(F.size("seen") > 0).select("at", F.explode("seen").alias("s")).select("at", "s.*"), "seen")
     edges = seen.select("i", (F.col("kind") < 4).alias("seed"), F.explode("patterns").alias("pattern"))
     edges = written(edges.groupBy("pattern", "i").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
     wide = _reached(edges)
@@ -326,7 +326,7 @@ def discovered(rows: DataFrame, scan: DataFrame) -> DataFrame:
         if (trust.agg(F.max("rise")).first()[0] or 0) <= SETTLED:
             break
     trusted = trust.where(F.col("conf") >= TRUST).select("i")
-    found = seen.where("kind = 4").join(trusted, "i", "left_semi").select("at", "start", "end")
+    found = seen.where("kind = 4").join(trusted, "i", "left_semi").select("at", "start", "end").distinct()
     strong = written(_scored(graph, trust).where(F.col("p") >= OPEN).select("pattern"), "strong")
     out = written(found if strong.isEmpty() else found.unionByName(opened(rows, strong)), "found")
     dropped(seen, graph, trust, strong)

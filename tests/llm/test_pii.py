@@ -152,8 +152,8 @@ def test_sure_patterns_find_words_of_any_shape(spark):
 
 def test_repeated_rows_count_alike_for_words_of_any_shape(spark):
     rows = opened_rows()
-    got = pii.personal_data(docs(spark, [*rows, *[r for r in rows if r[0] == 101] * 3, (None, None), (None, "")])).collect()
-    assert len({r.spans for r in got if r.doc_id == 101}) == 1 and [r.n_context for r in got if r.doc_id == 101] == [1] * 4
+    got = pii.personal_data(docs(spark, [*rows, *[r for r in rows if r[0] == 101], (None, None), (None, "")])).collect()
+    assert len({r.spans for r in got if r.doc_id == 101}) == 1 and [r.n_context for r in got if r.doc_id == 101] == [1, 1]
 
 
 def test_filter_holds_every_key_and_few_others(spark):
@@ -171,7 +171,7 @@ def test_graph_scores_equal_a_plain_scorer(spark):
     """The graph's verdicts against dictionaries that score all patterns of all texts, reached by seeds or not."""
     from collections import Counter, defaultdict
     rows = [(k, f"{prose(k, 15, 30)} call {'x' if k % 3 else 'y'} {v} now {prose(k + 900, 15, 30)}")
-            for k, v in enumerate([*(f"m{j % 9}@mail.example.com" for j in range(24)), *(f"ID-{j % 7}-code" for j in range(40)), *(f"w{j}" for j in range(12))])]
+            for k, v in enumerate([*(f"m{j % 9}@mail.example.com" for j in range(24)), *(f"ID-{j % 7}-code" for j in range(40)), *(f"w{j}" for j in range(24))])]
     texts = dict(rows)
     seen, total = [], Counter()
     for k, t in rows:
