@@ -15,8 +15,9 @@ How the work is laid out
    A class indexes ``|x| - ceil(t|x|) + l`` tokens.
 3. *Candidate families.* Tokens that few classes index give pairs, which are counted and
    kept if they can reach ``l``. Tokens that many classes index give only one edge per
-   member, to the group's least class, never all pairs, and only to members that could
-   reach ``l`` by such tokens alone. The connected components of these
+   member, never all pairs, and only for members that could reach ``l`` by such tokens alone: a
+   token's classes are dealt to salted parts, members link to the least class of their part,
+   and the parts' least classes to the least of all. The connected components of these
    edges are families: any two linked sets lie in one family.
 4. *Other orders, verification.* A family's sets meet in units of bounded rows and
    bytes (large families: blocks within and between neighbouring length bands). In a unit a
@@ -55,6 +56,8 @@ EXTRA = 0.05
 HOT = 64
 #: Sets and tokens of one side of a verification unit.
 UNIT_SETS, UNIT_TOKENS = 256, 2_000_000
+#: Parts that a common token's classes are dealt to, at least; as many more as the root of thousands of tokens.
+SALTS = 64
 #: Rows up to which a list of documents to re-read or to drop is broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -134,7 +137,17 @@ def _index(docs: DataFrame, size: int, percent: int, classes, bits: int) -> Data
     return docs.mapInArrow(run, "token long, heavy boolean, k long, n int")
 
 
-def _edges(index: DataFrame, percent: int) -> DataFrame:
+def _stars(starred: DataFrame, salts: int) -> DataFrame:
+    """``(a, b)``: the classes of each token as one tree of two levels, so no task holds a token's classes as a whole."""
+    dealt = starred.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(salts)))
+    parts = written(dealt.groupBy("token", "part").agg(F.min("k").alias("a")), "parts")
+    whole = parts.groupBy("token").agg(F.min("a").alias("first"), F.max("a").alias("last")).where("first <> last").select("token", "first")
+    within = dealt.join(parts, ["token", "part"]).where("a <> k").select("a", F.col("k").alias("b"))
+    between = parts.join(whole, "token").where("first <> a").select(F.col("first").alias("a"), F.col("a").alias("b"))
+    return within.unionByName(between).distinct()
+
+
+def _edges(index: DataFrame, percent: int, salts: int = SALTS) -> DataFrame:
     """Candidate edges ``(a, b)``: counted pairs of rare tokens, star edges of common ones."""
     token = W.partitionBy("token")
     # A token of no heavy bucket is in fewer sets than twice the mean bucket holds, so these groups are bounded.
@@ -146,9 +159,7 @@ def _edges(index: DataFrame, percent: int) -> DataFrame:
     common = written(hot.groupBy("k").agg(F.count("*").alias("common"), F.first("n").alias("n")), "common")
     # A set whose common tokens alone can't reach l meets each linked set at a rare token too.
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA)
-    starred = hot.select("token", "k").join(common.where(F.col("common") >= least).select("k"), "k")
-    heads = starred.groupBy("token").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last")
-    stars = (starred.join(heads, "token").where("first <> k").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct())
+    stars = _stars(hot.select("token", "k").join(common.where(F.col("common") >= least).select("k"), "k"), salts)
     x, y = few.select("token", F.col("k").alias("a"), F.col("n").alias("na")), few.select("token", F.col("k").alias("b"), F.col("n").alias("nb"))
     near = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     pairs = (x.join(y, "token").where(near).groupBy("a", "b")
@@ -286,7 +297,7 @@ def _found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
     signs = scan.where("kind = 0").select("doc_id", "n", "k", "th", F.coalesce("doc_id", "th").alias("at"))
     index = written(_index(own, size, percent, classes, bits), "index")
-    families = components(_edges(index, percent)).select(F.col("v").alias("k"), F.col("c").alias("fam"))
+    families = components(_edges(index, percent, max(SALTS, math.isqrt(total // 1000)))).select(F.col("v").alias("k"), F.col("c").alias("fam"))
     sets = signs.where("k IS NOT NULL").groupBy("k").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("at").alias("at"))
     members = written(sets.join(families, "k"), "members")
     dropped(index)

@@ -130,3 +130,25 @@ def test_one_of_each_decides_by_row(spark):
     of_b = [r for r in kept if r[0] is None and r[1]]
     assert len(of_b) == 1 and of_b[0][1] in [rows[k][1] for k in (4, 6, 7)]
     assert [r for r in kept if r not in of_b] == sorted([(1, a), (5, own), (None, None), (None, ""), (7, None)], key=str)
+
+
+def test_stars_connect_the_classes_of_each_token(spark):
+    """With few or many parts: one tree per token, ends among its classes, nothing for tokens of one class."""
+    rng = random.Random(5)
+    groups = {1: list(range(500)), 2: [7], 3: [rng.randrange(10_000, 20_000) for _ in range(90)], 4: [30_001, 30_000], 5: [499, 40_000]}
+    table = spark.createDataFrame([(t, k) for t, ks in groups.items() for k in ks + ks[:3]], "token long, k long")
+    for salts in (1, 3, 64, 5000):
+        edges = {(r.a, r.b) for r in j._stars(table, salts).collect()}
+        up = {}
+
+        def root(x, up=up):
+            while x in up:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            if root(a) != root(b):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+        parts = {frozenset(x for x in up.keys() | up.values() if root(x) == r) for r in {root(x) for x in up}}
+        assert parts == {frozenset(groups[1] + groups[5]), frozenset(groups[3]), frozenset(groups[4])}
+        assert len(edges) == sum(len(set(ks)) - 1 for ks in groups.values())
