@@ -54,8 +54,10 @@ SUPPORT, TRUST = 3, 0.5
 OPEN, OWN = 0.8, 0.5
 #: Rounds end when no confidence rises by more than this.
 SETTLED = 1e-6
-#: log2 of the bits of a filter of keys: 32 bits a key, from 32 KB to 64 MB.
+#: log2 of the bits of a filter of keys: 256 bits a key or more, from 32 KB to 64 MB.
 LEAST_BITS, MOST_BITS = 18, 29
+#: Different keys that a task sums up before it hands them on.
+HELD = 1_000_000
 #: Rows with discovered spans up to which they are broadcast for masking.
 BROADCAST_ROWS = 500_000
 
@@ -204,21 +206,24 @@ def _scan(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Filter:
-    """Bits that are set at the leading bits of every key, and at few others."""
+    """Two bits for every key, at its leading and at its last bits; few other keys find both set."""
 
     bits: np.ndarray
     log: int
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys >> np.uint64(64 - self.log)).astype(np.int64)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        out = np.ones(len(keys), bool)
+        for at in (keys >> np.uint64(64 - self.log), keys & np.uint64((1 << self.log) - 1)):
+            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
 
 
 def key_filter(keys: DataFrame, column: str) -> Filter:
     """The filter of a column of hashes, put together from Spark's own bitmaps of 4 KB."""
-    log = min(MOST_BITS, max(LEAST_BITS, (32 * keys.count()).bit_length()))
-    place = F.shiftrightunsigned(column, 64 - log) + 1  # positions of a bitmap count from 1
-    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b"))
+    log = min(MOST_BITS, max(LEAST_BITS, (256 * keys.count()).bit_length()))
+    place = F.col("place") + 1  # positions of a bitmap count from 1
+    both = F.array(F.shiftrightunsigned(column, 64 - log), F.col(column).bitwiseAND(F.lit((1 << log) - 1)))
+    parts = keys.where(F.col(column).isNotNull()).select(F.explode(both).alias("place")).groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b"))
     bits = np.zeros((1 << log) // 8, np.uint8)
     for n, b in parts.toLocalIterator():
         bits[(n - 1) * 4096: n * 4096] = np.frombuffer(b, np.uint8)
@@ -230,11 +235,18 @@ def _tally(rows: DataFrame, keys: DataFrame, column: str, separators: bytes, has
     shared = rows.sparkSession.sparkContext.broadcast(key_filter(keys, column))
 
     def run(batches):
-        chosen = shared.value
+        chosen, held = shared.value, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
             found = [h[chosen.passes(h)] for _, w in word_hashes(batch.column(0), separators) for h in hashes(w)]
-            some, total = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(total.astype(np.int64))], names=[column, "total"])
+            found = np.concatenate(found or [np.zeros(0, np.uint64)])
+            some, at = np.unique(np.concatenate([held[0], found]), return_inverse=True)
+            total = np.zeros(len(some), np.int64)
+            np.add.at(total, at, np.concatenate([held[1], np.ones(len(found), np.int64)]))
+            held = some, total
+            if len(some) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(total)], names=[column, "total"])
+                held = some[:0], total[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], names=[column, "total"])
 
     counted = rows.select("text").mapInArrow(run, f"{column} long, total long").groupBy(column).agg(F.sum("total").alias("total"))
     return counted.join(keys, column, "left_semi")

@@ -163,10 +163,22 @@ def test_filter_holds_every_key_and_few_others(spark):
     table = spark.createDataFrame([(int(k),) for k in [*keys, -1, 0, 1, (1 << 63) - 1, -(1 << 63)]], "k long")
     f = pii.key_filter(table, "k")
     assert f.passes(keys.view(np.uint64)).all() and f.passes(np.array([-1, 0, 1, (1 << 63) - 1, -(1 << 63)], np.int64).view(np.uint64)).all()
-    assert f.passes(rng.integers(0, 1 << 63, 100_000).astype(np.uint64) << np.uint64(1)).mean() < 0.05
+    assert f.passes(rng.integers(0, 1 << 63, 100_000).astype(np.uint64) << np.uint64(1)).mean() < 0.001
     assert not pii.key_filter(table.where("k IS NULL"), "k").bits.any()
 
 
+def test_tally_equals_a_plain_count(spark):
+    """Counts of some words over all rows, null texts among them."""
+    import numpy as np
+    rows = [(k, prose(k, 60, 50) if k % 7 else None) for k in range(80)]
+    hashes = {w: int(next(iter(pii.word_hashes(pii.pa.array([w]))))[1].view(np.int64)[0]) for w in [*(f"w{j}" for j in range(0, 50, 3)), "absent"]}
+    keys = spark.createDataFrame([(h,) for h in hashes.values()], "part long")
+    want = {hashes[w]: n for w in hashes if (n := sum((t or "").split().count(w) for _, t in rows))}
+    table = docs(spark, rows)
+    assert {r.part: r.total for r in pii._tally(table, keys, "part", pii.SPACE, lambda w: [w]).collect()} == want
+    assert pii._tally(table, keys.limit(0), "part", pii.SPACE, lambda w: [w]).count() == 0
+
+
 def test_graph_scores_equal_a_plain_scorer(spark):
     """The graph's verdicts against dictionaries that score all patterns of all texts, reached by seeds or not."""
     from collections import Counter, defaultdict
