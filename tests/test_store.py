@@ -125,3 +125,29 @@ def test_parallel_callers_write_once(spark, sf_copy, root):
     (name,) = _tables(root)
     assert len(_writers(root, name)) == 1
     assert all(f is frames[0] for f in frames)
+
+
+def test_store_write_shuffles_trips_only_and_sorts_nothing(spark):
+    """Flags follow from a row, so they are added behind the shuffle; a sort would spill what a task holds."""
+    from helpers import trips
+
+    rows = trips(spark, [dict(pickup_time="2025-03-01 10:00:00", dropoff_time="2025-03-01 10:20:00")])
+    plan = store.dealt_flagged(rows)._jdf.queryExecution().optimizedPlan().toString()
+    flags, shuffled = plan.split("RebalancePartitions")
+    assert "Sort" not in plan
+    assert "ghost_type" in flags and "ghost_type" not in shuffled and "avg_speed_mph" not in shuffled
+
+
+def test_partitioned_writes_append_to_open_files(spark, tmp_path, monkeypatch):
+    """Rows keep the order they come in (a sorting write would put March and early days first), and the setting is put back."""
+    from helpers import trips
+
+    rows = trips(spark, [dict(pickup_time=f"2025-{m}-{d:02d} 10:00:00", dropoff_time=f"2025-{m}-{d:02d} 10:20:00", vendor_id=v)
+                         for v, (m, d) in enumerate([("04", 9), ("03", 5), ("04", 2), ("03", 1)])]).coalesce(1)
+    seen = []
+    whole = store.with_partitions
+    monkeypatch.setattr(store, "with_partitions", lambda t: (seen.append(spark.conf.get(store._WRITERS, "0")), whole(t))[1])
+    store.write_flagged(rows, str(tmp_path / "t"))
+    assert seen == [str(store.OPEN_FILES)] and spark.conf.get(store._WRITERS, "0") in (None, "0")
+    april = [r.vendor_id for r in spark.read.parquet(str(tmp_path / "t" / "pickup_year=2025" / "pickup_month=4")).collect()]
+    assert april == [0, 2]
