@@ -9,7 +9,6 @@ per version of the table it derives from.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,39 +29,48 @@ LAYOUTS = {
 }
 
 
-def _moved(spark: SparkSession, source: str, target: str) -> None:
-    """Folders ``file=NAME`` of a partitioned write become ``target/NAME``; one rename a month and type."""
+def _moved(spark: SparkSession, source: str, target: str, without=()) -> None:
+    """Folders ``file=NAME`` of a partitioned write become ``target/NAME``, one rename a month and type; what is left goes."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in fs.listStatus(path(source)):
-        name = status.getPath().getName()
-        if name.startswith("file=") and not fs.rename(status.getPath(), path(f"{target}/{name.removeprefix('file=')}")):
+        key, _, name = status.getPath().getName().partition("=")
+        if key == "file" and name not in without and not fs.rename(status.getPath(), path(f"{target}/{name}")):
             raise OSError(f"can't rename {status.getPath().toString()}")
+    fs.delete(path(source), True)
 
 
 def write_trip_files(raw: DataFrame, directory: str) -> None:
-    """Monthly files of raw trips (``adapter.raw_trips_from_lineitem``) under `directory`; trips without a pickup time have no month."""
+    """Monthly files of raw trips (``adapter.raw_trips_from_lineitem``) under `directory`; trips without a pickup time have no month.
+
+    A layout's trips are shuffled once, by month, and go to their month's file unsorted. The broken months, a few, are then
+    written again from their own files, without the pickup column.
+    """
+    spark = raw.sparkSession
     year, month = F.year("pickup_datetime"), F.month("pickup_datetime")
 
-    def write(taxi_type: str, layout: str, bad: bool) -> None:
+    def write(taxi_type: str, layout: str) -> None:
         pickup, dropoff = trips.TIME_COLUMNS[taxi_type]
         rest, ids, without, added = LAYOUTS[layout]
-        broken = reduce(lambda a, b: a | b, [(year == y) & (month == m) for y, m in BROKEN[taxi_type]])
-        rows = raw.filter((F.col("taxi_type") == taxi_type) & (month % 3 == rest) & (broken if bad else ~broken))
+        rows = raw.filter((F.col("taxi_type") == taxi_type) & (month % 3 == rest))
         columns: dict[str, Column] = {pickup: F.col("pickup_datetime").cast("timestamp_ntz"), dropoff: F.col("dropoff_datetime").cast("timestamp_ntz")}
         for f in trips.raw_schema(taxi_type).fields:
             if f.name not in columns and f.name not in without:
                 columns[f.name] = F.col(f.name).cast(ids.get(f.name, f.dataType))
-        columns |= {c: F.lit("N") for c in added}
-        if bad:
-            del columns[pickup]
-        name = F.format_string(params.TRIP_FILE_FORMAT, F.lit(taxi_type), year, month)
-        part = f"{directory}/_{taxi_type}-{layout}-{bad}"
-        rows.select(*[c.alias(n) for n, c in columns.items()], name.alias("file")).hint("rebalance", "file").write.partitionBy("file").parquet(part)
-        _moved(raw.sparkSession, part, directory)
-
-    parts = [(t, layout, bad) for t in params.TAXI_TYPES for layout in LAYOUTS for bad in (False, True) if layout == "old" or not bad]
-    with ThreadPoolExecutor(4) as pool:  # small jobs beside each other
+        dealt = rows.select(*[c.alias(n) for n, c in columns.items()], year.alias("year"), month.alias("month")).hint("rebalance", "year", "month")
+        name = F.format_string(params.TRIP_FILE_FORMAT, F.lit(taxi_type), F.col("year"), F.col("month"))
+        files = dealt.select(*columns, *[F.lit("N").alias(c) for c in added], name.alias("file"))
+        part = f"{directory}/_{taxi_type}-{layout}"
+        files.write.partitionBy("file").parquet(part)
+        broken = [params.TRIP_FILE_FORMAT % (taxi_type, y, m) for y, m in BROKEN[taxi_type]] if layout == "old" else []
+        if broken:
+            again = spark.read.schema(files.schema).parquet(part).filter(F.col("file").isin(broken)).drop(pickup)
+            again.write.partitionBy("file").parquet(f"{part}-broken")
+            _moved(spark, f"{part}-broken", directory)
+        _moved(spark, part, directory, broken)
+
+    parts = [(t, layout) for layout in sorted(LAYOUTS, key=lambda x: x != "old") for t in params.TAXI_TYPES]
+    with store.unsorted_writes(spark), ThreadPoolExecutor(4) as pool:  # small jobs beside each other
         list(pool.map(lambda part: write(*part), parts))
 
 

@@ -173,3 +173,29 @@ def test_registered(spark):
     for name in ("directory_trips", "file_check", "file_columns", "local_files", "fetch_plan", "imputation_gate", "december_where_missing", "roster_entries",
                  "roster_directions", "weather_cache", "lookup_round_trip", "published_round_trip", "ghost_audit", "report_document_values"):
         assert name in E.queries() and name in E.oracle_sql()
+
+
+def test_files_are_written_from_few_scans_without_a_sort(spark, tmp_path, monkeypatch):
+    """One pass over the trips for each type and layout, none for the broken months; rows stay in their order within a file."""
+    at = [("2025-03-09 10:00:00", 0), ("2025-06-03 10:00:00", 1), ("2025-03-02 10:00:00", 2), ("2025-05-01 10:00:00", 3), ("2025-02-01 10:00:00", 4), (None, 5)]
+    rows = trip_frame(spark, [dict(pickup_time=t, dropoff_time="2025-07-01 10:00:00", vendor_id=v, taxi_type=x) for x in params.TAXI_TYPES for t, v in at])
+    raw = rows.select(F.col("pickup_time").alias("pickup_datetime"), F.col("dropoff_time").alias("dropoff_datetime"), F.col("vendor_id").alias("VendorID"), F.col("pickup_loc").alias("PULocationID"),
+                      F.col("dropoff_loc").alias("DOLocationID"), "trip_distance", F.col("fare").alias("fare_amount"), "total_amount", "congestion_surcharge", "tip_amount", "taxi_type").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def passes(batches):
+        seen.add(1)
+        yield from batches
+
+    settings = []
+    real = store.unsorted_writes
+    monkeypatch.setattr(store, "unsorted_writes", lambda s: (settings.append(1), real(s))[1], raising=False)
+    archive.write_trip_files(raw.mapInPandas(passes, raw.schema), str(tmp_path / "f"))
+    assert settings == [1] and seen.value <= len(params.TAXI_TYPES) * len(archive.LAYOUTS)
+    found = {p.name for p in (tmp_path / "f").iterdir()}
+    assert found == {f"{t}_tripdata_2025-{m}.parquet" for t in params.TAXI_TYPES for m in ("02", "03", "05", "06")}  # nothing is left beside them
+    march = spark.read.parquet(str(tmp_path / "f" / "yellow_tripdata_2025-03.parquet")).collect()
+    assert [r.VendorID for r in march] == [0, 2]
+    check = {(r.taxi_type, r.path.split("/")[-2][-10:-8], r.ok, r.n_rows) for r in trips.validate_files(spark, str(tmp_path / "f")).collect()}
+    assert check == {(t, m, (t, m) not in (("green", "05"), ("yellow", "02")), 2 if m == "03" else 1) for t in params.TAXI_TYPES for m in ("02", "03", "05", "06")}
+    assert "tpep_pickup_datetime" not in spark.read.parquet(str(tmp_path / "f" / "yellow_tripdata_2025-02.parquet")).columns
