@@ -20,7 +20,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges give no rows.
     """
     one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    both = written(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    # Both directions from one row: a union would plan and run what finds the edges twice.
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = written(one.select(ways.alias("e")).select("e.u", "e.v").distinct(), "edges")
     labels = written(both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
                      .select("v", F.least("v", "m").alias("c")), "labels")
     while True:

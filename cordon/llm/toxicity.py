@@ -8,6 +8,8 @@ bounded sample of labelled rows (``SAMPLE``, the documented bound) and its weigh
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +33,8 @@ COPY_WORDS = 5
 #: Copies agree in this share of so many minima of their runs of words; the first few find the texts to compare.
 SIMILAR, MINIMA, FIRST = 0.8, 128, 8
 L1, ROUNDS = 1e-4, 1500
+#: Words that the fit takes at once, and rows of a block of its features: the driver holds no second copy of the sample.
+PART_WORDS, BLOCK = 200_000, 1_000
 
 
 @dataclass
@@ -65,6 +69,36 @@ def _log_lik_parts(z: np.ndarray, y: np.ndarray, theta: np.ndarray):
     return p, dz, dt
 
 
+def _parts(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(row, word)`` of the texts in order, in parts of about ``PART_WORDS``."""
+    ends = np.cumsum([len(t) for t in texts])
+    at = 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PART_WORDS, side="right")))
+        yield np.repeat(np.arange(at, to), [len(t) for t in texts[at:to]]), np.concatenate(texts[at:to])
+        at = to
+
+
+def _vocabulary(texts: list[np.ndarray]) -> np.ndarray:
+    """The words of ``MIN_DOCS`` texts or more, ascending."""
+    words, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _, part in _parts(texts):
+        new, n = np.unique(part, return_counts=True)
+        words, at = np.unique(np.concatenate([words, new]), return_inverse=True)
+        times = np.bincount(at, np.concatenate([times, n]), len(words)).astype(np.int64)
+    return words[times >= MIN_DOCS]
+
+
+def _columns(texts: list[np.ndarray], words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(row, place in words)`` of the occurrences of ``words``, part by part."""
+    for rows, part in _parts(texts):
+        at = np.searchsorted(words, part)
+        at[at == len(words)] = 0
+        known = words[at] == part
+        yield rows[known], at[known]
+
+
 def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, copies: np.ndarray | None = None) -> Model:
     """The model of word sets and their grades 0 .. n_grades - 1.
 
@@ -81,29 +115,28 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, copies: np.n
     share = [float(votes[y >= j].sum()) for j in range(1, n_grades)]
     theta = np.array([-np.log(max(s, 1e-4) / max(1 - s, 1e-4)) for s in share])
     theta = np.maximum.accumulate(theta)
-    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    rows = rows.astype(np.int32)
-    tokens, column = np.unique(np.concatenate(texts) if len(rows) else np.zeros(0, np.uint64), return_inverse=True)
-    column = column.astype(np.int32)
+    tokens = _vocabulary(texts)
     if not len(tokens) or y.max() == y.min():
         return Model(np.zeros(0, np.uint64), np.zeros(0), theta)
     raw = votes * len(np.unique(group))  # votes in texts
-    df = np.bincount(column, raw[rows], len(tokens))
     mean = float((raw * y).sum() / raw.sum())
     var = float((raw * (y - mean) ** 2).sum() / raw.sum())
-    z = (np.bincount(column, (raw * (y - mean))[rows], len(tokens))) / np.sqrt(np.maximum(df * var, 1e-9))
+    df, pull = np.zeros(len(tokens)), np.zeros(len(tokens))
+    for rows, column in _columns(texts, tokens):
+        np.add.at(df, column, raw[rows])
+        np.add.at(pull, column, (raw * (y - mean))[rows])
+    z = pull / np.sqrt(np.maximum(df * var, 1e-9))
     good = np.flatnonzero((df >= MIN_DOCS) & (np.abs(z) >= MIN_Z))
     good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:FEATURES]])
     if not len(good):
         return Model(np.zeros(0, np.uint64), np.zeros(0), theta)
-    place = np.full(len(tokens), -1)
-    place[good] = np.arange(len(good))
     x = np.zeros((len(texts), len(good)))
-    known = place[column] >= 0
-    x[rows[known], place[column[known]]] = 1
+    for rows, column in _columns(texts, tokens[good]):
+        x[rows, column] = 1
     w = np.zeros(len(good))
     # Proximal gradient with momentum; the step from the largest curvature of the logistic parts.
-    step = 1 / (0.5 * float(np.linalg.eigvalsh(x.T @ (x * votes[:, None]))[-1]) + 0.5)
+    curvature = sum(x[k: k + BLOCK].T @ (x[k: k + BLOCK] * votes[k: k + BLOCK, None]) for k in range(0, len(x), BLOCK))
+    step = 1 / (0.5 * float(np.linalg.eigvalsh(curvature)[-1]) + 0.5)
     ahead_w, ahead_t, t = w.copy(), theta.copy(), 1.0
     for _ in range(ROUNDS):
         _, dz, dt = _log_lik_parts(x @ ahead_w, y, ahead_t)
@@ -145,7 +178,7 @@ def copy_groups(signs: np.ndarray) -> np.ndarray:
     out, same = np.arange(len(signs)), {}
     heads: list[dict[int, list[int]]] = [{} for _ in range(FIRST)]
     for i, sign in enumerate(signs):
-        if (first := same.setdefault(sign.tobytes(), i)) != i:
+        if (first := same.setdefault(hashlib.blake2b(sign, digest_size=16).digest(), i)) != i:
             out[i] = out[first]
             continue
         found = [h[int(v)] for h, v in zip(heads, sign, strict=False) if int(v) in h]
@@ -180,26 +213,24 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int, id_col: str = "doc_
             new = [key not in seen and not seen.add(key) for key in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             batch = batch.filter(pa.array(new, pa.bool_()))
             found = [w for _, w in word_hashes(batch.column(0), PUNCT)]
-            signs = np.concatenate([minima(w) for w in found] or [np.zeros(0, np.uint64)]).view(np.int64)
-            sets = [np.unique(w).view(np.int64) for w in found]
-            lengths = np.cumsum([0, *map(len, sets)]).astype(np.int64)
-            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.LargeListArray.from_arrays(pa.array(lengths), values).cast(pa.list_(pa.int64())),
-                                              pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * MINIMA), pa.array(signs)), batch.column(2), batch.column(3)], names=["g", "w", "c", "l", "h"])
+            sets, signs = (pa.array([f(w).tobytes() for w in found], pa.binary()) for f in (np.unique, minima))
+            yield pa.RecordBatch.from_arrays([batch.column(1), sets, signs, batch.column(2), batch.column(3)], names=["g", "w", "c", "l", "h"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).cast("string").alias("_t"))
     own = texts.join(F.broadcast(known), texts["_d"] == known["_l"]).select("_t", "_g", "_l", F.xxhash64("_t").alias("_h"))
     # Hashes alone choose the rows; each task keeps few of an id, so one that repeats much is no hot key.
     nth = F.row_number().over(W.partitionBy("_l").orderBy("_h"))
     chosen = written(own.select("_l", "_h").distinct().withColumn("_n", nth).where(F.col("_n") <= each).select("_l", "_h"), "chosen")
-    rows = (own.join(F.broadcast(chosen), ["_l", "_h"]).select("_t", "_g", "_l", "_h")
-            .mapInArrow(run, "g int, w array<long>, c array<long>, l long, h long").dropDuplicates(["l", "h"]).toArrow())
-    dropped(known, chosen)
-    grades = np.clip(rows["g"].to_numpy(), 0, n_grades - 1)
-    sets = [np.asarray(x.values, dtype=np.int64).view(np.uint64) if x.values is not None else np.zeros(0, np.uint64) for x in rows["w"]]
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i].sum()), grades[i]))  # the fit doesn't hang on task order
-    signs = np.array([x.values.to_numpy() for x in rows["c"]], np.int64).reshape(-1, MINIMA).view(np.uint64)
-    sets, grades, copies = [sets[i] for i in order], grades[order], copy_groups(signs[order])
+    sample = written(own.join(F.broadcast(chosen), ["_l", "_h"]).select("_t", "_g", "_l", "_h")
+                     .mapInArrow(run, "g int, w binary, c binary, l long, h long").dropDuplicates(["l", "h"]).select("g", "w", "c"), "sample")
+    rows = [(r.g, np.frombuffer(r.w, np.uint64), np.frombuffer(r.c, np.uint64)) for r in sample.toLocalIterator()]  # a partition at a time
+    dropped(known, chosen, sample)
+    # The fit doesn't hang on task order.
+    rows.sort(key=lambda r: (len(r[1]), int(r[1].sum()), r[0]))
+    grades = np.clip(np.array([r[0] for r in rows], np.int64), 0, n_grades - 1)
+    copies = copy_groups(np.array([r[2] for r in rows], np.uint64).reshape(-1, MINIMA))
+    sets = [r[1] for r in rows]
+    del rows
     if binary:
         grades = graded(sets, np.minimum(grades, 1), copies, n_grades)
     return fit(sets, grades, n_grades, copies)

@@ -1,6 +1,7 @@
 """The ordinal model: thresholds, a fit against a plain optimum, held-out accuracy, edge rows."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -113,3 +114,43 @@ def test_an_id_that_repeats_much_leaves_the_others_their_place(spark, monkeypatc
     rows += [(k, prose(1000 + k, 60) + (" nasty" if k <= 20 else "")) for k in range(1, 60)]
     m = t.train(docs(spark, rows), spark.createDataFrame([(k, int(1 <= k <= 20)) for k in range(60)], "doc_id long, grade int"), 2)
     assert len(seen[-1][0]) == 59 + 4 and m.score(np.unique(next(t.word_hashes(pa.array(["nasty"]), t.PUNCT))[1])) > 0
+
+
+def test_the_fit_holds_no_second_copy_of_its_texts():
+    """Its own memory stays near that of the features: the driver holds the sample's words once."""
+    rng = np.random.default_rng(3)
+    texts = [np.unique(rng.integers(0, 20_000, 400).astype(np.uint64)) for _ in range(5000)]
+    y = np.array([int((x < 300).sum() > 6) for x in texts])
+    tracemalloc.start()
+    try:
+        m = t.fit(texts, y, 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(m.words) > 50 and (m.weights[m.words < 300] > 0).mean() > 0.95
+    assert peak < len(texts) * t.FEATURES * 8 + 25e6, f"{peak / 1e6:.0f} MB"
+
+
+def test_words_are_counted_alike_in_parts_of_any_size(monkeypatch):
+    """The model doesn't hang on where the parts end; texts without words and texts longer than a part are rows like others."""
+    rng = np.random.default_rng(5)
+    texts = [np.unique(rng.integers(0, 500, n).astype(np.uint64)) for n in rng.choice([0, 20, 60, 400], 300)]
+    y = np.array([int(7 in x) + int(8 in x) for x in texts])
+    copies = rng.integers(0, 200, 300)
+    whole = t.fit(texts, y, 3, copies)
+    monkeypatch.setattr(t, "PART_WORDS", 50)
+    parts = t.fit(texts, y, 3, copies)
+    assert {7, 8} <= set(whole.words.tolist())
+    assert (whole.words == parts.words).all() and (whole.weights == parts.weights).all() and (whole.thresholds == parts.thresholds).all()
+
+
+def test_the_sample_reaches_the_driver_by_partitions(spark, monkeypatch):
+    """No call hands the driver all sampled texts at once."""
+    def no(*a, **k):
+        raise AssertionError("the whole sample at once")
+    frame = type(spark.range(1))
+    for name in ("toArrow", "toPandas", "collect"):
+        monkeypatch.setattr(frame, name, no)
+    rows, grades = labelled(200)
+    model = t.train(docs(spark, rows), spark.createDataFrame(grades, "doc_id long, grade int"), 3)
+    assert len(model.words)
