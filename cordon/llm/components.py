@@ -8,7 +8,7 @@ shared folder, so a lost executor repeats at most one round.
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from .tables import dropped, written
 
@@ -31,12 +31,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hooked = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         # A label's own label, if it is smaller, is one jump nearer to the least vertex.
         jump = labels.select(F.col("v").alias("j"), F.col("c").alias("cj"))
+        moves = Observation()  # counted while the labels are written: no second query over them
         new = written(hooked.join(jump, F.col("c") == F.col("j"), "left")
-                      .select("v", "old", F.least("c", F.coalesce("cj", "c")).alias("c")), "labels")
+                      .select("v", "old", F.least("c", F.coalesce("cj", "c")).alias("c"))
+                      .observe(moves, F.count_if(F.col("c") != F.col("old")).alias("n")).select("v", "c"), "labels")
         dropped(labels)
-        changed = new.where("c <> old").limit(1).count()
-        labels, previous = new.select("v", "c"), new
-        labels._written_path = previous._written_path
-        if not changed:
+        labels = new
+        if not moves.get["n"]:
             dropped(both)
             return labels

@@ -159,11 +159,13 @@ def _edges(index: DataFrame, percent: int, salts: int = SALTS) -> DataFrame:
     common = written(hot.groupBy("k").agg(F.count("*").alias("common"), F.first("n").alias("n")), "common")
     # A set whose common tokens alone can't reach l meets each linked set at a rare token too.
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA)
-    stars = _stars(hot.select("token", "k").join(common.where(F.col("common") >= least).select("k"), "k"), salts)
+    # Pairs and stars are written one after the other: planned as one query, their scans and broadcasts are in the driver's memory at once.
+    stars = written(_stars(hot.select("token", "k").join(common.where(F.col("common") >= least).select("k"), "k"), salts), "stars")
     x, y = few.select("token", F.col("k").alias("a"), F.col("n").alias("na")), few.select("token", F.col("k").alias("b"), F.col("n").alias("nb"))
     near = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = (x.join(y, "token").where(near).groupBy("a", "b")
-             .agg(F.count("*").alias("both"), F.first(F.least("na", "nb")).alias("n")))
+    pairs = written(x.join(y, "token").where(near).groupBy("a", "b")
+                    .agg(F.count("*").alias("both"), F.first(F.least("na", "nb")).alias("n")), "pairs")
+    dropped(rare)
     needs = 1 + F.floor(F.col("n") * EXTRA)
     # Only pairs that fall short by their rare tokens alone need the numbers of their common ones.
     enough = pairs.where(F.col("both") >= needs).select("a", "b")
@@ -311,14 +313,16 @@ def _found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["k", "s"])
 
     texts = own.join(wanted, "at").select("text", "k").mapInArrow(gather, "k long, s binary")
-    units = _units(members, percent).join(texts, "k")
-    found = written(_verify(units, percent, classes, bits), "links")
+    units = written(_units(members, percent), "units")  # a query of its own, like the pairs and stars of ``_edges``
+    found = written(_verify(units.join(texts, "k"), percent, classes, bits), "links")
+    dropped(units, members)
+    classes.destroy()
 
     parts = components(found.where("a <> b").select("a", "b")).select(F.col("v").alias("k"), "c")
     degree = found.groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("n_links"))
     reach = (sets.select("k", "doc_id").join(parts, "k", "left").withColumn("c", F.coalesce("c", "k")))
     least = reach.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = reach.join(least, "c").join(degree, "k", "left").select("k", "c", "component_id", "n_links")
+    named = written(reach.join(least, "c").join(degree, "k", "left").select("k", "c", "component_id", "n_links"), "named")
     return (signs.join(named, "k", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -223,14 +224,22 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int, id_col: str = "doc_
     chosen = written(own.select("_l", "_h").distinct().withColumn("_n", nth).where(F.col("_n") <= each).select("_l", "_h"), "chosen")
     sample = written(own.join(F.broadcast(chosen), ["_l", "_h"]).select("_t", "_g", "_l", "_h")
                      .mapInArrow(run, "g int, w binary, c binary, l long, h long").dropDuplicates(["l", "h"]).select("g", "w", "c"), "sample")
-    rows = [(r.g, np.frombuffer(r.w, np.uint64), np.frombuffer(r.c, np.uint64)) for r in sample.toLocalIterator()]  # a partition at a time
+    # A partition at a time, into one buffer each: they go back to the system as a whole, thousands of small arrays would not.
+    grades, ends, words, signs = [], [0], bytearray(), bytearray()
+    for r in sample.toLocalIterator():
+        grades.append(r.g)
+        words += r.w
+        signs += r.c
+        ends.append(len(words) // 8)
     dropped(known, chosen, sample)
+    flat = np.frombuffer(words, np.uint64)
+    sets = [flat[a:b] for a, b in pairwise(ends)]
     # The fit doesn't hang on task order.
-    rows.sort(key=lambda r: (len(r[1]), int(r[1].sum()), r[0]))
-    grades = np.clip(np.array([r[0] for r in rows], np.int64), 0, n_grades - 1)
-    copies = copy_groups(np.array([r[2] for r in rows], np.uint64).reshape(-1, MINIMA))
-    sets = [r[1] for r in rows]
-    del rows
+    by = sorted(range(len(sets)), key=lambda k: (len(sets[k]), int(sets[k].sum()), grades[k]))
+    sets = [sets[k] for k in by]
+    grades = np.clip(np.array([grades[k] for k in by], np.int64), 0, n_grades - 1)
+    copies = copy_groups(np.frombuffer(signs, np.uint64).reshape(-1, MINIMA)[by])
+    del signs
     if binary:
         grades = graded(sets, np.minimum(grades, 1), copies, n_grades)
     return fit(sets, grades, n_grades, copies)

@@ -23,3 +23,14 @@ def test_edges_are_found_once(spark):
 
     edges = spark.range(0, 100, 1, 4).selectExpr("id AS a", "id + 1 AS b").mapInArrow(run, "a long, b long")
     assert {r.c for r in components(edges).collect()} == {0} and seen.value == 100
+
+
+def test_a_round_is_one_query(spark, monkeypatch):
+    """What a round changed is counted while its labels are written; no query reads them for that."""
+    def no(*a, **k):
+        raise AssertionError("a second query of a round")
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 40)], "a long, b long")
+    for name in ("count", "collect", "first", "isEmpty"):
+        monkeypatch.setattr(type(edges), name, no)
+    assert {(r.v, r.c) for r in components(edges).toLocalIterator()} == {(k, 0) for k in range(21)} | {(40, 40), (50, 40)}
+    assert not list(components(edges.where("a < 0")).toLocalIterator())

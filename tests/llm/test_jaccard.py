@@ -152,3 +152,18 @@ def test_stars_connect_the_classes_of_each_token(spark):
         parts = {frozenset(x for x in up.keys() | up.values() if root(x) == r) for r in {root(x) for x in up}}
         assert parts == {frozenset(groups[1] + groups[5]), frozenset(groups[3]), frozenset(groups[4])}
         assert len(edges) == sum(len(set(ks)) - 1 for ks in groups.values())
+
+
+def test_no_query_reads_many_tables_at_once(spark, monkeypatch):
+    """Each scan, stage and small side of a query holds the driver's memory while it runs: pairs, stars, units and names are queries of their own."""
+    scans, written, edges = {}, j.written, j._edges
+
+    def counted(df, name):
+        scans[name] = df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+        return df
+
+    monkeypatch.setattr(j, "written", lambda df, name: written(counted(df, name), name))
+    monkeypatch.setattr(j, "_edges", lambda *a: counted(edges(*a), "edges"))
+    rows = [(k, prose(k % 9, 60) + f" t{k}") for k in range(30)] + [(90, ""), (None, prose(3, 60))]
+    j.one_of_each(docs(spark, rows), size=5, percent=80).collect()
+    assert {"pairs", "stars", "units", "named", "edges"} <= set(scans) and max(scans.values()) <= 9, scans
